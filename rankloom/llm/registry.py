@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, packing, quality_classifier, quality_rules, sharding, url_filter
+from . import ann, bpe, chat, packing, quality_classifier, quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+        "op2_bpe": bpe.op2_bpe,
+        "op7_ann": ann.op7_ann,
         "op4_url_filter": url_filter.op4_url_filter,
         "op6_sharding": sharding.op6_sharding,
         "op8_chat_format": chat.op8_chat_format,
