@@ -16,11 +16,14 @@ Defined results: a null text is empty, and its document is the end id alone; rep
 from __future__ import annotations
 
 import bisect
+import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,18 +35,54 @@ OPEN_WINDOWS = 64
 MERGE = 32
 END_ID = 1
 #: Words longer than this aren't remembered; the memory is emptied beyond so many words.
-LONG_WORD, MEMORY_WORDS = 48, 300_000
+LONG_WORD, MEMORY_WORDS = 48, 600_000
+#: Marks that may follow a plain word; a run of them is split from the word and encoded by itself.
+MARKS = ".,;:!?"
 #: Characters at which str.split() cuts although the tokenizer does not take them for white space.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 PIECE_DDL = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+class Merges:
+    """The merges of a byte-level BPE vocabulary with word ends, run on one lower-case word at a time.
+
+    A word end is written as byte 255, which UTF-8 never holds; the merge of a last byte with it ranks before all
+    others. Only for vocabularies whose ids are in the order of their merges, as ``of`` makes sure.
+    """
+
+    END = b"\xff"
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.encode = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    @classmethod
+    def of(cls, path: str) -> Merges | None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix, vocab, merges = model.get("end_of_word_suffix"), model.get("vocab"), model.get("merges")
+        if model.get("type") != "BPE" or not suffix or model.get("continuing_subword_prefix"):
+            return None
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        if [vocab.get(a + b) for a, b in pairs] != list(range(512, 512 + len(pairs))):
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(sorted({*range(256)} - {*shown}))}
+        ranks = {}
+        for token, i in vocab.items():
+            ends = token.endswith(suffix) and token != suffix
+            body = token[: -len(suffix)] if ends else token
+            if i < 512 + len(pairs):
+                ranks[bytes(byte_of[c] for c in body) + (cls.END if ends else b"")] = i
+        return cls(ranks)
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space: words between white space are encoded once and remembered.
 
     None of the tokenizer's steps (composition, lower case, splitting, merges with word ends) looks over white space,
-    so the ids of a text are those of its words. Special tokens' strings in a text are ordinary text.
+    so the ids of a text are those of its words. Plain words (Latin-1 letters, then perhaps marks) go through ``Merges``,
+    which gives the tokenizer's ids; all others through the tokenizer. Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -51,26 +90,44 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = Merges.of(path)
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _slowly(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+
+    def _learn(self, new: list[str]) -> None:
+        other, known, end = [], self.known, Merges.END
+        for word in new:
+            core = word.rstrip(MARKS)
+            if self.merges is not None and core.isalpha() and max(core) < "\u0100":
+                tail = word[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._slowly([tail])[0]
+                ids = self.merges.encode(core.lower().encode() + end)
+                known[word] = struct.pack(f"<{len(ids)}I", *ids) + self.tails[tail]
+            else:
+                other.append(word)
+        known.update(zip(other, self._slowly(other), strict=True))
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(c in text for c in _ODD_SPACE):
-            return self._encode([text])[0]
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > MEMORY_WORDS:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        found = dict(zip(new, self._encode(new), strict=True))
-        known.update((w, x) for w, x in found.items() if len(w) <= LONG_WORD)
-        return b"".join([known[w] if w in known else found[w] for w in words])
+            return self._slowly([text])[0]
+        words = text.split()
+        new = set(words).difference(self.known)
+        if new:
+            if len(self.known) + len(self.tails) > MEMORY_WORDS:
+                self.known.clear()
+                self.tails = {"": b""}
+                new = set(words)
+            self._learn(list(new))
+        ids = b"".join(map(self.known.__getitem__, words))
+        for word in new:
+            if len(word) > LONG_WORD:
+                del self.known[word]
+        return ids
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
