@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of the lists, and all their values one after another."""
-    lengths = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     return lengths, column.flatten().to_numpy(zero_copy_only=False)
 
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handed to numpy in slices of at most so many bytes (or one text), whatever the Arrow batch holds.
@@ -42,7 +43,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array that hold at most ``max_bytes`` of text, or one row."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
     for i, n in enumerate(sizes):
         if i > at and held + n > max_bytes:
