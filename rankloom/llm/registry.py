@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, minhash, packing, quality_classifier, quality_rules, sharding, url_filter
+from . import ann, bpe, chat, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op7_ann": ann.op7_ann,
         "op3_minhash": minhash.op3_minhash,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
         "op4_url_filter": url_filter.op4_url_filter,
         "op6_sharding": sharding.op6_sharding,
         "op8_chat_format": chat.op8_chat_format,
