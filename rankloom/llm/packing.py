@@ -283,3 +283,8 @@ def packed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their ids."""
+    return packed(docs.select("doc_id", "text"))
