@@ -3,16 +3,19 @@
 A document is the set of its word shingles; documents of equal sets are one node of the join, known by its smallest id.
 TREES independent trees branch the nodes by selected minwise tokens: the path from a root is the row of tokens chosen
 so far, and nodes that share a path meet. Below the first level only those branches are followed that are too large
-to compare exhaustively and hold documents not yet linked to each other. A branch of at most SMALL members is compared
-exhaustively on minwise signatures, and links are confirmed on the full sets. A tree keeps two of similarity 0.8
+to compare exhaustively and hold documents not yet joined to each other. A tree keeps two documents of similarity 0.8
 together on its first level with probability 0.8, so TREES independent trees miss 0.2 ** TREES of the pairs there; a
 large branch is split with two chosen tokens at once, which keeps 0.96 a level. What is still large after LEVELS levels
 is compared block against block, so nothing is dropped.
 
-Pairs don't grow with the square of a group: first every branch links its members to its smallest one only, these links
-are confirmed and their components built, and from then on only members of different components are compared.
+The join runs twice. First on minwise signatures alone, which gathers documents whose signatures may belong to similar
+sets into families. Then the members of a family are compared on their full sets, by counting shingles in common: all
+with all, block against block, so that a task holds two blocks and a set is moved at most 2 * SMALL / BLOCK times.
+Families of more than SMALL members are branched again, by batches of trees, and only branches whose members exact
+links don't join yet are compared.
 
-Links, components and sets stay in tables; the driver only learns whether a table is empty. Hot branches and hot
+Neither run makes all pairs: a branch links its members to its smallest one, or returns just the links that join its
+members. Links, families and sets stay in tables; the driver only learns whether a table is empty. Hot branches and hot
 groups of copies are counted with partial aggregation, and joined with the counts by joins that may be split.
 
 Defined results: texts without words (and null texts) have an empty set, link with nothing and are their own component;
@@ -30,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import expanded, slices, squeezed, table, written
 from .shingles import shingle_sets, signatures
 
 TREES = 16
 COORDINATES = 64
 #: Of two sets of similarity 0.8, fewer than so many of the 64 minwise hashes agree once in ten million pairs.
 AGREE = 33
-SMALL = 512
+#: Members of a branch that are compared exhaustively, and of a block when full sets are compared.
+SMALL, BLOCK = 4096, 512
 LEVELS = 6
 SEED = 90_125
 WORDS = 5
@@ -63,48 +67,25 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, set): the sorted hashes of a document's set."""
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, family, set) of the documents in ``ids``; texts are moved compressed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in slices(batch.column("text")):
-                sets = shingle_sets(batch.column("text").slice(low, high - low), words)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in expanded(batches, rows=256):
+            texts = own.column("text")
+            found = [s.tobytes() for a, b in slices(texts) for s in shingle_sets(texts.slice(a, b - a), words)]
+            yield pa.RecordBatch.from_arrays([own.column("id"), own.column("family"), pa.array(found, pa.binary())], names=["id", "family", "set"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    packed = squeezed(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null"))
+    return packed.join(ids.select("id", "family"), "id").mapInArrow(sets, "id long, family long, set binary")
 
 
-def _similar(pairs: DataFrame, similarity: int) -> DataFrame:
-    """Of (a, b, set_a, set_b) those pairs whose sets are similar enough, exactly."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: int, sifted: bool = False) -> DataFrame:
-    """Links among candidate pairs (a, b): first by sizes and signatures, then on the full sets of the rest."""
-    if not sifted:
-        one = lambda s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-        agree = F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
-        pairs = pairs.join(one("a"), "a").join(one("b"), "b").where(
-            (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (agree >= AGREE)
-        )
-    chosen = written(pairs.select("a", "b").distinct(), "pairs")
-    if chosen.isEmpty():
-        return chosen
-    ids = chosen.select(F.col("a").alias("id")).unionByName(chosen.select(F.col("b").alias("id"))).distinct()
-    sets = written(_sets(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id"), words), "sets")
-    both = chosen.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return written(_similar(both.select("a", "b", "set_a", "set_b"), similarity).distinct(), "links")
+def _alike(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) that sizes and signatures allow."""
+    one = lambda s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    agree = F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    return both.where((100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (agree >= AGREE)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -127,8 +108,24 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _exhaustive(groups: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of one group and different components that sizes and signatures allow. groups: (key, members)."""
+class _Forest:
+    """Components of the rows of a group; ``labels`` start as the components known before."""
+
+    def __init__(self, labels: np.ndarray):
+        self.labels = np.unique(labels, return_inverse=True)[1].astype(np.int64)
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Links row ``i`` with one row of each other component among ``others``."""
+        labels, first = np.unique(self.labels[others], return_index=True)
+        for label, k in zip(labels, first, strict=True):
+            if label != self.labels[i]:
+                self.links.append((i, int(others[k])))
+                self.labels[self.labels == label] = self.labels[i]
+
+
+def _linked_signatures(groups: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) that join the members of each group as far as sizes and signatures allow. groups: (key, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,50 +134,132 @@ def _exhaustive(groups: DataFrame, similarity: int) -> DataFrame:
                 members = group.values
                 ids, comp, size = (members.field(c).to_numpy() for c in ("id", "comp", "n"))
                 sig = members.field("sig").flatten().to_numpy().reshape(len(ids), COORDINATES)
+                forest = _Forest(comp)
                 for i in range(len(ids) - 1):
-                    other = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i])))
-                    other = other[(sig[other] == sig[i]).sum(axis=1) >= AGREE] if len(other) else other
-                    left += np.minimum(ids[other], ids[i]).tolist()
-                    right += np.maximum(ids[other], ids[i]).tolist()
+                    other = i + 1 + np.flatnonzero((forest.labels[i + 1 :] != forest.labels[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i])))
+                    if len(other):
+                        forest.join(i, other[(sig[other] == sig[i]).sum(axis=1) >= AGREE])
+                left += [int(ids[i]) for i, _ in forest.links]
+                right += [int(ids[j]) for _, j in forest.links]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return groups.select("members").mapInArrow(run, "a long, b long")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common, exactly."""
+    n = len(sets)
+    if n == 2:
+        both = len(sets[0]) + len(sets[1]) - len(np.unique(np.concatenate(sets)))
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+    token, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    often = np.bincount(column, minlength=len(token)) > 1
+    column_of = np.cumsum(often) - 1
+    keep = often[column]
+    row, column = row[keep], column_of[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts, width = np.zeros((n, n)), 8192
+    for low in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(column, [low, low + width])
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        counts += part @ part.T
+    out = np.rint(counts).astype(np.int64)
+    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+    return out
+
+
+def _linked_sets(similarity: int, label: str | None):
+    """For applyInArrow: links that join the rows of a group exactly; ``label``: components known before."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows.column("id").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("set")]
+        counts, size = common_counts(sets), np.array([len(s) for s in sets])
+        similar = 100 * counts >= similarity * (size[:, None] + size[None, :] - counts)
+        forest = _Forest(rows.column(label).to_numpy() if label else ids)
+        for i in range(len(ids) - 1):
+            other = i + 1 + np.flatnonzero(similar[i, i + 1 :])
+            if len(other):
+                forest.join(i, other)
+        left, right = [int(ids[i]) for i, _ in forest.links], [int(ids[j]) for _, j in forest.links]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
 def _counted(entries: DataFrame, label: str) -> DataFrame:
     """Branches of (key, id, comp) whose members aren't all linked: (key, size, pivot)."""
     stats = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     return written(stats.where("low <> high").select("key", "size", "pivot"), label)
 
 
-def links_of(nodes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Confirmed links (a, b) that connect whatever similar nodes (id, n, sig) are connected."""
-    roots = nodes.select(F.col("id"), F.col("id").alias("comp"), F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, sig[t]))")).alias("key"))
-    branches = _counted(roots, "branches")
-    members = written(roots.join(branches, "key").select("key", "id", "size", "pivot"), "members")
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(stars, nodes, docs, words, similarity)
-    comps = components(links)
-
-    entries = written(members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "entries")
-    candidates = None
+def _met(branches: DataFrame, block: int) -> DataFrame:
+    """Rows of branches (key, id, size, ...) once for each pair of blocks that their block is in; a small branch is one."""
+    blocks = f"if(size <= 2 * {block}, 1, cast(ceil(size / {block}D) as int))"
+    meet = f"transform(sequence(0, {blocks} - 1), o -> xxhash64(key, least(o, pmod(hash(id), {blocks})), greatest(o, pmod(hash(id), {blocks}))))"
+    return branches.withColumn("key", F.explode(F.expr(meet)))
+
+
+def _branched(entries: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """Small branches (key, id, comp) below the given ones, as far down as needed; what stays large meets by blocks."""
+    found = None
     for level in range(LEVELS + 1):
-        branches = _counted(entries, "branches")
-        open_ = written(entries.join(branches, "key").join(nodes, "id").select("key", "id", "comp", "size", "n", "sig"), "open")
-        small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
+        open_ = entries.join(_counted(entries, "branches").select("key", "size"), "key")
+        if level:
+            open_ = written(open_, "open")
+        small, large = open_.where(F.col("size") <= most).drop("size"), open_.where(F.col("size") > most)
         if level == LEVELS:
-            # Blocks of a large branch meet two by two; every member goes to each pair that its block is in.
-            blocks = f"cast(ceil(2.0D * size / {SMALL}) as int)"
-            meet = f"transform(sequence(0, {blocks} - 1), o -> xxhash64(key, least(o, pmod(hash(id), {blocks})), greatest(o, pmod(hash(id), {blocks}))))"
-            small = small.unionByName(large.withColumn("key", F.explode(F.expr(meet))))
-        groups = small.groupBy("key").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("members"))
-        found = written(_exhaustive(groups, similarity).distinct(), "found")
-        candidates = found if candidates is None else candidates.unionByName(found)
+            small = small.unionByName(_met(large, most).drop("size"))
+        found = small if found is None else found.unionByName(small)
         if level == LEVELS or large.isEmpty():
-            break
+            return found
         child = f"explode(array({', '.join(f'xxhash64(key, {j}, sig[pmod(xxhash64(key, {j}), {COORDINATES})])' for j in (0, 1))}))"
-        entries = written(large.select(F.expr(child).alias("key"), "id", "comp"), "entries")
-    return written(links.unionByName(_confirmed(candidates.distinct(), nodes, docs, words, similarity, sifted=True)).distinct(), "links")
+        entries = written(large.join(nodes.select("id", "sig"), "id").select(F.expr(child).alias("key"), "id", "comp"), "entries")
+    return found
+
+
+def _roots(trees: range, *prefix: str):
+    return F.explode(F.expr(f"transform(sequence({trees.start}, {trees.stop - 1}), t -> xxhash64({''.join(p + ', ' for p in prefix)}t, sig[t]))"))
+
+
+def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
+def families(nodes: DataFrame, similarity: int) -> DataFrame:
+    """(id, family) of nodes (id, n, sig) whose signatures may belong to sets similar to another's."""
+    roots = nodes.select(F.col("id"), F.col("id").alias("comp"), _roots(range(TREES)).alias("key"))
+    members = written(roots.join(_counted(roots, "branches"), "key").select("key", "id", "pivot"), "members")
+    stars = written(_alike(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), nodes, similarity), "stars")
+    entries = written(_with_components(members.select("key", "id"), components(stars)), "entries")
+    small = _branched(entries, nodes, SMALL).join(nodes, "id")
+    groups = small.groupBy("key").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("members"))
+    more = written(_linked_signatures(groups, similarity).distinct(), "more")
+    return written(components(stars.unionByName(more)).withColumnRenamed("component", "family"), "families")
+
+
+def links_of(nodes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Exact links (a, b) that join whatever nodes (id, n, sig) similar links join."""
+    own = families(nodes, similarity)
+    own = own.unionByName(own.select(F.col("family").alias("id"), "family").distinct())
+    sizes = written(own.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    sets = written(_sets(docs, own, words), "sets")
+    compared = lambda rows, label: _met(rows, BLOCK).groupBy("key").applyInArrow(_linked_sets(similarity, label), "a long, b long")
+    sized = sets.withColumnRenamed("family", "key").join(sizes.withColumnRenamed("family", "key"), "key")
+    links = written(compared(sized.where(F.col("size") <= SMALL), None).distinct(), "links")
+    large = sizes.where(F.col("size") > SMALL)
+    if large.isEmpty():
+        return links
+    large = written(own.join(large.select("family"), "family").join(nodes.select("id", "sig"), "id"), "large")
+    for trees in (range(1), range(1, 4), range(4, TREES)):
+        entries = _with_components(large.select("id", _roots(trees, "family").alias("key")), components(links))
+        branches = _branched(written(entries, "entries"), nodes, SMALL)
+        sized = written(branches.join(branches.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key"), "branches")
+        links = written(links.unionByName(compared(sized.join(sets.select("id", "set"), "id"), "comp")).distinct(), "links")
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
