@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
 #: Texts are handed to numpy in slices of at most so many bytes (or one text), whatever the Arrow batch holds.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -45,6 +47,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs whose results are written; it does so when the driver's JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def squeezed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The text column as compressed bytes (binary; null texts stay null), to be moved by an exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                own = batch.slice(low, 1024)
+                yield extended(own, **{text: pa.array([pack(x.as_py().encode()) if x.is_valid else None for x in own.column(text)], pa.binary())})
+
+    return rows.mapInArrow(run, with_fields(rows.schema, (text, "binary")))
+
+
+def expanded(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches with the texts that ``squeezed`` packed."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            own = batch.slice(low, rows)
+            yield extended(own, **{text: pa.array([unpack(x.as_py()) if x.is_valid else None for x in own.column(text)], pa.binary()).cast(pa.string())})
+
+
 def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array that hold at most ``max_bytes`` of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -59,14 +89,13 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def with_fields(schema, *fields: tuple[str, str]) -> str:
-    """DDL of ``schema`` with more fields after it; a field of the same name is replaced."""
-    new = {n for n, _ in fields}
-    old = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name not in new]
-    return ", ".join(old + [f"`{n}` {t}" for n, t in fields])
+    """DDL of ``schema`` with more fields after it; a field of the same name is replaced in its place."""
+    new = dict(fields)
+    old = [f"`{f.name}` {new.pop(f.name, f.dataType.simpleString())}" for f in schema.fields]
+    return ", ".join(old + [f"`{n}` {t}" for n, t in new.items()])
 
 
 def extended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    """The batch with columns put after it; those of the same name are replaced."""
-    keep = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n not in columns]
-    pairs = keep + list(columns.items())
+    """The batch with columns put after it; those of the same name are replaced in their place."""
+    pairs = [(n, columns.pop(n, batch.column(i))) for i, n in enumerate(batch.schema.names)] + list(columns.items())
     return pa.RecordBatch.from_arrays([a for _, a in pairs], names=[n for n, _ in pairs])

@@ -19,7 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = 0x9E3779B97F4A7C15
 _WORD_STEP = np.uint64(0xD1342543DE82EF95)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
