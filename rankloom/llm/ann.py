@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 PROJECTIONS = 32
 THRESHOLD = 22
@@ -156,7 +156,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     near, apart = index.search(own, wanted[i], k)
                     yield pa.RecordBatch.from_arrays([pa.array([own] * len(near), pa.int64()), pa.array(near, pa.int64()), pa.array(apart, pa.float64())], names=["query_id", "vec_id", "score"])
 
-        parts.append(base.mapInArrow(run, "query_id long, vec_id long, score double"))
+        parts.append(base.mapInArrow(lean(run), "query_id long, vec_id long, score double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0]

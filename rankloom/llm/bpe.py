@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, table, with_fields
+from .common import extended, lean, table, with_fields
 
 #: Bytes of a leaf, and those that a window takes of either side at first.
 LEAF = 4096
@@ -141,7 +141,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
                 own = [np.array(encode(x.as_py() or ""), "<u4").tobytes() for x in column.slice(at, 512)]
                 yield extended(batch.slice(at, 512), ids=pa.array(own, pa.binary()))
 
-    return docs.mapInArrow(run, with_fields(docs.schema, ("ids", "binary")))
+    return docs.mapInArrow(lean(run), with_fields(docs.schema, ("ids", "binary")))
 
 
 def decoded(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -156,7 +156,7 @@ def decoded(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern:
                 own = [decode(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in column.slice(at, 512)]
                 yield extended(batch.slice(at, 512), decoded=pa.array(own, pa.binary()))
 
-    return rows.mapInArrow(run, with_fields(rows.schema, ("decoded", "binary")))
+    return rows.mapInArrow(lean(run), with_fields(rows.schema, ("decoded", "binary")))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
 #: Texts are handed to numpy in slices of at most so many bytes (or one text), whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 20
 
+#: Rows of an Arrow batch where the session leaves Spark's default: ten thousand whole documents are too many to hold
+#: in both the JVM and a Python worker.
+BATCH_ROWS = 1000
+
 _own_dirs: dict[str, str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> None:
+    """Makes a session fit for the operators: the package on executors, batches of a bounded number of documents."""
     ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,12 +55,37 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
-    ship(spark)
+    prepared(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and whole rows in ``__row``: what an operator adds can't clash with a column of the rows."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for mapInArrow; when a task ends, its worker gives freed memory back, as workers live on idle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _trim()
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of jobs whose results are written; it does so when the driver's JVM collects."""
     gc.collect()
@@ -63,7 +102,7 @@ def squeezed(rows: DataFrame, text: str = "text") -> DataFrame:
                 own = batch.slice(low, 1024)
                 yield extended(own, **{text: pa.array([pack(x.as_py().encode()) if x.is_valid else None for x in own.column(text)], pa.binary())})
 
-    return rows.mapInArrow(run, with_fields(rows.schema, (text, "binary")))
+    return rows.mapInArrow(lean(run), with_fields(rows.schema, (text, "binary")))
 
 
 def expanded(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import expanded, slices, squeezed, table, written
+from .common import expanded, lean, slices, squeezed, table, written
 from .shingles import shingle_sets, signatures
 
 TREES = 16
@@ -64,7 +64,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_key", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, sig array<int>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([own.column("id"), own.column("family"), pa.array(found, pa.binary())], names=["id", "family", "set"])
 
     packed = squeezed(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null"))
-    return packed.join(ids.select("id", "family"), "id").mapInArrow(sets, "id long, family long, set binary")
+    return packed.join(ids.select("id", "family"), "id").mapInArrow(lean(sets), "id long, family long, set binary")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _linked_signatures(groups: DataFrame, similarity: int) -> DataFrame:
                 right += [int(ids[j]) for _, j in forest.links]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return groups.select("members").mapInArrow(run, "a long, b long")
+    return groups.select("members").mapInArrow(lean(run), "a long, b long")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -286,3 +286,15 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     judged = near_duplicates(docs.select("doc_id", "text"))
     gone = judged.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti").select(*docs.columns)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i:i + 3], ' '))) AS s FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""

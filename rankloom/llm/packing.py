@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, written
 
 SEQUENCE = 2048
 OPEN_WINDOWS = 64
-MERGE = 32
+MERGE = 8
 END_ID = 1
 #: Words longer than this aren't remembered; the memory is emptied beyond so many words.
-LONG_WORD, MEMORY_WORDS = 48, 600_000
+LONG_WORD, MEMORY_WORDS = 48, 300_000
 #: Marks that may follow a plain word; a run of them is split from the word and encoded by itself.
 MARKS = ".,;:!?"
 #: Characters at which str.split() cuts although the tokenizer does not take them for white space.
@@ -94,6 +94,10 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
+    def forget(self) -> None:
+        """Empties the memory: a worker that lives on idle should be small."""
+        self.known, self.tails = {}, {"": b""}
+
     def _slowly(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
@@ -119,8 +123,7 @@ class WordTokenizer:
         new = set(words).difference(self.known)
         if new:
             if len(self.known) + len(self.tails) > MEMORY_WORDS:
-                self.known.clear()
-                self.tails = {"": b""}
+                self.forget()
                 new = set(words)
             self._learn(list(new))
         ids = b"".join(map(self.known.__getitem__, words))
@@ -242,6 +245,7 @@ def packed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             for number, pieces in packer.left():
                 for row in _rows((part << 32) + number, pieces):
                     yield row, True
+            encode.forget()
 
         stream = stream()
         first = next(stream, None)
@@ -251,7 +255,7 @@ def packed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 yield from stream
             yield from _flushes(schema[0], part // merge, again())
 
-    pieces = written(source.mapInArrow(pack, f"{keep_ddl}, {PIECE_DDL}, __left boolean, __group long"), "pieces")
+    pieces = written(source.mapInArrow(lean(pack), f"{keep_ddl}, {PIECE_DDL}, __left boolean, __group long"), "pieces")
 
     def join_up(batch: pa.Table) -> pa.Table:
         """Lays the left-over pieces of a group end to end; sequences keep the numbers of the windows that they use up."""

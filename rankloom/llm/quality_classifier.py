@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, table, with_fields
+from .common import boxed, extended, lean, table, with_fields
 
 BLOCK = 2048
 SAMPLE = 1500
@@ -145,7 +145,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``score`` (probability of label 1) and ``predicted``."""
+    """Adds ``score`` (probability of label 1) and ``predicted``; columns of these names are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer().score
@@ -153,7 +153,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [score(x.as_py()) for x in batch.column(text)]
             yield extended(batch, score=pa.array(found, pa.float64()), predicted=pa.array([int(x >= THRESHOLD) for x in found], pa.int32()))
 
-    return docs.mapInArrow(run, with_fields(docs.schema, ("score", "double"), ("predicted", "int")))
+    return docs.mapInArrow(lean(run), with_fields(docs.schema, ("score", "double"), ("predicted", "int")))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,5 +165,4 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents predicted to be good."""
     model = trained(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return scored(docs, model).where("predicted = 1").select(*names)
+    return scored(boxed(docs, "text"), model).where("predicted = 1").select("__row.*")

@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, slices, table, with_fields, written
+from .common import boxed, expanded, extended, lean, release, slices, squeezed, table, with_fields, written
 from .shingles import _up_to, mixed
 from .suffix_array import common_prefixes, suffix_array
 
@@ -41,7 +41,7 @@ GRAM = 20
 #: Documents that share an anchor beyond which its windows are dealt one by one.
 HOT = 20_000
 #: Anchors that a partition of the first exchange, and bytes that a shard of the second, should hold.
-PART_ANCHORS, SHARD_BYTES = 2_000_000, 5_000_000
+PART_ANCHORS, SHARD_BYTES = 1_200_000, 1_500_000
 #: One anchor in so many bytes, roughly, and bytes of a segment; only to size partitions.
 ANCHOR_EVERY, SEGMENT_BYTES = 16, 64
 
@@ -99,119 +99,179 @@ def anchored(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[first], first, past, least[first]
 
 
+def _packed48(anchors: np.ndarray) -> bytes:
+    """Six bytes each: the upper four of all, then the lower two of all."""
+    return (anchors >> _U16).astype("<u4").tobytes() + (anchors & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def _unpacked48(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, "<u4", n).astype(np.uint64) << _U16) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start, and the end."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.append(np.flatnonzero(new), len(new))
+
+
 def _anchors(n_parts: int):
     """Distinct anchors of each document, packed by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in slices(batch.column("text")):
-                ids, keys, data, starts = _rows(batch, low, high)
+                _, keys, data, starts = _rows(batch, low, high)
                 row, _, _, anchor = anchored(data, starts)
                 if not len(row):
                     continue
-                order = np.lexsort((row, anchor))
-                row, anchor = row[order], anchor[order]
-                once = np.ones(len(row), bool)
-                once[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
-                row, anchor = row[once], anchor[once]
                 part = (anchor % np.uint64(n_parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
+                order = np.lexsort((anchor, row, part))
                 row, anchor, part = row[order], anchor[order], part[order]
-                at = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-                out = []
+                once = _starts(part, row, anchor)[:-1]
+                row, anchor, part = row[once], anchor[once], part[once]
+                at, out = _starts(part), []
                 for a, b in zip(at[:-1], at[1:], strict=True):
-                    own, place = np.unique(row[a:b], return_inverse=True)
-                    out.append((int(part[a]), anchor[a:b].astype("<u8").tobytes(), place.astype("<u4").tobytes(), ids[own].tobytes(), keys[own].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["part", "anchors", "places", "ids", "rows"])
+                    own = _starts(row[a:b])
+                    some = row[a:b][own[:-1]]
+                    out.append((int(part[a]), _packed48(anchor[a:b]), np.diff(own).astype("<i4").tobytes(), keys[some].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["part", "anchors", "counts", "rows"])
 
     return run
 
 
-def _joined(column: pa.ChunkedArray | pa.Array, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in column]
+#: Values of documents, packed by bucket of documents.
+_DEALT = "bucket long, ids binary, rows binary, counts binary, values binary"
+
 
+def _to_documents(ids: np.ndarray, keys: np.ndarray, values: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Rows of _DEALT from a value (64 bits) with its document's id and row key each."""
+    bucket = (mixed(keys.view(np.uint64) ^ ids.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.lexsort((values, keys, ids, bucket))
+    ids, keys, values, bucket = ids[order], keys[order], values[order], bucket[order]
+    pack, at, out = zstandard.ZstdCompressor(level=1).compress, _starts(bucket), []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        own = _starts(ids[a:b], keys[a:b])
+        out.append((int(bucket[a]), ids[a:b][own[:-1]].tobytes(), keys[a:b][own[:-1]].tobytes(), np.diff(own).astype("<i4").tobytes(), pack(values[a:b].tobytes())))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["bucket", "ids", "rows", "counts", "values"])
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document its anchors that another document has; of those, the ones that very many have, apart."""
-    anchors, ids, keys = [], [], []
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, row, values): one row a document, its values in ascending order."""
+    unpack, held = zstandard.ZstdDecompressor().decompress, ([], [], [])
     for batch in batches:
-        for a, place, i, k in zip(_joined(batch.column("anchors"), "<u8"), _joined(batch.column("places"), "<u4"), _joined(batch.column("ids"), "<i8"), _joined(batch.column("rows"), "<i8"), strict=True):
-            anchors.append(a)
-            ids.append(i[place])
-            keys.append(k[place])
-    if not anchors:
+        for i, k, n, v in zip(*(batch.column(c) for c in ("ids", "rows", "counts", "values")), strict=True):
+            counts = np.frombuffer(n.as_py(), "<i4")
+            held[0].append(np.repeat(np.frombuffer(i.as_py(), "<i8"), counts))
+            held[1].append(np.repeat(np.frombuffer(k.as_py(), "<i8"), counts))
+            held[2].append(np.frombuffer(unpack(v.as_py()), "<u8"))
+    if not held[0]:
         return
-    anchor, own, key = np.concatenate(anchors), np.concatenate(ids), np.concatenate(keys)
-    del anchors, ids, keys
-    order = np.argsort(anchor)
-    anchor, own, key = anchor[order], own[order], key[order]
-    at = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    count = np.diff(np.append(at, len(anchor)))
-    apart = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
-    keep, hot = np.repeat(apart, count), np.repeat(count > HOT, count)
-    anchor, own, key, hot = anchor[keep], own[keep], key[keep], hot[keep]
-    order = np.lexsort((key, own))
-    anchor, own, key, hot = anchor[order], own[order], key[order], hot[order]
-    at = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))) if len(own) else []
-    end = np.append(at[1:], len(own)) if len(at) else []
-    for low in range(0, len(at), 4096):
-        pairs = list(zip(at[low : low + 4096], end[low : low + 4096], strict=True))
+    ids, keys, values = (np.concatenate(x) for x in held)
+    order = np.lexsort((values, keys, ids))
+    ids, keys, values = ids[order], keys[order], values[order]
+    at = _starts(ids, keys)
+    for low in range(0, len(at) - 1, 2048):
+        own = at[low : low + 2049]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([int(own[a]) for a, _ in pairs], pa.int64()),
-                pa.array([int(key[a]) for a, _ in pairs], pa.int64()),
-                pa.array([anchor[a:b].tobytes() for a, b in pairs], pa.binary()),
-                pa.array([anchor[a:b][hot[a:b]].tobytes() for a, b in pairs], pa.binary()),
-            ],
-            names=["id", "row", "shared", "hot"],
+            [pa.array(ids[own[:-1]]), pa.array(keys[own[:-1]]), pa.array([values[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())],
+            names=["id", "row", "values"],
         )
 
 
-def _marked(column: pa.Array, row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Whether each (row, anchor) is in the row's list of packed anchors."""
-    lists = [np.frombuffer(b"".join(p.as_py() for p in x.values), "<u8") if x.is_valid else np.empty(0, np.uint64) for x in column]
-    known = np.sort(np.concatenate([x | (np.uint64(i) << np.uint64(48)) for i, x in enumerate(lists)])) if lists else np.empty(0, np.uint64)
-    if not len(known):
-        return np.zeros(len(row), bool)
+def _shared(n_buckets: int):
+    """Anchors that another row has, to their rows; bit 63 marks those that very many have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, keys = [], []
+        for batch in batches:
+            for a, n, k in zip(*(batch.column(c) for c in ("anchors", "counts", "rows")), strict=True):
+                anchors.append(_unpacked48(a.as_py()))
+                keys.append(np.repeat(np.frombuffer(k.as_py(), "<i8"), np.frombuffer(n.as_py(), "<i4")))
+        if not anchors:
+            return
+        anchor, key = np.concatenate(anchors), np.concatenate(keys)
+        del anchors, keys
+        order = np.argsort(anchor)
+        anchor, key = anchor[order], key[order]
+        at = _starts(anchor)
+        count, at = np.diff(at), at[:-1]
+        apart = np.minimum.reduceat(key, at) != np.maximum.reduceat(key, at)
+        keep, hot = np.repeat(apart, count), np.repeat(count > HOT, count)
+        anchor, key = anchor[keep] | (hot[keep].astype(np.uint64) << np.uint64(63)), key[keep]
+        if len(key):
+            yield _to_documents(np.zeros(len(key), np.int64), key, anchor, n_buckets)
+
+    return run
+
+
+def _marked(column: pa.Array, row: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each (row, anchor) is in the row's list of packed anchors, and whether it is marked there as hot."""
+    lists = [np.frombuffer(x.as_py(), "<u8") for x in column]
+    every = np.concatenate(lists)
+    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.uint64) << np.uint64(48)
+    known, hot = (every & np.uint64((1 << 48) - 1)) | of, every >> np.uint64(63) > 0
+    order = np.argsort(known)
+    known, hot = known[order], hot[order]
     asked = anchor | (row.astype(np.uint64) << np.uint64(48))
     at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-    return known[at] == asked
+    found = known[at] == asked
+    return found, found & hot[at]
+
+
+#: Bytes of segments that a task gathers before it sends them on; longer parts compress better.
+SEND_BYTES = 10 << 20
 
 
 def _segments(n_shards: int):
     """Segments of windows with shared anchors, packed by shard."""
 
+    def sent(held: dict[int, list[tuple]]) -> pa.RecordBatch:
+        pack, out = zstandard.ZstdCompressor(level=3).compress, []
+        for shard in sorted(held):
+            ids, keys, counts, starts, sizes, cut = zip(*held[shard], strict=True)
+            join = lambda parts: np.concatenate(parts).tobytes()
+            out.append((shard, join(ids), join(keys), join(counts), pack(join(starts)), pack(join(sizes)), pack(b"".join(cut))))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["shard", "ids", "rows", "counts", "starts", "sizes", "bytes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held, size = {}, 0
+        for batch in expanded(batches):
             for low, high in slices(batch.column("text")):
-                for low_ in range(low, high, 32_768):  # rows are numbered with 16 bits
-                    own = batch.slice(low_, min(high - low_, 32_768))
-                    ids, keys, data, starts = _rows(own, 0, own.num_rows)
-                    row, first, past, anchor = anchored(data, starts)
-                    if not len(row):
-                        continue
-                    keep = _marked(own.column("shared"), row, anchor)
-                    row, first, past, anchor = row[keep], first[keep], past[keep], anchor[keep]
-                    if not len(row):
-                        continue
-                    shard = anchor % np.uint64(n_shards)
-                    hot = _marked(own.column("hot"), row, anchor)
-                    if hot.any():
-                        sums, width = _sums(data), (past - first)[hot]
-                        each = np.repeat(first[hot], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-                        row, first, past = np.concatenate([row[~hot], np.repeat(row[hot], width)]), np.concatenate([first[~hot], each]), np.concatenate([past[~hot], each + 1])
-                        shard = np.concatenate([shard[~hot], _hashes(sums, each, LENGTH) % np.uint64(n_shards)])
-                    shard = shard.astype(np.int64)
-                    order = np.argsort(shard, kind="stable")
-                    row, first, past, shard = row[order], first[order], past[order], shard[order]
-                    at = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
-                    whole, out = data.tobytes(), []
-                    for a, b in zip(at[:-1], at[1:], strict=True):
-                        out.append((
-                            int(shard[a]), ids[row[a:b]].tobytes(), keys[row[a:b]].tobytes(), (first - starts[row])[a:b].astype("<i8").tobytes(),
-                            (past - first + LENGTH - 1)[a:b].astype("<i4").tobytes(), b"".join([whole[i : j + LENGTH - 1] for i, j in zip(first[a:b].tolist(), past[a:b].tolist(), strict=True)]),
-                        ))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["shard", "ids", "rows", "starts", "sizes", "bytes"])
+                own = batch.slice(low, high - low)
+                ids, keys, data, starts = _rows(own, 0, own.num_rows)
+                row, first, past, anchor = anchored(data, starts)
+                if not len(row):
+                    continue
+                keep, hot = _marked(own.column("values"), row, anchor)
+                row, first, past, anchor, hot = row[keep], first[keep], past[keep], anchor[keep], hot[keep]
+                shard = anchor % np.uint64(n_shards)
+                if hot.any():
+                    sums, width = _sums(data), (past - first)[hot]
+                    each = np.repeat(first[hot], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+                    row, first, past = np.concatenate([row[~hot], np.repeat(row[hot], width)]), np.concatenate([first[~hot], each]), np.concatenate([past[~hot], each + 1])
+                    shard = np.concatenate([shard[~hot], _hashes(sums, each, LENGTH) % np.uint64(n_shards)])
+                if not len(row):
+                    continue
+                shard = shard.astype(np.int64)
+                order = np.lexsort((first, row, shard))
+                row, first, past, shard = row[order], first[order], past[order], shard[order]
+                at, whole = _starts(shard), data.tobytes()
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    docs = _starts(row[a:b])
+                    some = row[a:b][docs[:-1]]
+                    cut = b"".join([whole[i : j + LENGTH - 1] for i, j in zip(first[a:b].tolist(), past[a:b].tolist(), strict=True)])
+                    held.setdefault(int(shard[a]), []).append((
+                        ids[some], keys[some], np.diff(docs).astype("<i4"), (first - starts[row])[a:b].astype("<i8"), (past - first + LENGTH - 1)[a:b].astype("<i4"), cut,
+                    ))
+                    size += len(cut)
+                if size >= SEND_BYTES:
+                    yield sent(held)
+                    size = 0
+        if held:
+            yield sent(held)
 
     return run
 
@@ -228,15 +288,17 @@ def owned(ids: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndar
     # Distinct segments, each followed by a zero byte, which ends no window.
     size = sizes[some].astype(np.int64)
     to = np.cumsum(size + 1) - size - 1
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     text = np.zeros(int((size + 1).sum()), np.uint8)
-    text[np.repeat(to, size) + inner] = data[np.repeat(begins[some], size) + inner]
+    inside = np.ones(len(text), bool)
+    inside[to + size] = False
+    text[inside] = data[np.repeat((begins[some] - np.cumsum(size) + size).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)]
+    del inside, sums
     suffixes = suffix_array(text)
     agree = common_prefixes(text, suffixes, LENGTH)
-    segment = np.repeat(np.arange(len(some)), size + 1)
+    segment = np.repeat(np.arange(len(some), dtype=np.int32), size + 1)
     window = np.zeros(len(text), bool)
     counts = size - LENGTH + 1
-    windows_at = np.repeat(to, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    windows_at = np.repeat((to - np.cumsum(counts) + counts).astype(np.int32), counts) + np.arange(counts.sum(), dtype=np.int32)
     window[windows_at] = True
     # Suffixes that start no window keep their places, so that runs are cut where the common prefix is.
     owner = np.where(window[suffixes], least[segment[suffixes]], _LARGEST)
@@ -246,57 +308,53 @@ def owned(ids: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndar
     best[suffixes] = np.repeat(np.minimum.reduceat(owner, heads), runs)
     # Back from distinct segments to all.
     n = (sizes - LENGTH + 1).astype(np.int64)
-    of = np.repeat(np.arange(len(sizes)), n)
-    place = np.repeat(to[kind], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), n)
+    place = np.repeat(to[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())
     return of, best[place] < ids[of]
 
 
-def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of bytes that go, packed by document."""
-    held: dict[int, list[list]] = {}
-    for batch in batches:
-        for i in range(batch.num_rows):
-            own = held.setdefault(batch.column("shard")[i].as_py(), [[], [], [], [], []])
-            for k, (name, kind) in enumerate((("ids", "<i8"), ("rows", "<i8"), ("starts", "<i8"), ("sizes", "<i4"), ("bytes", "u1"))):
-                own[k].append(np.frombuffer(batch.column(name)[i].as_buffer(), kind).copy())
-    for shard in sorted(held):
-        ids, keys, starts, sizes, data = (np.concatenate(x) for x in held.pop(shard))
-        of, gone = owned(ids, sizes, data)
-        n = (sizes - LENGTH + 1).astype(np.int64)
-        inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        of, inner = of[gone], inner[gone]
-        if not len(of):
-            continue
-        new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (inner[1:] != inner[:-1] + 1)
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(of)) - 1
-        own, low, high = of[head], starts[of[head]] + inner[head], starts[of[head]] + inner[tail] + LENGTH
-        order = np.lexsort((low, keys[own], ids[own]))
-        own, low, high = own[order], low[order], high[order]
-        at = np.append(np.flatnonzero(np.append(True, (ids[own][1:] != ids[own][:-1]) | (keys[own][1:] != keys[own][:-1]))), len(own))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids[own[at[:-1]]], pa.int64()),
-                pa.array(keys[own[at[:-1]]], pa.int64()),
-                pa.array([low[a:b].astype("<i8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-                pa.array([high[a:b].astype("<i8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-            ],
-            names=["id", "row", "lows", "highs"],
-        )
+def _removals(n_buckets: int):
+    """Ranges of bytes that go, to their documents: the start in the upper, the size in the lower half of a value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list]] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = held.setdefault(batch.column("shard")[i].as_py(), [[], [], [], [], []])
+                counts = np.frombuffer(batch.column("counts")[i].as_py(), "<i4")
+                for k, name in enumerate(("ids", "rows")):
+                    own[k].append(np.repeat(np.frombuffer(batch.column(name)[i].as_py(), "<i8"), counts))
+                for k, (name, kind) in enumerate((("starts", "<i8"), ("sizes", "<i4"), ("bytes", "u1")), 2):
+                    own[k].append(np.frombuffer(unpack(batch.column(name)[i].as_py()), kind))
+        for shard in sorted(held):
+            ids, keys, starts, sizes, data = (np.concatenate(x) for x in held.pop(shard))
+            of, gone = owned(ids, sizes, data)
+            n = (sizes - LENGTH + 1).astype(np.int64)
+            inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            of, inner = of[gone], inner[gone]
+            if not len(of):
+                continue
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (inner[1:] != inner[:-1] + 1)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(of)) - 1
+            own, low, size = of[head], starts[of[head]] + inner[head], inner[tail] - inner[head] + LENGTH
+            yield _to_documents(ids[own], keys[own], (low.astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64), n_buckets)
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds what is left of each text, and what was cut."""
-    for batch in batches:
-        left, removed, spans, total = [], [], [], []
-        for text, lows, highs in zip(batch.column("text"), batch.column("lows"), batch.column("highs"), strict=True):
+    """Adds what is left of each text, and what was cut; ``read`` is what is left as a string, null for a null text."""
+    for batch in expanded(batches):
+        left, removed, spans, total, read = [], [], [], [], []
+        for text, ranges in zip(batch.column("text"), batch.column("values"), strict=True):
             data, at, out, cut = (text.as_py() or "").encode(), 0, [], []
-            if lows.is_valid:
-                low = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in lows.values])
-                high = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in highs.values])
-                order = np.argsort(low)
-                for a, b in zip(low[order].tolist(), high[order].tolist(), strict=True):
+            if ranges.is_valid:
+                packed = np.frombuffer(ranges.as_py(), "<u8")
+                low, size = packed >> np.uint64(32), packed & np.uint64(0xFFFFFFFF)
+                for a, b in zip(low.tolist(), (low + size).tolist(), strict=True):
                     if cut and a <= cut[-1][1]:
                         cut[-1][1] = max(cut[-1][1], b)
                     else:
@@ -306,33 +364,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = b
             out.append(data[at:])
             left.append(b"".join(out))
+            read.append(left[-1].decode(errors="ignore") if text.is_valid else None)
             total.append(len(data))
             removed.append(sum(b - a for a, b in cut))
             spans.append(len(cut))
-        yield extended(batch.drop_columns(["lows", "highs"]), n_bytes=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), left=pa.array(left, pa.binary()))
+        yield extended(batch.drop_columns(["values"]), n_bytes=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), left=pa.array(left, pa.binary()), read=pa.array(read, pa.string()))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans and ``left`` (the bytes that stay) to rows with doc_id and text."""
+    """Adds n_bytes, n_removed, n_spans, ``left`` (the bytes that stay) and ``read`` (their whole characters) to rows with
+    doc_id and text."""
     names = docs.columns
-    rows = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST))).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST))).withColumn("row", F.xxhash64("id", F.coalesce("text", F.lit(""))))
     texts = rows.select("id", "row", F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = max(1, -(-size // (ANCHOR_EVERY * PART_ANCHORS)))
-    n_parts = max(n_parts, min(12, size // 1_000_000 + 1))
-    packed = texts.mapInArrow(_anchors(n_parts), "part long, anchors binary, places binary, ids binary, rows binary")
-    shared = written(packed.repartition(n_parts, "part").mapInArrow(_shared, "id long, row long, shared binary, hot binary"), "shared")
-    n_shared = shared.agg(F.sum(F.octet_length("shared") / 8)).first()[0] or 0
-    n_shards = max(1, int(n_shared * SEGMENT_BYTES // SHARD_BYTES) + 1)
-    n_shards = max(n_shards, min(12, size // 1_000_000 + 1))
-    by_row = shared.groupBy("id", "row").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
-    segments = texts.join(by_row, ["id", "row"]).mapInArrow(_segments(n_shards), "shard long, ids binary, rows binary, starts binary, sizes binary, bytes binary")
-    ranges = segments.repartition(n_shards, "shard").mapInArrow(_removals, "id long, row long, lows binary, highs binary")
-    ranges = ranges.groupBy("id", "row").agg(F.collect_list(F.struct("lows", "highs")).alias("r"))
-    ranges = written(ranges.select("id", "row", F.col("r.lows").alias("lows"), F.col("r.highs").alias("highs")), "ranges")
-    joined = rows.join(ranges, ["id", "row"], "left").drop("id", "row")
-    fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("left", "binary")]
-    return joined.mapInArrow(_cut, with_fields(docs.select(*names).schema, *fields))
+    n_parts = max(-(-size // (ANCHOR_EVERY * PART_ANCHORS)), min(12, size // 1_000_000 + 1))
+    packed = texts.mapInArrow(lean(_anchors(n_parts)), "part long, anchors binary, counts binary, rows binary")
+    dealt = packed.repartitionById(n_parts, F.col("part").cast("int")).mapInArrow(lean(_shared(n_parts)), _DEALT)
+    shared = written(dealt.repartitionById(n_parts, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "shared")
+    release(docs.sparkSession)
+    n_shared = shared.agg(F.sum(F.octet_length("values") / 8)).first()[0] or 0
+    n_shards = max(int(n_shared * SEGMENT_BYTES // SHARD_BYTES) + 1, min(12, size // 1_000_000 + 1))
+    segments = squeezed(texts).join(shared.select("row", "values"), "row").mapInArrow(lean(_segments(n_shards)), "shard long, ids binary, rows binary, counts binary, starts binary, sizes binary, bytes binary")
+    dealt = segments.repartitionById(n_shards, F.col("shard").cast("int")).mapInArrow(lean(_removals(n_parts)), _DEALT)
+    ranges = written(dealt.repartitionById(n_parts, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "ranges")
+    release(docs.sparkSession)
+    joined = squeezed(rows).join(ranges, ["id", "row"], "left").drop("id", "row")
+    fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("left", "binary"), ("read", "string")]
+    return joined.mapInArrow(lean(_cut), with_fields(docs.select(*names).schema, *fields))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,6 +401,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; of a character that a cut splits, the rest goes too. All documents stay."""
-    done = deduplicated(docs)
-    text = F.when(F.col("n_removed") > 0, F.expr("decode(left, 'UTF-8')")).otherwise(F.col("text"))
-    return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    done = deduplicated(boxed(docs, "doc_id", "text"))
+    new = {"text": F.col("read"), "n_chars": F.length("read").cast("long")}
+    return done.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
