@@ -6,8 +6,8 @@ length is the number of slots, not of records. Rebalancing edits the map: a new
 moves, and an overfull shard gives away as few slots as it can.
 
 Law ``bytes``: shards hold nearly equal sums of record sizes. Defined results: a null text counts as empty (size 16,
-crc 0); records with a null key are hashed by their text; repeated rows are numbered like any others (equal rows share
-a virtual slot); an empty table gives an empty result.
+crc 0); records are hashed by key and text, so that a key of many records spreads over slots; repeated rows are numbered
+like any others (rows equal in both share a virtual slot); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def hashed(records: DataFrame, key: str, text: str, n_slots: int = N_SLOTS) -> D
     return (
         records.withColumn("size", (F.octet_length(whole) + RECORD_OVERHEAD).cast("long"))
         .withColumn("text_crc32", F.crc32(whole.cast("binary")))
-        .withColumn("virtual_slot", F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), whole)), F.lit(n_slots)).cast("int"))
+        .withColumn("virtual_slot", F.pmod(F.xxhash64(F.col(key), whole), F.lit(n_slots)).cast("int"))
     )
 
 
@@ -124,7 +124,8 @@ def sharded(slotted: DataFrame, slot_map: SlotMap, slot_rows: dict[int, int], or
     """Adds ``shard`` and ``slot``, the place of a record in its shard (gapless from 0).
 
     Records are numbered inside their virtual slot, of which there are thousands, and the slots of a shard follow each
-    other; no task sees a whole shard. The map is broadcast: it has one row for each virtual slot.
+    other; no task sees a whole shard. The map is broadcast: it has one row for each virtual slot. Columns of these
+    names are replaced.
     """
     spark, filled, rows = slotted.sparkSession, [0] * slot_map.n_shards, []
     for slot, shard in enumerate(slot_map.shard_of):
@@ -132,6 +133,7 @@ def sharded(slotted: DataFrame, slot_map: SlotMap, slot_rows: dict[int, int], or
         filled[shard] += slot_rows.get(slot, 0)
     places = spark.createDataFrame(rows, "virtual_slot int, shard int, base long")
     own = Window.partitionBy("virtual_slot").orderBy(*order)
+    slotted = slotted.drop("shard", "slot", "base")
     numbered = slotted.withColumn("__n", F.row_number().over(own) - 1)
     return numbered.join(F.broadcast(places), "virtual_slot").withColumn("slot", F.col("base") + F.col("__n")).drop("base", "__n")
 

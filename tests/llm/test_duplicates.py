@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from rankloom.llm import minhash, shingles, suffix_array, suffix_dedup
+from rankloom.llm import minhash, quality_classifier, quality_rules, shingles, suffix_array, suffix_dedup
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -191,3 +191,17 @@ def test_pipeline_stages(spark):
     assert sum(labels.get(d) == 0 for d in after) <= 2
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(after)
+
+
+def test_stages_keep_clashing_columns(spark, monkeypatch):
+    text = " ".join(f"plain{i} word" for i in range(60)) + ".\nsecond line\nthird line"
+    extra = "score string, votes string, n_words string, left string, row string, id string, __p string"
+    docs = spark.createDataFrame([(i, f"{text} {i}", "en", "s", 1, *"abcdefg") for i in range(3)] + [(None, None, None, None, None, *"abcdefg")], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality_classifier, "table", lambda *_: labels)
+    monkeypatch.setattr(quality_classifier, "THRESHOLD", 0.5)
+    for stage in (quality_classifier.stage_quality, quality_rules.stage_rules, minhash.stage_near_duplicates, suffix_dedup.stage_passages):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all((r.score, r.votes, r.left, r.row, r.id) == ("a", "b", "d", "e", "f") for r in rows)
