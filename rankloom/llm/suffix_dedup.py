@@ -15,6 +15,9 @@ to shards by content:
    smaller document than their own are returned as ranges of bytes.
 4. Ranges of a document are united and cut out of its bytes.
 
+Exact copies need none of this: all windows of a copy start in the first of its kind too, so it goes whole (if it has a
+window), and only the first sends segments. Copies are found by a digest of the text, counted before it is shuffled.
+
 Steps 1 and 3 only narrow down what is compared; the suffix arrays alone decide. Anchors are cut to 48 bits, where a
 chance hit only sends a segment to a shard in vain. Equal segments are recognised by 64-bit hash and length.
 
@@ -349,9 +352,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds what is left of each text, and what was cut; ``read`` is what is left as a string, null for a null text."""
     for batch in expanded(batches):
         left, removed, spans, total, read = [], [], [], [], []
-        for text, ranges in zip(batch.column("text"), batch.column("values"), strict=True):
+        for text, ranges, copy in zip(batch.column("text"), batch.column("values"), batch.column("copy"), strict=True):
             data, at, out, cut = (text.as_py() or "").encode(), 0, [], []
-            if ranges.is_valid:
+            if copy.is_valid:
+                cut = [[0, len(data)]] if len(data) >= LENGTH else []
+            elif ranges.is_valid:
                 packed = np.frombuffer(ranges.as_py(), "<u8")
                 low, size = packed >> np.uint64(32), packed & np.uint64(0xFFFFFFFF)
                 for a, b in zip(low.tolist(), (low + size).tolist(), strict=True):
@@ -368,7 +373,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(len(data))
             removed.append(sum(b - a for a, b in cut))
             spans.append(len(cut))
-        yield extended(batch.drop_columns(["values"]), n_bytes=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), left=pa.array(left, pa.binary()), read=pa.array(read, pa.string()))
+        yield extended(batch.drop_columns(["values", "copy"]), n_bytes=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), left=pa.array(left, pa.binary()), read=pa.array(read, pa.string()))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -377,6 +382,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     names = docs.columns
     rows = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST))).withColumn("row", F.xxhash64("id", F.coalesce("text", F.lit(""))))
     texts = rows.select("id", "row", F.coalesce("text", F.lit("")).alias("text"))
+    digests = texts.select("id", "row", F.md5("text").alias("digest"))
+    first = written(digests.groupBy("digest").agg(F.min("id").alias("first")), "first")
+    copies = written(digests.join(first, "digest").where("id > first").select("id", "row", F.lit(True).alias("copy")).distinct(), "copies")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(-(-size // (ANCHOR_EVERY * PART_ANCHORS)), min(12, size // 1_000_000 + 1))
     packed = texts.mapInArrow(lean(_anchors(n_parts)), "part long, anchors binary, counts binary, rows binary")
@@ -385,11 +393,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     n_shared = shared.agg(F.sum(F.octet_length("values") / 8)).first()[0] or 0
     n_shards = max(int(n_shared * SEGMENT_BYTES // SHARD_BYTES) + 1, min(12, size // 1_000_000 + 1))
-    segments = squeezed(texts).join(shared.select("row", "values"), "row").mapInArrow(lean(_segments(n_shards)), "shard long, ids binary, rows binary, counts binary, starts binary, sizes binary, bytes binary")
+    segments = squeezed(texts).join(shared.select("row", "values").join(copies, "row", "left_anti"), "row").mapInArrow(lean(_segments(n_shards)), "shard long, ids binary, rows binary, counts binary, starts binary, sizes binary, bytes binary")
     dealt = segments.repartitionById(n_shards, F.col("shard").cast("int")).mapInArrow(lean(_removals(n_parts)), _DEALT)
     ranges = written(dealt.repartitionById(n_parts, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "ranges")
     release(docs.sparkSession)
-    joined = squeezed(rows).join(ranges, ["id", "row"], "left").drop("id", "row")
+    joined = squeezed(rows).join(ranges, ["id", "row"], "left").join(copies, ["id", "row"], "left").drop("id", "row")
     fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("left", "binary"), ("read", "string")]
     return joined.mapInArrow(lean(_cut), with_fields(docs.select(*names).schema, *fields))
 
