@@ -35,15 +35,24 @@ OPEN_WINDOWS = 64
 MERGE = 8
 END_ID = 1
 #: Words longer than this aren't remembered; the memory is emptied beyond so many words.
-LONG_WORD, MEMORY_WORDS = 48, 300_000
-#: Marks that may follow a plain word; a run of them is split from the word and encoded by itself.
-MARKS = ".,;:!?"
+LONG_WORD, MEMORY_WORDS = 48, 400_000
+#: Marks that may follow a plain word, and how many runs of them are remembered.
+MARKS, MEMORY_TAILS = ".,;:!?", 10_000
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 #: Characters at which str.split() cuts although the tokenizer does not take them for white space.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 PIECE_DDL = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def _is_latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Merges:
     """The merges of a byte-level BPE vocabulary with word ends, run on one lower-case word at a time.
 
@@ -54,7 +63,7 @@ class Merges:
     END = b"\xff"
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.encode = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.encode = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     @classmethod
     def of(cls, path: str) -> Merges | None:
@@ -81,7 +90,7 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space: words between white space are encoded once and remembered.
 
     None of the tokenizer's steps (composition, lower case, splitting, merges with word ends) looks over white space,
-    so the ids of a text are those of its words. Plain words (Latin-1 letters, then perhaps marks) go through ``Merges``,
+    so the ids of a text are those of its words. Plain words (letters of Latin-1 texts) go through ``Merges``,
     which gives the tokenizer's ids; all others through the tokenizer. Special tokens' strings are ordinary text.
     """
 
@@ -92,43 +101,69 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.merges = Merges.of(path)
         self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
 
     def forget(self) -> None:
         """Empties the memory: a worker that lives on idle should be small."""
-        self.known, self.tails = {}, {"": b""}
+        self.known = {}
 
     def _slowly(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
-    def _learn(self, new: list[str]) -> None:
-        other, known, end = [], self.known, Merges.END
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > MEMORY_TAILS:
+                self.tails = {}
+            self.tails[marks] = self._slowly([marks])[0]
+        return self.tails[marks]
+
+    def _plain(self, word: str) -> bytes:
+        ids = self.merges.encode(word.encode() + Merges.END)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str], plain: bool) -> list[str]:
+        """Remembers the ids of words, and returns those that are to be forgotten after their text.
+
+        plain: they are of a Latin-1 text in lower case. There, a run of marks after a letter or digit is split off,
+        as the tokenizer does, so that only the words before them are remembered.
+        """
+        other, known, brief = [], self.known, []
         for word in new:
-            core = word.rstrip(MARKS)
-            if self.merges is not None and core.isalpha() and max(core) < "\u0100":
-                tail = word[len(core) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self._slowly([tail])[0]
-                ids = self.merges.encode(core.lower().encode() + end)
-                known[word] = struct.pack(f"<{len(ids)}I", *ids) + self.tails[tail]
-            else:
+            if not plain:
                 other.append(word)
+            elif word.isalpha():
+                known[word] = self._plain(word)
+            else:
+                core = word.rstrip(MARKS)
+                if core.isalpha() and len(core) <= LONG_WORD:
+                    if core not in known:
+                        known[core] = self._plain(core)
+                    known[word] = known[core] + self._tail(word[len(core) :])
+                    brief.append(word)
+                else:
+                    other.append(word)
         known.update(zip(other, self._slowly(other), strict=True))
+        return brief
 
     def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as little-endian unsigned 32-bit integers. A Latin-1 text is put in lower case, which changes no id."""
         if any(c in text for c in _ODD_SPACE):
             return self._slowly([text])[0]
-        words = text.split()
-        new = set(words).difference(self.known)
+        plain = self.merges is not None and (text.isascii() or _is_latin1(text))
+        words = (text.lower() if plain else text).split()
+        every = set(words)
+        new = every.difference(self.known)
+        brief: list[str] = []
         if new:
-            if len(self.known) + len(self.tails) > MEMORY_WORDS:
+            if len(self.known) > MEMORY_WORDS:
                 self.forget()
-                new = set(words)
-            self._learn(list(new))
+                new = every
+            brief = self._learn(new, plain)
         ids = b"".join(map(self.known.__getitem__, words))
-        for word in new:
-            if len(word) > LONG_WORD:
+        for word in brief:
+            del self.known[word]
+        if len(text) > LONG_WORD:
+            for word in [w for w in new if len(w) > LONG_WORD and w in self.known]:
                 del self.known[word]
         return ids
 
