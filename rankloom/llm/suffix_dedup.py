@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, expanded, extended, lean, release, slices, squeezed, table, with_fields, written
+from .common import expanded, extended, lean, release, slices, squeezed, table, with_fields, written
 from .shingles import _up_to, mixed
 from .suffix_array import common_prefixes, suffix_array
 
@@ -409,6 +409,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; of a character that a cut splits, the rest goes too. All documents stay."""
-    done = deduplicated(boxed(docs, "doc_id", "text"))
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]  # the text is moved once
+    done = deduplicated(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row")))
     new = {"text": F.col("read"), "n_chars": F.length("read").cast("long")}
-    return done.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    return done.select(*[(new[c] if c in new else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
