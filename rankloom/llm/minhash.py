@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import expanded, lean, slices, squeezed, table, written
+from .common import boxed, expanded, lean, slices, squeezed, table, written
 from .shingles import shingle_sets, signatures
 
 TREES = 16
@@ -282,10 +282,20 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    judged = near_duplicates(docs.select("doc_id", "text"))
+    """One document of each group of near duplicates stays: the one with the smallest id. Rows without an id are each a
+    document of their own, which gets a number above all ids, so that they stay only where no row with an id does."""
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return _first_ones(docs, near_duplicates(docs.select("doc_id", "text")))
+    above = (named.agg(F.max("doc_id").cast("long")).first()[0] or 0) + 1
+    numbered = written(boxed(nameless).select((F.lit(above) + F.monotonically_increasing_id()).alias("doc_id"), "__row"), "numbered")
+    judged = written(near_duplicates(named.select("doc_id", "text").unionByName(numbered.select("doc_id", F.col("__row.text").alias("text")))).where(~F.col("kept")), "judged")
+    return _first_ones(named, judged).unionByName(_first_ones(numbered, judged).select("__row.*"))
+
+
+def _first_ones(docs: DataFrame, judged: DataFrame) -> DataFrame:
     gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti").select(*docs.columns)
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 OP3_SQL = r"""

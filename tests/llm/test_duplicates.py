@@ -86,6 +86,20 @@ def test_near_duplicates_edges(spark):
     assert minhash.stage_near_duplicates(spark, clash, "").columns == clash.columns
 
 
+def test_stage_judges_rows_without_id_one_by_one(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    text = {"named": " ".join(base), "near named": " ".join(base[:-1] + ["x"]), "alone": "nobody else has these words here", "pair": " ".join(other), "near pair": " ".join(other[:-1] + ["y"])}
+    rows = [(-7, text["named"]), (2, text["named"]), (3, "some other words of a row"), *((None, text[k]) for k in ("named", "near named", "alone", "pair", "pair", "near pair")), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "q") for d, t in rows], "doc_id long, text string, __row string").repartition(3)
+    got = minhash.stage_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert {x for x in left if x[0] is not None} == {(-7, text["named"]), (3, "some other words of a row")}
+    assert [t for d, t in left if d is None and t in (text["pair"], text["near pair"])] in ([text["pair"]], [text["near pair"]])
+    assert sorted(str(t) for d, t in left if d is None and t not in (text["pair"], text["near pair"])) == ["None", "None", text["alone"]]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 30)] + [(100, 50), (50, 70), (8, 8)]
     got = {r.id: r.component for r in minhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
