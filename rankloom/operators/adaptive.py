@@ -2,7 +2,7 @@
 
 Runs are independent of each other, and each is one group of a grouped function: rankings and relevance are gathered to
 arrays once, the loop owns the win matrices and the policy's state, and emits a row a round. A run's memory is that of
-the rankings it replays, so the number of queries of a run is bounded (MOST_QUERIES) and larger tables are sampled first.
+the rankings it replays: a run of n rounds gets the first n queries, as it never comes to others.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .rounds import CLICK, SCENARIOS, drafted_any, examination
 
-MOST_QUERIES = 100_000
-
 
 @dataclass
 class Tracker:
@@ -257,14 +255,13 @@ def simulate(queries: list[tuple[str, np.ndarray, dict[str, list[int]]]], arms:
 def adaptive_runs(rankings: DataFrame, docs: DataFrame, runs: list[dict], arms: list[str], n_rounds: int, slate_size: int = 10) -> DataFrame:
     """Rounds of independent runs. runs: dicts of run_id, policy, scenario, seed and the policy's settings.
 
-    rankings: (query_id, arm, ranking); every run gets all of it, once.
+    rankings: (query_id, arm, ranking); every run gets its first ``n_rounds`` queries, by id, once.
     """
     spark = rankings.sparkSession
     per_arm = F.map_from_entries(F.collect_list(F.struct("arm", F.expr("transform(ranking, x -> cast(x as int))").alias("r"))))
     rel = docs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc", "rel"))).alias("d")).select("query_id", F.expr("transform(d, x -> x.rel)").alias("rel"))
     queries = rankings.groupBy("query_id").agg(per_arm.alias("rankings")).join(rel, "query_id")
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"a run replays at most {MOST_QUERIES} queries; sample them first")
+    queries = queries.orderBy("query_id").limit(n_rounds)
     settings = {r["run_id"]: r for r in runs}
     each = spark.createDataFrame([(k,) for k in settings], "run_id string")
 

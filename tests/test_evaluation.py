@@ -154,6 +154,16 @@ def test_runs_repeat_and_uniform_selects_all(spark):
     assert all(len(r.arms) == 4 for r in first if r.run_id == "u") and all(r.regret >= 0 for r in first)
 
 
+def test_runs_take_the_first_queries_of_many(spark):
+    docs = spark.range(100_001).select(F.format_string("%06d", "id").alias("query_id"), F.lit(0).alias("doc"), F.lit(1).alias("rel"))
+    lists = docs.select("query_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("arm"), F.array("doc").alias("ranking"))
+    runs = [{"run_id": "u", "policy": "uniform", "seed": 3}, {"run_id": "m", "policy": "mdb", "seed": 3, "settings": {"n_min": 2}}]
+    few = F.col("query_id") < "000007"
+    got = sorted(adaptive.adaptive_runs(lists, docs, runs, ["a", "b"], 7).collect())
+    assert [r.query_id for r in got if r.run_id == "u"] == [f"{i:06d}" for i in range(7)]
+    assert got == sorted(adaptive.adaptive_runs(lists.where(few), docs.where(few), runs, ["a", "b"], 7).collect())
+
+
 def test_density_clusters():
     near = np.full((9, 9), 0.9)
     for block in (range(0, 4), range(4, 8)):
