@@ -681,7 +681,7 @@ def _(x):
 @query("sample_efficiency", _WON, """SELECT min(r + 1) AS first_round FROM (SELECT r, avg(CASE WHEN w.round IS NULL THEN 0.0 ELSE 1.0 END) OVER (ORDER BY r) AS rate
 FROM (SELECT unnest(range(600)) AS r) LEFT JOIN winners w ON w.round = r AND winner = 'oracle') WHERE rate >= 0.3""")
 def _(x):
-    return stats.sample_efficiency(x.winners.where("winner = 'oracle'"), 600, 0.3)
+    return stats.sample_efficiency(x.winners.where("winner = 'oracle'"), x.t, 0.3)
 
 
 # Reports

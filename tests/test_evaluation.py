@@ -1,6 +1,7 @@
 """Ranker evaluation: oracles on the smoke tables, traps on small inputs, and invariants."""
 
 import json
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -164,6 +165,12 @@ def test_runs_take_the_first_queries_of_many(spark):
     assert got == sorted(adaptive.adaptive_runs(lists.where(few), docs.where(few), runs, ["a", "b"], 7).collect())
 
 
+def test_sample_efficiency_counts_every_round(spark, monkeypatch):
+    late = SimpleNamespace(winners=spark.range(500, 1000).select(F.col("id").alias("round"), F.lit("oracle").alias("winner")), t=1000)
+    monkeypatch.setattr(registry, "Log", lambda *_: late)
+    assert registry.QUERIES["sample_efficiency"](spark, "").first().first_round == 715
+
+
 def test_density_clusters():
     near = np.full((9, 9), 0.9)
     for block in (range(0, 4), range(4, 8)):
