@@ -840,7 +840,7 @@ def _(x):
 
 @query("boosted_rank")
 def _(x):
-    model = learners.boosted(x.docs, n_trees=3, depth=3)
+    model = learners.boosted(x.docs)
     return ranking.ranked(model.scored(x.docs), {"xgboost": F.col("score")})
 
 

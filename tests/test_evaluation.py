@@ -171,6 +171,13 @@ def test_sample_efficiency_counts_every_round(spark, monkeypatch):
     assert registry.QUERIES["sample_efficiency"](spark, "").first().first_round == 715
 
 
+def test_boosted_rank_trains_the_whole_model(spark, monkeypatch):
+    trained = []
+    monkeypatch.setattr(learners.BoostedRanker, "scored", lambda self, docs: trained.append(self) or docs.withColumn("score", F.lit(0.0)))
+    registry.QUERIES["boosted_rank"](spark, SMOKE)
+    assert len(trained[-1].trees) == 100 and {t.getOrDefault("maxDepth") for t in trained[-1].trees} == {6}
+
+
 def test_density_clusters():
     near = np.full((9, 9), 0.9)
     for block in (range(0, 4), range(4, 8)):
