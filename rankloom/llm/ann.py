@@ -1,169 +1,378 @@
 """Approximate nearest neighbours by collision counting, with query-centred windows.
 
-Every vector is projected on PROJECTIONS random lines; the projections of each line are kept in sorted order. A query
-looks at windows of that order centred on its own projections. Widening the windows step by step (virtual rehashing)
-needs no second index. A vector that lies in a line's window collides once; one that collides on at least THRESHOLD of
-the lines is verified by its true distance. Widening stops when VERIFY times k vectors were verified and the k-th true
-distance lies well within what the windows have covered, or when all vectors have been.
+Vectors are projected on LINES lines (random orthonormal bases, as many as it takes) and the projections of each line are
+kept as a sorted array. A query looks at windows of these arrays centred on its own projections. Widening the windows step
+by step (virtual rehashing) needs no second index. A vector in a line's window collides once; one that collides on at
+least ``threshold`` lines is verified by its true distance. A query ends when its windows reach REACH times the distance
+of the k-th vector found: ``threshold`` is set so that a vector at that very distance then passes it but for a share of
+MISS of all directions, and nearer ones pass more often.
 
-Vectors are indexed where they lie: each partition sorts its own projections, in blocks of at most INDEX_ROWS vectors.
-Queries come in blocks of at most QUERY_BLOCK rows, gathered and sent to all partitions block by block, so that what is
-broadcast is bounded; each index block returns its k best of a query, and these meet by query. All vectors are
-indexed; nothing is sampled.
+The index is cut into blocks of bounded size. Vectors are dealt to cells by their nearest pivot, of at most CELLS, and
+cells to blocks; the driver only knows each cell's size and, for each line, its least and largest projection. A query is
+searched twice:
+
+1. in one block of its own cell, where windows start narrow; this bounds the distance of its k-th neighbour;
+2. in every other block of the cells that its windows at that bound meet on at least ``threshold`` lines, starting from
+   the bound. Cells that are left out hold no vector that could collide often enough.
+
+Queries travel to blocks by joins, in chunks of at most CHUNK; nothing of their number reaches the driver. Equal vectors
+are one node of the index, known by its k + 1 smallest ids, so that a vector that very many rows hold costs no more than
+any other. Pivots are fitted on at most SAMPLE vectors; all vectors are indexed.
+
+Cost: a block that a query visits counts collisions of all its vectors, so a query costs as much as the blocks that its
+windows meet hold. For clustered vectors these are few; for vectors without any structure (random directions) they are all.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 length isn't the query's; a query isn't compared with rows of its own id; ties go to the smaller id; with fewer than k
-candidates all are returned; repeated rows of an id are candidates each; no queries give no rows.
+candidates all are returned; repeated rows of an id are candidates each; repeated rows of a query (equal id and vector)
+are one query; no queries give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import lean, prepared, table, written
 
-PROJECTIONS = 32
-THRESHOLD = 22
-VERIFY = 30
-INDEX_ROWS = 65_536
-#: Partitions are joined until they hold about so many vectors.
-BLOCK_ROWS = 16_384
-QUERY_BLOCK = 4096
+LINES = 128
+#: Half width of the last windows, in units of the distance to be found; share of directions that then fail the threshold.
+REACH, MISS = 1.25, 0.05
+#: Half width of the first windows in units of the projections' spread, and the factor of each widening.
+FIRST_WIDTH, WIDEN = 0.03, 1.25
+#: Where a bound is known, windows start at this share of what it asks for.
+START = 0.8
+#: Vectors and bytes (of doubles) of a block, queries of a chunk.
+BLOCK_ROWS, BLOCK_BYTES, CHUNK = 16_384, 16 << 20, 2048
+#: Pivots at most, vectors that a cell should hold, vectors that pivots are fitted on, and rounds of fitting.
+CELLS, CELL_ROWS, SAMPLE, ROUNDS = 1024, 16_384, 8192, 6
 SEED = 20_240_611
-#: Half width of the first windows in steps of the projections' spread, and the factor of each widening.
-FIRST_WIDTH, WIDEN = 0.05, 1.4
+#: The cell of vectors whose length the sample doesn't hold.
+OTHER = -1
+
+FOUND_DDL = "q long, query_id long, vec_id long, score double, verified long"
+
 
+@functools.cache
+def lines(dimension: int) -> np.ndarray:
+    """One column a line: bases of the space one after another, scaled so that a projection spreads as a distance does."""
+    rng, parts, width = np.random.default_rng([SEED, dimension]), [], 0
+    while width < LINES:
+        basis = np.linalg.qr(rng.standard_normal((dimension, min(dimension, LINES))))[0]
+        parts.append(basis)
+        width += basis.shape[1]
+    return np.concatenate(parts, axis=1)[:, :LINES] * np.sqrt(dimension)
 
-def lines(dimension: int, n: int = PROJECTIONS) -> np.ndarray:
-    return np.random.default_rng([SEED, dimension]).standard_normal((dimension, n)) / np.sqrt(dimension)
 
+@functools.cache
+def threshold(dimension: int) -> int:
+    """Collisions that a vector at distance 1 has within windows of REACH, but for a share of MISS of all directions."""
+    way = np.random.default_rng([SEED, dimension, 1]).standard_normal((2000, dimension))
+    way /= np.linalg.norm(way, axis=1)[:, None]
+    return max(1, int(np.quantile((np.abs(way @ lines(dimension)) <= REACH).sum(axis=1), MISS, method="lower")))
 
-class Index:
-    """Sorted projections of a block of vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.lines = lines(vectors.shape[1])
-        projected = vectors @ self.lines
-        self.order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, axis=0).T.copy()
-        self.order = self.order.T.copy()
+class Block:
+    """Sorted projections of some vectors of one length."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, (n, dimension) = vectors, vectors.shape
+        self.threshold, projected = threshold(dimension), vectors @ lines(dimension)
         self.spread = float(np.sqrt(np.mean(np.var(projected, axis=0)))) or 1.0
+        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
+        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
+        self.place = np.empty((LINES, n), np.uint16)
+        np.put_along_axis(self.place, self.order, np.broadcast_to(np.arange(n, dtype=np.uint16), (LINES, n)), axis=1)
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many of the lines' windows [low, high) of the sorted arrays hold each vector."""
+        n, held = len(self.vectors), int((high - low).sum())
+        if held * 8 < n * LINES:  # narrow windows: only what they hold is touched
+            some = [self.order[j, a:b] for j, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if b > a]
+            return np.bincount(np.concatenate(some), minlength=n) if some else np.zeros(n, np.int64)
+        counts, place, inside = np.zeros(n, np.uint8), np.empty(n, np.uint16), np.empty(n, bool)
+        for j, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            np.subtract(self.place[j], np.uint16(a), out=place)  # wraps around below the window
+            np.less(place, np.uint16(b - a), out=inside)
+            np.add(counts, inside, out=counts)
+        return counts
+
+    def search(self, queries: np.ndarray, skipped: list[np.ndarray], bounds: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query the places and distances of the k nearest found, nearest first, and how many were verified.
 
-    def search(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found, nearest first."""
-        n, at = len(self.ids), query @ self.lines
-        counts = np.zeros(n, np.int16)
-        low = [int(np.searchsorted(row, x)) for row, x in zip(self.sorted, at, strict=True)]
-        high = list(low)
-        checked = np.zeros(n, bool)
-        found, distances = np.empty(0, np.int64), np.empty(0)
-        width = FIRST_WIDTH * self.spread
-        while True:
-            for line, x in enumerate(at):
-                row = self.sorted[line]
-                first, last = int(np.searchsorted(row, x - width, "left")), int(np.searchsorted(row, x + width, "right"))
-                first, last = min(first, low[line]), max(last, high[line])
-                # A row holds a vector once, so a slice of its order has no repeats.
-                counts[self.order[line, first : low[line]]] += 1
-                counts[self.order[line, high[line] : last]] += 1
-                low[line], high[line] = first, last
-            new = np.flatnonzero((counts >= THRESHOLD) & ~checked)
-            if len(new):
-                checked[new] = True
-                new = new[self.ids[new] != own_id]
-                apart = self.vectors[new] - query
-                found = np.concatenate([found, new])
-                distances = np.concatenate([distances, np.sqrt(np.einsum("ij,ij->i", apart, apart))])
-                if len(found) > k:
-                    # Keep the k best by (distance, id); the number verified so far is kept in ``checked``.
-                    best = np.lexsort((self.ids[found], distances))[:k]
-                    found, distances = found[best], distances[best]
-            if min(high) == n and max(high) == n and max(low) == 0:
-                break
-            # A projection differs by about distance / sqrt(dimension); windows of twice that hold nearly all of the closer ones.
-            if len(found) >= k and checked.sum() >= VERIFY * k and width >= 1.5 * distances[-1] / np.sqrt(len(query)):
-                break
-            width *= WIDEN
-        best = np.lexsort((self.ids[found], distances))[:k]
-        return self.ids[found][best], distances[best]
+        skipped: places that don't count for a query; bounds: distances beyond which nothing is asked for, or infinity.
+        """
+        n, number = len(self.vectors), len(queries)
+        at = queries @ lines(self.vectors.shape[1])
+        found = [(np.empty(0, np.int64), np.empty(0))] * number
+        checked, verified = np.zeros((number, n), bool), np.zeros(number, np.int64)
+        for i, own in enumerate(skipped):
+            checked[i, own] = True
+        width = np.where(np.isfinite(bounds), START * REACH * bounds, FIRST_WIDTH * self.spread)
+        goal, open_ = REACH * bounds, np.arange(number)
+        low, high = np.empty((number, LINES), np.int64), np.empty((number, LINES), np.int64)
+        while len(open_):
+            for j in range(LINES):
+                low[open_, j] = np.searchsorted(self.sorted[j], at[open_, j] - width[open_], "left")
+                high[open_, j] = np.searchsorted(self.sorted[j], at[open_, j] + width[open_], "right")
+            ended = np.zeros(len(open_), bool)
+            for o, i in enumerate(open_.tolist()):
+                new = np.flatnonzero((self.collisions(low[i], high[i]) >= self.threshold) & ~checked[i])
+                if len(new):
+                    checked[i, new] = True
+                    verified[i] += len(new)
+                    apart = self.vectors[new] - queries[i]
+                    place, distance = np.concatenate([found[i][0], new]), np.concatenate([found[i][1], np.sqrt(np.einsum("ij,ij->i", apart, apart))])
+                    if len(place) > k:  # ties beyond the k-th stay: ids decide among them
+                        near = distance <= np.partition(distance, k - 1)[k - 1]
+                        place, distance = place[near], distance[near]
+                        goal[i] = min(goal[i], REACH * float(distance.max()))
+                    elif len(place) == k:
+                        goal[i] = min(goal[i], REACH * float(distance.max()))
+                    found[i] = place, distance
+                ended[o] = width[i] >= goal[i] or bool((high[i] - low[i] == n).all())
+            width[open_] = np.minimum(WIDEN * width[open_], np.maximum(goal[open_], 0))
+            open_ = open_[~ended]
+        return [(p, d, int(v)) for (p, d), v in zip(found, verified, strict=True)]
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id long, v array<double>) of the rows that take part."""
-    v = F.col(vector).cast("array<double>")
+    """(id long, v array of the vector's own type) of the rows that take part."""
+    v = F.col(vector)
+    if dict(vectors.dtypes)[vector] not in ("array<float>", "array<double>"):
+        v = v.cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fine & F.exists("v", lambda x: x != 0)
     )
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the lists, and all their values one after another."""
-    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    return lengths, column.flatten().to_numpy(zero_copy_only=False)
+def _nodes(base: DataFrame, k: int) -> DataFrame:
+    """(v, ids array<struct<id, n>>, node): distinct vectors with their k + 1 smallest ids, how many rows hold each, and a hash.
+
+    Only vectors whose hash occurs again are compared and shuffled; of equal ones each task keeps as many ids as needed.
+    """
+    hashed = base.withColumn("h", F.xxhash64("v"))
+    again = written(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
+    one = lambda n: F.array(F.struct(F.col("id"), n.alias("n"))).alias("ids")
+    alone = hashed.join(again, "h", "left_anti").select("v", one(F.lit(1).cast("long")))
+    rows = hashed.join(again, "h", "left_semi").groupBy("v", "id").agg(F.count(F.lit(1)).alias("n"))
+    least = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    many = least.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("ids"))
+    return written(alone.unionByName(many), "vectors").withColumn("node", F.xxhash64("v"))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors of these rows) for each length that the lists have."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    values, starts = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(lengths)])
+    out = []
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        out.append((int(n), rows, values[(starts[rows][:, None] + np.arange(n))]))
+    return out
+
+
+def _pivots(sample: np.ndarray, number: int) -> np.ndarray:
+    rng = np.random.default_rng(SEED)
+    pivots = sample[rng.choice(len(sample), min(number, len(sample)), replace=False)]
+    for _ in range(ROUNDS):
+        own = _nearest(sample, pivots)
+        sums, counts = np.zeros_like(pivots), np.bincount(own, minlength=len(pivots))
+        np.add.at(sums, own, sample)
+        pivots = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], pivots)
+    return pivots
+
+
+def _nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.argmin((pivots * pivots).sum(axis=1) - 2 * (vectors @ pivots.T), axis=1)
+
+
+@dataclass
+class Cells:
+    """What the driver knows of the index: pivots by length, and of each (length, cell) its size and reach on all lines."""
+
+    pivots: dict[int, np.ndarray]
+    rows: dict[tuple[int, int], int]
+    parts: dict[tuple[int, int], int]
+    low: dict[tuple[int, int], np.ndarray]
+    high: dict[tuple[int, int], np.ndarray]
+
+    def of(self, length: int, vectors: np.ndarray, least: int = 0) -> np.ndarray:
+        """The cell of each vector: of the nearest pivot, among cells with at least so many vectors."""
+        pivots = self.pivots.get(length)
+        if pivots is None:
+            return np.full(len(vectors), OTHER)
+        large = np.array([c for c in range(len(pivots)) if self.rows.get((length, c), 0) >= least] if least else range(len(pivots)), np.int64)
+        if not len(large):
+            large = np.arange(len(pivots))
+        return large[_nearest(vectors, pivots[large])]
+
+    def met(self, length: int, vector: np.ndarray, bound: float) -> list[tuple[int, int]]:
+        """The cells in which windows at the bound could hold a vector often enough."""
+        if length not in self.pivots:
+            return [c for c in self.rows if c == (0, OTHER)]
+        at, width = vector @ lines(length), REACH * bound * (1 + 1e-9)
+        return [c for c in self.rows if c[0] == length and int(((at + width >= self.low[c]) & (at - width <= self.high[c])).sum()) >= threshold(length)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of equal length, of at most INDEX_ROWS rows."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        lengths, values = _matrix(batch.column("v"))
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        for n in np.unique(lengths):
-            rows = np.flatnonzero(lengths == n)
-            own = np.stack([values[starts[r] : starts[r] + n] for r in rows]) if len(np.unique(lengths)) > 1 else values.reshape(len(rows), n)
-            held.setdefault(int(n), []).append((ids[rows], own))
-            if sum(len(i) for i, _ in held[int(n)]) >= INDEX_ROWS:
-                yield _stacked(held.pop(int(n)))
-    for parts in held.values():
-        yield _stacked(parts)
+def _key(length: int, cell: int) -> tuple[int, int]:
+    return (0, OTHER) if cell == OTHER else (length, cell)
 
 
-def _stacked(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
+def _cells(nodes: DataFrame) -> Cells:
+    n = nodes.count()
+    drawn = nodes.select("v").orderBy(F.xxhash64("v", F.lit(SEED))).limit(SAMPLE).toArrow().column("v")
+    pivots = {length: _pivots(vectors, max(1, min(CELLS, -(-n * len(rows) // (max(1, len(drawn)) * CELL_ROWS)), len(rows) // 8))) for length, rows, vectors in (_matrix(drawn) if len(drawn) else [])}
+    cells = Cells(pivots, {}, {}, {}, {})
+
+    def reach(batches):
+        found: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for length, _, vectors in _matrix(batch.column("v")):
+                own, at = cells.of(length, vectors), None if length not in pivots else vectors @ lines(length)
+                for c in np.unique(own).tolist():
+                    inside = own == c
+                    low, high = (np.full(LINES, -np.inf), np.full(LINES, np.inf)) if at is None else (at[inside].min(axis=0), at[inside].max(axis=0))
+                    old = found.setdefault(_key(length, c), [0, 0, low, high])
+                    found[_key(length, c)] = [old[0] + int(inside.sum()), old[1] + int(inside.sum()) * length, np.minimum(old[2], low), np.maximum(old[3], high)]
+        if found:
+            rows = [(a, b, *x[:2], x[2].tolist(), x[3].tolist()) for (a, b), x in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["length", "cell", "n", "size", "low", "high"])
+
+    part = nodes.select("v").mapInArrow(lean(reach), "length long, cell long, n long, size long, low array<double>, high array<double>")
+    ends = lambda f, name: F.array(*[f(F.col(name)[j]) for j in range(LINES)]).alias(name)
+    for r in part.groupBy("length", "cell").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), ends(F.min, "low"), ends(F.max, "high")).collect():
+        own = r.length, r.cell
+        cells.rows[own], cells.low[own], cells.high[own] = r.n, np.array(r.low), np.array(r.high)
+        cells.parts[own] = max(1, -(-r.n // BLOCK_ROWS), -(-8 * r.size // BLOCK_BYTES))
+    return cells
+
+
+def _dealt(nodes: DataFrame, cells: Cells, chunks: dict[tuple[int, int], int], first_only: bool) -> DataFrame:
+    """Nodes with the (length, cell, part, chunk) of their block, once for each chunk of queries that comes to the cell."""
+
+    def run(batches):
+        for batch in batches:
+            for length, rows, vectors in _matrix(batch.column("v")):
+                own = cells.of(length, vectors)
+                number = np.array([cells.parts.get(_key(length, c), 1) for c in own.tolist()])
+                part = (batch.column("node").to_numpy()[rows] >> 16) % number  # not negative, as the divisor isn't
+                times = np.array([chunks.get(_key(length, c), 0) for c in own.tolist()])
+                if first_only:
+                    times[part != 0] = 0
+                keep = np.repeat(np.arange(len(rows)), times)
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.where(own[keep] == OTHER, 0, length)), pa.array(own[keep]), pa.array(part[keep]), pa.array(np.arange(len(keep)) - np.repeat(np.cumsum(times) - times, times)), *(batch.column(c).take(pa.array(rows[keep])) for c in ("v", "ids"))],
+                        names=["length", "cell", "part", "chunk", "v", "ids"],
+                    )
+
+    v = dict(nodes.dtypes)["v"]
+    return nodes.mapInArrow(lean(run), f"length long, cell long, part long, chunk long, v {v}, ids array<struct<id:bigint,n:bigint>>")
+
+
+def _searched(nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """FOUND_DDL: the k best rows of each block for the queries that come to it, and for each of both a row without vec_id
+    that says how many vectors were verified."""
+
+    def run(_, own: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], [], []]
+        if own.num_rows and queries.num_rows:
+            blocks = {length: (rows, Block(vectors)) for length, rows, vectors in _matrix(own.column("v"))}
+            every = own.column("ids").combine_chunks()
+            starts = every.offsets.to_numpy()
+            ids, n = (every.flatten().field(c).to_numpy() for c in ("id", "n"))
+            single = np.where(np.diff(starts) == 1, ids[starts[:-1] - starts[0]], -1)
+            single_known = np.diff(starts) == 1
+            starts = starts - starts[0]
+            for length, rows, vectors in _matrix(queries.column("v")):
+                if length not in blocks:
+                    continue
+                places, block = blocks[length]
+                name, key, bound = (queries.column(c).to_numpy()[rows] for c in ("query_id", "q", "bound"))
+                skipped = [np.flatnonzero(single_known[places] & (single[places] == i)) for i in name.tolist()]
+                for i, q, (place, apart, verified) in zip(name.tolist(), key.tolist(), block.search(vectors, skipped, bound, k), strict=True):
+                    near = []
+                    for p, d in zip(places[place].tolist(), apart.tolist(), strict=True):
+                        near += [(d, int(ids[x])) for x in range(starts[p], starts[p + 1]) if ids[x] != i for _ in range(min(int(n[x]), k))]
+                    best = sorted(near)[:k]
+                    for c, values in zip(out, ([q] * (len(best) + 1), [i] * (len(best) + 1), [*(v for _, v in best), None], [*(d for d, _ in best), None], [*[0] * len(best), verified]), strict=True):
+                        c += values
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=[f.split(" ")[0] for f in FOUND_DDL.split(", ")])
+
+    block = ["length", "cell", "part", "chunk"]
+    return nodes.groupBy(*block).cogroup(asked.groupBy(*block)).applyInArrow(run, FOUND_DDL)
+
+
+def _chunks(asked: DataFrame) -> dict[tuple[int, int], int]:
+    """Of each cell, the chunks that its queries are cut into: at most as many rows as there are cells."""
+    return {(r.length, r.cell): r.n for r in asked.groupBy("length", "cell").agg((F.max("chunk") + 1).alias("n")).collect()}
+
+
+def _numbered(asked: DataFrame) -> Column:
+    """Chunk of a query among those of its cell; cells' totals are counted first, so no task sees a cell's queries."""
+    return F.pmod(F.xxhash64("q", F.lit(SEED)), F.ceil(F.col("total") / CHUNK))
+
+
+def _with_chunks(asked: DataFrame) -> DataFrame:
+    totals = asked.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("total"))
+    return asked.join(F.broadcast(totals), ["length", "cell"]).withColumn("chunk", _numbered(asked)).drop("total")
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): both frames are (id, v) as ``usable`` gives them."""
+    """(query_id, rank, vec_id, score, verified): both frames are (id, v) as ``usable`` gives them. ``verified``: how many
+    vectors' true distances were taken for the query."""
     spark = base.sparkSession
-    # Small tables don't fill a block for each of their files.
-    base = base.coalesce(max(1, -(-base.count() // BLOCK_ROWS)))
-    parts = []
-    numbered = queries.withColumn("__block", F.expr(f"(row_number() over (partition by pmod(hash(id), 64) order by id) - 1) div {QUERY_BLOCK // 64}"))
-    blocks = [r[0] for r in numbered.select("__block").distinct().orderBy("__block").collect()]
-    for block in blocks:
-        rows = numbered.where(F.col("__block") == block).select("id", "v").collect()
-        by_length: dict[int, tuple[list, list]] = {}
-        for r in sorted(rows, key=lambda r: r.id):
-            ids, vectors = by_length.setdefault(len(r.v), ([], []))
-            ids.append(r.id)
-            vectors.append(r.v)
-        shared = spark.sparkContext.broadcast({n: (ids, np.array(v)) for n, (ids, v) in by_length.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for ids, vectors in _blocks(batches):
-                asked, wanted = shared.value.get(vectors.shape[1], ([], None))
-                index = Index(ids, vectors) if len(asked) else None
-                for i, own in enumerate(asked):
-                    near, apart = index.search(own, wanted[i], k)
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(near), pa.int64()), pa.array(near, pa.int64()), pa.array(apart, pa.float64())], names=["query_id", "vec_id", "score"])
-
-        parts.append(base.mapInArrow(lean(run), "query_id long, vec_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    prepared(spark)
+    nodes = _nodes(base, k)
+    cells = _cells(nodes)
+    own = written(queries.select("id", "v").distinct(), "queries").select(F.monotonically_increasing_id().alias("q"), F.col("id").alias("query_id"), "v")
+    v = dict(own.dtypes)["v"]
+    block = "length long, cell long, part long, q long, query_id long, bound double, v " + v
+
+    def home(batches):
+        for batch in batches:
+            for length, rows, vectors in _matrix(batch.column("v")):
+                cell, take = cells.of(length, vectors, 4 * k), pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(cell == OTHER, 0, length)), pa.array(cell), pa.array(np.zeros(len(rows), np.int64)), batch.column("q").take(take), batch.column("query_id").take(take), pa.array(np.full(len(rows), np.inf)), batch.column("v").take(take)],
+                    names=[f.split(" ")[0] for f in block.split(", ")],
+                )
+
+    asked = written(_with_chunks(own.mapInArrow(lean(home), block)), "asked")
+    first = written(_searched(_dealt(nodes, cells, _chunks(asked), True), asked, k), "first")
+    # The k-th distance of a query so far, where there are k.
+    kth = first.where("vec_id is not null").groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("d")).where(F.col("n") >= k).select("q", "d")
+    bounded = asked.drop("chunk", "bound").join(kth, "q", "left").withColumn("bound", F.coalesce("d", F.lit(float("inf")))).drop("d")
+
+    def route(batches):
+        for batch in batches:
+            q, name, bound, home_cell = (batch.column(c).to_numpy() for c in ("q", "query_id", "bound", "cell"))
+            out, take = [], []
+            for length, rows, vectors in _matrix(batch.column("v")):
+                for r, vector in zip(rows.tolist(), vectors, strict=True):
+                    for c in cells.met(length, vector, float(bound[r])):
+                        for part in range(cells.parts[c]):
+                            if part or c != _key(length, int(home_cell[r])):
+                                out.append((*c, part, int(q[r]), int(name[r]), float(bound[r])))
+                                take.append(r)
+            if out:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in zip(*out, strict=True)), batch.column("v").take(pa.array(take))], names=[f.split(" ")[0] for f in block.split(", ")])
+
+    columns = [f.split(" ")[0] for f in block.split(", ")]
+    asked = written(_with_chunks(bounded.select(*columns).mapInArrow(lean(route), block)), "asked")
+    found = first.unionByName(_searched(_dealt(nodes, cells, _chunks(asked), False), asked, k))
+    by_query = Window.partitionBy("q")
+    ranked = found.withColumn("verified", F.sum("verified").over(by_query)).withColumn("rank", F.row_number().over(by_query.orderBy(F.asc_nulls_last("score"), "vec_id")))
+    return ranked.where((F.col("rank") <= k) & F.col("vec_id").isNotNull()).select("query_id", "rank", "vec_id", "score", "verified")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

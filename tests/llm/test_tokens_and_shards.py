@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,6 +167,49 @@ def test_nearest_neighbours(spark):
     assert [v for v, _ in got[100]] == list(range(101, 111))
 
 
+def test_clustered_vectors_are_seldom_verified(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((200, 24))
+    vectors = centres[rng.integers(0, 200, 40_000)] + 0.25 * rng.standard_normal((40_000, 24))
+    base = spark.createDataFrame(pa.table({"id": np.arange(40_000), "v": pa.array(list(vectors))})).repartition(4)
+    got = ann.nearest(base, base.where("id % 400 = 0")).toPandas()
+    by, hits = got.groupby("query_id").vec_id.apply(set), 0
+    for q in range(0, 40_000, 400):
+        apart = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        apart[q] = np.inf
+        hits += len(by[q] & set(np.argpartition(apart, 10)[:10].tolist()))
+    assert hits >= 0.97 * 1000
+    assert got.groupby("query_id").verified.first().mean() < 0.02 * 40_000
+
+
+@pytest.mark.parametrize("rows,chunk,cell", [(16_384, 2048, 16_384), (64, 3, 50)])
+def test_repeated_queries_copies_and_small_blocks(spark, monkeypatch, rows, chunk, cell):
+    for name, value in (("BLOCK_ROWS", rows), ("CHUNK", chunk), ("CELL_ROWS", cell), ("MISS", 0.002)):
+        monkeypatch.setattr(ann, name, value)
+    ann.threshold.cache_clear()
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((600, 4)).round(1)
+    vectors[200:420] = vectors[200]  # a third are copies, queries among them
+    held = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    held += [(0, vectors[0].tolist()), (0, vectors[1].tolist()), (7, vectors[7].tolist()), (100, vectors[100].tolist())]
+    base = ann.usable(spark.createDataFrame(held, "vec_id long, embedding array<double>").repartition(3), "vec_id", "embedding")
+    got = defaultdict(list)
+    for r in ann.nearest(base, base.where("id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    hits = total = 0
+    for q, v in {(q, tuple(v)) for q, v in held if q % 100 == 0}:
+        expected = sorted((float(np.sqrt(((np.array(u) - v) ** 2).sum())), i) for i, u in held if i != q)[:10]
+        mine = [x for x in got[q] if True]
+        if q == 0:  # two queries of one id, each once
+            assert sorted(x[0] for x in mine) == sorted(2 * list(range(1, 11)))
+        else:
+            assert [x[0] for x in mine] == list(range(1, 11))
+            hits, total = hits + len({(i, round(s, 9)) for _, i, s in mine} & {(i, round(d, 9)) for d, i in expected}), total + len({i for _, i in expected})
+    assert hits >= 0.97 * total
+    assert [x[1] for x in got[300]] == list(range(200, 210)) and [x[1] for x in got[200]] == list(range(201, 211))
+    ann.threshold.cache_clear()
+
+
 def test_few_and_no_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     base = ann.usable(rows, "vec_id", "embedding")
