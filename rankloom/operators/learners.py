@@ -13,6 +13,10 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import dropped, written
+
+#: Trees whose scores are carried in one plan before they are written.
+WRITE_EVERY = 4
 #: Documents that a projection is fitted on, at most.
 PROJECTION_ROWS = 100_000
 
@@ -140,16 +144,24 @@ def boosted(docs: DataFrame, n_trees: int = 100, depth: int = 6, rate: float = 0
     many as its documents. share: of queries that train, by hash.
     """
     own = docs.where(F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(10_000)) < int(share * 10_000)).select("query_id", "doc", "rel", "features")
-    model, scored = BoostedRanker(rate=rate), own.withColumn("score", F.lit(0.0))
+    model, table = BoostedRanker(rate=rate), written(own.withColumn("score", F.lit(0.0)), "scores")
+    scored = table
     for k in range(n_trees):
         rows = scored.groupBy("query_id").agg(F.collect_list(F.struct("rel", "features", "score")).alias("d"))
         push = "aggregate(transform(d, q -> case when p.rel > q.rel then 1D / (1D + exp(p.score - q.score)) when p.rel < q.rel then -1D / (1D + exp(q.score - p.score)) else 0D end), 0D, (a, v) -> a + v)"
         grads = rows.select(F.explode(F.expr(f"transform(d, p -> named_struct('features', p.features, 'g', {push}))")).alias("r"))
         train = grads.select(array_to_vector(F.col("r.features").cast("array<double>")).alias("__v"), F.col("r.g").alias("label"))
         model.trees.append(DecisionTreeRegressor(featuresCol="__v", labelCol="label", predictionCol="__p", maxDepth=depth, seed=seed + k).fit(train))
-        # Lineage is cut each round: plans of all trees so far would grow with every tree.
         step = BoostedRanker(model.trees[-1:], rate).scored(scored.withColumnRenamed("score", "__old"))
-        scored = step.withColumn("score", F.col("__old") + F.col("score")).drop("__old").localCheckpoint()
+        step = step.withColumn("score", F.col("__old") + F.col("score")).drop("__old")
+        if (k + 1) % WRITE_EVERY and k + 1 < n_trees:
+            scored = step
+            continue
+        # Lineage is cut every few trees: plans of all trees so far would grow with every tree.
+        before, table = table, written(step, "scores") if k + 1 < n_trees else None
+        dropped(before)
+        scored = table
+    dropped(table)
     return model
 
 

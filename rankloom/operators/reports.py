@@ -122,10 +122,15 @@ def scalability(summary: DataFrame) -> DataFrame:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """One row: counts of queries and documents, documents a query, relevance grades 0 to 4, and the features' span."""
+    """One row: counts of queries and documents, documents a query, relevance grades 0 to 4, and the features' span.
+
+    Features are summed as decimals of nine digits after the point, so that the mean doesn't depend on their order; those
+    that aren't finite count as 0 in the sum.
+    """
     sizes = docs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     a = sizes.agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("documents"), F.min("n").alias("min_docs"), F.max("n").alias("max_docs"), F.avg("n").alias("mean_docs"), F.median("n").alias("median_docs"))
     grades = [F.sum((F.col("rel") == g).cast("long")).alias(f"grade_{g}") for g in range(5)]
     least = F.min(F.array_min("features")).alias("feature_min"), F.max(F.array_max("features")).alias("feature_max")
-    total = F.sum(F.aggregate("features", F.lit(0.0), lambda s, x: s + x)) / F.sum(F.size("features"))
+    exact = F.expr("aggregate(features, cast(0 as decimal(28, 9)), (s, x) -> cast(s + coalesce(try_cast(x as decimal(24, 9)), 0) as decimal(28, 9)))")
+    total = F.sum(exact).cast("double") / F.sum(F.size("features"))
     return a.crossJoin(docs.agg(*grades, *least, total.alias("feature_mean")))

@@ -787,7 +787,7 @@ def _(x):
 @query("eda_profile", _DOCS, """SELECT count(*) AS queries, CAST(sum(n) AS BIGINT) AS documents, min(n) AS min_docs, max(n) AS max_docs, round(avg(n), 6) AS mean_docs, round(median(n), 6) AS median_docs,
 any_value(g0) AS grade_0, any_value(g1) AS grade_1, any_value(g2) AS grade_2, any_value(g3) AS grade_3, any_value(g4) AS grade_4, any_value(lo) AS feature_min, any_value(hi) AS feature_max, round(any_value(m), 6) AS feature_mean
 FROM (SELECT count(*) AS n FROM docs GROUP BY query_id), (SELECT count(*) FILTER (rel = 0) AS g0, count(*) FILTER (rel = 1) AS g1, count(*) FILTER (rel = 2) AS g2, count(*) FILTER (rel = 3) AS g3, count(*) FILTER (rel = 4) AS g4,
-  min(least(value, k, doc, hr)) AS lo, max(greatest(value, k, doc, hr)) AS hi, sum(value + k + doc + hr) / (4 * count(*)) AS m FROM docs)""")
+  min(least(value, k, doc, hr)) AS lo, max(greatest(value, k, doc, hr)) AS hi, CAST(sum(CAST(value AS DECIMAL(24, 9)) + CAST(k AS DECIMAL(24, 9)) + doc + CAST(hr AS DECIMAL(24, 9))) AS DOUBLE) / (4 * count(*)) AS m FROM docs)""")
 def _(x):
     return reports.profile(x.docs).withColumn("mean_docs", r6("mean_docs")).withColumn("median_docs", r6("median_docs")).withColumn("feature_mean", r6("feature_mean"))
 
