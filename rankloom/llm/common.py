@@ -1,11 +1,9 @@
-"""Helpers that the operators of this subpackage share."""
+"""Helpers that the operators of this subpackage share; ``dropped`` is passed on from the scratch tables."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,8 +12,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+from ..scratch import dropped
 from ..shipping import ship
 
+__all__ = ["boxed", "dropped", "expanded", "extended", "lean", "prepared", "release", "slices", "squeezed", "table", "with_fields", "written"]
+
 #: Texts are handed to numpy in slices of at most so many bytes (or one text), whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 20
 
@@ -23,11 +25,12 @@ SLICE_BYTES = 1 << 20
 #: in both the JVM and a Python worker.
 BATCH_ROWS = 1000
 
-_own_dirs: dict[str, str] = {}
-
-
 def prepared(spark: SparkSession) -> None:
-    """Makes a session fit for the operators: the package on executors, batches of a bounded number of documents."""
+    """Makes a session fit for the operators: the package on executors, batches of a bounded number of documents.
+
+    A session that leaves the Arrow batch size at Spark's default of 10,000 rows has it set to BATCH_ROWS from then on;
+    any other number is left alone.
+    """
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
@@ -39,26 +42,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, only a local session gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-    return _own_dirs[app]
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    prepared(spark)
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    prepared(df.sparkSession)
+    return scratch.written(df, label)
 
 
 def boxed(docs: DataFrame, *needed: str) -> DataFrame:
