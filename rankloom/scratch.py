@@ -7,12 +7,14 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .shipping import ship
 
 _own_dirs: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._scratch_path = path
+    if _scopes:
+        _scopes[-1].append(found)
     return found
 
 
@@ -52,3 +56,25 @@ def dropped(*tables: DataFrame | None) -> None:
         with contextlib.suppress(Exception):  # what can't be deleted stays
             where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
         table._scratch_path = None
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside are deleted at its end, but for those that were given to ``keep``, what it yields."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for table in own:
+            if not any(table is k for k in kept):
+                dropped(table)
+            elif _scopes:
+                _scopes[-1].append(table)

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from rankloom.scratch import dropped, written
+from rankloom.scratch import dropped, scope, written
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -29,3 +29,13 @@ def test_scratch_tables(spark):
     assert table.count() == 5 and path.exists()
     dropped(table, None, spark.range(1))
     assert not path.exists()
+
+
+def test_scopes_keep_what_they_are_told_to(spark):
+    with scope() as keep:
+        with scope() as keep_inner:
+            one, two = keep_inner(written(spark.range(2), "test")), written(spark.range(3), "test")
+        assert two._scratch_path is None and one.count() == 2
+        three = keep(written(spark.range(4), "test"))
+    assert one._scratch_path is None and three.count() == 4
+    dropped(three)
