@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, lean, table, with_fields
+from .common import extended, lean, prepared, table, with_fields
 
 #: Bytes of a leaf, and those that a window takes of either side at first.
 LEAF = 4096
@@ -131,6 +131,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encoded(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Adds ``ids`` (binary)."""
+    prepared(docs.sparkSession)
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +147,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
 
 def decoded(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Adds ``decoded`` (binary), the bytes of packed ids; null ids give no bytes."""
+    prepared(rows.sparkSession)
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

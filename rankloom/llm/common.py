@@ -1,4 +1,4 @@
-"""Helpers that the operators of this subpackage share; ``dropped`` is passed on from the scratch tables."""
+"""Helpers that the operators of this subpackage share; ``dropped`` and ``scope`` are those of the scratch tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -13,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..scratch import dropped
+from ..scratch import dropped, scope
 from ..shipping import ship
 
-__all__ = ["boxed", "dropped", "expanded", "extended", "lean", "prepared", "release", "slices", "squeezed", "table", "with_fields", "written"]
+__all__ = ["boxed", "dropped", "expanded", "extended", "lean", "prepared", "release", "runs", "scope", "slices", "squeezed", "table", "with_fields", "written"]
 
 #: Texts are handed to numpy in slices of at most so many bytes (or one text), whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 20
@@ -25,16 +26,19 @@ SLICE_BYTES = 1 << 20
 #: in both the JVM and a Python worker.
 BATCH_ROWS = 1000
 
+#: Bytes of an Arrow batch where the session leaves Spark's default (64 MB).
+BATCH_BYTES = 8 << 20
+
 def prepared(spark: SparkSession) -> None:
     """Makes a session fit for the operators: the package on executors, batches of a bounded number of documents.
 
-    A session that leaves the Arrow batch size at Spark's default of 10,000 rows has it set to BATCH_ROWS from then on;
-    any other number is left alone.
+    A session that leaves the size of Arrow batches at Spark's defaults (10,000 rows, 64 MB) has it set to BATCH_ROWS and
+    BATCH_BYTES from then on; other numbers are left alone.
     """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, default, own in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +105,25 @@ def expanded(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int =
             yield extended(own, **{text: pa.array([unpack(x.as_py()) if x.is_valid else None for x in own.column(text)], pa.binary()).cast(pa.string())})
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, from batches that are sorted by the key."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        if not len(keys):
+            continue
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and keys[low] != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            current = keys[low]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array that hold at most ``max_bytes`` of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

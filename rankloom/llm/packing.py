@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table, written
+from .common import lean, prepared, table, written
 
 SEQUENCE = 2048
 OPEN_WINDOWS = 64
@@ -257,6 +257,7 @@ def _flushes(keep: pa.Schema, group: int, stream: Iterator[tuple[tuple, bool]])
 def packed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, size: int = SEQUENCE, most_open: int = OPEN_WINDOWS, merge: int = MERGE) -> DataFrame:
     """One row for each piece: the ``keep`` columns of its document, then start, length, ids (little-endian unsigned
     32-bit, as binary), doc_tokens, sequence_id and offset."""
+    prepared(docs.sparkSession)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     source = docs.select(*keep, F.col(text).alias("__text"))
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}

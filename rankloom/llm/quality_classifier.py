@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, extended, lean, table, with_fields
+from .common import boxed, extended, lean, prepared, table, with_fields
 
 BLOCK = 2048
 SAMPLE = 1500
@@ -146,6 +146,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``score`` (probability of label 1) and ``predicted``; columns of these names are replaced."""
+    prepared(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer().score

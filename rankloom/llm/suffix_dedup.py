@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import expanded, extended, lean, release, slices, squeezed, table, with_fields, written
+from .common import expanded, extended, lean, prepared, release, slices, squeezed, table, with_fields, written
 from .shingles import _up_to, mixed
 from .suffix_array import common_prefixes, suffix_array
 
@@ -379,6 +379,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans, ``left`` (the bytes that stay) and ``read`` (their whole characters) to rows with
     doc_id and text."""
+    prepared(docs.sparkSession)
     names = docs.columns
     rows = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST))).withColumn("row", F.xxhash64("id", F.coalesce("text", F.lit(""))))
     texts = rows.select("id", "row", F.coalesce("text", F.lit("")).alias("text"))

@@ -1,8 +1,12 @@
 """Near duplicates, suffix arrays, repeated passages and the pipeline against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -100,10 +104,80 @@ def test_stage_judges_rows_without_id_one_by_one(spark):
     assert sorted(str(t) for d, t in left if d is None and t not in (text["pair"], text["near pair"])) == ["None", "None", text["alone"]]
 
 
-def test_components(spark):
-    chain = [(i, i + 1) for i in range(0, 30)] + [(100, 50), (50, 70), (8, 8)]
-    got = {r.id: r.component for r in minhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(1, 31)}, 70: 50, 100: 50}
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW_EDGES", few)
+    chain = [(i, i + 1) for i in range(0, 30)] + [(100, 50), (50, 70), (8, 8)] + [(200 + i, 300 + i // 3) for i in range(40)] + [(300 + i, 300 + i // 4) for i in range(14)]
+    got = {r.id: r.component for r in minhash.components(spark.createDataFrame(chain, "a long, b long").repartition(3)).collect()}
+    assert got == {**{i: 0 for i in range(1, 31)}, 70: 50, 100: 50, **{i: 200 for i in [*range(201, 240), *range(300, 314)]}}
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def thue_morse(n, letters):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join(letters[b] for b in bits)
+
+
+def test_long_words_of_two_letters_differ(spark):
+    """These collide in any polynomial modulo a power of two."""
+    rows = [(i, f"{thue_morse(2048, letters)} and three more") for i, letters in ((1, "ab"), (2, "ba"), (3, "ab"), (4, "cd"))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
+def test_links_are_confirmed_on_texts(spark, monkeypatch):
+    rows = [(1, "a b c d e f g h i"), (2, "A b c d  e f g h i j"), (3, "a b c d e f x y z"), (4, "one two"), (4, "a b c d e f g h i j"), (5, None), (6, "two one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (4, 6), (2, 5)], "a long, b long")
+    assert {(r.a, r.b) for r in minhash.unconfirmed(links, docs, 4, 80).collect()} == {(1, 3), (4, 6)}
+    salts, plain = [], minhash.links_of
+
+    def weak(nodes, docs, words, similarity, salt=0):  # as if two shingles had one hash
+        salts.append(salt)
+        return plain(nodes, docs, words, similarity, salt).unionByName(links.where("b = 3" if salt < 2 else "false"))
+
+    monkeypatch.setattr(minhash, "links_of", weak)
+    got = minhash.near_duplicates(docs.where("text is not null"), words=4).collect()
+    assert salts == [0, 1, 2] and {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 1, 6: 6}
+
+
+def test_near_duplicates_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1000)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(i, varied(rng, base, 20 * i)) for i in range(5)] + [(9, " ".join(base[::-1])), (10, "x" * 900_000), (11, "x" * 900_000 + " y")]
+    expected, sizes = expected_components(rows, 4)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {d: (expected[d], sizes[d]) for d in expected}
+
+
+FRESH = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + sys.argv[2]).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sys.path.insert(0, sys.argv[1])  # the workers, which begin elsewhere, don't see this
+from rankloom.llm import ann, bpe, minhash, packing, quality_classifier, suffix_dedup
+docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+assert sorted(r.doc_id for r in minhash.stage_near_duplicates(spark, docs, "").collect()) == [1, 3]
+assert suffix_dedup.stage_passages(spark, docs, "").count() == 3
+model = quality_classifier.Model(b"", b"", 0.0, 0.0)
+assert quality_classifier.scored(docs, model).count() == 3
+vectors = ann.usable(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+assert ann.nearest(vectors, vectors).count() == 2
+assert packing.packed(docs).select("doc_id").distinct().count() == 3 and bpe.decoded(bpe.encoded(docs)).count() == 3
+print("fine")
+"""
+
+
+def test_fresh_session_away_from_the_repository(tmp_path):
+    """Executors that can't import the package get it before any function of it runs there."""
+    (tmp_path / "shared").mkdir()
+    root = Path(minhash.__file__).resolve().parents[2]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", FRESH, str(root), str(tmp_path / "shared")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-3000:]
 
 
 def test_shingles_of_chunks_are_those_of_the_whole(monkeypatch):
