@@ -282,7 +282,7 @@ def test_pipeline_stages(spark):
 
 
 def test_stages_keep_clashing_columns(spark, monkeypatch):
-    text = " ".join(f"plain{i} word" for i in range(60)) + ".\nsecond line\nthird line"
+    text = " ".join(f"plain{chr(97 + i % 26)}{chr(97 + i // 5)} words of the text and more{'.' * (i % 3 == 0)}" for i in range(60)) + ".\nsecond line\nthird line"
     extra = "score string, votes string, n_words string, left string, row string, id string, __p string"
     docs = spark.createDataFrame([(i, f"{text} {i}", "en", "s", 1, *"abcdefg") for i in range(3)] + [(None, None, None, None, None, *"abcdefg")], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
