@@ -38,6 +38,10 @@ def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def reduced(x: np.ndarray) -> np.ndarray:
     """x modulo the prime, for x below 2 ** 62."""
     x = (x & PRIME) + (x >> _BITS)

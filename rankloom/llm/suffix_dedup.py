@@ -10,16 +10,17 @@ to shards by content:
 2. Runs of windows with one shared anchor are segments of text. A segment goes to the shard of its anchor; if more than
    HOT documents share an anchor, its windows are dealt one by one by their own hash instead, so that no passage, however
    common, gathers in one task.
-3. A shard lays its distinct segments end to end, builds their suffix array by induced sorting, and finds the runs of
-   suffixes whose common prefixes hold LENGTH bytes; the smallest document of a run owns its windows. Windows owned by a
-   smaller document than their own are returned as ranges of bytes.
+3. A shard keeps distinct segments, each with its smallest document. Those whose anchor another distinct one has too are
+   laid end to end; their suffix array is built by induced sorting, and the runs of suffixes whose permuted common
+   prefixes hold LENGTH bytes give each window's smallest document. Windows owned by a smaller document than their own
+   are returned as ranges of bytes.
 4. Ranges of a document are united and cut out of its bytes.
 
 Exact copies need none of this: all windows of a copy start in the first of its kind too, so it goes whole (if it has a
-window), and only the first sends segments. Copies are found by a digest of the text, counted before it is shuffled.
+window), and only the first sends segments. Copies are found by the SHA-256 of the text, counted before it is shuffled.
 
-Steps 1 and 3 only narrow down what is compared; the suffix arrays alone decide. Anchors are cut to 48 bits, where a
-chance hit only sends a segment to a shard in vain. Equal segments are recognised by 64-bit hash and length.
+Anchors only narrow down what is compared: they are cut to 48 bits, where a chance hit sends a segment to a shard in
+vain. Segments are compared byte by byte, windows by the suffix arrays.
 
 Defined results: a null text is empty; a document without an id is judged as the largest; rows of one id are not smaller
 than each other, so repeated rows don't remove each other; texts under LENGTH bytes stay whole.
@@ -35,8 +36,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import expanded, extended, lean, prepared, release, slices, squeezed, table, with_fields, written
-from .shingles import _up_to, mixed
+from .common import expanded, extended, keeps, lean, prepared, release, scope, slices, squeezed, table, written
+from .shingles import _up_to, forget_powers, mixed
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -44,7 +45,7 @@ GRAM = 20
 #: Documents that share an anchor beyond which its windows are dealt one by one.
 HOT = 20_000
 #: Anchors that a partition of the first exchange, and bytes that a shard of the second, should hold.
-PART_ANCHORS, SHARD_BYTES = 1_200_000, 1_500_000
+PART_ANCHORS, SHARD_BYTES = 1_200_000, 2_000_000
 #: One anchor in so many bytes, roughly, and bytes of a segment; only to size partitions.
 ANCHOR_EVERY, SEGMENT_BYTES = 16, 64
 
@@ -52,6 +53,8 @@ _VALUE = np.random.default_rng(50_210).integers(1, 1 << 63, 256, dtype=np.uint64
 _LARGEST = np.iinfo(np.int64).max
 _U16 = np.uint64(16)
 
+keeps(__name__, forget_powers)
+
 
 def _rows(batch: pa.RecordBatch, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, row keys, all bytes of some rows, and where each row's bytes start (one more at the end)."""
@@ -282,38 +285,51 @@ def _segments(n_shards: int):
 def owned(ids: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of segments laid end to end: for each window, its segment and whether a smaller document holds it too."""
     begins = np.cumsum(sizes, dtype=np.int64) - sizes
-    sums = _sums(data)
-    # Equal segments are one, of the smallest document; sizes are part of the hash.
-    key = _hashes(sums, begins, sizes) ^ mixed(sizes.astype(np.uint64))
-    _, some, kind = np.unique(key, return_index=True, return_inverse=True)
+    # Equal segments are one, of the smallest document.
+    whole, known = data.tobytes(), {}
+    kind = np.array([known.setdefault(whole[a : a + n], len(known)) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)], np.int64)
+    del whole, known
+    some = np.unique(kind, return_index=True)[1]
     least = np.full(len(some), _LARGEST)
     np.minimum.at(least, kind, ids)
-    # Distinct segments, each followed by a zero byte, which ends no window.
-    size = sizes[some].astype(np.int64)
+    # Equal windows have equal anchors, so only segments whose anchor another one has may share windows with others.
+    heads = data[(begins[some][:, None] + np.arange(LENGTH)).ravel()]
+    anchor = anchored(heads, np.arange(len(some) + 1) * LENGTH)[3]
+    _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
+    met = members[group] > 1
+    n = (sizes - LENGTH + 1).astype(np.int64)
+    of, owner = np.repeat(np.arange(len(sizes), dtype=np.int32), n), np.repeat(least[kind], n)
+    if met.any():
+        owned_by, to = _owners(data, begins[some[met]], sizes[some[met]].astype(np.int64), least[met])
+        place = np.zeros(len(some), np.int64)
+        place[met] = to
+        inner = met[kind]
+        m, first = n[inner], place[kind[inner]]
+        owner[np.repeat(inner, n)] = owned_by[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())]
+    return of, owner < ids[of]
+
+
+def _owners(data: np.ndarray, begins: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document of each window of distinct segments, and where each segment's windows start in that array."""
+    # Segments end to end, each followed by a zero byte, which ends no window.
     to = np.cumsum(size + 1) - size - 1
     text = np.zeros(int((size + 1).sum()), np.uint8)
     inside = np.ones(len(text), bool)
     inside[to + size] = False
-    text[inside] = data[np.repeat((begins[some] - np.cumsum(size) + size).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)]
-    del inside, sums
+    text[inside] = data[np.repeat((begins - np.cumsum(size) + size).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)]
+    del inside
     suffixes = suffix_array(text)
-    agree = common_prefixes(text, suffixes, LENGTH)
-    segment = np.repeat(np.arange(len(some), dtype=np.int32), size + 1)
+    agree = common_prefixes(text, suffixes) >= LENGTH
+    segment = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
     window = np.zeros(len(text), bool)
     counts = size - LENGTH + 1
-    windows_at = np.repeat((to - np.cumsum(counts) + counts).astype(np.int32), counts) + np.arange(counts.sum(), dtype=np.int32)
-    window[windows_at] = True
+    window[np.repeat((to - np.cumsum(counts) + counts).astype(np.int32), counts) + np.arange(counts.sum(), dtype=np.int32)] = True
     # Suffixes that start no window keep their places, so that runs are cut where the common prefix is.
     owner = np.where(window[suffixes], least[segment[suffixes]], _LARGEST)
     heads = np.flatnonzero(~agree[suffixes])
-    runs = np.diff(np.append(heads, len(suffixes)))
     best = np.empty(len(text), np.int64)
-    best[suffixes] = np.repeat(np.minimum.reduceat(owner, heads), runs)
-    # Back from distinct segments to all.
-    n = (sizes - LENGTH + 1).astype(np.int64)
-    of = np.repeat(np.arange(len(sizes), dtype=np.int32), n)
-    place = np.repeat(to[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return of, best[place] < ids[of]
+    best[suffixes] = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.append(heads, len(suffixes))))
+    return best, to
 
 
 def _removals(n_buckets: int):
@@ -378,29 +394,37 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans, ``left`` (the bytes that stay) and ``read`` (their whole characters) to rows with
-    doc_id and text."""
+    doc_id and text; columns of these names are replaced."""
     prepared(docs.sparkSession)
-    names = docs.columns
-    rows = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST))).withColumn("row", F.xxhash64("id", F.coalesce("text", F.lit(""))))
+    others = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "left", "read")]
+    # What rows carry is boxed, so that no column of theirs clashes with those needed here.
+    row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("carried")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST)).alias("id"), "text", row).withColumn("row", F.xxhash64("id", F.coalesce("text", F.lit(""))))
     texts = rows.select("id", "row", F.coalesce("text", F.lit("")).alias("text"))
-    digests = texts.select("id", "row", F.md5("text").alias("digest"))
-    first = written(digests.groupBy("digest").agg(F.min("id").alias("first")), "first")
-    copies = written(digests.join(first, "digest").where("id > first").select("id", "row", F.lit(True).alias("copy")).distinct(), "copies")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = max(-(-size // (ANCHOR_EVERY * PART_ANCHORS)), min(12, size // 1_000_000 + 1))
-    packed = texts.mapInArrow(lean(_anchors(n_parts)), "part long, anchors binary, counts binary, rows binary")
-    dealt = packed.repartitionById(n_parts, F.col("part").cast("int")).mapInArrow(lean(_shared(n_parts)), _DEALT)
-    shared = written(dealt.repartitionById(n_parts, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "shared")
-    release(docs.sparkSession)
-    n_shared = shared.agg(F.sum(F.octet_length("values") / 8)).first()[0] or 0
-    n_shards = max(int(n_shared * SEGMENT_BYTES // SHARD_BYTES) + 1, min(12, size // 1_000_000 + 1))
-    segments = squeezed(texts).join(shared.select("row", "values").join(copies, "row", "left_anti"), "row").mapInArrow(lean(_segments(n_shards)), "shard long, ids binary, rows binary, counts binary, starts binary, sizes binary, bytes binary")
-    dealt = segments.repartitionById(n_shards, F.col("shard").cast("int")).mapInArrow(lean(_removals(n_parts)), _DEALT)
-    ranges = written(dealt.repartitionById(n_parts, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "ranges")
+    with scope() as keep:
+        digests = texts.select("id", "row", F.unhex(F.sha2("text", 256)).alias("digest"))
+        first = written(digests.groupBy("digest").agg(F.min("id").alias("first")), "first")
+        copies = keep(written(digests.join(first, "digest").where("id > first").select("id", "row", F.lit(True).alias("copy")).distinct(), "copies"))
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_parts = max(-(-size // (ANCHOR_EVERY * PART_ANCHORS)), min(12, size // 1_000_000 + 1))
+        packed = texts.mapInArrow(lean(_anchors(n_parts)), "part long, anchors binary, counts binary, rows binary")
+        dealt = packed.repartitionById(n_parts, F.col("part").cast("int")).mapInArrow(lean(_shared(n_parts)), _DEALT)
+        shared = written(dealt.repartitionById(n_parts, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "shared")
+        release(docs.sparkSession)
+        n_shared = shared.agg(F.sum(F.octet_length("values") / 8)).first()[0] or 0
+        n_shards = max(int(n_shared * SEGMENT_BYTES // SHARD_BYTES) + 1, min(12, size // 1_000_000 + 1))
+        # Hints: a join by broadcast would put two functions of Python into one task.
+        wanted = squeezed(texts).join(shared.select("row", "values").hint("merge"), "row").join(copies.select("id", "row"), ["id", "row"], "left_anti")
+        segments = wanted.mapInArrow(lean(_segments(n_shards)), "shard long, ids binary, rows binary, counts binary, starts binary, sizes binary, bytes binary")
+        dealt = segments.repartitionById(n_shards, F.col("shard").cast("int")).mapInArrow(lean(_removals(n_parts)), _DEALT)
+        ranges = keep(written(dealt.repartitionById(n_parts, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "ranges"))
     release(docs.sparkSession)
-    joined = squeezed(rows).join(ranges, ["id", "row"], "left").join(copies, ["id", "row"], "left").drop("id", "row")
-    fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("left", "binary"), ("read", "string")]
-    return joined.mapInArrow(lean(_cut), with_fields(docs.select(*names).schema, *fields))
+    gone = ranges.join(copies, ["id", "row"], "full")
+    joined = squeezed(rows).join(gone.hint("merge"), ["id", "row"], "left").select("text", "carried", "values", "copy")
+    fields = "n_bytes long, n_removed long, n_spans long, left binary, read string"
+    done = joined.mapInArrow(lean(_cut), f"text string, carried {rows.schema['carried'].dataType.simpleString()}, {fields}")
+    new = [f.split(" ")[0] for f in fields.split(", ")]
+    return done.select(*["text" if c == "text" else F.col(f"carried.`{c}`").alias(c) for c in docs.columns if c == "text" or c in others], *new)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,12 +204,31 @@ def test_suffix_array_is_sorted():
         whole = text.tobytes()
         order = suffix_array.suffix_array(text)
         assert order.tolist() == sorted(range(len(text)), key=lambda i: whole[i:])
-        agree = suffix_array.common_prefixes(text, order, 8)
+        common = suffix_array.common_prefixes(text, order)
+        assert common[order[0]] == 0
         for a, b in zip(order[:-1], order[1:], strict=True):
-            assert agree[b] == (whole[a : a + 8] == whole[b : b + 8] and max(a, b) + 8 <= len(text))
+            assert common[b] == len(os.path.commonprefix([whole[a:], whole[b:]]))
     assert suffix_array.suffix_array(np.zeros(0, np.uint8)).tolist() == []
 
 
+@pytest.mark.parametrize("shorter", [0.75, 100, 0])
+def test_suffix_array_of_repetitive_texts(monkeypatch, shorter):
+    """By recursion where names shorten the text (0.75), always (100) and never (0)."""
+    monkeypatch.setattr(suffix_array, "SHORTER", shorter)
+    rng = np.random.default_rng(8)
+    words = [rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8).tobytes() + b" " for _ in range(900)]
+    prose = b"".join(words[i] for i in rng.integers(0, 900, 3000))
+    texts = [prose + b"\0" + prose[500:9000] + b"\0" + prose[700:], b"ab" * 400, b"a" * 5000 + b"b" + b"a" * 4000, b"abcab" * 300 + b"abd", bytes(range(256)) * 8, b"".join(prose[:3000] + b"\0" for _ in range(30)), b"ba" * 300 + b"\0" + b"ab" * 300]
+    for whole in texts:
+        if shorter == 100 and len(set(whole)) < 4:
+            continue  # there, recursion alone is as deep as the text is long
+        order = suffix_array.suffix_array(np.frombuffer(whole, np.uint8))
+        assert order.tolist() == sorted(range(len(whole)), key=lambda i: whole[i:])
+        common = suffix_array.common_prefixes(np.frombuffer(whole, np.uint8), order)
+        some = range(0, len(whole) - 1, 7)
+        assert [int(common[order[i + 1]]) for i in some] == [len(os.path.commonprefix([whole[order[i] :], whole[order[i + 1] :]])) for i in some]
+
+
 def expected_cuts(rows, length=50):
     owner, out = {}, []
     ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
@@ -248,8 +267,12 @@ def test_passages_match_brute_force(spark, monkeypatch, hot):
             parts += [p[rng.choice([0, 0, 5]) :], make(rng.choice([0, 1, 40]))]
         rows.append((i, "".join(parts)))
     rows += [(200, "ab" * 300), (201, "ab" * 100), (202, "a" * 500), (203, "a" * 60), (204, None), (205, ""), (None, shared[3]), (7, rows[7][1])]
-    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, row_ int").repartition(6)
-    got = suffix_dedup.deduplicated(docs).collect()
+    clash = "id string, row string, copy string, values string, carried string, left string, digest string, part string"
+    docs = spark.createDataFrame([(d, t, *"abcdefgh") for d, t in rows], f"doc_id long, text string, {clash}").repartition(6)
+    done = suffix_dedup.deduplicated(docs)
+    assert [c for c in done.columns if c in docs.columns] == [c for c in docs.columns if c != "left"] + ["left"]
+    got = done.collect()
+    assert all((r.id, r.row, r.copy, r["values"], r.carried, r.digest, r.part) == tuple("abcdegh") for r in got)
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.left)).hexdigest()) for r in got), key=str) == expected_cuts(rows)
 
 
@@ -282,7 +305,7 @@ def test_pipeline_stages(spark):
 
 
 def test_stages_keep_clashing_columns(spark, monkeypatch):
-    text = " ".join(f"plain{chr(97 + i % 26)}{chr(97 + i // 5)} words of the text and more{'.' * (i % 3 == 0)}" for i in range(60)) + ".\nsecond line\nthird line"
+    text = " ".join(f"plain{chr(97 + i % 26)}{chr(97 + i // 5)} words{chr(97 + i % 26)}{chr(97 + i // 5)} of the text{chr(97 + i % 26)}{chr(97 + i // 5)} and more{'.' * (i % 3 == 0)}" for i in range(60)) + ".\nsecond line\nthird line"
     extra = "score string, votes string, n_words string, left string, row string, id string, __p string"
     docs = spark.createDataFrame([(i, f"{text} {i}", "en", "s", 1, *"abcdefg") for i in range(3)] + [(None, None, None, None, None, *"abcdefg")], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
