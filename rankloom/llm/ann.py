@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, prepared, table, written
+from .common import keeps, lean, prepared, table, written
 
 LINES = 128
 #: Half width of the last windows, in units of the distance to be found; share of directions that then fail the threshold.
@@ -77,6 +77,14 @@ def threshold(dimension: int) -> int:
     return max(1, int(np.quantile((np.abs(way @ lines(dimension)) <= REACH).sum(axis=1), MISS, method="lower")))
 
 
+def _forget() -> None:
+    lines.cache_clear()
+    threshold.cache_clear()
+
+
+keeps(__name__, _forget)
+
+
 class Block:
     """Sorted projections of some vectors of one length."""
 

@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, lean, prepared, table, with_fields
+from .common import extended, keeps, lean, prepared, table, with_fields
 
 #: Bytes of a leaf, and those that a window takes of either side at first.
 LEAF = 4096
@@ -123,6 +123,9 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
+keeps(__name__, _codecs.clear)
+
+
 def codec(path: str, pattern: str) -> Codec:
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)

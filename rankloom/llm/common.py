@@ -17,7 +17,7 @@ from .. import scratch
 from ..scratch import dropped, scope
 from ..shipping import ship
 
-__all__ = ["boxed", "dropped", "expanded", "extended", "lean", "prepared", "release", "runs", "scope", "slices", "squeezed", "table", "with_fields", "written"]
+__all__ = ["boxed", "dropped", "expanded", "extended", "keeps", "lean", "prepared", "release", "runs", "scope", "slices", "squeezed", "table", "with_fields", "written"]
 
 #: Texts are handed to numpy in slices of at most so many bytes (or one text), whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 20
@@ -65,10 +65,22 @@ def _trim() -> None:
         pass
 
 
+#: What modules keep from task to task in a worker, and how to give it up. A worker lives on and serves other operators.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, forget: Callable[[], None]) -> None:
+    """Says how to empty the caches that functions of ``module`` fill in a worker."""
+    _caches[module] = forget
+
+
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``f`` for mapInArrow; when a task ends, its worker gives freed memory back, as workers live on idle."""
+    """``f`` for mapInArrow; the worker first empties the caches of other modules, and gives freed memory back in the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for module, forget in _caches.items():
+            if module != f.__module__:
+                forget()
         try:
             yield from f(batches)
         finally:

@@ -39,8 +39,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, dropped, expanded, lean, prepared, runs, scope, slices, squeezed, table, written
-from .shingles import exact_shingles, normalised, shingle_sets, signatures
+from .common import boxed, dropped, expanded, keeps, lean, prepared, runs, scope, slices, squeezed, table, written
+from .shingles import exact_shingles, normalised, polynomials, shingle_sets, signatures
 
 TREES = 16
 COORDINATES = 64
@@ -59,6 +59,9 @@ WORDS = 5
 SIMILARITY = 80
 
 
+keeps(__name__, polynomials.cache_clear)
+
+
 def sketched(docs: DataFrame, words: int, salt: int = 0) -> DataFrame:
     """(doc_id, n_shingles, set_key, sig) of whole texts; set_key, null for empty sets, is a digest of the words."""
 
@@ -88,7 +91,8 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, salt: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([own.column("id"), own.column("family"), pa.array(found, pa.binary())], names=["id", "family", "set"])
 
     packed = squeezed(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null"))
-    return packed.join(ids.select("id", "family"), "id").mapInArrow(lean(sets), "id long, family long, set binary")
+    # Not by broadcast, which would put two functions of Python into one task.
+    return packed.join(ids.select("id", "family").hint("merge"), "id").mapInArrow(lean(sets), "id long, family long, set binary")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, prepared, table, written
+from .common import keeps, lean, prepared, table, written
 
 SEQUENCE = 2048
 OPEN_WINDOWS = 64
@@ -171,6 +171,9 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+keeps(__name__, _tokenizers.clear)
+
+
 def tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
