@@ -1,11 +1,12 @@
 """URL filter: explicit rules first, then logistic regression on hashed character n-grams, in DataFrame functions only.
 
-The model is fitted on a small labelled URL table (at most MAX_LABELLED rows, so it can be gathered) with plain
-full-batch gradient steps; judging a URL is one column expression: n-grams of host and of path are hashed into
+The model is fitted on a small labelled URL table (of a larger one, on MAX_LABELLED rows, so that it can be gathered) with
+plain full-batch gradient steps; judging a URL is one column expression: n-grams of host and of path are hashed into
 BUCKETS, their learned weights are summed, and the sign of the sum decides. Nothing is shuffled or joined.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule fits it, and its verdict comes
-from the intercept alone. Rules compare bytes; only A-Z of the host is lower-cased. Repeated rows stay.
+from the marks of empty parts and the intercept. Rules compare bytes; only A-Z of the host is lower-cased. Repeated rows
+stay; an empty table gives an empty result; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BUCKETS = 4096
+BUCKETS = 16_384
 GRAM = 4
 MAX_LABELLED = 20_000
 
@@ -33,16 +34,51 @@ RULES = (
     ("block", "com/de/"),
 )
 
-_GOOD_HOSTS = ("www.cityherald.example.com", "news.rivertown.example.org", "blog.gardening.example.net", "docs.toolkit.example.org", "library.university.example.net", "recipes.kitchen.example.com")
-_GOOD_PATHS = ("/en/10234", "/fr/8271.html", "/de/4410/", "/es/900", "/article/history-of-bridges", "/2021/05/local-elections", "/wiki/Photosynthesis", "/guide/getting-started", "/posts/spring-planting", "/")
-_BAD_HOSTS = ("free-casino-bonus.example.com", "best-pills-online.example.net", "adult-cams.example.org", "win-prizes.click.example.com", "torrent-crack.example.net", "ads.tracker.example.com")
-_BAD_PATHS = ("/casino/slots?bonus=1", "/cheap-pills/buy-now", "/xxx/cams/live", "/win/iphone/free", "/download/keygen-crack.exe", "/redirect/banner/click", "/porn/video1", "/bet/jackpot", "/login.php", "/seo/backlinks")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The default labelled table: (url, 1 to block or 0 to allow)."""
-    good = [(f"https://{h}{p}", 0) for h in _GOOD_HOSTS for p in _GOOD_PATHS]
-    return good + [(f"http://{h}{p}", 1) for h in _BAD_HOSTS for p in _BAD_PATHS]
+#: What the default labelled table is made of: words of hosts to block and to allow, and what both are put together with.
+BAD_WORDS = (
+    "casino", "poker", "slots", "jackpot", "betting", "bets", "pills", "pharmacy", "viagra", "xxx", "porn", "adult", "cams", "escort",
+    "torrent", "warez", "crack", "keygen", "spam", "ads", "adserver", "track", "tracker", "banner", "popup", "phishing", "malware",
+    "scam", "lottery", "prizes", "payday-loans", "replica", "clickbait", "link-farm",
+)
+GOOD_WORDS = (
+    "news", "library", "museum", "school", "garden", "recipes", "travel", "history", "science", "weather", "music", "theatre", "cycling",
+    "village", "council", "hospital", "university", "journal", "archive", "market", "forum", "docs", "wiki", "photos", "nature",
+    "astronomy", "knitting", "chess", "bakery", "freedom", "farming", "adults-choir", "betterhomes", "trackandfield",
+)
+_JOINS = ("{w}", "{w}-online", "best-{w}", "free-{w}", "{w}24", "my{w}", "{w}-world", "the{w}", "{w}-x", "{w}hub")
+#: Frequent groups of letters, for invented names.
+_SYLLABLES = (
+    "th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng",
+    "se", "ha", "as", "ou", "io", "le", "ing", "tion", "sh", "ble", "ly", "wh", "ver", "ch", "be", "ent",
+)
+_FRONTS, _ENDS = ("", "www.", "m.", "blog."), ("com", "org", "net")
+_PATHS = ("/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}", "/", "/index.html", "/a/{n}", "/2021/05/{n}", "/p?id={n}")
+_GOOD_PATHS, _BAD_PATHS = ("/article/{w}/{n}", "/guide/{w}"), ("/{w}/win?n={n}", "/buy/{w}/{n}")
+
+
+def labelled_urls(part: int = 0) -> list[tuple[str, int]]:
+    """The default labelled table, made by rule: (url, 1 to block or 0 to allow).
+
+    part: 0 for the table that the model is fitted on; 1 for one of other hosts to hold it against.
+    """
+    out, number = [], 0
+
+    def add(word: str, join: str, label: int, own: tuple[str, ...]) -> None:
+        nonlocal number
+        number += 1
+        host = f"{_FRONTS[number % 4]}{join.format(w=word)}.example.{_ENDS[number % 3]}"
+        path = (own[number % 2] if number % 5 == 0 else _PATHS[number % len(_PATHS)]).format(w=word, n=1000 + 37 * number % 50_000)
+        out.append((f"http{'s' * (number % 2)}://{host}{path}", label))
+
+    for words, label, own in ((BAD_WORDS, 1, _BAD_PATHS), (GOOD_WORDS, 0, _GOOD_PATHS)):
+        for i, word in enumerate(words):
+            # Of ten ways to put a host together, every part has its own five.
+            for k in range((i + part) % 2, 10, 2):
+                add(word, _JOINS[k], label, own)
+    n = len(_SYLLABLES)
+    for i in range(part, 1200, 2):  # invented names
+        add("".join(_SYLLABLES[(i + (11 * k + i // n) * k) % n] for k in range(2 + i % 3)), "{w}", 0, _GOOD_PATHS)
+    return out
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,14 +102,13 @@ def _grams(host: str, path: str) -> list[int]:
     return out
 
 
-def fit(labelled: list[tuple[str, int]], steps: int = 200, rate: float = 2.0, decay: float = 1e-3) -> list[float]:
+def fit(labelled: list[tuple[str, int]], steps: int = 600, rate: float = 20.0, decay: float = 5e-5) -> list[float]:
     """Weights by bucket, the intercept last. An empty table gives zeros: everything is allowed.
 
-    URLs are counted as shares of their n-grams, so that long paths weigh no more than short ones.
+    URLs are counted as shares of their n-grams, so that long paths weigh no more than short ones; both classes weigh the
+    same, whatever their numbers.
     """
-    if len(labelled) > MAX_LABELLED:
-        raise ValueError(f"the labelled table holds more than {MAX_LABELLED} rows")
-    rows = []
+    rows, size = [], {y: max(1, sum(label == y for _, label in labelled)) for y in (0, 1)}
     for url, label in labelled:
         grams = _grams(*split_url(url))
         share: dict[int, float] = {}
@@ -85,7 +120,7 @@ def fit(labelled: list[tuple[str, int]], steps: int = 200, rate: float = 2.0, de
         step = [decay * w for w in weights]
         for share, label in rows:
             z = weights[-1] + sum(weights[g] * s for g, s in share.items())
-            error = (1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))) - label) / len(rows)
+            error = (1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))) - label) / (2 * size[int(label)])
             for g, s in share.items():
                 step[g] += error * s * 50.0
             step[-1] += error
@@ -93,6 +128,13 @@ def fit(labelled: list[tuple[str, int]], steps: int = 200, rate: float = 2.0, de
     return [round(w, 6) for w in weights]
 
 
+def trained(labelled: DataFrame) -> list[float]:
+    """Weights fitted on a table (url, label: 1 to block, 0 to allow); of a larger one, on MAX_LABELLED rows by a hash."""
+    known = labelled.where(F.col("label").isin(0, 1)).select(F.coalesce("url", F.lit("")).alias("url"), F.col("label").cast("int").alias("label"))
+    rows = known.orderBy(F.xxhash64("url"), "url", "label").limit(MAX_LABELLED).collect()
+    return fit(sorted((r.url, r.label) for r in rows))
+
+
 @functools.cache
 def default_weights() -> tuple[float, ...]:
     return tuple(fit(labelled_urls()))
@@ -136,10 +178,13 @@ def log_odds(weights) -> Column:
     return F.expr(mean.replace("__w", array)) + F.lit(float(weights[-1]))
 
 
-def judged(pages: DataFrame, url: str = "url", rules=RULES, weights=None) -> DataFrame:
-    """Adds ``host``, ``path``, ``rule`` and ``verdict`` (allow or block)."""
+def judged(pages: DataFrame, url: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """Adds ``host``, ``path``, ``rule`` and ``verdict`` (allow or block); columns of these names are replaced.
+
+    labelled: (url, label) that the model is fitted on; by default ``labelled_urls``.
+    """
     rule, action = rule_columns(rules)
-    odds = log_odds(weights or default_weights())
+    odds = log_odds(default_weights() if labelled is None else trained(labelled))
     model = F.when(odds > 0, F.lit("block")).otherwise(F.lit("allow"))
     return with_host_and_path(pages, url).withColumn("rule", rule).withColumn("verdict", F.coalesce(action, model))
 

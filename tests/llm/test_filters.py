@@ -168,19 +168,35 @@ def test_url_rules_and_parts(spark):
         assert got[i].verdict == verdict if verdict else got[i].verdict in ("allow", "block")
 
 
-def test_url_model_matches_its_formula_and_learns(spark):
+def test_url_model_matches_its_formula(spark):
     weights = url_filter.default_weights()
-    urls = [u for u, _ in url_filter.labelled_urls()] + [u for u, _, _ in URLS]
+    urls = [u for u, _ in url_filter.labelled_urls()[::9]] + [u for u, _, _ in URLS]
     pages = spark.createDataFrame([(u,) for u in urls], "url string")
-    got = url_filter.with_host_and_path(pages).withColumn("odds", url_filter.log_odds(weights)).collect()
-    for r in got:
+    for r in url_filter.with_host_and_path(pages).withColumn("odds", url_filter.log_odds(weights)).collect():
         grams = url_filter._grams(*url_filter.split_url(r.url))
         assert r.odds == pytest.approx(sum(weights[g] for g in grams) / len(grams) + weights[-1], abs=1e-9)
-    label = dict(url_filter.labelled_urls())
-    assert all((r.odds > 0) == bool(label[r.url]) for r in got if r.url in label)
     assert url_filter.fit([]) == [0.0] * (url_filter.BUCKETS + 1)
 
 
+def test_url_model_on_held_out_hosts(spark):
+    fitted, held = url_filter.labelled_urls(), url_filter.labelled_urls(1)
+    host = lambda u: url_filter.split_url(u)[0]
+    assert not {host(u) for u, _ in fitted} & {host(u) for u, _ in held}
+    label = dict(held)
+    got = url_filter.judged(spark.createDataFrame([(u,) for u in label], "url string"), rules=()).collect()
+    blocked = [label[r.url] for r in got if r.verdict == "block"]
+    assert sum(blocked) / len(blocked) > 0.9 and sum(blocked) / sum(label.values()) > 0.9
+
+
+def test_url_model_of_a_given_table(spark):
+    table = spark.createDataFrame([(f"http://red{i}.example.com/{i}", 1) for i in range(30)] + [(f"http://blue{i}.example.com/{i}", 0) for i in range(30)] + [(None, 0), ("x", None), ("y", 7)], "url string, label int")
+    pages = spark.createDataFrame([("http://red99.example.net/5", "h", "r"), ("http://blue99.example.net/5", "h", "r")] * 2, "url string, host string, rule string")
+    got = [(r.host, r.rule, r.verdict) for r in url_filter.judged(pages, labelled=table, rules=()).collect()]
+    assert got == [("red99.example.net", None, "block"), ("blue99.example.net", None, "allow")] * 2
+    assert url_filter.judged(pages.where("false")).count() == 0
+    assert {r.verdict for r in url_filter.judged(pages, labelled=table.where("false"), rules=()).collect()} == {"allow"}
+
+
 NASTY = ["", "plain", "<|im_end|>", "<|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|", "a<|b<\\|c\n<|im_end|>\n", "ends with <", "\n\n", "$1 \\1 \\"]
 
 
