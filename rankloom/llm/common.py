@@ -74,13 +74,17 @@ def keeps(module: str, forget: Callable[[], None]) -> None:
     _caches[module] = forget
 
 
+def _forget_others(module: str) -> None:
+    for other, forget in _caches.items():
+        if other != module:
+            forget()
+
+
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``f`` for mapInArrow; the worker first empties the caches of other modules, and gives freed memory back in the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for module, forget in _caches.items():
-            if module != f.__module__:
-                forget()
+        _forget_others(f.__module__)
         try:
             yield from f(batches)
         finally:

@@ -1,27 +1,38 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into a fixed number of virtual slots (thousands, whatever the number of shards). The bytes of each
-slot are summed, and a versioned map says which shard holds which slot. The map is all that the driver handles: its
-length is the number of slots, not of records. Rebalancing edits the map: a new shard takes slots and nothing else
-moves, and an overfull shard gives away as few slots as it can.
+slot are summed, and a versioned map, kept as a table in the shared folder, says which shard holds which slot. The map is
+all that the driver handles: its length is the number of slots, not of records. Where the latest version is still even
+enough for the bytes counted now, it is used as it is; otherwise it is edited and stored as the next version: an overfull
+shard gives slots away, or exchanges them for smaller ones, as few as it can, and a new shard takes slots and nothing else
+moves. Records are placed by what the stored version says.
 
 Law ``bytes``: shards hold nearly equal sums of record sizes. Defined results: a null text counts as empty (size 16,
 crc 0); records are hashed by key and text, so that a key of many records spreads over slots; repeated rows are numbered
-like any others (rows equal in both share a virtual slot); an empty table gives an empty result.
+like any others (rows equal in both share a virtual slot); an empty table gives an empty result; columns named like a
+result are replaced.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from .common import table, written
 
 N_SLOTS = 4096
 RECORD_OVERHEAD = 16
+#: Gap between the fullest and the emptiest shard beyond which a map is edited, as a share of a shard's mean.
+TOLERANCE = 0.002
+#: Records of a virtual slot that one task numbers.
+PART_ROWS = 250_000
+MAP_DDL = "version int, n_shards int, slot int, shard int"
 
 
 @dataclass(frozen=True)
@@ -73,37 +84,63 @@ class SlotMap:
         """Moves slots from the fullest to the emptiest shard while that narrows a gap beyond the tolerance."""
         held, slots = self._loads(slot_bytes, self.n_shards)
         shard_of, share = list(self.shard_of), sum(held) / self.n_shards
+        of = lambda x: slot_bytes.get(x, 0)
         for _ in range(len(shard_of)):
             full = max(range(self.n_shards), key=lambda s: (held[s], -s))
             empty = min(range(self.n_shards), key=lambda s: (held[s], s))
             gap = held[full] - held[empty]
-            slot = next((x for x in reversed(slots[full]) if 0 < slot_bytes.get(x, 0) < gap), None)
-            if gap <= tolerance * share or slot is None:
+            if gap <= tolerance * share:
                 break
-            slots[full].remove(slot)
-            slots[empty].append(slot)
-            slots[empty].sort(key=lambda x: (slot_bytes.get(x, 0), -x))
-            shard_of[slot] = empty
-            held[full] -= slot_bytes[slot]
-            held[empty] += slot_bytes[slot]
+            # One slot, or one in exchange for a smaller one, that brings both as near to their mean as can be.
+            small = [(0, None), *((of(y), y) for y in slots[empty])]
+            sizes = [b for b, _ in small]
+            best = None
+            for x in slots[full]:
+                k = bisect.bisect_left(sizes, of(x) - gap / 2)
+                for b, y in small[max(k - 1, 0) : k + 1]:
+                    moved = of(x) - b
+                    if 0 < moved < gap and (best is None or abs(gap - 2 * moved) < best[0]):
+                        best = (abs(gap - 2 * moved), x, y)
+            if best is None:
+                break
+            for slot, old, new in ((best[1], full, empty), (best[2], empty, full)):
+                if slot is not None:
+                    slots[old].remove(slot)
+                    bisect.insort(slots[new], slot, key=lambda x: (of(x), -x))
+                    shard_of[slot] = new
+                    held[old] -= of(slot)
+                    held[new] += of(slot)
         return SlotMap(self.version + 1, self.n_shards, tuple(shard_of))
 
+    def uneven(self, slot_bytes: dict[int, int]) -> float:
+        """The gap between the fullest and the emptiest shard, as a share of a shard's mean."""
+        held, _ = self._loads(slot_bytes, self.n_shards)
+        return (max(held) - min(held)) * self.n_shards / (sum(held) or 1)
+
     def rows(self) -> list[tuple[int, int, int, int]]:
         return [(self.version, self.n_shards, slot, shard) for slot, shard in enumerate(self.shard_of)]
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Appends this version to the map's table."""
-        spark.createDataFrame(self.rows(), "version int, n_shards int, slot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        spark.createDataFrame(self.rows(), MAP_DDL).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """A version of the map, by default the latest."""
-        rows = spark.read.parquet(path)
+        rows = spark.read.schema(MAP_DDL).parquet(path)
         version = version if version is not None else rows.agg(F.max("version")).first()[0]
         found = rows.where(F.col("version") == version).orderBy("slot").collect()
         return cls(version, found[0].n_shards, tuple(r.shard for r in found))
 
 
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str) -> SlotMap | None:
+        """The latest version, or None where there is no map yet."""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+        return cls.load(spark, path) if there else None
+
+
 def hashed(records: DataFrame, key: str, text: str, n_slots: int = N_SLOTS) -> DataFrame:
     """Adds ``size``, ``text_crc32`` and ``virtual_slot``."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -114,36 +151,61 @@ def hashed(records: DataFrame, key: str, text: str, n_slots: int = N_SLOTS) -> D
     )
 
 
-def slot_statistics(slotted: DataFrame) -> dict[int, tuple[int, int]]:
-    """Bytes and rows of each virtual slot: at most as many rows as there are slots."""
-    found = slotted.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
-    return {r.virtual_slot: (r.b, r.n) for r in found}
+def slot_bytes_of(slotted: DataFrame) -> dict[int, int]:
+    """Bytes of each virtual slot: at most as many rows as there are slots."""
+    return {r.virtual_slot: r.b for r in slotted.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect()}
+
 
+def current_map(spark: SparkSession, folder: str, n_shards: int, slot_bytes: dict[int, int], n_slots: int = N_SLOTS, tolerance: float = TOLERANCE) -> SlotMap:
+    """The stored map in ``folder``, after it was made or edited for these bytes where that is needed.
 
-def sharded(slotted: DataFrame, slot_map: SlotMap, slot_rows: dict[int, int], order: list[str]) -> DataFrame:
+    An edit is stored as the next version only if it makes shards more even. A folder with a map of fewer shards gets its
+    map grown one shard after the other.
+    """
+    found = SlotMap.stored(spark, folder)
+    if found is None:
+        SlotMap.balanced(n_slots, n_shards, slot_bytes).save(spark, folder)
+        return SlotMap.load(spark, folder)
+    if found.n_shards > n_shards or len(found.shard_of) != n_slots:
+        raise ValueError("the stored map has more shards, or other slots")
+    while found.n_shards < n_shards:
+        found = found.grown(slot_bytes)
+        found.save(spark, folder)
+    if found.uneven(slot_bytes) > tolerance:
+        edited = found.rebalanced(slot_bytes, tolerance)
+        if edited.uneven(slot_bytes) < found.uneven(slot_bytes):
+            edited.save(spark, folder)
+    return SlotMap.load(spark, folder)
+
+
+def sharded(slotted: DataFrame, slot_map: SlotMap, order: list[str], part_rows: int = PART_ROWS) -> DataFrame:
     """Adds ``shard`` and ``slot``, the place of a record in its shard (gapless from 0).
 
-    Records are numbered inside their virtual slot, of which there are thousands, and the slots of a shard follow each
-    other; no task sees a whole shard. The map is broadcast: it has one row for each virtual slot. Columns of these
-    names are replaced.
+    Records are numbered inside parts of their virtual slot, of some ``part_rows`` records each; the parts of a slot and
+    the slots of a shard follow each other, so no task sees a whole shard. The places of parts are broadcast: one row for
+    each virtual slot and part. Columns of these names are replaced.
     """
-    spark, filled, rows = slotted.sparkSession, [0] * slot_map.n_shards, []
-    for slot, shard in enumerate(slot_map.shard_of):
-        rows.append((slot, shard, filled[shard]))
-        filled[shard] += slot_rows.get(slot, 0)
-    places = spark.createDataFrame(rows, "virtual_slot int, shard int, base long")
-    own = Window.partitionBy("virtual_slot").orderBy(*order)
-    slotted = slotted.drop("shard", "slot", "base")
+    spark = slotted.sparkSession
+    slotted = slotted.drop("shard", "slot", "base", "__part")
+    parts = max(1, -(-slotted.count() // (len(slot_map.shard_of) * part_rows)))
+    slotted = slotted.withColumn("__part", F.pmod(F.xxhash64(*order, F.lit(parts)), F.lit(parts)).cast("int"))
+    counts = {(r.virtual_slot, r.p): r.n for r in slotted.groupBy("virtual_slot", F.col("__part").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    filled, rows = [0] * slot_map.n_shards, []
+    for slot, part in sorted(counts):
+        shard = slot_map.shard_of[slot]
+        rows.append((slot, part, shard, filled[shard]))
+        filled[shard] += counts[slot, part]
+    places = spark.createDataFrame(rows, "virtual_slot int, __part int, shard int, base long")
+    own = Window.partitionBy("virtual_slot", "__part").orderBy(*order)
     numbered = slotted.withColumn("__n", F.row_number().over(own) - 1)
-    return numbered.join(F.broadcast(places), "virtual_slot").withColumn("slot", F.col("base") + F.col("__n")).drop("base", "__n")
+    return numbered.join(F.broadcast(places), ["virtual_slot", "__part"]).withColumn("slot", F.col("base") + F.col("__n")).drop("base", "__n", "__part")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 40) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     slotted = written(hashed(docs, "doc_id", "text").drop("text"), "slotted")
-    stats = slot_statistics(slotted)
-    slot_map = SlotMap.balanced(N_SLOTS, n_shards, {s: b for s, (b, _) in stats.items()})
-    placed = sharded(slotted, slot_map, {s: n for s, (_, n) in stats.items()}, ["doc_id", "text_crc32", "size"])
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
+    folder = f"{scratch.shared_dir(spark)}/{spark.sparkContext.applicationId}/slot-maps/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}-{n_shards}"
+    slot_map = current_map(spark, folder, n_shards, slot_bytes_of(slotted))
+    return sharded(slotted, slot_map, ["doc_id", "text_crc32", "size"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version")
     )

@@ -109,22 +109,43 @@ def test_packing_nothing(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_shards_are_near_equal_and_gapless(spark):
+@pytest.mark.parametrize("part_rows", [250_000, 2])
+def test_shards_are_near_equal_and_gapless(spark, part_rows):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randint(0, 400)) for i in range(3000)] + [(None, "null id"), (7, None), (7, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, base int, shard int")
     slotted = sharding.hashed(docs, "doc_id", "text", 512).drop("text").cache()
-    stats = sharding.slot_statistics(slotted)
-    slot_map = sharding.SlotMap.balanced(512, 8, {s: b for s, (b, _) in stats.items()})
-    got = sharding.sharded(slotted, slot_map, {s: n for s, (_, n) in stats.items()}, ["doc_id", "text_crc32", "size"]).collect()
+    slot_map = sharding.SlotMap.balanced(512, 8, sharding.slot_bytes_of(slotted))
+    got = sharding.sharded(slotted, slot_map, ["doc_id", "text_crc32", "size"], part_rows).collect()
     assert len(got) == len(rows)
     size, slots = defaultdict(int), defaultdict(list)
     for r in got:
         size[r.shard] += r.size
         slots[r.shard].append(r.slot)
+        assert slot_map.shard_of[r.virtual_slot] == r.shard
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(size.values()) < 1.02 * min(size.values())
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in rows)
+    assert sharding.sharded(slotted.where("false"), slot_map, ["doc_id"]).count() == 0
+
+
+def test_op6_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    got = sharding.op6_sharding(spark, folder).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    held, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        assert (r["size"], r.text_crc32) == (len(docs[r.doc_id].encode()) + 16, zlib.crc32(docs[r.doc_id].encode()))
+        assert (r.law, r.grown_shard) == ("bytes", None) and 0 <= r.shard < 40
+        held[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # Largest first to the emptiest is at most 4/3 of the best, and no shard can hold less than the largest document.
+    best = max(sum(held.values()) / 40, max(r["size"] for r in got))
+    assert max(held.values()) <= 4 / 3 * best + 1
+    again = sharding.op6_sharding(spark, folder).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in got}
 
 
 def test_slot_map_edits_move_little(spark, tmp_path):
@@ -136,14 +157,28 @@ def test_slot_map_edits_move_little(spark, tmp_path):
     held, _ = grown._loads(slot_bytes, 11)
     assert held[10] > 0.8 * sum(held) / 11
     heavier = slot_bytes | {s: 40 * b for s, b in slot_bytes.items() if first.shard_of[s] == 3}
-    held, _ = first.rebalanced(heavier)._loads(heavier, 10)
-    assert max(held) < 1.5 * sum(held) / 10
+    assert first.rebalanced(heavier, 0.001).uneven(heavier) < 0.01 < first.uneven(heavier)
     first.save(spark, str(tmp_path / "map"))
     grown.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == grown
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
 
 
+def test_stored_map_is_edited_when_bytes_change(spark, tmp_path):
+    rng, folder = random.Random(9), str(tmp_path / "maps")
+    slot_bytes = {s: rng.randint(1, 1000) for s in range(1000)}
+    first = sharding.current_map(spark, folder, 10, slot_bytes, 1024)
+    assert first.version == 1 and sharding.current_map(spark, folder, 10, slot_bytes, 1024) == first
+    more = {s: b + rng.randint(0, 100) for s, b in slot_bytes.items()}
+    second = sharding.current_map(spark, folder, 10, more, 1024)
+    assert second.version == 2 and second.uneven(more) <= sharding.TOLERANCE < first.uneven(more)
+    assert sum(a != b for a, b in zip(first.shard_of, second.shard_of, strict=True)) < 100
+    third = sharding.current_map(spark, folder, 11, more, 1024)
+    assert third.n_shards == 11 and third.version >= 3 and sharding.SlotMap.load(spark, folder, 1) == first
+    with pytest.raises(ValueError):
+        sharding.current_map(spark, folder, 5, more, 1024)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((20, 16))
