@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import json
 import time
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import adaptive, clustering, learners, ranking, reports, rounds
+from .operators import adaptive, clustering, learners, ranking, reports, rounds, telemetry
+from .scratch import scope, written
 from .shipping import ship
 from .sources import groups
 
@@ -52,27 +57,37 @@ class Config:
     use_cache: bool = True
 
 
-MULTILEAVERS = {"team_draft": rounds.drafted}
-ATTRIBUTIONS = {"team_draft_legacy": rounds.credited}
 TRACKERS = ("cumulative", "discounted")
+LINEAR = ("linucb", "linear_ts")
 
+#: Arms that a program adds: by name, a function from the configuration to a score column over (query_id, doc, rel, features).
+OWN_ARMS: dict[str, Callable[[Config], Column]] = {}
 
-def chosen(registry: dict, name: str):
-    """The entry of a registry; ValueError with the names it has otherwise."""
-    if name not in registry:
-        raise ValueError(f"unknown name {name!r}; there are {sorted(registry)}")
-    return registry[name]
+
+def trained_arms(train: DataFrame, names: list[str], config: Config) -> learners.Arms:
+    """Everything that arms learn before the first round."""
+    arms = learners.Arms()
+    if any(n in LINEAR for n in names):
+        arms.projection = learners.projection(train, config.pca_dim)
+        arms.bandit = learners.LinearBandit(arms.projection.components.shape[1])
+    for name in names:
+        if name.startswith("xgb") and name not in OWN_ARMS:
+            settings = {"n_trees": config.trees, "depth": config.depth, "rate": 0.1, "share": config.train_fraction} if name == "xgboost" else ranking.boosted_settings(name)
+            arms.boosted[name] = learners.boosted(train, seed=config.seed, **settings)
+    return arms
 
 
-def arm_scores(docs: DataFrame, train: DataFrame, names: list[str], config: Config) -> tuple[DataFrame, dict[str, Column]]:
-    """The documents with the columns that the arms' scores need, and the scores by arm."""
+def arm_scores(docs: DataFrame, arms: learners.Arms, names: list[str], config: Config) -> tuple[DataFrame, dict[str, Column]]:
+    """The documents with the columns that the arms' scores need, and the scores by arm; those of bandits are the ones that
+    they begin with."""
     rows, scores = docs, {}
-    linear = [n for n in names if n in ("linucb", "linear_ts")]
-    if linear:
-        shape = learners.projection(train, config.pca_dim)
-        rows = rows.withColumn("__x", shape.column())
-        bandit = learners.LinearBandit(shape.components.shape[1])
+    if any(n in LINEAR for n in names):
+        rows = rows.withColumn("__x", arms.projection.column())
+    bandit = arms.bandit
     for name in names:
+        if name in OWN_ARMS:
+            scores[name] = OWN_ARMS[name](config)
+            continue
         if name == "random":
             scores[name] = ranking.by_chance(config.seed)
         elif name == "single_feature":
@@ -84,13 +99,7 @@ def arm_scores(docs: DataFrame, train: DataFrame, names: list[str], config: Conf
         elif name == "linear_ts":
             scores[name] = bandit.drawn(config.seed, "__x")
         elif name.startswith("xgb"):
-            share = config.train_fraction if name == "xgboost" else 1.0
-            settings = dict(n_trees=config.trees, depth=config.depth, rate=0.1, share=share)
-            if name != "xgboost":
-                part = dict(zip("dn", (int(x[1:]) for x in name.split("_")[1:3]), strict=True))
-                settings |= dict(n_trees=part["n"], depth=part["d"], rate=int(name.split("_")[3][2:]) / 100)
-            model = learners.boosted(train, seed=config.seed, **settings)
-            rows = model.scored(rows).withColumnRenamed("score", f"__{name}")
+            rows = arms.boosted[name].scored(rows).withColumnRenamed("score", f"__{name}")
             scores[name] = F.col(f"__{name}")
         elif name.startswith("feature_"):
             scores[name] = ranking.by_feature(int(name.removeprefix("feature_")))
@@ -125,22 +134,14 @@ def two_level_settings(spark: SparkSession, ranked: DataFrame, names: list[str],
     return {"clusters": clusters, "reps": reps, "level1_rounds": config.level1_rounds, "warm": config.warm_start}
 
 
-def run(spark: SparkSession, docs: DataFrame, config: Config, train: DataFrame | None = None) -> dict:
-    """Ranks, replays and summarises. docs: (query_id, doc, rel, features); training takes them too unless given its own."""
-    began = time.time()
-    ship(spark)
-    rounds.scenario(config.scenario)
-    chosen(MULTILEAVERS, config.multileaving)
-    chosen(ATTRIBUTIONS, config.attribution)
-    if config.tracker not in TRACKERS:
-        raise ValueError(f"unknown tracker {config.tracker!r}")
-    names = pool_names(spark, config)
-    train = docs if train is None else train
-    train = train.join(groups.sampled(train, config.max_train_queries, config.seed), "query_id", "left_semi")
-    rows, scores = arm_scores(docs, train, names, config)
-    ranked = ranking.ranked(rows, scores)
-    if config.use_cache and len(names) >= config.cache_arms:
-        ranked = ranked.persist()
+def live_arms(arms: learners.Arms, names: list[str], config: Config) -> dict:
+    """Functions from a run's seed to the arms that go on learning in it."""
+    make = {"linucb": lambda seed: learners.LiveLinUCB(arms.bandit, config.linucb_alpha), "linear_ts": lambda seed: learners.LiveThompson(arms.bandit, seed)}
+    return {n: make[n] for n in names if n in LINEAR and n not in OWN_ARMS}
+
+
+def run_settings(spark: SparkSession, ranked: DataFrame, names: list[str], config: Config) -> tuple[str, dict]:
+    """The policy's name and settings."""
     settings: dict = {}
     kind = "hierarchical" if config.hierarchical else config.policy
     if kind in ("mdb", "multi_rucb", "hierarchical"):
@@ -151,25 +152,112 @@ def run(spark: SparkSession, docs: DataFrame, config: Config, train: DataFrame |
         settings |= two_level_settings(spark, ranked, names, config)
     if config.tracker == "discounted":
         settings["discount"] = config.discount
-    one = {"run_id": "run", "policy": kind, "scenario": config.scenario, "seed": config.seed, "settings": settings}
-    log = adaptive.adaptive_runs(ranking.listed(ranked), docs, [one], names, config.n_rounds, config.slate_size).persist()
-    total = log.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("regret").alias("r"), F.sum((F.col("n_clicks") > 0).cast("int")).alias("c"), F.sum(F.size("arms")).alias("e")
-    ).first()
-    n, clicks = total["n"], total["c"] or 0
-    picked = {r.arm: r["count"] / n for r in log.select(F.explode("arms").alias("arm")).groupBy("arm").count().collect()}
-    won = {r.winner: r["count"] / clicks for r in log.where("winner is not null").groupBy("winner").count().collect()}
-    result = {
-        "config": asdict(config) | {"arms": list(names)},
-        "metrics": {"iterations": n, "total_ndcg_regret": total["r"] or 0.0, "avg_ndcg_regret": (total["r"] or 0.0) / n if n else 0.0, "total_clicks": clicks, "click_rate": clicks / n if n else 0.0},
-        "selection_rates": picked,
-        "win_rates": won,
-        "logical_cost": {"total_evaluations": total["e"] or 0, "avg_arms_per_query": (total["e"] or 0) / n if n else 0.0, "total_queries": n},
-        "runtime": time.time() - began,
+    return kind, settings
+
+
+def checked(config: Config) -> Config:
+    rounds.scenario(config.scenario)
+    adaptive.chosen(adaptive.DRAFTS, config.multileaving)
+    adaptive.chosen(adaptive.CREDITS, config.attribution)
+    if config.tracker not in TRACKERS:
+        raise ValueError(f"unknown tracker {config.tracker!r}")
+    return config
+
+
+def run(spark: SparkSession, docs: DataFrame, config: Config, train: DataFrame | None = None, load_arms: str | None = None, save_arms: str | None = None) -> dict:
+    """Ranks, replays and summarises. docs: (query_id, doc, rel, features); training takes them too unless given its own.
+
+    load_arms: folder of trained arms, which are trained anew where it has none or not all; save_arms: folder to keep them.
+    """
+    return runs(spark, docs, [config], train, load_arms, save_arms)[0]
+
+
+#: Settings that runs may differ in and still share arms, rankings and clusters.
+PER_RUN = ("n_rounds", "scenario", "policy", "alpha", "beta", "grace_period", "relative_m", "tracker", "discount", "level1_rounds", "warm_start")
+
+
+def runs(spark: SparkSession, docs: DataFrame, configs: list[Config], train: DataFrame | None = None, load_arms: str | None = None, save_arms: str | None = None) -> list[dict]:
+    """Experiments that differ in PER_RUN settings only: arms are trained and rankings made once, and all runs of one length
+    are groups of one plan."""
+    began = time.time()
+    ship(spark)
+    config = checked(configs[0])
+    if any(replace(checked(c), **{f: getattr(config, f) for f in (*PER_RUN, "hierarchical")}) != config for c in configs):
+        raise ValueError("runs of one plan share their arms and their data")
+    names = pool_names(spark, config)
+    arms = learners.Arms.load(spark, load_arms) if load_arms else None
+    needed = {n for n in names if n.startswith("xgb") and n not in OWN_ARMS}
+    if arms is None or not needed <= set(arms.boosted) or (arms.bandit is None and any(n in LINEAR for n in names)):
+        own = docs if train is None else train
+        arms = trained_arms(own.join(groups.sampled(own, config.max_train_queries, config.seed), "query_id", "left_semi"), names, config)
+    if save_arms:
+        arms.save(spark, save_arms)
+    rows, scores = arm_scores(docs, arms, names, config)
+    ranked = ranking.ranked(rows, scores)
+    cached = config.use_cache and len(names) >= config.cache_arms
+    # Precomputed rankings don't change, so arms go on learning only where every ranking is made live.
+    live = {} if cached else live_arms(arms, names, config)
+    with scope():
+        lists = written(ranking.listed(ranked), "rankings") if cached else ranking.listed(ranked)
+        plans = []
+        for k, c in enumerate(configs):
+            kind, settings = run_settings(spark, ranked, names, c)
+            plans.append({"run_id": str(k), "policy": kind, "scenario": c.scenario, "seed": c.seed, "settings": settings})
+        logs = []
+        for n in sorted({c.n_rounds for c in configs}):
+            some = [p for p, c in zip(plans, configs, strict=True) if c.n_rounds == n]
+            logs.append(written(adaptive.adaptive_runs(lists, rows if live else docs, some, names, n, config.slate_size, live, draft=config.multileaving, credit=config.attribution), "log"))
+        log = logs[0]
+        for other in logs[1:]:
+            log = log.unionByName(other)
+        return [result_document(log.where(F.col("run_id") == p["run_id"]), c, names, p, cached, lists, time.time() - began) for p, c in zip(plans, configs, strict=True)]
+
+
+def result_document(log: DataFrame, config: Config, names: list[str], plan: dict, cached: bool, lists: DataFrame, seconds: float) -> dict:
+    """Everything a run's log tells, with the names of the document's format; it holds a number for each round."""
+    rows = log.orderBy("round").select("round", "arms", "winner", "n_clicks", "regret", "level", "live", "stats").collect()
+    n, clicks = len(rows), sum(r.n_clicks > 0 for r in rows)
+    looked, made = sum(len(r.arms) for r in rows), 0 if cached else sum(len(r.arms) for r in rows)
+    picked, won = Counter(a for r in rows for a in r.arms), Counter(r.winner for r in rows if r.winner is not None)
+    curve = list(accumulate(r.regret for r in rows))
+    total = curve[-1] if curve else 0.0
+    rate = lambda a, b: a / b if b else 0.0
+    out = {
+        "config": asdict(config)
+        | {"arms": list(names), "attribution_scheme": config.attribution, "statistics_tracker": config.tracker, "discount_factor": config.discount, "multileaving_scheme": config.multileaving}
+        | {"cluster_sample_queries": config.cluster_queries, "clustering_type": config.clustering},
+        "metrics": {"iterations": n, "total_ndcg_regret": total, "avg_ndcg_regret": rate(total, n), "total_clicks": clicks, "click_rate": rate(clicks, n)},
+        "selection_rates": {a: k / n for a, k in picked.items()},
+        "win_rates": {a: k / clicks for a, k in won.items()},
+        "policy_stats": json.loads(rows[-1].stats) if rows else {},
+        "inference_stats": {"total_queries": n, "total_inferences": made, "avg_arms_per_query": rate(made, n), "arm_costs": {} if cached else dict(picked)},
+        "history": {"cumulative_ndcg_regret": curve},
+        "success_metrics": success_metrics(rows, won),
+        "logical_cost": {"total_evaluations": looked, "avg_arms_per_query": rate(looked, n), "total_queries": n},
+        "runtime": seconds,
     }
-    log.unpersist()
-    ranked.unpersist()
-    return result
+    if plan["policy"] == "hierarchical":
+        clusters = plan["settings"]["clusters"]
+        levels = log.select("round", "level")
+        cost = telemetry.cost_reduction(levels, len(names), len(plan["settings"]["reps"]), len(names) // max(len(clusters), 1)).first()
+        out |= {"cost_metrics": cost.asDict(), "hierarchical": {"enabled": True}}
+    if cached:
+        known = lists.agg(F.count_distinct("query_id")).first()[0]
+        out["cache_stats"] = {"enabled": True, "cache_hits": looked, "cache_misses": 0, "total_lookups": looked, "hit_rate": 1.0 if looked else 0.0, "cached_arms": list(names), "n_cached_queries": known}
+    return out
+
+
+def success_metrics(rows: list, won: Counter) -> dict:
+    """The arm that won most, and the first round from which on it led."""
+    if not won:
+        return {"final_arm": None, "leading_since": None}
+    best = min(won, key=lambda a: (-won[a], a))
+    counts, since = Counter(), None
+    for r in rows:
+        counts[r.winner] += r.winner is not None
+        leads = all(counts[best] > k for a, k in counts.items() if a not in (best, None))
+        since = (r.round if since is None else since) if leads else None
+    return {"final_arm": best, "leading_since": since}
 
 
 def config_of(args: list[str]) -> tuple[Config, argparse.Namespace]:
@@ -184,6 +272,8 @@ def config_of(args: list[str]) -> tuple[Config, argparse.Namespace]:
             parser.add_argument(flag, type=int if value is None else type(value), default=value)
     parser.add_argument("--quick", action="store_true", help="1000 rounds and 1000 training queries")
     parser.add_argument("--output", default=None)
+    parser.add_argument("--load-arms", default=None, help="folder of trained arms")
+    parser.add_argument("--save-arms", default=None, help="folder to keep trained arms in")
     given = parser.parse_args(args)
     values = {k: tuple(v) if isinstance(v, list) else v for k, v in vars(given).items() if k in asdict(Config())}
     config = Config(**values)
@@ -195,17 +285,24 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("rankloom").getOrCreate()
     docs = groups.flat(groups.read_groups(spark, f"{config.data_path}/test"))
     train = groups.flat(groups.read_groups(spark, f"{config.data_path}/train"))
-    print(reports.save_result(run(spark, docs, config, train), given.output))
+    print(reports.save_result(run(spark, docs, config, train, given.load_arms, given.save_arms), given.output))
 
 
 @dataclass
 class Sweep:
-    """Independent experiments, whose runs are groups of one plan where they share rankings."""
+    """Independent experiments; those that differ in PER_RUN settings only share arms, rankings and one plan."""
 
     configs: list[Config] = field(default_factory=list)
 
-    def run(self, spark: SparkSession, docs: DataFrame) -> list[dict]:
-        return [run(spark, docs, c) for c in self.configs]
+    def run(self, spark: SparkSession, docs: DataFrame, train: DataFrame | None = None) -> list[dict]:
+        """Results in the order of the configurations."""
+        shared: dict[Config, list[int]] = {}
+        for i, c in enumerate(self.configs):
+            shared.setdefault(replace(c, **{f: getattr(Config(), f) for f in PER_RUN}), []).append(i)
+        out: dict[int, dict] = {}
+        for places in shared.values():
+            out |= dict(zip(places, runs(spark, docs, [self.configs[i] for i in places], train), strict=True))
+        return [out[i] for i in range(len(self.configs))]
 
 
 if __name__ == "__main__":

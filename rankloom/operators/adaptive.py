@@ -1,12 +1,20 @@
 """Adaptive runs: every round's arms depend on all rounds before, so a run is one sequential loop.
 
 Runs are independent of each other, and each is one group of a grouped function: rankings and relevance are gathered to
-arrays once, the loop owns the win matrices and the policy's state, and emits a row a round. A run's memory is that of
-the rankings it replays: a run of n rounds gets the first n queries, as it never comes to others.
+arrays once, the loop owns the win matrices, the policy's state and the arms that learn, and emits a row a round. A run's
+memory is that of the rankings it replays: a run of n rounds gets the first n queries, as it never comes to others.
+
+Arms that learn rank each query by what they know at that round, and all of them learn from the topmost clicked document
+of every round, whether they took part or not. Users, drafts and credit are looked up by name, so that a program may add
+its own: a click model is a function (relevance of the slate, scenario, rng, slate size) -> clicked positions, a draft is
+one of (rankings by arm, order of arms, size) -> (slate, drafting arm by document), and credit is one of (clicked
+positions, slate, drafting arm by document, participants) -> (winner or None, {(winner, loser): credit}).
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import CLICK, SCENARIOS, drafted_any, examination
+from .rounds import CLICK, Scenario, drafted_any, examination, scenario
 
 
 @dataclass
@@ -35,15 +43,17 @@ class Tracker:
     def reset(self) -> None:
         self.t, self.wins, self.met = 0, np.zeros((self.n, self.n)), np.zeros((self.n, self.n))
 
-    def update(self, winner: int | None, participants: list[int]) -> None:
+    def update(self, winner: int | None, participants: list[int], outcomes: dict[tuple[int, int], float] | None = None) -> None:
+        """outcomes: credit by (winner, loser); by default the winner beats all other participants."""
         self.t += 1
         if self.discount is not None:
             self.wins *= self.discount
-        for loser in participants if winner is not None else ():
-            if loser != winner:
-                self.wins[winner, loser] += 1
-                self.met[winner, loser] += 1
-                self.met[loser, winner] += 1
+        if outcomes is None:
+            outcomes = {(winner, loser): 1.0 for loser in participants if loser != winner} if winner is not None else {}
+        for (i, j), credit in outcomes.items():
+            self.wins[i, j] += credit
+            self.met[i, j] += 1
+            self.met[j, i] += 1
 
     def inherit(self, source: int, members: list[int]) -> None:
         """Members take over the rows and columns of the source."""
@@ -57,6 +67,10 @@ class Tracker:
     def horizon(self) -> float:
         return float(self.t) if self.discount is None else 1 / (1 - self.discount)
 
+    def statistics(self) -> dict:
+        out = {"t": self.t, "effective_t": self.horizon, "W": self.wins.tolist(), "N": self.met.tolist(), "tracker_type": "cumulative" if self.discount is None else "discounted"}
+        return out if self.discount is None else out | {"discount_factor": self.discount, "effective_horizon": self.horizon}
+
 
 class Policy:
     """All arms each round; others narrow that down."""
@@ -68,8 +82,12 @@ class Policy:
     def select(self) -> list[int]:
         return list(range(self.n))
 
-    def update(self, winner: int | None, participants: list[int]) -> None:
-        self.tracker.update(winner, participants)
+    def update(self, winner: int | None, participants: list[int], outcomes: dict[tuple[int, int], float] | None = None) -> None:
+        self.tracker.update(winner, participants, outcomes)
+
+    def statistics(self, arms: list[str]) -> dict:
+        """What a result document says of the policy; arms by name."""
+        return self.tracker.statistics()
 
 
 class Fixed(Policy):
@@ -93,11 +111,14 @@ class Thompson(Policy):
     def select(self):
         return [int(np.argmax(self.rng.beta(self.a, self.b)))]
 
-    def update(self, winner, participants):
-        super().update(winner, participants)
+    def update(self, winner, participants, outcomes=None):
+        super().update(winner, participants, outcomes)
         played = participants[0]
         (self.a if winner == played else self.b)[played] += 1
 
+    def statistics(self, arms):
+        return super().statistics(arms) | {"posterior_a": dict(zip(arms, self.a.tolist(), strict=True)), "posterior_b": dict(zip(arms, self.b.tolist(), strict=True))}
+
 
 class Dueling(Policy):
     """Arms whose optimistic win rates against all others are at least a half."""
@@ -125,6 +146,14 @@ class Dueling(Policy):
         e, f = self.qualified(arms, 1.0), self.qualified(arms, self.beta)
         return e if len(e) == 1 else f or arms
 
+    def _grace(self) -> dict:
+        return {"alpha": self.alpha, "beta": self.beta, "n_min": self.n_min, "in_grace_period": self.n_min > 0 and self.tracker.t < self.n_min}
+
+    def statistics(self, arms):
+        every = list(range(self.n))
+        f = every if self.tracker.t < self.n_min else self.qualified(every, self.beta)
+        return super().statistics(arms) | {"set_E": [arms[i] for i in self.qualified(every, 1.0)], "set_F": [arms[i] for i in f]} | self._grace()
+
 
 class Relative(Dueling):
     """Candidates by relative win rates; of more than m, m are drawn with a preference for an earlier single one."""
@@ -133,15 +162,25 @@ class Relative(Dueling):
         super().__init__(*args, **kw)
         self.m, self.best = m or self.n, None
 
-    def select(self):
-        arms = list(range(self.n))
-        if self.tracker.t < self.n_min:
-            return arms
+    def candidates(self) -> list[int]:
         w, total = self.tracker.wins, self.tracker.wins + self.tracker.wins.T
         known = np.where(total > 0, total, 1)
         u = np.where(total > 0, w / known + np.sqrt(self.alpha * np.log(max(self.tracker.t, 1)) / known), 1.0)
         np.fill_diagonal(u, 0.5)
-        found = [int(i) for i in np.flatnonzero((u >= 0.5).all(axis=1))]
+        return [int(i) for i in np.flatnonzero((u >= 0.5).all(axis=1))]
+
+    def statistics(self, arms):
+        found = self.candidates()
+        own = {"policy_type": "multi_rucb", "m": self.m, "candidate_set_C": [arms[i] for i in found], "candidate_set_size": len(found), "hypothesized_best_B": None if self.best is None else arms[self.best]}
+        grace = self._grace()
+        grace.pop("beta")
+        return Policy.statistics(self, arms) | own | grace
+
+    def select(self):
+        arms = list(range(self.n))
+        if self.tracker.t < self.n_min:
+            return arms
+        found = self.candidates()
         draw = lambda pool, k: sorted(int(x) for x in self.rng.choice(pool, size=min(k, len(pool)), replace=False))
         if not found:
             return draw(arms, self.m)
@@ -193,6 +232,10 @@ class TwoLevel(Dueling):
             return list(self.active)
         return self.qualified(self.active, 1.0) or list(self.active)
 
+    def statistics(self, arms):
+        own = {"current_level": self.level, "level1_rounds": self.level1_rounds, "winning_cluster_id": self.winner, "active_arms": [arms[i] for i in self.active], "n_clusters": len(self.clusters), "warm_start": self.warm}
+        return Policy.statistics(self, arms) | own | self._grace()
+
 
 POLICIES = {"uniform": Policy, "fixed": Fixed, "thompson": Thompson, "ts": Thompson, "mdb": Dueling, "multi_rucb": Relative, "hierarchical": TwoLevel}
 
@@ -209,69 +252,118 @@ def create_policy(name: str, arms: list[str], rng: np.random.Generator, **settin
     return POLICIES[kind.lower()](len(arms), rng, **settings)
 
 
-def clicks_of(rel: np.ndarray, scenario: str, rng: np.random.Generator, slate_size: int) -> list[int]:
-    """Clicked positions of a slate, ascending."""
-    model = SCENARIOS[scenario]
-    if model["click_model_type"] == "pbm":
-        chance = np.array(examination(slate_size))[: len(rel)] * np.array(CLICK)[np.minimum(rel, len(CLICK) - 1)]
-        return np.flatnonzero(rng.random(len(rel)) < chance).tolist()
-    p = model["params"]
-    depth = min(len(rel), p["max_depth"])
-    if model["click_model_type"] == "noisy" and rng.random() < p["noise_prob"]:
+def _position_clicks(rel: np.ndarray, told: Scenario, rng: np.random.Generator, slate_size: int) -> list[int]:
+    chance = np.array(examination(slate_size))[: len(rel)] * np.array(CLICK)[np.minimum(rel, len(CLICK) - 1)]
+    return np.flatnonzero(rng.random(len(rel)) < chance).tolist()
+
+
+def _descending_clicks(rel: np.ndarray, told: Scenario, rng: np.random.Generator, slate_size: int) -> list[int]:
+    depth = min(len(rel), told.depth)
+    if told.noise and rng.random() < told.noise:
         return [int(rng.integers(depth))] if depth else []
     for pos in range(depth):
-        if rel[pos] >= p["relevance_threshold"] and not (model["click_model_type"] == "noisy" and rng.random() < p["false_negative_rate"]):
+        if rel[pos] >= told.threshold and not (told.missed and rng.random() < told.missed):
             return [pos]
     return []
 
 
+def first_click(clicked: list[int], slate: list[int], by: dict[int, int], participants: list[int]) -> tuple[int | None, dict[tuple[int, int], float]]:
+    """The arm that drafted the topmost clicked document beats every other participant."""
+    if not clicked:
+        return None, {}
+    winner = by[slate[clicked[0]]]
+    return winner, {(winner, x): 1.0 for x in participants if x != winner}
+
+
+CLICK_MODELS: dict[str, Callable] = {"position": _position_clicks, "cascade": _descending_clicks, "noisy": _descending_clicks}
+DRAFTS: dict[str, Callable] = {"team_draft": drafted_any}
+CREDITS: dict[str, Callable] = {"team_draft_legacy": first_click}
+
+
+def chosen(registry: dict, name: str):
+    """The entry of a registry; ValueError with the names it has otherwise."""
+    if name not in registry:
+        raise ValueError(f"unknown name {name!r}; there are {sorted(registry)}")
+    return registry[name]
+
+
+def clicks_of(rel: np.ndarray, told: str | Scenario, rng: np.random.Generator, slate_size: int) -> list[int]:
+    """Clicked positions of a slate, ascending."""
+    told = scenario(told) if isinstance(told, str) else told
+    return chosen(CLICK_MODELS, told.model)(rel, told, rng, slate_size)
+
+
 def gain(rel: np.ndarray) -> float:
     return float((rel / np.log2(np.arange(len(rel)) + 2)).sum())
 
 
-ROUND_DDL = "run_id string, round int, query_id string, arms array<string>, winner string, n_clicks int, regret double, level int"
+ROUND_DDL = "run_id string, round int, query_id string, arms array<string>, winner string, n_clicks int, regret double, level int, live int, stats string"
+
 
+def simulate(
+    queries: list[tuple], arms: list[str], policy: Policy, rng: np.random.Generator, n_rounds: int, told: str | Scenario, slate_size: int = 10, run_id: str = "",
+    live: dict | None = None, draft: Callable = drafted_any, credit: Callable = first_click,
+) -> list[tuple]:
+    """Rows of ROUND_DDL; queries are (id, relevance by document, ranking by arm) and, where arms learn, the documents'
+    features; they are replayed in turn.
 
-def simulate(queries: list[tuple[str, np.ndarray, dict[str, list[int]]]], arms: list[str], policy: Policy, rng: np.random.Generator, n_rounds: int, scenario: str, slate_size: int = 10, run_id: str = "") -> list[tuple]:
-    """Rows of ROUND_DDL; queries are (id, relevance by document, ranking by arm), replayed in turn."""
-    out = []
+    live: the arms that learn, by name: objects with ``rank(features) -> documents`` and ``update(features, reward)``.
+    The column ``live`` counts the rankings that they made; ``stats`` holds the policy's statistics on the last row.
+    """
+    out, live = [], live or {}
     for t in range(n_rounds if queries else 0):
-        query_id, rel, rankings = queries[t % len(queries)]
+        query_id, rel, rankings, *x = queries[t % len(queries)]
         selected = policy.select()
+        now = [arms[i] for i in selected if arms[i] in live]
+        shown_by = {a: rankings[a] for a in (arms[i] for i in selected) if a in rankings} | {a: live[a].rank(x[0]) for a in now}
         order = [arms[i] for i in rng.permutation(selected)]
-        slate, by = drafted_any(rankings, order, min(slate_size, len(rel)))
+        slate, by = draft(shown_by, order, min(slate_size, len(rel)))
         if not slate:
             continue
         shown = rel[slate]
-        clicked = clicks_of(shown, scenario, rng, slate_size)
-        winner = arms.index(by[slate[clicked[0]]]) if clicked else None
-        policy.update(winner, selected)
+        clicked = clicks_of(shown, told, rng, slate_size)
+        winner, outcomes = credit(clicked, slate, {d: arms.index(a) for d, a in by.items()}, selected)
+        policy.update(winner, selected, outcomes)
+        if clicked:
+            for arm in live.values():
+                arm.update(x[0][slate[clicked[0]]], 1.0)
         best = gain(np.sort(rel)[::-1][: len(slate)])
         regret = max(0.0, 1 - gain(shown) / best) if best else 0.0
-        out.append((run_id, t + 1, query_id, [arms[i] for i in selected], None if winner is None else arms[winner], len(clicked), regret, policy.level))
+        out.append((run_id, t + 1, query_id, [arms[i] for i in selected], None if winner is None else arms[winner], len(clicked), regret, policy.level, len(now), None))
+    if out:
+        out[-1] = (*out[-1][:-1], json.dumps(policy.statistics(arms)))
     return out
 
 
-def adaptive_runs(rankings: DataFrame, docs: DataFrame, runs: list[dict], arms: list[str], n_rounds: int, slate_size: int = 10) -> DataFrame:
+def adaptive_runs(
+    rankings: DataFrame, docs: DataFrame, runs: list[dict], arms: list[str], n_rounds: int, slate_size: int = 10, live: dict[str, Callable] | None = None, x: str = "__x", draft: str = "team_draft", credit: str = "team_draft_legacy"
+) -> DataFrame:
     """Rounds of independent runs. runs: dicts of run_id, policy, scenario, seed and the policy's settings.
 
-    rankings: (query_id, arm, ranking); every run gets its first ``n_rounds`` queries, by id, once.
+    rankings: (query_id, arm, ranking); every run gets its first ``n_rounds`` queries, by id, once. live: for each arm that
+    learns, a function from the run's seed to a fresh arm; ``docs`` then have the features it takes in column ``x``.
     """
-    spark = rankings.sparkSession
+    drafts, credits_, own_live = chosen(DRAFTS, draft), chosen(CREDITS, credit), live or {}
     per_arm = F.map_from_entries(F.collect_list(F.struct("arm", F.expr("transform(ranking, x -> cast(x as int))").alias("r"))))
-    rel = docs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc", "rel"))).alias("d")).select("query_id", F.expr("transform(d, x -> x.rel)").alias("rel"))
-    queries = rankings.groupBy("query_id").agg(per_arm.alias("rankings")).join(rel, "query_id")
+    fields = F.struct("doc", "rel", *([F.col(x).alias("x")] if own_live else []))
+    rel = docs.groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("d"))
+    rel = rel.select("query_id", F.expr("transform(d, x -> x.rel)").alias("rel"), *([F.expr("transform(d, y -> y.x)").alias("x")] if own_live else []))
+    static = rankings.where(~F.col("arm").isin(list(own_live))) if own_live else rankings
+    queries = rel.join(static.groupBy("query_id").agg(per_arm.alias("rankings")), "query_id", "left" if own_live else "inner")
     queries = queries.orderBy("query_id").limit(n_rounds)
     settings = {r["run_id"]: r for r in runs}
-    each = spark.createDataFrame([(k,) for k in settings], "run_id string")
+    each = queries.withColumn("run_id", F.explode(F.array(*[F.lit(k) for k in settings])))
 
     def play(group: pd.DataFrame) -> pd.DataFrame:
         run = settings[group["run_id"].iloc[0]]
         rng = np.random.default_rng(run["seed"])
         rows = group.sort_values("query_id")
-        known = [(q, np.asarray(r, dtype=int), {a: list(x) for a, x in (m.items() if isinstance(m, dict) else m)}) for q, r, m in zip(rows["query_id"], rows["rel"], rows["rankings"], strict=True)]
+        known = [(q, np.asarray(r, dtype=int), {a: list(x) for a, x in (m.items() if isinstance(m, dict) else m or ())}) for q, r, m in zip(rows["query_id"], rows["rel"], rows["rankings"], strict=True)]
+        if own_live:
+            known = [(*k, np.array([np.asarray(v, float) for v in x])) for k, x in zip(known, rows["x"], strict=True)]
         policy = create_policy(run["policy"], arms, rng, **run.get("settings", {}))
-        done = simulate(known, arms, policy, rng, n_rounds, run.get("scenario", "standard"), slate_size, run["run_id"])
-        return pd.DataFrame(done, columns=[f.split(" ")[0] for f in ROUND_DDL.split(", ")])
+        fresh = {a: make(run["seed"]) for a, make in own_live.items()}
+        done = simulate(known, arms, policy, rng, n_rounds, run.get("scenario", "standard"), slate_size, run["run_id"], fresh, drafts, credits_)
+        return pd.DataFrame(done, columns=[f.split(" ")[0] for f in ROUND_DDL.split(", ")]).astype({"stats": object})
 
-    return each.crossJoin(F.broadcast(queries)).groupBy("run_id").applyInPandas(play, ROUND_DDL)
+    return each.groupBy("run_id").applyInPandas(play, ROUND_DDL)

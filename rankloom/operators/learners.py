@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import dropped, written
@@ -83,12 +84,7 @@ class LinearBandit:
 
     def drawn(self, seed: int, x: str = "x", noise: float = 1.0) -> Column:
         """Reward under weights drawn from their posterior."""
-        covariance = noise * np.linalg.inv(self.a)
-        try:
-            root = np.linalg.cholesky(covariance)
-        except np.linalg.LinAlgError:
-            least = np.linalg.eigvalsh(covariance)[0]
-            root = np.linalg.cholesky(covariance + (1e-9 - min(least, 0)) * np.eye(self.dimensions))
+        root = _root(noise * np.linalg.inv(self.a))
         theta = np.linalg.solve(self.a, self.b) + root @ np.random.default_rng(seed).standard_normal(self.dimensions)
         return _dot(x, theta)
 
@@ -122,37 +118,104 @@ def _quadratic(x: str, matrix: np.ndarray) -> Column:
     return total
 
 
+class LiveLinUCB:
+    """A linear bandit that ranks and learns inside a run: mean reward plus alpha deviations."""
+
+    def __init__(self, bandit: LinearBandit, alpha: float = 1.0):
+        self.a, self.b, self.alpha = bandit.a.copy(), bandit.b.copy(), alpha
+        self.inverse = np.linalg.inv(self.a)
+
+    def rank(self, x: np.ndarray) -> list[int]:
+        spread = np.sqrt(np.maximum(0, ((x @ self.inverse) * x).sum(axis=1)))
+        return _descending(x @ (self.inverse @ self.b) + self.alpha * spread)
+
+    def update(self, x: np.ndarray, reward: float) -> None:
+        self.a += np.outer(x, x)
+        self.b += reward * x
+        ax = self.inverse @ x  # the inverse follows a change of rank one
+        self.inverse -= np.outer(ax, ax) / (1 + x @ ax)
+
+
+class LiveThompson(LiveLinUCB):
+    """A linear bandit that ranks by weights drawn from their posterior at every query."""
+
+    def __init__(self, bandit: LinearBandit, seed: int, noise: float = 1.0):
+        super().__init__(bandit)
+        self.noise, self.rng = noise, np.random.default_rng([seed, 7])
+
+    def rank(self, x: np.ndarray) -> list[int]:
+        root = _root(self.inverse * self.noise)
+        return _descending(x @ (self.inverse @ self.b + root @ self.rng.standard_normal(len(self.b))))
+
+    def update(self, x: np.ndarray, reward: float) -> None:
+        super().update(x / np.sqrt(self.noise), reward / np.sqrt(self.noise))
+
+
+def _descending(scores: np.ndarray) -> list[int]:
+    return np.lexsort((np.arange(len(scores)), -scores)).tolist()
+
+
+def _root(covariance: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.cholesky(covariance)
+    except np.linalg.LinAlgError:
+        least = np.linalg.eigvalsh(covariance)[0]
+        return np.linalg.cholesky(covariance + (1e-9 - min(least, 0)) * np.eye(len(covariance)))
+
+
 @dataclass
 class BoostedRanker:
-    """Trees fitted to pairwise gradients, summed with a rate."""
+    """Trees fitted to pairwise gradients, summed with a rate; a tree may see some of the features only."""
 
     trees: list = field(default_factory=list)
     rate: float = 0.1
+    columns: list = field(default_factory=list)  # of each tree, the features it sees, or None for all
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """Adds score; without trees it is 0 for all, which ranks documents as they are stored."""
-        rows = docs.withColumn("__v", array_to_vector(F.col("features").cast("array<double>"))).withColumn("score", F.lit(0.0))
-        for tree in self.trees:
-            rows = tree.transform(rows).withColumn("score", F.col("score") + self.rate * F.col("__p")).drop("__p")
-        return rows.drop("__v")
+        rows = docs.withColumn("score", F.lit(0.0))
+        for k, tree in enumerate(self.trees):
+            seen = self.columns[k] if k < len(self.columns) else None
+            rows = tree.transform(rows.withColumn("__v", _seen(seen))).withColumn("score", F.col("score") + self.rate * F.col("__p")).drop("__p", "__v")
+        return rows
+
+    def save(self, folder: str) -> None:
+        """The trees below ``folder``, wherever that is, and a table of what they see."""
+        for k, tree in enumerate(self.trees):
+            tree.write().overwrite().save(f"{folder}/tree-{k:04d}")
+
+    @classmethod
+    def load(cls, folder: str, n: int, rate: float, columns: list) -> BoostedRanker:
+        return cls([DecisionTreeRegressionModel.load(f"{folder}/tree-{k:04d}") for k in range(n)], rate, columns)
+
+
+def _seen(columns: list[int] | None, features: str = "features") -> Column:
+    values = F.col(features).cast("array<double>")
+    return array_to_vector(values if columns is None else F.array(*[values[c] for c in columns]))
 
 
-def boosted(docs: DataFrame, n_trees: int = 100, depth: int = 6, rate: float = 0.1, share: float = 1.0, seed: int = 42) -> BoostedRanker:
+def boosted(docs: DataFrame, n_trees: int = 100, depth: int = 6, rate: float = 0.1, share: float = 1.0, seed: int = 42, rows: float = 1.0, columns: float = 1.0) -> BoostedRanker:
     """Pairwise logistic boosting: for every pair of a query with unequal relevance, the better document is pushed up.
 
     Pairs are made inside one array of a query's documents, so a round moves each query once; a query's gradients are as
-    many as its documents. share: of queries that train, by hash.
+    many as its documents. share: of queries that train, by hash. rows, columns: shares of documents and of features that
+    each tree is fitted on, drawn anew for every tree.
     """
     own = docs.where(F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(10_000)) < int(share * 10_000)).select("query_id", "doc", "rel", "features")
     model, table = BoostedRanker(rate=rate), written(own.withColumn("score", F.lit(0.0)), "scores")
-    scored = table
+    scored, rng = table, np.random.default_rng(seed)
+    width = own.select(F.size("features").alias("d")).first() if columns < 1 else None
     for k in range(n_trees):
-        rows = scored.groupBy("query_id").agg(F.collect_list(F.struct("rel", "features", "score")).alias("d"))
+        grouped = scored.groupBy("query_id").agg(F.collect_list(F.struct("doc", "rel", "features", "score")).alias("d"))
         push = "aggregate(transform(d, q -> case when p.rel > q.rel then 1D / (1D + exp(p.score - q.score)) when p.rel < q.rel then -1D / (1D + exp(q.score - p.score)) else 0D end), 0D, (a, v) -> a + v)"
-        grads = rows.select(F.explode(F.expr(f"transform(d, p -> named_struct('features', p.features, 'g', {push}))")).alias("r"))
-        train = grads.select(array_to_vector(F.col("r.features").cast("array<double>")).alias("__v"), F.col("r.g").alias("label"))
+        grads = grouped.select("query_id", F.explode(F.expr(f"transform(d, p -> named_struct('doc', p.doc, 'features', p.features, 'g', {push}))")).alias("r"))
+        if rows < 1:
+            grads = grads.where(F.pmod(F.xxhash64("query_id", F.col("r.doc"), F.lit(seed + 31 * k)), F.lit(10_000)) < int(rows * 10_000))
+        seen = None if width is None else sorted(rng.choice(width["d"], max(1, int(columns * width["d"])), replace=False).tolist())
+        train = grads.select(F.col("r.features").alias("features"), F.col("r.g").alias("label")).select(_seen(seen).alias("__v"), "label")
         model.trees.append(DecisionTreeRegressor(featuresCol="__v", labelCol="label", predictionCol="__p", maxDepth=depth, seed=seed + k).fit(train))
-        step = BoostedRanker(model.trees[-1:], rate).scored(scored.withColumnRenamed("score", "__old"))
+        model.columns.append(seen)
+        step = BoostedRanker(model.trees[-1:], rate, [seen]).scored(scored.withColumnRenamed("score", "__old"))
         step = step.withColumn("score", F.col("__old") + F.col("score")).drop("__old")
         if (k + 1) % WRITE_EVERY and k + 1 < n_trees:
             scored = step
@@ -165,5 +228,41 @@ def boosted(docs: DataFrame, n_trees: int = 100, depth: int = 6, rate: float = 0
     return model
 
 
+@dataclass
+class Arms:
+    """What training leaves: the projection of features and the bandits' first state, and boosted rankers by name."""
+
+    projection: Projection | None = None
+    bandit: LinearBandit | None = None
+    boosted: dict[str, BoostedRanker] = field(default_factory=dict)
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """As JSON and Spark's own tree files below ``folder``, which may be anywhere Spark writes."""
+        for name, model in self.boosted.items():
+            model.save(f"{folder}/{name}")
+        told = {
+            "projection": None if self.projection is None else {"mean": self.projection.mean.tolist(), "components": self.projection.components.tolist()},
+            "bandit": None if self.bandit is None else {"a": self.bandit.a.tolist(), "b": self.bandit.b.tolist(), "regularization": self.bandit.regularization},
+            "boosted": {n: {"trees": len(m.trees), "rate": m.rate, "columns": m.columns} for n, m in self.boosted.items()},
+        }
+        spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/arms")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Arms | None:
+        """None where there are no arms or they can't be read."""
+        try:
+            told = json.loads(spark.read.text(f"{folder}/arms").first()["value"])
+            out = cls()
+            if told["projection"]:
+                out.projection = Projection(np.array(told["projection"]["mean"]), np.array(told["projection"]["components"]))
+            if told["bandit"]:
+                out.bandit = LinearBandit(len(told["bandit"]["b"]), told["bandit"]["regularization"])
+                out.bandit.a, out.bandit.b = np.array(told["bandit"]["a"]), np.array(told["bandit"]["b"])
+            out.boosted = {n: BoostedRanker.load(f"{folder}/{n}", m["trees"], m["rate"], m["columns"]) for n, m in told["boosted"].items()}
+            return out
+        except (AnalysisException, TypeError, ValueError, KeyError):
+            return None
+
+
 def as_array(vector: str) -> Column:
     return vector_to_array(vector)

@@ -6,8 +6,10 @@ column over (query_id, doc, rel, features).
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,15 @@ def boosted_grid(spark: SparkSession, size: str) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, arm string, depth int, trees int, rate double, rows_share double, columns_share double")
 
 
+def boosted_settings(name: str) -> dict:
+    """What an arm of the grid is trained with, from its name."""
+    found = re.fullmatch(r"xgb_d(\d+)_n(\d+)_lr(\d+)(?:_ss(\d+))?(?:_cs(\d+))?", name)
+    if not found:
+        raise ValueError(f"no boosted arm {name!r}")
+    depth, trees, rate, rows, columns = found.groups()
+    return {"depth": int(depth), "n_trees": int(trees), "rate": int(rate) / 100, "rows": int(rows or 100) / 100, "columns": int(columns or 100) / 100}
+
+
 def arm_pool(spark: SparkSession, size: str, small: tuple[str, ...] = SMALL_POOL) -> DataFrame:
     """(ord, arm): small is the given list; medium has 22 arms, full 124."""
     if size == "small":
@@ -84,6 +95,28 @@ def looked_up(wanted: DataFrame, cache: DataFrame, live: DataFrame) -> DataFrame
     return both.select("query_id", "arm", F.coalesce("__c", "__l").alias("ranking"), F.col("__c").isNotNull().alias("hit"))
 
 
+def save_rankings(rankings: DataFrame, path: str) -> None:
+    """A table of precomputed rankings (query_id, arm, ranking), a folder an arm."""
+    rankings.select("query_id", "arm", "ranking").write.mode("overwrite").partitionBy("arm").parquet(path)
+
+
+def load_rankings(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``save_rankings`` wrote; None where there is nothing or it can't be read as that."""
+    try:
+        return spark.read.parquet(path).select("query_id", F.col("arm").cast("string").alias("arm"), F.col("ranking").cast("array<smallint>").alias("ranking"))
+    except AnalysisException:
+        return None
+
+
+def precomputed(docs: DataFrame, arms: dict[str, Column], path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rankings of all arms and their statistics; saved, and read again, where a path is given."""
+    rankings = listed(ranked(docs, arms))
+    if path is not None:
+        save_rankings(rankings, path)
+        rankings = load_rankings(docs.sparkSession, path)
+    return rankings, cache_statistics(rankings)
+
+
 def cache_statistics(cache: DataFrame) -> DataFrame:
     """(arm, n_queries, n_entries, bytes): two bytes an entry."""
     n = F.sum(F.size("ranking")).cast("long")

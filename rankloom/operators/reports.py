@@ -5,6 +5,7 @@ Result documents are JSON objects; keys that are arms' names are read as maps.
 
 from __future__ import annotations
 
+import argparse
 import json
 from datetime import datetime
 from pathlib import Path
@@ -12,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import groups
+
 RESULT_DDL = (
     "config struct<scenario:string,policy:string,arms:array<string>,arm_pool_size:string,n_rounds:long,seed:long,hierarchical:boolean>, "
     "metrics struct<iterations:long,total_ndcg_regret:double,avg_ndcg_regret:double,total_clicks:long,click_rate:double>, "
@@ -22,6 +25,7 @@ RESULT_DDL = (
 #: Arms of the pools that results are told apart by (fixed values).
 BASE_POOL = ("random", "single_feature", "xgboost", "linucb")
 LEARNING_POOL = ("linear_ts", "linucb", "xgboost")
+LEARNING_ARMS = ("linear_ts", "linucb")
 
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,6 +89,35 @@ def key_findings(results: DataFrame, baseline: str = "uniform") -> DataFrame:
     return first.where(F.col("policy") != baseline).join(base, "scenario").select("scenario", "policy", F.coalesce(F.try_divide((F.col("base") - F.col("regret")) * 100, F.col("base")), F.lit(0.0)).alias("reduction"))
 
 
+def learning_only(results: DataFrame, policy: str = "mdb") -> DataFrame:
+    """One row (runs, mean_regret) of a policy's runs with learning arms alone; the mean is null without runs."""
+    own = F.array_sort(F.array_distinct(F.col("config.arms"))) == F.array(*[F.lit(a) for a in sorted(LEARNING_ARMS)])
+    rows = results.where(own & (F.col("config.policy") == policy))
+    return rows.agg(F.count(F.lit(1)).alias("runs"), F.avg("metrics.total_ndcg_regret").alias("mean_regret"))
+
+
+def cost_findings(results: DataFrame, baseline: str = "uniform") -> DataFrame:
+    """(scenario, policy, reduction): percent fewer inferences than the baseline, of each one's first run by file name."""
+    first = results.groupBy(F.col("config.scenario").alias("scenario"), F.col("config.policy").alias("policy")).agg(F.min_by(F.col("inference_stats.total_inferences"), F.col("filename")).alias("cost"))
+    base = first.where(F.col("policy") == baseline).select("scenario", F.col("cost").alias("base"))
+    return first.where(F.col("policy") != baseline).join(base, "scenario").select("scenario", "policy", F.coalesce(F.try_divide((F.col("base") - F.col("cost")) * 100, F.col("base")), F.lit(0.0)).alias("reduction"))
+
+
+def report(spark: SparkSession, folder: str) -> dict[str, list[dict]]:
+    """Every summary of the result documents in a folder, by name; no documents give none."""
+    results = read_results(spark, folder).persist()
+    try:
+        if results.isEmpty():
+            return {}
+        made = {
+            "policy_comparison": policy_comparison(results), "convergence": convergence(results), "arm_performance": arm_performance(results), "reproducibility": reproducibility(results),
+            "regret_findings": key_findings(results), "cost_findings": cost_findings(results), "common_survivor": common_survivor(results), "learning_only": learning_only(results),
+        }
+        return {name: [r.asDict(recursive=True) for r in rows.orderBy(*rows.columns[:3]).collect()] for name, rows in made.items()}
+    finally:
+        results.unpersist()
+
+
 def common_survivor(results: DataFrame) -> DataFrame:
     """(scenario, arm, times): the arm most often in the final set; ties by name."""
     rows = results.select(F.col("config.scenario").alias("scenario"), F.explode("policy_stats.set_E").alias("arm")).groupBy("scenario", "arm").agg(F.count(F.lit(1)).alias("times"))
@@ -121,6 +154,55 @@ def scalability(summary: DataFrame) -> DataFrame:
     return flat.join(two, "k").where("k in ('K20', 'K60', 'K100')").select("k", less("fi", "hi").alias("cost_reduction"), less("fr", "hr").alias("regret_reduction"))
 
 
+def profile_splits(spark: SparkSession, folder: str, path: str | None = None, limit: int | None = None) -> dict:
+    """The profile of every set and split below ``folder`` that has chunk files, by set and split; written as JSON to
+    ``path`` where one is given. Splits whose folder has no chunks say so."""
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(conf)
+    out: dict = {}
+    for own in sorted((s.getPath() for s in files.listStatus(root) if s.isDirectory()), key=lambda p: p.getName()):
+        out[own.getName()] = {}
+        for split in ("train", "valid", "test"):
+            at = jvm.org.apache.hadoop.fs.Path(own, split)
+            if files.exists(at):
+                found = groups.read_groups(spark, at.toString(), limit) if groups.chunk_files(spark, at.toString(), limit) else None
+                out[own.getName()][split] = {"error": "no chunks"} if found is None else profile(groups.flat(found)).first().asDict()
+    if path is not None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(json.dumps(out, indent=2, default=str))
+    return out
+
+
+def summary_lines(profiles: dict) -> list[str]:
+    """What ``profile_splits`` found, as text."""
+    out = []
+    for name, splits in profiles.items():
+        for split, p in splits.items():
+            if "error" in p:
+                out.append(f"{name}/{split}: {p['error']}")
+                continue
+            grades = ", ".join(f"{g}: {p[f'grade_{g}']} ({100 * p[f'grade_{g}'] / p['documents'] if p['documents'] else 0:.1f} %)" for g in range(5))
+            out.append(f"{name}/{split}: {p['queries']} queries, {p['documents'] or 0} documents, {p['mean_docs'] or 0:.1f} a query ({p['min_docs']} to {p['max_docs']}); grades {grades}")
+    return out
+
+
+def main(args: list[str] | None = None) -> None:
+    parser = argparse.ArgumentParser(description="Profiles query groups, or sums up result documents")
+    parser.add_argument("--data-dir", help="folder of sets and splits to profile")
+    parser.add_argument("--results", help="folder of result documents to sum up")
+    parser.add_argument("--output", help="JSON file to write")
+    given = parser.parse_args(args)
+    spark = SparkSession.builder.appName("rankloom").getOrCreate()
+    if given.data_dir:
+        print("\n".join(summary_lines(profile_splits(spark, given.data_dir, given.output))))
+    if given.results:
+        found = report(spark, given.results)
+        print(json.dumps(found, indent=2, default=str) if found else "no results")
+        if given.output and not given.data_dir:
+            Path(given.output).write_text(json.dumps(found, indent=2, default=str))
+
+
 def profile(docs: DataFrame) -> DataFrame:
     """One row: counts of queries and documents, documents a query, relevance grades 0 to 4, and the features' span.
 
@@ -134,3 +216,7 @@ def profile(docs: DataFrame) -> DataFrame:
     exact = F.expr("aggregate(features, cast(0 as decimal(28, 9)), (s, x) -> cast(s + coalesce(try_cast(x as decimal(24, 9)), 0) as decimal(28, 9)))")
     total = F.sum(exact).cast("double") / F.sum(F.size("features"))
     return a.crossJoin(docs.agg(*grades, *least, total.alias("feature_mean")))
+
+
+if __name__ == "__main__":
+    main()

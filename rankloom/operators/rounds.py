@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,24 @@ from ..functions.rng import uniform
 EXAMINE = [1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]
 CLICK = [0.01, 0.1, 0.3, 0.6, 0.95]
 
-SCENARIOS = {
-    "standard": {"click_model_type": "pbm", "params": {}},
-    "cascade": {"click_model_type": "cascade", "params": {"relevance_threshold": 3, "max_depth": 10}},
-    "noisy": {"click_model_type": "noisy", "params": {"relevance_threshold": 3, "noise_prob": 0.1, "false_negative_rate": 0.1, "max_depth": 10}},
-}
 
 
-def scenario(name: str) -> dict:
+@dataclass(frozen=True)
+class Scenario:
+    """A kind of user, by the name of a click model, and what it is told: the least relevance that is clicked, how far down
+    users look, how often they click anywhere, and how often they overlook a relevant document."""
+
+    model: str
+    threshold: int = 3
+    depth: int = 10
+    noise: float = 0.0
+    missed: float = 0.0
+
+
+SCENARIOS = {"standard": Scenario("position"), "cascade": Scenario("cascade"), "noisy": Scenario("noisy", noise=0.1, missed=0.1)}
+
+
+def scenario(name: str) -> Scenario:
     if name not in SCENARIOS:
         raise KeyError(f"unknown scenario {name!r}; there are {sorted(SCENARIOS)}")
     return SCENARIOS[name]

@@ -24,7 +24,7 @@ def resampled(data: DataFrame, statistic="mean", n_bootstrap: int = 1000, seed:
     if n == 0:
         return spark.createDataFrame([], "b long, stat double")
     draws = spark.range(n_bootstrap).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    picked = draws.select("b", F.floor(uniform(seed, stream, "b", "i") * n).cast("int").alias("idx")).join(F.broadcast(data), "idx")
+    picked = draws.select("b", F.floor(uniform(seed, stream, "b", "i") * n).cast("int").alias("idx")).join(data, "idx")
     return picked.groupBy("b").agg(_statistic(statistic).alias("stat"))
 
 
@@ -67,13 +67,13 @@ def paired_permutation(pairs: DataFrame, n_permutations: int = 10_000, seed: int
     A null in one of the two means series of unequal length, which is an error.
     """
     checked = pairs.select("idx", F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("series of unequal length"))).otherwise(F.col("a") - F.col("b")).cast("double").alias("d"))
-    flips = pairs.sparkSession.range(n_permutations).select(F.col("id").alias("k")).crossJoin(F.broadcast(checked))
+    flips = pairs.sparkSession.range(n_permutations).select(F.col("id").alias("k")).crossJoin(checked)
     signed = F.when(uniform(seed, "perm", "k", "idx") < 0.5, -F.col("d")).otherwise(F.col("d"))
     means = flips.groupBy("k").agg(F.avg(signed).alias("m"))
     seen = checked.agg(F.avg("d").alias("observed"), F.stddev_pop("d").alias("sd"))
     # Sums of doubles depend on their order, so equal means are told apart only beyond rounding.
     far = F.avg((F.abs("m") >= F.abs("observed") - 1e-12).cast("double"))
-    return means.crossJoin(F.broadcast(seen)).groupBy("observed", "sd").agg(far.alias("p_value")).select("observed", "p_value", F.when(F.col("sd") == 0, 0.0).otherwise(F.col("observed") / F.when(F.col("sd") != 0, F.col("sd"))).alias("effect"))
+    return means.crossJoin(seen).groupBy("observed", "sd").agg(far.alias("p_value")).select("observed", "p_value", F.when(F.col("sd") == 0, 0.0).otherwise(F.col("observed") / F.when(F.col("sd") != 0, F.col("sd"))).alias("effect"))
 
 
 def sample_efficiency(successes: DataFrame, total_rounds: int, threshold: float = 0.95) -> DataFrame:

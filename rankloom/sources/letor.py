@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import argparse
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running_sums
 from .groups import write_groups
 
 
@@ -26,14 +29,22 @@ def dense(rows: DataFrame, n_features: int = 700) -> DataFrame:
     return rows.withColumn("features", F.expr(f"transform(sequence(1, {n_features}), i -> coalesce(try_element_at(sparse, i), 0D))"))
 
 
-def islands(rows: DataFrame, order: str = "line_no", partition: tuple[str, ...] = ()) -> DataFrame:
+def islands(rows: DataFrame, order: str = "line_no", partition: tuple[str, ...] = (), size: int = 100_000) -> DataFrame:
     """Adds island: lines of one query that follow each other; a query that comes back starts another island.
 
-    ``partition``: e.g. the file; consecutive lines are those of one partition.
+    ``order``: a whole number, unique in its partition. ``partition``: e.g. the file; consecutive lines are those of one
+    partition. Lines are cut into blocks of ``size`` numbers; a block's first line is held against the last one of the
+    block before, and islands are numbered by running sums over blocks, so no window spans a file.
     """
-    by_line = Window.partitionBy(*partition).orderBy(order)
-    starts = F.when(F.col("qid").eqNullSafe(F.lag("qid").over(by_line)), 0).otherwise(1)
-    return rows.withColumn("__new", starts).withColumn("island", F.sum("__new").over(by_line.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
+    blocked = rows.withColumn("__block", F.floor(F.col(order) / size))
+    ends = blocked.groupBy(*partition, "__block").agg(F.max_by(F.struct("qid"), order).alias("__last"))
+    by_block = Window.partitionBy(*partition).orderBy("__block")
+    before = ends.select(*partition, "__block", F.lag("__last").over(by_block).alias("__before"))
+    by_line = Window.partitionBy(*partition, "__block").orderBy(order)
+    joined = blocked.join(before, [*partition, "__block"]).withColumn("__previous", F.coalesce(F.lag(F.struct("qid")).over(by_line), F.col("__before")))
+    same = F.col("__previous").isNotNull() & F.col("qid").eqNullSafe(F.col("__previous.qid"))
+    marked = joined.withColumn("__new", F.when(same, 0).otherwise(1)).drop("__block", "__before", "__previous")
+    return running_sums(marked, order, {"island": "__new"}, partition, size).withColumn("island", F.col("island").cast("long")).drop("__new")
 
 
 def grouped(rows: DataFrame, order: str = "line_no", partition: tuple[str, ...] = ()) -> DataFrame:
@@ -51,7 +62,12 @@ def converted(spark: SparkSession, raw_dir: str, out_dir: str, n_features: int =
     Lines are numbered in the order of each file; a file is one partition of the numbering.
     """
     text = spark.read.option("wholetext", False).text(f"{raw_dir}/*.txt").select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    numbered = text.withColumn("__id", F.monotonically_increasing_id()).withColumn("line_no", F.struct("block", "__id"))
+    # Blocks of a file are read in order of their numbers, and lines in a block in theirs; files of 2 ** 53 bytes are enough.
+    text = text.withColumn("__id", F.monotonically_increasing_id())
+    firsts = text.groupBy("file", "block").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = firsts.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    numbered = text.join(starts, ["file", "block"]).withColumn("line_no", F.col("start") + F.col("__id") - F.col("first")).drop("start", "first")
     groups = grouped(dense(parsed(numbered), n_features), "line_no", ("file",))
     name = F.split("file", r"\.")
     groups = groups.withColumn("set", name[0]).withColumn("split", F.when(F.size(name) > 2, name[1]).otherwise(F.lit("train"))).cache()
@@ -61,3 +77,19 @@ def converted(spark: SparkSession, raw_dir: str, out_dir: str, n_features: int =
         write_groups(groups.where((F.col("set") == own_set) & (F.col("split") == own_split)), f"{out_dir}/{key}", chunk)
     groups.unpersist()
     return counts
+
+
+def main(args: list[str] | None = None) -> None:
+    parser = argparse.ArgumentParser(description="Converts LETOR text files to chunked Parquet")
+    parser.add_argument("--raw-dir", required=True)
+    parser.add_argument("--output-dir", required=True)
+    parser.add_argument("--num-features", type=int, default=700)
+    parser.add_argument("--chunk-size", type=int, default=10_000)
+    given = parser.parse_args(args)
+    spark = SparkSession.builder.appName("rankloom").getOrCreate()
+    for split, count in sorted(converted(spark, given.raw_dir, given.output_dir, given.num_features, given.chunk_size).items()):
+        print(f"{split}: {count} queries")
+
+
+if __name__ == "__main__":
+    main()

@@ -34,10 +34,20 @@ def windowed_wins(outcomes: DataFrame, time: str, width: str, late: str) -> Data
 
 
 def replay(outcomes: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs a stream of outcomes to its present end and returns the pair statistics (run_id, i, j, w, n, t)."""
-    query = pair_statistics(outcomes).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream of outcomes to its present end and returns the pair statistics (run_id, i, j, w, n, t).
+
+    Every micro-batch writes the statistics that it changed, with its number, beside the checkpoint; the latest row of
+    a pair holds. A batch that is run again after a failure overwrites its own files.
+    """
+    folder = f"{checkpoint.rstrip('/')}/{name}-statistics"
+
+    def store(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{folder}/part={batch}")
+
+    query = pair_statistics(outcomes).writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return outcomes.sparkSession.table(name)
+    rows = outcomes.sparkSession.read.schema("run_id string, i string, j string, w double, n long, t int, batch long").option("recursiveFileLookup", True).parquet(folder)
+    return rows.groupBy("run_id", "i", "j").agg(*[F.max_by(c, "batch").alias(c) for c in ("w", "n", "t")])
 
 
 def selected_arms(stats: DataFrame, arms: DataFrame, run_id: str, n_min: int = 500, alpha: float = 0.51, beta: float = 1.0) -> DataFrame:

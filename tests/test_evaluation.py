@@ -285,7 +285,7 @@ def test_results_round_trip(spark, tmp_path):
     two = experiment.run(spark, x.docs, experiment.Config(n_rounds=60, arm_pool=("random", "single_feature", "linear_ts"), hierarchical=True, clustering="random", level1_rounds=20, grace_period=5))
     assert two["metrics"]["iterations"] == 60
     with pytest.raises(ValueError):
-        experiment.chosen(experiment.MULTILEAVERS, "none")
+        adaptive.chosen(adaptive.DRAFTS, "none")
     config, given = experiment.config_of(["--quick", "--policy", "thompson", "--no-warm-start"])
     assert (config.n_rounds, config.policy, config.warm_start) == (1000, "thompson", False)
 
