@@ -136,7 +136,8 @@ def two_level_settings(spark: SparkSession, ranked: DataFrame, names: list[str],
 
 def live_arms(arms: learners.Arms, names: list[str], config: Config) -> dict:
     """Functions from a run's seed to the arms that go on learning in it."""
-    make = {"linucb": lambda seed: learners.LiveLinUCB(arms.bandit, config.linucb_alpha), "linear_ts": lambda seed: learners.LiveThompson(arms.bandit, seed)}
+    bandit, alpha = arms.bandit, config.linucb_alpha  # what the functions take along
+    make = {"linucb": lambda seed: learners.LiveLinUCB(bandit, alpha), "linear_ts": lambda seed: learners.LiveThompson(bandit, seed)}
     return {n: make[n] for n in names if n in LINEAR and n not in OWN_ARMS}
 
 

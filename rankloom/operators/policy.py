@@ -151,3 +151,31 @@ def beta_posteriors(played: DataFrame, arms: DataFrame) -> DataFrame:
     sums = played.groupBy("arm").agg(F.sum(F.col("won").cast("long")).alias("wins"), F.sum((~F.col("won")).cast("long")).alias("losses"))
     a, b = F.coalesce("wins", F.lit(0)) + 1, F.coalesce("losses", F.lit(0)) + 1
     return arms.join(sums, "arm", "left").select("arm", a.cast("long").alias("a"), b.cast("long").alias("b"), (a / (a + b)).alias("mean"))
+
+
+def _joined(rows: DataFrame, where: Column) -> Column:
+    """Names of arms, in order, as one string; null if there are none."""
+    found = F.array_sort(F.collect_list(F.when(where, F.struct("ord", "arm"))))
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda v: v["arm"]), ","))
+
+
+def dueling_statistics(membership: DataFrame, t: int, n_min: int = 500, alpha: float = 0.51, beta: float = 1.0) -> DataFrame:
+    """One row of what a dueling policy knows. membership: (ord, arm, in_e, in_f)."""
+    row = membership.agg(_joined(membership, F.col("in_e")).alias("set_e"), _joined(membership, F.col("in_f")).alias("set_f"))
+    return row.select(F.lit(t).cast("long").alias("t"), "set_e", "set_f", F.lit(alpha).alias("alpha"), F.lit(beta).alias("beta"), F.lit(n_min).alias("n_min"), F.lit(n_min > 0 and t < n_min).alias("in_grace_period"))
+
+
+def relative_statistics(found: DataFrame, t: int, n_min: int, m: int, alpha: float = 0.51) -> DataFrame:
+    """One row of what a relative policy knows. found: its candidates (ord, arm)."""
+    row = found.agg(_joined(found, F.lit(True)).alias("candidates"), F.count(F.lit(1)).alias("candidate_set_size"))
+    return row.select(F.lit(t).cast("long").alias("t"), "candidates", "candidate_set_size", F.lit(alpha).alias("alpha"), F.lit(m).alias("m"), F.lit(n_min).alias("n_min"), F.lit(n_min > 0 and t < n_min).alias("in_grace_period"))
+
+
+def two_level_statistics(cells: DataFrame, clusters: DataFrame, arms: DataFrame, t: int, level1_rounds: int) -> DataFrame:
+    """One row of what a two-level policy knows: its level, the cluster that won (from level 2 on) and the active arms."""
+    level = 1 if t < level1_rounds else 2
+    best = winning_cluster(cells, clusters).select(F.col("cluster").alias("best"))
+    members = clusters.join(arms, "arm").crossJoin(best)
+    active = F.col("is_rep") if level == 1 else F.col("cluster") == F.col("best")
+    row = members.groupBy("best").agg(_joined(members, active).alias("active_arms"), F.count_distinct("cluster").alias("n_clusters"))
+    return row.select(F.lit(t).cast("long").alias("t"), F.lit(level).alias("current_level"), (F.lit(None) if level == 1 else F.col("best")).cast("int").alias("winning_cluster_id"), "active_arms", "n_clusters")

@@ -29,13 +29,28 @@ LEARNING_ARMS = ("linear_ts", "linucb")
 
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Result documents with ``filename``."""
-    rows = spark.read.schema(RESULT_DDL).option("multiLine", True).json(f"{folder}/*.json")
+    """Result documents with ``filename``; none where the folder has none or doesn't exist."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    if not root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(root):
+        return spark.createDataFrame([], f"{RESULT_DDL}, filename string")
+    rows = spark.read.schema(RESULT_DDL).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
     return rows.withColumn("filename", F.col("_metadata.file_name"))
 
 
+def store_results(spark: SparkSession, results: dict[str, dict], folder: str) -> None:
+    """Result documents by file name, in a folder wherever Spark's file systems reach."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for name, result in results.items():
+        out = files.create(jvm.org.apache.hadoop.fs.Path(root, name), True)
+        out.write(bytearray(json.dumps(result, default=str).encode()))
+        out.close()
+
+
 def save_result(result: dict, path: str | None = None, folder: str = "results") -> str:
-    """Writes one result document; values that JSON lacks become strings."""
+    """Writes one result document to a file of the driver's; values that JSON lacks become strings."""
     if path is None:
         config = result.get("config", {})
         path = str(Path(folder) / f"{datetime.now():%Y%m%d_%H%M%S}_{config.get('scenario')}_{config.get('policy')}.json")

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.gains import dcg, ratio
 from ..functions.rng import uniform_sql
 from ..operators import adaptive, clustering, learners, policy, ranking, reports, rounds, stats, telemetry
+from ..scratch import shared_dir
 from ..shipping import ship
 from ..sources import groups, letor
 
 ARMS = ("value", "k", "recent", "oracle")
 N_MIN, GAMMA = 500, 0.995
+#: Dimensions of the embeddings, each of which is an arm of the wide queries.
+DIMENSIONS = 64
 
 
 def r6(c) -> F.Column:
@@ -86,12 +89,12 @@ class Log:
 
     @cached_property
     def wide_ranked(self) -> DataFrame:
-        """Rankings by each of the first 16 dimensions."""
-        return ranking.ranked(self.wide, {f"d{i:02d}": ranking.by_feature(i) for i in range(16)})
+        """Rankings by each dimension."""
+        return ranking.ranked(self.wide, {f"d{i:02d}": ranking.by_feature(i) for i in range(DIMENSIONS)})
 
     @cached_property
     def wide_arms(self) -> DataFrame:
-        return self.spark.createDataFrame([(i, f"d{i:02d}") for i in range(16)], "ord int, arm string")
+        return self.spark.createDataFrame([(i, f"d{i:02d}") for i in range(DIMENSIONS)], "ord int, arm string")
 
 
 # The same inputs in the oracle's dialect, as parts of one WITH clause.
@@ -136,10 +139,10 @@ slots AS (SELECT round, query_id, count(*) AS size, sum(rel / log2(pos + 2)) AS
 gains AS (SELECT s.round, s.query_id, CASE WHEN sum(b.rel / log2(b.p + 1)) = 0 THEN 1 ELSE any_value(s.g) / sum(b.rel / log2(b.p + 1)) END AS ndcg
   FROM slots s JOIN best b ON b.query_id = s.query_id AND b.p <= s.size GROUP BY s.round, s.query_id),
 regrets AS (SELECT round, query_id, ndcg, greatest(0, 1 - ndcg) AS regret FROM gains)"""
-_WIDE = """
+_WIDE = f"""
 wide AS (SELECT CAST(vec_id // 25 AS VARCHAR) AS query_id, CAST(vec_id % 25 AS INTEGER) AS doc, CAST(label % 5 AS INTEGER) AS rel, embedding FROM embeddings),
 wranked AS (SELECT query_id, doc, rel, 'd' || lpad(CAST(i AS VARCHAR), 2, '0') AS arm, CAST(row_number() OVER (PARTITION BY query_id, i ORDER BY embedding[i + 1] DESC, doc) AS INTEGER) AS pos
-  FROM wide, unnest(range(16)) AS r(i)),
+  FROM wide, unnest(range({DIMENSIONS})) AS r(i)),
 wk AS (SELECT least(10, min(n)) AS k FROM (SELECT count(*) AS n FROM wide GROUP BY query_id))"""
 
 
@@ -294,6 +297,13 @@ def _(x):
     return ranking.cache_statistics(ranking.listed(x.wide_ranked))
 
 
+@query("score_cache_saved", _WIDE, "SELECT arm, count(DISTINCT query_id) AS n_queries, count(*) AS n_entries, count(*) * 2 AS bytes FROM wranked GROUP BY arm")
+def _(x):
+    """The cache is saved and its statistics are those of what is read again."""
+    path = f"{shared_dir(x.spark)}/{x.spark.sparkContext.applicationId}/score-cache"
+    return ranking.precomputed(x.wide, {f"d{i:02d}": ranking.by_feature(i) for i in range(DIMENSIONS)}, path)[1]
+
+
 @query("cache_hit_rate", _WIDE, """SELECT CAST(sum(hit) AS BIGINT) AS hits, CAST(count(*) - sum(hit) AS BIGINT) AS misses, round(sum(hit) / count(*), 6) AS hit_rate FROM (
   SELECT CASE WHEN arm <> 'd03' AND CAST(query_id AS INTEGER) % 2 = 0 THEN 1 ELSE 0 END AS hit FROM wranked GROUP BY arm, query_id)""")
 def _(x):
@@ -499,19 +509,39 @@ def _(x):
     return policy.beta_posteriors(played, x.arms).withColumn("mean", r6("mean"))
 
 
+@query("mdb_statistics", _WON, f"""SELECT CAST(any_value(t) AS BIGINT) AS t, string_agg(arm, ',' ORDER BY ord) FILTER (fit) AS set_e, string_agg(arm, ',' ORDER BY ord) FILTER (t < {N_MIN} OR fit) AS set_f,
+0.51::DOUBLE AS alpha, 1.0::DOUBLE AS beta, CAST({N_MIN} AS INTEGER) AS n_min, any_value(t) < {N_MIN} AS in_grace_period FROM members, clock""")
+def _(x):
+    return policy.dueling_statistics(policy.set_membership(x.cells, x.arms, x.t, N_MIN), x.t, N_MIN)
+
+
+@query("rucb_statistics", _RUCB, f"""SELECT CAST(t AS BIGINT) AS t, (SELECT string_agg(arm, ',' ORDER BY ord) FROM cand) AS candidates, (SELECT count(*) FROM cand) AS candidate_set_size, 0.51::DOUBLE AS alpha,
+CAST(2 AS INTEGER) AS m, CAST({N_MIN} AS INTEGER) AS n_min, t < {N_MIN} AS in_grace_period FROM clock""")
+def _(x):
+    return policy.relative_statistics(policy.candidates(policy.relative_bounds(x.cells, x.t), x.arms), x.t, N_MIN, m=2)
+
+
+@query("hier_statistics", _WON, """SELECT CAST(t AS BIGINT) AS t, CASE WHEN t < 500 THEN 1 ELSE 2 END AS current_level, CASE WHEN t >= 500 THEN cluster END AS winning_cluster_id,
+CASE WHEN t < 500 THEN 'value,recent,oracle' ELSE (SELECT string_agg(arm, ',' ORDER BY o) FROM (VALUES (0, 'value', 0), (0, 'k', 1), (1, 'recent', 2), (2, 'oracle', 3)) m(c, arm, o) WHERE c = cluster) END AS active_arms, CAST(3 AS BIGINT) AS n_clusters
+FROM clock, (SELECT cluster, coalesce(sum(w), 0) AS won FROM (VALUES (0, 'value'), (1, 'recent'), (2, 'oracle')) r(cluster, arm) LEFT JOIN cells ON i = arm AND j IN ('value', 'recent', 'oracle') GROUP BY cluster ORDER BY won DESC, cluster LIMIT 1)""")
+def _(x):
+    return policy.two_level_statistics(x.cells, x.spark.createDataFrame(_CLUSTERS, "cluster int, arm string, is_rep boolean"), x.arms, x.t, 500)
+
+
 # Clusters
 
 
-@query("jaccard_matrix", _WIDE, """SELECT a.arm AS a, b.arm AS b, round(avg(c / (2.0::DOUBLE * k - c)), 6) AS s FROM (SELECT DISTINCT query_id, arm FROM wranked) a
-JOIN (SELECT DISTINCT query_id, arm FROM wranked) b ON a.query_id = b.query_id AND a.arm < b.arm, wk,
-LATERAL (SELECT count(*) AS c FROM wranked p JOIN wranked q ON p.query_id = q.query_id AND p.doc = q.doc AND p.pos <= k AND q.pos <= k WHERE p.query_id = a.query_id AND p.arm = a.arm AND q.arm = b.arm)
-GROUP BY a.arm, b.arm""")
+@query("jaccard_matrix", _WIDE + """,
+tops AS (SELECT query_id, arm, doc FROM wranked, wk WHERE pos <= k),
+common AS (SELECT p.query_id, p.arm AS a, q.arm AS b, count(*) AS c FROM tops p JOIN tops q ON p.query_id = q.query_id AND p.doc = q.doc AND p.arm < q.arm GROUP BY p.query_id, p.arm, q.arm),
+pairs AS (SELECT x.query_id, x.arm AS a, y.arm AS b FROM (SELECT DISTINCT query_id, arm FROM tops) x JOIN (SELECT DISTINCT query_id, arm FROM tops) y ON x.query_id = y.query_id AND x.arm < y.arm)""",
+"SELECT a, b, round(avg(coalesce(c, 0) / (2.0::DOUBLE * k - coalesce(c, 0))), 6) AS s FROM pairs LEFT JOIN common USING (query_id, a, b), wk GROUP BY a, b")
 def _(x):
     return clustering.top_overlap(x.wide_ranked, x.wide_arms).select("a", "b", r6("s").alias("s"))
 
 
 @query("random_clusters", None, f"""SELECT CAST(p % 4 AS INTEGER) AS cluster, arm, CAST(p // 4 AS INTEGER) AS member, p < 4 AS is_rep FROM (
-  SELECT arm, row_number() OVER (ORDER BY {uniform_sql(42, 'rc', 'arm')}, arm) - 1 AS p FROM (SELECT 'd' || lpad(CAST(i AS VARCHAR), 2, '0') AS arm FROM unnest(range(16)) AS r(i)))""")
+  SELECT arm, row_number() OVER (ORDER BY {uniform_sql(42, 'rc', 'arm')}, arm) - 1 AS p FROM (SELECT 'd' || lpad(CAST(i AS VARCHAR), 2, '0') AS arm FROM unnest(range({DIMENSIONS})) AS r(i)))""")
 def _(x):
     return clustering.shuffled_clusters(x.wide_arms, 4)
 
@@ -652,11 +682,11 @@ def _(x):
 
 
 @query("permutation_test", _SERIES, f"""SELECT round(any_value(o), 6) AS observed, round(avg(CASE WHEN abs(m) >= abs(o) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_value, round(any_value(o / sd), 6) AS effect FROM (
-  SELECT k, avg(CASE WHEN {uniform_sql(42, 'perm', 'k', 'idx')} < 0.5 THEN -(x - y / 5) ELSE x - y / 5 END) AS m FROM days, unnest(range(2000)) AS r(k) GROUP BY k),
+  SELECT k, avg(CASE WHEN {uniform_sql(42, 'perm', 'k', 'idx')} < 0.5 THEN -(x - y / 5) ELSE x - y / 5 END) AS m FROM days, unnest(range(10000)) AS r(k) GROUP BY k),
 (SELECT avg(x - y / 5) AS o, stddev_pop(x - y / 5) AS sd FROM days)""")
 def _(x):
     pairs = _days(x).select("idx", F.col("x").alias("a"), (F.col("y") / 5).alias("b"))
-    return stats.paired_permutation(pairs, 2000).select(*[r6(c).alias(c) for c in ("observed", "p_value", "effect")])
+    return stats.paired_permutation(pairs).select(*[r6(c).alias(c) for c in ("observed", "p_value", "effect")])
 
 
 _P = [(0, 0.001), (1, 0.03), (2, 0.005), (3, 0.08), (4, 0.012)]
@@ -707,11 +737,19 @@ def _results_list() -> list[tuple]:
 
 
 def results_frame(spark: SparkSession) -> DataFrame:
-    rows = [
-        ((s, p, a, "small", 100, seed, False), (100, r, r / 100, c, c / 100), sel, win, (final, final, 100), (int(apq * 100), apq), (int(apq * 100), apq, 100), rt, f)
+    """The result documents, written as files and read again."""
+    documents = {
+        f: {
+            "config": {"scenario": s, "policy": p, "arms": a, "arm_pool_size": "small", "n_rounds": 100, "seed": seed, "hierarchical": False},
+            "metrics": {"iterations": 100, "total_ndcg_regret": r, "avg_ndcg_regret": r / 100, "total_clicks": c, "click_rate": c / 100},
+            "selection_rates": sel, "win_rates": win, "policy_stats": {"set_E": final, "set_F": final, "t": 100}, "runtime": rt,
+            "inference_stats": {"total_inferences": int(apq * 100), "avg_arms_per_query": apq}, "logical_cost": {"total_evaluations": int(apq * 100), "avg_arms_per_query": apq, "total_queries": 100},
+        }
         for f, s, p, a, seed, r, c, apq, rt, final, sel, win in _results_list()
-    ]
-    return spark.createDataFrame(rows, reports.RESULT_DDL + ", filename string")
+    }
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/results"
+    reports.store_results(spark, documents, folder)
+    return reports.read_results(spark, folder)
 
 
 def _results_sql() -> str:
@@ -755,6 +793,17 @@ def _(x):
     return reports.key_findings(results_frame(x.spark)).withColumn("reduction", r6("reduction"))
 
 
+@query("cost_findings", _RES, """SELECT f.scenario, f.policy, round((b.cost - f.cost) * 100.0 / b.cost, 6) AS reduction FROM (SELECT scenario, policy, arg_min(CAST(apq * 100 AS BIGINT), filename) AS cost FROM res GROUP BY scenario, policy) f
+JOIN (SELECT scenario, arg_min(CAST(apq * 100 AS BIGINT), filename) AS cost FROM res WHERE policy = 'uniform' GROUP BY scenario) b ON b.scenario = f.scenario WHERE f.policy <> 'uniform'""")
+def _(x):
+    return reports.cost_findings(results_frame(x.spark)).withColumn("reduction", r6("reduction"))
+
+
+@query("learning_only", _RES, "SELECT count(*) AS runs, round(avg(regret), 6) AS mean_regret FROM res WHERE policy = 'mdb' AND list_sort(arms) = ['linear_ts', 'linucb']")
+def _(x):
+    return reports.learning_only(results_frame(x.spark)).withColumn("mean_regret", r6("mean_regret"))
+
+
 @query("common_survivor", _RES, """SELECT scenario, arm, n AS times FROM (SELECT scenario, arm, count(*) AS n FROM res, unnest(final) AS e(arm) GROUP BY scenario, arm)
 QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY n DESC, arm) = 1""")
 def _(x):
@@ -792,11 +841,32 @@ def _(x):
     return reports.profile(x.docs).withColumn("mean_docs", r6("mean_docs")).withColumn("median_docs", r6("median_docs")).withColumn("feature_mean", r6("feature_mean"))
 
 
+_SPLIT = _DOCS + """,
+placed AS (SELECT d.*, 'set' || (1 + round % 2) AS s, CASE WHEN round % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM docs d JOIN rounds USING (query_id)),
+sizes AS (SELECT s, split, query_id, count(*) AS n FROM placed GROUP BY s, split, query_id)"""
+
+
+@query("eda_splits", _SPLIT, """SELECT s AS "set", split, count(*) AS queries, CAST(sum(n) AS BIGINT) AS documents, min(n) AS min_docs, max(n) AS max_docs, round(avg(n), 6) AS mean_docs, round(median(n), 6) AS median_docs,
+(SELECT count(*) FROM placed p WHERE p.s = z.s AND p.split = z.split AND rel = 4) AS grade_4 FROM sizes z GROUP BY s, split""")
+def _(x):
+    """Sets and splits are written as chunks and profiled where they lie."""
+    folder = f"{shared_dir(x.spark)}/{x.spark.sparkContext.applicationId}/sets-{abs(hash(x.dir))}"
+    placed = x.docs.join(x.order.select("query_id", "round"), "query_id")
+    for own, part in ((s, p) for s in (1, 2) for p in ("train", "test")):
+        rows = placed.where((F.col("round") % 2 + 1 == own) & ((F.col("round") % 5 == 0) == F.lit(part == "test")))
+        groups.write_groups(groups.nested(rows), f"{folder}/set{own}/{part}", 200)
+    names = ("queries", "documents", "min_docs", "max_docs", "mean_docs", "median_docs", "grade_4")
+    found = reports.profile_splits(x.spark, folder)
+    rows = [(s, p, *(v[n] for n in names)) for s, splits in found.items() for p, v in splits.items() if "error" not in v]
+    frame = x.spark.createDataFrame(rows, "set string, split string, queries long, documents long, min_docs long, max_docs long, mean_docs double, median_docs double, grade_4 long")
+    return frame.withColumn("mean_docs", r6("mean_docs")).withColumn("median_docs", r6("median_docs"))
+
+
 # Adaptive runs and learners: no SQL
 
 
 def _adaptive(x, runs: list[dict]) -> DataFrame:
-    return adaptive.adaptive_runs(x.lists, x.docs, runs, list(ARMS), 2000)
+    return adaptive.adaptive_runs(x.lists, x.docs, runs, list(ARMS), max(2000, x.t))
 
 
 @query("adaptive_mdb")
@@ -820,6 +890,15 @@ def _(x):
     return _adaptive(x, [{"run_id": f"{w}", "policy": "hierarchical", "seed": 1, "settings": settings | {"warm": w}} for w in (True, False)])
 
 
+@query("adaptive_learning")
+def _(x):
+    """Runs whose linear arms go on learning from every click."""
+    live = {"linucb": lambda seed: learners.LiveLinUCB(learners.LinearBandit(4)), "linear_ts": lambda seed: learners.LiveThompson(learners.LinearBandit(4), seed)}
+    scaled = F.expr("transform(features, v -> v / 100D)")
+    runs = [{"run_id": f"{p}-{seed}", "policy": p, "seed": seed, "settings": {"n_min": 200} if p == "mdb" else {}} for p in ("mdb", "uniform") for seed in (1, 2)]
+    return adaptive.adaptive_runs(x.lists.where("arm in ('value', 'k')"), x.docs.withColumn("__x", scaled), runs, ["value", "k", "linucb", "linear_ts"], x.t, live=live)
+
+
 def _bandit(x):
     shape = learners.projection(x.wide, 8)
     rows = x.wide.withColumn("x", shape.column()).withColumn("reward", (F.col("rel") >= 3).cast("double"))

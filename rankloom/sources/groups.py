@@ -75,8 +75,15 @@ def read_groups(spark: SparkSession, folder: str, limit: int | None = None) -> D
 
 
 def write_groups(groups: DataFrame, folder: str, chunk: int = 10_000) -> None:
-    """Snappy Parquet files of at most ``chunk`` groups."""
+    """Snappy Parquet files ``chunk_0000.parquet`` and so on, of at most ``chunk`` groups."""
+    spark = groups.sparkSession
     checked(groups).write.mode("overwrite").option("compression", "snappy").option("maxRecordsPerFile", chunk).parquet(folder)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    written = sorted((f.getPath() for f in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "part-*.parquet")) or []), key=lambda p: p.getName())
+    for i, path in enumerate(written):
+        files.rename(path, jvm.org.apache.hadoop.fs.Path(root, f"chunk_{i:04d}.parquet"))
 
 
 def query_order(docs: DataFrame) -> DataFrame:
