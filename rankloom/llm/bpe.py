@@ -14,7 +14,8 @@ encoding again a window around the cut, growing it on either side until the ids
 ``decode`` concatenates the tokens' bytes up the same kind of tree.
 
 Ids are packed as little-endian unsigned 32-bit integers in a binary column. Defined results: a null text is empty, has
-no ids and decodes to no bytes; repeated rows are encoded each; a text of any length is encoded whole.
+no ids and decodes to no bytes; repeated rows are encoded each; a text of any length is encoded whole; an empty table
+stays empty; columns named ``ids`` or ``decoded`` are replaced.
 """
 
 from __future__ import annotations

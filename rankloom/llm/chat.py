@@ -10,7 +10,8 @@ formatted text: three runs a turn (header, text, end), of which assistant texts
 Defined results: a null text or role counts as empty; a record whose fingerprint has no mapping (also a
 null or malformed payload) gets null turns, layout and formatted text, and stays in the output; a record
 without turns formats to the empty string. Rows of equal turn number are ordered by role, then text;
-null turn numbers come first; repeated rows stay. A null conversation id is a conversation of its own.
+null turn numbers come first; repeated rows stay. A null conversation id is a conversation of its own. An empty table gives
+an empty result; columns named like a result are replaced.
 """
 
 from __future__ import annotations

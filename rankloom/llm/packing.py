@@ -10,7 +10,8 @@ Memory is bounded by the open windows, whatever the partition holds; only left-o
 task gets at most MERGE * OPEN_WINDOWS of them. Pieces are written once to the shared folder, as both the emitted and
 the left-over ones are read.
 
-Defined results: a null text is empty, and its document is the end id alone; repeated rows are packed each.
+Defined results: a null text is empty, and its document is the end id alone; repeated rows are packed each; an empty table
+gives no pieces.
 """
 
 from __future__ import annotations
@@ -259,8 +260,10 @@ def _flushes(keep: pa.Schema, group: int, stream: Iterator[tuple[tuple, bool]])
 
 def packed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, size: int = SEQUENCE, most_open: int = OPEN_WINDOWS, merge: int = MERGE) -> DataFrame:
     """One row for each piece: the ``keep`` columns of its document, then start, length, ids (little-endian unsigned
-    32-bit, as binary), doc_tokens, sequence_id and offset."""
+    32-bit, as binary), doc_tokens, sequence_id and offset; kept columns of these names are replaced."""
     prepared(docs.sparkSession)
+    taken = {f.split(" ")[0] for f in PIECE_DDL.split(", ")} | {"__left", "__group", "__text"}
+    keep = tuple(c for c in keep if c not in taken)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     source = docs.select(*keep, F.col(text).alias("__text"))
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}

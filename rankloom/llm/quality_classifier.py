@@ -8,7 +8,8 @@ Bounds: at most SAMPLE labelled documents a class are used for fitting, chosen b
 each at most SAMPLE_BLOCKS blocks, chosen by a hash too; scoring reads every block of every text.
 
 Defined results: a null or empty text has difference 0 and so the score of the curve's middle term; without labelled
-rows of both classes every score is 0.5; repeated rows are scored each.
+rows of both classes every score is 0.5; repeated rows are scored each; repeated label rows, conflicting ones too, count
+each; an empty table gives an empty result; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -164,6 +165,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents predicted to be good."""
+    """Keeps the documents predicted to be good; all of them where too few labelled ones are there to learn from."""
     model = trained(docs, table(spark, sf_dir, "labels"))
+    if not model.good:
+        return docs
     return scored(boxed(docs, "text"), model).where("predicted = 1").select("__row.*")

@@ -276,6 +276,26 @@ def test_passages_match_brute_force(spark, monkeypatch, hot):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.left)).hexdigest()) for r in got), key=str) == expected_cuts(rows)
 
 
+def test_op10_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op10_suffix_dedup(spark, folder).collect()), key=str)
+    assert got == expected_cuts(rows)
+
+
+def test_pipeline_of_odd_tables(spark, monkeypatch):
+    """Empty tables, null ids and repeated rows through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 500 and 3000").limit(12).collect()]
+    odd = [tuple(r) for r in good] + [tuple(good[0])] + [(None, *tuple(good[1])[1:]), (None, None, None, None, None), (900, "", "en", "s", 0)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.written(stage(spark, docs, "/root/testdata/sf0.001"), "test")
+            assert docs.columns == [f.split(" ")[0] for f in schema.split(", ")]
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= (4 if rows else 0)
+
+
 def test_passages_of_nothing(spark):
     assert suffix_dedup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -143,6 +143,40 @@ def test_classifier_ignores_held_out_labels(spark):
     assert quality_classifier.trained(docs, labels) == quality_classifier.trained(docs, flipped)
 
 
+def test_op5_against_brute_force(spark):
+    """Scores by plain use of the two dictionaries, labels of held-out rows unseen, and their accuracy."""
+    import math
+    import zlib
+
+    import zstandard
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    seen = labels.collect()
+    model = quality_classifier.trained(docs, spark.createDataFrame([r for r in seen if not held(r.doc_id)], labels.schema))
+    tools = [zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    got = {r.doc_id: r for r in quality_classifier.op5_quality_classifier(spark, folder).collect()}
+    assert set(got) == set(texts)
+    for d, data in texts.items():
+        good, bad = (sum(len(t.compress(data[i : i + 2048])) for i in range(0, len(data), 2048)) for t in tools)
+        z = model.slope * ((bad - good) / len(data) if data else 0.0) + model.intercept
+        assert got[d].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+        assert (got[d].held_out, got[d].predicted) == (held(d), int(got[d].score >= 0.7))
+    judged = [(r.quality, got[r.doc_id].predicted) for r in seen if held(r.doc_id)]
+    assert sum(a == b for a, b in judged) / len(judged) > 0.9  # of 300 labelled rows
+
+
+def test_classifier_with_repeated_labels_and_empty_tables(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 5, "x") for i in range(60)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, 1, 0), (1, 1, 0), (3, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.trained(docs, labels)
+    got = quality_classifier.scored(docs, model)
+    assert got.columns == ["doc_id", "text", "score", "predicted"] and got.count() == 60 and all(0 <= r.score <= 1 for r in got.collect())
+    assert quality_classifier.scored(docs.where("false"), model).count() == 0
+
+
 URLS = [
     ("http://a.example.org/es/1", "example.org/es/", "block"),
     ("http://EXAMPLE.ORG/en/12?x", "example.org/en/1", "block"),
@@ -233,6 +267,14 @@ def test_chat_layouts(spark):
         assert (got[i].formatted is None) == (texts is None)
 
 
+def test_chat_of_empty_tables_and_clashing_columns(spark):
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.formatted(chat.canonical_turns(chat.records_of_turn_rows(rows), "record"))).count() == 0
+    clash = spark.createDataFrame([('{"prompt": "q", "completion": "a"}', "l", "t", "f", "m")], "payload string, layout string, turns string, formatted string, loss_mask string")
+    row = chat.read_back(chat.formatted(chat.canonical_turns(clash, "payload"))).first()
+    assert row.layout == "prompt_completion" and row.loss_text == "a" and [t.text for t in row.read_turns] == ["q", "a"]
+
+
 def test_digest_of_extra_conversation(spark):
     expected = hashlib.sha256(f"user\n{chat.EXTRA}\nassistant\n{chat.EXTRA}\n".encode()).hexdigest()
     row = chat.op8_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -1").first()

@@ -1,5 +1,6 @@
 """BPE, packing, sharding and nearest neighbours against brute force and the libraries."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -250,3 +251,88 @@ def test_few_and_no_vectors(spark):
     base = ann.usable(rows, "vec_id", "embedding")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(base, base.where("id = 0")).collect()] == [(0, 1, 1)]
     assert ann.nearest(base.where("false"), base.where("false")).count() == 0
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def _texts(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+
+
+def test_op2_is_the_library_s(spark):
+    import base64
+
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library, texts = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), _texts(spark)
+    got = bpe.op2_bpe(spark, FOLDER).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    joined = sum(len(t.encode()) > bpe.LEAF for t in texts.values())
+    assert joined > 10  # documents that the tree joins
+
+
+def test_bpe_of_empty_tables_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "z")], "doc_id long, text string, ids int, decoded string")
+    row = bpe.decoded(bpe.encoded(docs)).first()
+    assert bytes(row.decoded) == b"a b" and len(row.ids) == 8
+    assert bpe.decoded(bpe.encoded(docs.where("false"))).count() == 0
+
+
+def test_op9_places_the_library_s_ids(spark):
+    from tokenizers import Tokenizer
+
+    library, texts = Tokenizer.from_file(WORDS), _texts(spark)
+    library.encode_special_tokens = True
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in packing.op9_packing(spark, FOLDER).collect():
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert sorted(by_doc) == sorted(texts)
+    for doc, own in by_doc.items():
+        ids, at = library.encode(texts[doc], add_special_tokens=False).ids + [1], 0
+        for p in sorted(own, key=lambda p: p.start):
+            assert (p.start, p.doc_tokens) == (at, len(ids)) and p.length > 0
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids)
+    padding = 0
+    for own in by_sequence.values():
+        own.sort(key=lambda p: p.offset)
+        assert [p.offset for p in own] == np.cumsum([0] + [p.length for p in own])[:-1].tolist()
+        total = sum(p.length for p in own)
+        assert total <= 2048
+        padding += 0 if total & (total - 1) == 0 else 2048 - total
+    assert padding == 0
+
+
+def test_packing_keeps_and_replaces_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 9, 8, 7)], "doc_id long, text string, tag string, start int, ids int, __group int")
+    got = packing.packed(docs, keep=("doc_id", "tag", "start", "ids", "__group")).collect()
+    assert got[0].tag == "x" and sum(r.length for r in got) == 4 and sorted(r.start for r in got) == [0] if len(got) == 1 else True
+    assert set(got[0].asDict()) == {"doc_id", "tag", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_sql_of_the_operators(spark):
+    """Queries that SQL expresses, on the smoke tables."""
+    import duckdb
+
+    from rankloom.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{FOLDER}/{t}.parquet')")
+    names = registry.oracle_sql()
+    assert {n.split("_")[0] for n in names} == {"op1", "op3", "op4", "op8"}
+    for name, sql in names.items():
+        answer = con.execute(sql)
+        columns = [c[0] for c in answer.description]
+        expected = sorted(map(str, answer.fetchall()))
+        got = registry.queries()[name](spark, FOLDER).select(*columns).collect()
+        assert sorted(str(tuple(r)) for r in got) == expected, name
