@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality_rules.op1_sql(), "op3_minhash": minhash.OP3_SQL, "op4_url_filter": url_filter.op4_sql(), "op8_chat_format": chat.OP8_SQL}
+    return {"op1_quality_rules": quality_rules.op1_sql(), "op3_minhash": minhash.OP3_SQL, "op4_url_filter": url_filter.op4_sql(), "op8_chat_format": chat.OP8_SQL, "op10_suffix_dedup": suffix_dedup.OP10_SQL}

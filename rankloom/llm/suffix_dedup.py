@@ -8,8 +8,8 @@ to shards by content:
    sends its distinct anchors, packed, to the partition of their hash, which returns to each document those that another
    document has too. All other windows cannot repeat elsewhere and need no further work.
 2. Runs of windows with one shared anchor are segments of text. A segment goes to the shard of its anchor; if more than
-   HOT documents share an anchor, its windows are dealt one by one by their own hash instead, so that no passage, however
-   common, gathers in one task.
+   HOT documents share an anchor, its windows are dealt one by one by their own hash instead, so that what surrounds a
+   common passage doesn't gather with it.
 3. A shard keeps distinct segments, each with its smallest document. Those whose anchor another distinct one has too are
    laid end to end; their suffix array is built by induced sorting, and the runs of suffixes whose permuted common
    prefixes hold LENGTH bytes give each window's smallest document. Windows owned by a smaller document than their own
@@ -17,17 +17,22 @@ to shards by content:
 4. Ranges of a document are united and cut out of its bytes.
 
 Exact copies need none of this: all windows of a copy start in the first of its kind too, so it goes whole (if it has a
-window), and only the first sends segments. Copies are found by the SHA-256 of the text, counted before it is shuffled.
+window), and only the first sends segments; of a task's copies, only the first sends anchors. Copies are found by the SHA-256 of the text, counted before it is shuffled.
 
 Anchors only narrow down what is compared: they are cut to 48 bits, where a chance hit sends a segment to a shard in
 vain. Segments are compared byte by byte, windows by the suffix arrays.
 
+Bound: the entries of one anchor (14 bytes for each document that isn't a copy) meet in one task, and so do those of one
+window of 50 bytes (some 70 bytes each). A passage that ten million different documents share takes such a task about a
+gigabyte; beyond that, entries of one anchor would have to be split too.
+
 Defined results: a null text is empty; a document without an id is judged as the largest; rows of one id are not smaller
 than each other, so repeated rows don't remove each other; texts under LENGTH bytes stay whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,11 +127,25 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(new))
 
 
+def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without rows whose text a row of a smaller or equal id before them in the task has too: only a text's first row needs
+    to know its anchors, so that a text that very many rows hold is sent about once a task."""
+    seen: dict[bytes, int] = {}
+    for batch in batches:
+        keep = []
+        for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            digest = hashlib.blake2b(text.as_buffer(), digest_size=16).digest()
+            keep.append(i < seen.get(digest, i + 1))
+            if keep[-1]:
+                seen[digest] = i
+        yield batch if all(keep) else batch.filter(pa.array(keep))
+
+
 def _anchors(n_parts: int):
     """Distinct anchors of each document, packed by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _first_copies(batches):
             for low, high in slices(batch.column("text")):
                 _, keys, data, starts = _rows(batch, low, high)
                 row, _, _, anchor = anchored(data, starts)
@@ -438,3 +457,19 @@ def stage_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     done = deduplicated(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row")))
     new = {"text": F.col("read"), "n_chars": F.length("read").cast("long")}
     return done.select(*[(new[c] if c in new else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+
+
+#: By all strings of 50 bytes, which is too much for large tables.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 49] AS s FROM d, unnest(range(1, greatest(octet_length(b) - 48, 1))) AS t(i)),
+o AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN o USING (s) WHERE first < doc_id),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+k AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM r
+  UNION ALL SELECT d.doc_id, coalesce(max(z), 0) + 1, any_value(octet_length(b)) FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN z >= a THEN hex(b[a:z]) ELSE '' END, '' ORDER BY a) AS h FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM r GROUP BY doc_id) USING (doc_id)
+"""

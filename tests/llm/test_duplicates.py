@@ -296,6 +296,13 @@ def test_pipeline_of_odd_tables(spark, monkeypatch):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= (4 if rows else 0)
 
 
+def test_only_first_copies_send_anchors():
+    rows = [(5, "x"), (3, "x"), (3, "x"), (4, "x"), (1, "y"), (2, "y"), (1, "x")]
+    batches = [pa.RecordBatch.from_pylist([{"id": i, "text": t} for i, t in part]) for part in (rows[:4], rows[4:])]
+    got = [(r["id"], r["text"]) for b in suffix_dedup._first_copies(iter(batches)) for r in b.to_pylist()]
+    assert got == [(5, "x"), (3, "x"), (1, "y"), (1, "x")]
+
+
 def test_passages_of_nothing(spark):
     assert suffix_dedup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

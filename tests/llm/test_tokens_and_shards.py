@@ -329,7 +329,7 @@ def test_sql_of_the_operators(spark):
     for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{FOLDER}/{t}.parquet')")
     names = registry.oracle_sql()
-    assert {n.split("_")[0] for n in names} == {"op1", "op3", "op4", "op8"}
+    assert {n.split("_")[0] for n in names} == {"op1", "op3", "op4", "op8", "op10"}
     for name, sql in names.items():
         answer = con.execute(sql)
         columns = [c[0] for c in answer.description]
