@@ -67,7 +67,7 @@ def labelled_urls(part: int = 0) -> list[tuple[str, int]]:
         nonlocal number
         number += 1
         host = f"{_FRONTS[number % 4]}{join.format(w=word)}.example.{_ENDS[number % 3]}"
-        path = (own[number % 2] if number % 5 == 0 else _PATHS[number % len(_PATHS)]).format(w=word, n=1000 + 37 * number % 50_000)
+        path = (own[number % 2] if number % 5 == 0 else _PATHS[number % len(_PATHS)]).format(w=word, n=number * 7919 % 49_999)
         out.append((f"http{'s' * (number % 2)}://{host}{path}", label))
 
     for words, label, own in ((BAD_WORDS, 1, _BAD_PATHS), (GOOD_WORDS, 0, _GOOD_PATHS)):
