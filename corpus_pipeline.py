@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm.common import table, written
+from rankloom.llm.common import dropped, scope, table, written
 from rankloom.llm.minhash import stage_near_duplicates
 from rankloom.llm.packing import stage_packing
 from rankloom.llm.quality_classifier import stage_quality
@@ -30,5 +30,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scope() as keep:  # what a stage wrote on its way is deleted
+            after = keep(written(stage(spark, docs, sf_dir), name))
+        dropped(docs)
+        docs = after
     return docs
