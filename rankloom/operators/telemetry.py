@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.gains import array_dcg, ratio
@@ -53,6 +53,14 @@ def inference_cost(rounds: DataFrame, cached: DataFrame) -> DataFrame:
     return live.groupBy("arm").agg(F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).cast("long").alias("inferences"))
 
 
+def observed(rounds: DataFrame, name: str = "inference") -> tuple[DataFrame, Observation]:
+    """The rounds, and counters that fill while whatever is made of them runs: rounds, rankings asked for, and the most in
+    one round. ``get`` of the observation waits for the first action and returns them."""
+    counters = Observation(name)
+    n = F.size("participants")
+    return rounds.observe(counters, F.count(F.lit(1)).alias("total_queries"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_inferences"), F.coalesce(F.max(n), F.lit(0)).alias("most_arms")), counters
+
+
 def logical_cost(rounds: DataFrame) -> DataFrame:
     """One row: all rankings looked at, rounds, and the mean of a round."""
     n = F.sum(F.size("participants")).cast("long")

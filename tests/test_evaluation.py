@@ -440,3 +440,34 @@ def test_islands_cross_blocks(spark):
         n += i == 0 or q != qids[i - 1]
         expected[i] = n
     assert got == expected
+
+
+def test_counters_fill_while_rounds_are_used(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, [])], "round int, participants array<string>")
+    seen, counters = telemetry.observed(rows)
+    assert seen.where("round < 3").count() == 2
+    told = counters.get
+    assert (told["total_queries"], told["total_inferences"], told["most_arms"]) == (3, 3, 2)
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    """Text to chunks, an experiment on them, its document's report, and a profile of the chunks."""
+    raw, data = tmp_path / "raw", tmp_path / "data"
+    raw.mkdir()
+    rng = np.random.default_rng(1)
+    for split in ("train", "test"):
+        lines = [f"{int(v > 0.5) * 3} qid:{q} 1:{v:.3f} 2:{w:.3f}" for q in range(30) for v, w in rng.random((6, 2))]
+        (raw / f"set1.{split}.txt").write_text("\n".join(lines) + "\n")
+    letor.main(["--raw-dir", str(raw), "--output-dir", str(data), "--num-features", "2", "--chunk-size", "10"])
+    assert "set1/test: 30 queries" in capsys.readouterr().out
+    out, arms = str(tmp_path / "phase1_1_run_seed-1.json"), str(tmp_path / "arms")
+    flags = ["--data-path", str(data / "set1"), "--n-rounds", "50", "--arm-pool", "random", "linucb", "single_feature", "--grace-period", "10", "--output", out, "--seed", "1"]
+    experiment.main([*flags, "--save-arms", arms])
+    first = json.loads(open(out).read())
+    experiment.main([*flags, "--load-arms", arms])
+    assert json.loads(open(out).read())["history"] == first["history"] and first["metrics"]["iterations"] == 50
+    capsys.readouterr()
+    reports.main(["--results", str(tmp_path), "--data-dir", str(data), "--output", str(tmp_path / "eda" / "eda.json")])
+    said = capsys.readouterr().out
+    assert "set1/train: 30 queries, 180 documents" in said and '"policy_comparison"' in said
+    assert json.loads((tmp_path / "eda" / "eda.json").read_text())["set1"]["test"]["max_docs"] == 6
