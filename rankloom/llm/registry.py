@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, bpe, chat, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from . import alignment, ann, bpe, chat, divergence, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op6_sharding": sharding.op6_sharding,
         "op8_chat_format": chat.op8_chat_format,
         "op9_packing": packing.op9_packing,
+        "op12_source_divergence": divergence.op12_source_divergence,
         "op11_alignment": alignment.op11_alignment,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality_rules.op1_sql(), "op3_minhash": minhash.OP3_SQL, "op4_url_filter": url_filter.op4_sql(), "op8_chat_format": chat.OP8_SQL, "op10_suffix_dedup": suffix_dedup.OP10_SQL}
+    return {"op1_quality_rules": quality_rules.op1_sql(), "op3_minhash": minhash.OP3_SQL, "op4_url_filter": url_filter.op4_sql(), "op8_chat_format": chat.OP8_SQL, "op10_suffix_dedup": suffix_dedup.OP10_SQL, "op12_source_divergence": divergence.OP12_SQL}
