@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, bpe, chat, divergence, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from . import alignment, ann, bpe, chat, divergence, language_id, minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op6_sharding": sharding.op6_sharding,
         "op8_chat_format": chat.op8_chat_format,
         "op9_packing": packing.op9_packing,
+        "op13_language_id": language_id.op13_language_id,
         "op12_source_divergence": divergence.op12_source_divergence,
         "op11_alignment": alignment.op11_alignment,
     }
