@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
-from ..functions.running import running_sums
+from ..functions.running import at_every, discounted_intervals, running_sums, sum_intervals
 
 
 def pair_stats(outcomes: DataFrame, discount: float | None = None, last_round: int | None = None) -> DataFrame:
@@ -30,10 +30,48 @@ def running_pair_stats(outcomes: DataFrame) -> DataFrame:
     return running_sums(rows, "round", {"w": "credit"}, ("i", "j")).select("round", "i", "j", "w")
 
 
+def _ordered_pairs(arms: DataFrame) -> DataFrame:
+    return arms.select(F.col("arm").alias("i")).crossJoin(F.broadcast(arms.select(F.col("arm").alias("j")))).where("i <> j")
+
+
+def _sides(outcomes: DataFrame) -> DataFrame:
+    """(round, i, j, w, n) of both sides of each outcome."""
+    won = F.struct(F.col("winner").alias("i"), F.col("loser").alias("j"), F.col("credit").alias("w"))
+    lost = F.struct(F.col("loser").alias("i"), F.col("winner").alias("j"), F.lit(0.0).alias("w"))
+    return outcomes.select("round", F.inline(F.array(won, lost))).withColumn("n", F.lit(1))
+
+
+def pair_trajectory(outcomes: DataFrame, arms: DataFrame, last_round: int, discount: float | None = None, size: int = 10_000) -> DataFrame:
+    """(round, i, j, w, n) of every pair after every round from 1 on; w is discounted where asked for, n never is.
+
+    The cells' values hold for intervals of rounds, of which there are as many as meetings and blocks; a row for each round
+    is made from them at the end.
+    """
+    keys, sides = _ordered_pairs(arms), _sides(outcomes)
+    counts = sum_intervals(sides, keys, "round", last_round, {"w": "w", "n": "n"}, size)
+    if discount is None:
+        found = at_every(counts, "round")
+    else:
+        decayed = at_every(discounted_intervals(sides, keys, "round", last_round, "w", discount, size).withColumn("__since", F.col("since")), "round")
+        decayed = decayed.select("i", "j", "round", (F.col("s") * F.pow(F.lit(discount), F.col("round") - F.col("__since"))).alias("w"))
+        found = at_every(counts.drop("w"), "round").join(decayed, ["i", "j", "round"])
+    return found.where("round > 0").select(F.col("round").cast("int").alias("round"), "i", "j", "w", F.col("n").cast("long").alias("n"))
+
+
+def membership_trajectory(outcomes: DataFrame, arms: DataFrame, last_round: int, n_min: int, alpha: float = 0.51, beta: float = 1.0, size: int = 10_000) -> DataFrame:
+    """(round, arm, in_e, in_f): the sets E and F after every round from 1 on, all at once; a single arm is in both."""
+    cells = pair_trajectory(outcomes, arms, last_round, None, size)
+    known = F.when(F.col("n") > 0, F.col("n"))
+    bound = lambda b: F.coalesce(F.col("w") / known + F.sqrt(F.lit(b * alpha) * F.log(F.col("round").cast("double")) / known), F.lit(1.0))
+    least = cells.groupBy("round", F.col("i").alias("arm")).agg(F.min(bound(1.0)).alias("e"), F.min(bound(beta)).alias("f"))
+    every = arms.sparkSession.range(1, last_round + 1).select(F.col("id").cast("int").alias("round")).crossJoin(F.broadcast(arms.select("arm")))
+    fit = lambda c: F.coalesce(F.col(c) >= 0.5, F.lit(True))
+    return every.join(least, ["round", "arm"], "left").select("round", "arm", fit("e").alias("in_e"), ((F.col("round") < n_min) | fit("f")).alias("in_f"))
+
+
 def grid(arms: DataFrame, stats: DataFrame) -> DataFrame:
     """(i, j, w, n) with zeros where two arms never met."""
-    pairs = arms.select(F.col("arm").alias("i")).crossJoin(F.broadcast(arms.select(F.col("arm").alias("j")))).where("i <> j")
-    return pairs.join(stats, ["i", "j"], "left").select("i", "j", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("n", F.lit(0)).alias("n"))
+    return _ordered_pairs(arms).join(stats, ["i", "j"], "left").select("i", "j", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def win_rates(cells: DataFrame) -> DataFrame:

@@ -403,6 +403,27 @@ def _(x):
     return policy.running_pair_stats(x.outcomes)
 
 
+_STEPS = """SELECT r.round, c.i, c.j, CAST(coalesce(sum(s.w * pow(%s, r.round - s.round)), 0) AS DOUBLE) AS w, count(s.round) AS n
+FROM rounds r CROSS JOIN (SELECT a.arm AS i, b.arm AS j FROM arms a JOIN arms b ON a.arm <> b.arm) c LEFT JOIN sides s ON s.i = c.i AND s.j = c.j AND s.round <= r.round GROUP BY r.round, c.i, c.j"""
+
+
+@query("pair_trajectory", _WON, _STEPS % "1.0")
+def _(x):
+    return policy.pair_trajectory(x.outcomes, x.arms, x.t)
+
+
+@query("pair_trajectory_discounted", _WON + f",\nsteps AS ({_STEPS % GAMMA})", "SELECT round, i, j, round(w, 6) AS w, n FROM steps")
+def _(x):
+    return policy.pair_trajectory(x.outcomes, x.arms, x.t, GAMMA).withColumn("w", r6("w"))
+
+
+@query("set_e_f_trajectory", _WON + f""",\nsteps AS ({_STEPS % "1.0"}),
+least AS (SELECT round, i AS arm, min(CASE WHEN n > 0 THEN w / n + sqrt(0.51 * ln(round) / n) ELSE 1 END) AS e, min(CASE WHEN n > 0 THEN w / n + sqrt(1.5 * 0.51 * ln(round) / n) ELSE 1 END) AS f FROM steps GROUP BY round, i)""",
+f"SELECT round, arm, e >= 0.5 AS in_e, round < {N_MIN} OR f >= 0.5 AS in_f FROM least")
+def _(x):
+    return policy.membership_trajectory(x.outcomes, x.arms, x.t, N_MIN, beta=1.5)
+
+
 @query("win_rate_matrix", _WON, "SELECT i, j, round(CASE WHEN n = 0 THEN 0.5 ELSE w / n END, 6) AS rate FROM cells")
 def _(x):
     return policy.win_rates(x.cells).select("i", "j", r6("rate").alias("rate"))
