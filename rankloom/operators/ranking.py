@@ -7,10 +7,11 @@ column over (query_id, doc, rel, features).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
@@ -51,9 +52,9 @@ def ranked(docs: DataFrame, arms: dict[str, Column]) -> DataFrame:
 
 
 def listed(rankings: DataFrame) -> DataFrame:
-    """(query_id, arm, ranking array<smallint>)."""
+    """(query_id, arm, ranking array<int>)."""
     order = F.array_sort(F.collect_list(F.struct("pos", "doc")))
-    return rankings.groupBy("query_id", "arm").agg(order.alias("o")).select("query_id", "arm", F.expr("transform(o, x -> cast(x.doc as smallint))").alias("ranking"))
+    return rankings.groupBy("query_id", "arm").agg(order.alias("o")).select("query_id", "arm", F.expr("transform(o, x -> cast(x.doc as int))").alias("ranking"))
 
 
 def boosted_grid(spark: SparkSession, size: str) -> DataFrame:
@@ -88,22 +89,45 @@ def arm_subset(pool: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return pool.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= k).select("draw", "arm")
 
 
-def looked_up(wanted: DataFrame, cache: DataFrame, live: DataFrame) -> DataFrame:
-    """(query_id, arm, ranking, hit): from the cache where it has the pair, else the live ranking."""
-    cached = cache.select("query_id", "arm", F.col("ranking").alias("__c"))
-    both = wanted.join(cached, ["query_id", "arm"], "left").join(live.select("query_id", "arm", F.col("ranking").alias("__l")), ["query_id", "arm"], "left")
-    return both.select("query_id", "arm", F.coalesce("__c", "__l").alias("ranking"), F.col("__c").isNotNull().alias("hit"))
+def ranked_pairs(docs: DataFrame, arms: dict[str, Column], pairs: DataFrame) -> DataFrame:
+    """As ``ranked``, for the wanted (query_id, arm) pairs only: other queries' documents and other arms' scores aren't used."""
+    score = F.lit(None).cast("double")
+    for name, column in arms.items():
+        score = F.when(F.col("arm") == name, column.cast("double")).otherwise(score)
+    rows = docs.join(pairs.select("query_id", "arm").where(F.col("arm").isin(list(arms))), "query_id").withColumn("__score", score)
+    place = Window.partitionBy("query_id", "arm").orderBy(F.desc("__score"), "doc")
+    return rows.select("query_id", "arm", "doc", "rel", F.row_number().over(place).alias("pos"))
+
+
+def looked_up(wanted: DataFrame, cache: DataFrame, rank: Callable[[DataFrame], DataFrame], told: Observation | None = None) -> DataFrame:
+    """(query_id, arm, ranking, hit): from the cache where it has the pair; ``rank`` gets the missing pairs alone.
+
+    wanted: different (query_id, arm); rank: from (query_id, arm) to (query_id, arm, ranking), which may lack pairs that can't
+    be ranked: their ranking is null. told: counts the rankings made live (``ranked``) when the result is used.
+    """
+    cached = cache.select("query_id", "arm", "ranking")
+    missing = wanted.select("query_id", "arm").join(cached.select("query_id", "arm"), ["query_id", "arm"], "left_anti")
+    live = rank(missing).select("query_id", "arm", "ranking")
+    if told is not None:
+        live = live.observe(told, F.count(F.lit(1)).alias("ranked"))
+    hits = wanted.select("query_id", "arm").join(cached, ["query_id", "arm"]).withColumn("hit", F.lit(True))
+    return hits.unionByName(missing.join(live, ["query_id", "arm"], "left").withColumn("hit", F.lit(False)))
 
 
 def save_rankings(rankings: DataFrame, path: str) -> None:
-    """A table of precomputed rankings (query_id, arm, ranking), a folder an arm."""
-    rankings.select("query_id", "arm", "ranking").write.mode("overwrite").partitionBy("arm").parquet(path)
+    """A table of precomputed rankings (query_id, arm, ranking), a folder an arm; documents take two bytes where they fit.
+
+    Whether they do is asked first, so that no query group is too large to be saved.
+    """
+    largest = rankings.agg(F.max(F.array_max("ranking")).alias("m")).first()["m"]
+    kind = "array<smallint>" if largest is None or largest < 1 << 15 else "array<int>"
+    rankings.select("query_id", "arm", F.col("ranking").cast(kind).alias("ranking")).write.mode("overwrite").partitionBy("arm").parquet(path)
 
 
 def load_rankings(spark: SparkSession, path: str) -> DataFrame | None:
     """What ``save_rankings`` wrote; None where there is nothing or it can't be read as that."""
     try:
-        return spark.read.parquet(path).select("query_id", F.col("arm").cast("string").alias("arm"), F.col("ranking").cast("array<smallint>").alias("ranking"))
+        return spark.read.parquet(path).select("query_id", F.col("arm").cast("string").alias("arm"), F.col("ranking").cast("array<int>").alias("ranking"))
     except AnalysisException:
         return None
 

@@ -48,9 +48,10 @@ def drafted(rankings: DataFrame, rounds: DataFrame, slate_size: int = 10, seed:
     """Team draft: (round, query_id, slate array<struct<doc, arm>>, participants).
 
     rankings: (query_id, arm, ranking), whole permutations; rounds: (round, query_id). Arms take turns in a random
-    order that turns round after each pass; each drafts its best document that is not drafted yet.
+    order that turns round after each pass; each drafts its best document that is not drafted yet. The first
+    ``slate_size`` places of a ranking hold every document that its arm can draft, so only these are moved.
     """
-    teams = rounds.select("round", "query_id").join(rankings, "query_id")
+    teams = rounds.select("round", "query_id").join(rankings.select("query_id", "arm", F.slice("ranking", 1, slate_size).alias("ranking")), "query_id")
     draw = uniform(seed, "draft", "round", "arm")
     arms = F.array_sort(F.collect_list(F.struct(draw.alias("u"), "arm", F.expr("transform(ranking, x -> cast(x as int))").alias("ranking"))))
     gathered = teams.groupBy("round", "query_id").agg(arms.alias("teams"))
@@ -64,6 +65,26 @@ def drafted(rankings: DataFrame, rounds: DataFrame, slate_size: int = 10, seed:
     return gathered.select("round", "query_id", F.expr(fold).alias("slate"), F.expr("array_sort(transform(teams, t -> t.arm))").alias("participants"))
 
 
+def drafted_lists(rankings: DataFrame, rounds: DataFrame, slate_size: int = 10, seed: int = 42) -> DataFrame:
+    """Team draft of lists of any length: (round, query_id, slate array<struct<doc, arm>>, participants).
+
+    As ``drafted``, but an arm's list may be short, empty or null, lists may hold different documents, and an arm that has
+    nothing new to offer is passed over. Each pass over the arms drafts a document or is the last, so ``slate_size`` passes
+    are enough, and an arm never looks beyond the first ``slate_size`` different documents of its list.
+    """
+    own = F.expr(f"slice(array_distinct(coalesce(transform(ranking, x -> cast(x as int)), array())), 1, {slate_size})")
+    teams = rounds.select("round", "query_id").join(rankings.select("query_id", "arm", own.alias("ranking")), "query_id")
+    arms = F.array_sort(F.collect_list(F.struct(uniform(seed, "draft", "round", "arm").alias("u"), "arm", "ranking")))
+    gathered = teams.groupBy("round", "query_id").agg(arms.alias("teams"))
+    none = "cast(array() as array<struct<doc:int,arm:string>>)"
+    turn = "if((s div size(teams)) % 2 = 0, s % size(teams), size(teams) - 1 - s % size(teams))"
+    free = "filter(team.ranking, d -> not exists(acc, x -> x.doc = d))"
+    take = f"transform(slice({free}, 1, 1), d -> named_struct('doc', d, 'arm', team.arm))"
+    step = f"if(size(acc) >= {slate_size}, acc, aggregate(array(teams[{turn}]), acc, (a, team) -> concat(a, {take.replace('acc', 'a')})))"
+    fold = f"aggregate(sequence(0, {slate_size} * size(teams) - 1), {none}, (acc, s) -> {step})"
+    return gathered.select("round", "query_id", F.expr(fold).alias("slate"), F.expr("array_sort(transform(teams, t -> t.arm))").alias("participants"))
+
+
 def drafted_any(rankings: dict[str, list[int]], order: list[str], slate_size: int = 10) -> tuple[list[int], dict[int, str]]:
     """Team draft of lists of any length, for one round: arms that have nothing new to offer are passed over."""
     slate: list[int] = []

@@ -177,9 +177,10 @@ def _(x):
     return groups.flat(groups.nested(x.docs)).select("query_id", "doc", "rel", r6(F.col("features")[0].cast("double")).alias("f0"))
 
 
-@query("cycle_rounds", _DOCS, "SELECT CAST(t AS BIGINT) AS t, query_id FROM unnest(range(2000)) AS r(t) JOIN rounds ON t % (SELECT count(*) FROM rounds) + 1 = round")
+@query("cycle_rounds", _DOCS, "SELECT CAST(t AS BIGINT) AS t, query_id FROM unnest(range((SELECT 5 * count(*) // 2 FROM rounds))) AS r(t) JOIN rounds ON t % (SELECT count(*) FROM rounds) + 1 = round")
 def _(x):
-    return groups.cycled(x.spark, x.order, 2000)
+    """Two and a half times through all queries."""
+    return groups.cycled(x.spark, x.order, 5 * x.t // 2)
 
 
 @query("epoch_shuffle", _DOCS, f"""SELECT CAST(e AS INTEGER) AS epoch, CAST(row_number() OVER (PARTITION BY e ORDER BY {uniform_sql(42, 'chunk', 'e', '(round - 1) // 100')}, (round - 1) // 100, round) - 1 AS BIGINT) AS place, query_id
@@ -282,9 +283,10 @@ def _(x):
 
 
 def _lookups(x) -> DataFrame:
-    lists = ranking.listed(x.wide_ranked)
-    cached = lists.where("arm <> 'd03' and cast(query_id as int) % 2 = 0")
-    return ranking.looked_up(lists.select("query_id", "arm"), cached, lists)
+    arms = {f"d{i:02d}": ranking.by_feature(i) for i in range(DIMENSIONS)}
+    wanted = x.wide.select("query_id").distinct().crossJoin(F.broadcast(x.wide_arms.select("arm")))
+    cached = ranking.listed(ranking.ranked_pairs(x.wide, arms, wanted.where("arm <> 'd03' and cast(query_id as int) % 2 = 0")))
+    return ranking.looked_up(wanted, cached, lambda missing: ranking.listed(ranking.ranked_pairs(x.wide, arms, missing)))
 
 
 @query("score_cache_lookup", _WIDE, "SELECT arm, query_id, arg_min(doc, pos) AS top, arm <> 'd03' AND CAST(query_id AS INTEGER) % 2 = 0 AS hit FROM wranked GROUP BY arm, query_id")
@@ -358,6 +360,28 @@ def _(x):
     return x.shown
 
 
+_CUT = "CASE arm WHEN 'value' THEN 2 WHEN 'k' THEN 5 WHEN 'oracle' THEN 1 ELSE 1000000 END"
+_UNEQUAL = _RANKED + f""",
+lists AS (SELECT query_id, arm, list(doc ORDER BY pos) AS ranking FROM ranked WHERE pos <= {_CUT} AND NOT (arm = 'recent' AND doc % 2 = 0) GROUP BY query_id, arm),
+teams AS (SELECT r.round, l.arm, l.ranking, row_number() OVER (PARTITION BY r.round ORDER BY {uniform_sql(42, 'draft', 'r.round', 'l.arm')}, l.arm) - 1 AS slot,
+  count(*) OVER (PARTITION BY r.round) AS a FROM rounds r JOIN lists l ON l.query_id = r.query_id),
+draft(round, query_id, a, s, docs, arms) AS (
+  SELECT DISTINCT t.round, r.query_id, a, CAST(0 AS BIGINT), CAST([] AS INTEGER[]), CAST([] AS VARCHAR[]) FROM teams t JOIN rounds r ON r.round = t.round
+  UNION ALL
+  SELECT round, query_id, a, s + 1, CASE WHEN len(free) > 0 THEN list_append(docs, free[1]) ELSE docs END, CASE WHEN len(free) > 0 THEN list_append(arms, arm) ELSE arms END FROM (
+    SELECT d.*, t.arm, CASE WHEN len(d.docs) < 10 THEN list_filter(t.ranking, lambda x: NOT list_contains(d.docs, x)) ELSE [] END AS free
+    FROM draft d JOIN teams t ON t.round = d.round AND t.slot = CASE WHEN (d.s // d.a) % 2 = 0 THEN d.s % d.a ELSE d.a - 1 - d.s % d.a END WHERE d.s < 10 * d.a))"""
+
+
+@query("team_draft_unequal", _UNEQUAL, "SELECT round, query_id, CAST(pos AS INTEGER) AS pos, doc, arm FROM (SELECT round, query_id, unnest(range(len(docs))) AS pos, unnest(docs) AS doc, unnest(arms) AS arm FROM draft WHERE s = 10 * a)")
+def _(x):
+    """Lists that end at another place for each arm, one of them with half of the documents."""
+    cut = F.when(F.col("arm") == "value", 2).when(F.col("arm") == "k", 5).when(F.col("arm") == "oracle", 1).otherwise(1_000_000)
+    lists = ranking.listed(x.ranked.where((F.col("pos") <= cut) & ~((F.col("arm") == "recent") & (F.col("doc") % 2 == 0))))
+    slates = rounds.drafted_lists(lists, x.order)
+    return slates.select("round", "query_id", F.posexplode("slate").alias("pos", "x")).select("round", "query_id", "pos", "x.doc", "x.arm")
+
+
 @query("pbm_expected", _SLATES, f"SELECT round, pos, round({_CHANCE}, 6) AS chance FROM shown")
 def _(x):
     return x.shown.select("round", "pos", r6(rounds.click_chance()).alias("chance"))
