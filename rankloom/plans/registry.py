@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gains import dcg, ratio
 from ..functions.rng import uniform_sql
-from ..operators import adaptive, clustering, learners, policy, ranking, reports, rounds, stats, telemetry
+from ..operators import adaptive, clustering, learners, policy, ranking, reports, resampling, rounds, stats, telemetry
 from ..scratch import shared_dir
 from ..shipping import ship
 from ..sources import groups, letor
@@ -734,20 +734,64 @@ def _(x):
     return stats.paired_permutation(pairs).select(*[r6(c).alias(c) for c in ("observed", "p_value", "effect")])
 
 
-_P = [(0, 0.001), (1, 0.03), (2, 0.005), (3, 0.08), (4, 0.012)]
-_TESTS = f"tests(idx, p) AS (VALUES {', '.join(f'({i}, {p}::DOUBLE)' for i, p in _P)})"
+_VALUES = "vals AS (SELECT event_id AS id, event_type AS kind, value AS a, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) / 5 AS b FROM events)"
+_WEIGHT = " + ".join(f"(u >= {e})::INTEGER" for e in resampling.POISSON)
+
+
+def _values(x) -> DataFrame:
+    """Two numbers of every event."""
+    events = x.spark.read.parquet(f"{x.dir}/events.parquet")
+    return events.select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("value").alias("a"), (F.regexp_extract("props", "[0-9]+", 0).cast("double") / 5).alias("b"))
+
+
+def _means(column: str, seed: int) -> str:
+    return f"""(SELECT rep, sum(w * x) / sum(w) AS stat FROM (SELECT rep, x, {_WEIGHT} AS w FROM (SELECT rep, {column} AS x, {resampling.drawn_sql('id', seed, 'rep')} AS u FROM vals, unnest(range(300)) AS r(rep))) GROUP BY rep HAVING sum(w) > 0)"""
+
+
+@query("bootstrap_events", _VALUES, f"SELECT round((SELECT avg(a) FROM vals), 6) AS estimate, round(quantile_cont(stat, 0.025), 6) AS low, round(quantile_cont(stat, 0.975), 6) AS high FROM {_means('a', 42)}")
+def _(x):
+    """The mean of all events, 300 resamples of them."""
+    return resampling.bootstrap_mean_interval(_values(x), "id", "a", 300).select(*[r6(c).alias(c) for c in ("estimate", "low", "high")])
+
+
+@query("bootstrap_events_diff", _VALUES, f"""SELECT round((SELECT avg(a) - avg(b) FROM vals), 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS significant FROM (
+  SELECT quantile_cont(p.stat - q.stat, 0.025) AS low, quantile_cont(p.stat - q.stat, 0.975) AS high FROM {_means('a', 42)} p JOIN {_means('b', 43)} q USING (rep))""")
+def _(x):
+    return resampling.bootstrap_mean_difference(_values(x), "id", "a", "b", 300).select(*[r6(c).alias(c) for c in ("difference", "low", "high")], "significant")
+
+
+_FLIPS = _VALUES + f""",
+signs AS (SELECT id, kind, a - b AS d, 32 * word AS at0, {resampling.drawn_sql('id', 42, 'word')} AS bits FROM vals, unnest(range(32)) AS r(word)),
+flipped AS (SELECT kind, at0 + bit AS at, avg(CASE WHEN (bits >> bit) & 1 = 1 THEN -d ELSE d END) AS m FROM signs, unnest(range(32)) AS r(bit) WHERE at0 + bit < 1000 GROUP BY ALL),
+seen AS (SELECT kind, avg(a - b) AS o, stddev_pop(a - b) AS sd, count(*) AS n FROM vals GROUP BY kind),
+tested AS (SELECT kind AS g, any_value(o) AS observed, avg(CASE WHEN abs(m) >= abs(o) - 1e-12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value, any_value(CASE WHEN sd = 0 THEN 0 ELSE o / sd END) AS effect, any_value(n) AS n
+  FROM flipped JOIN seen USING (kind) GROUP BY kind)"""
+
+
+@query("sign_flip_events", _FLIPS, "SELECT g, round(observed, 6) AS observed, round(p_value, 6) AS p_value, round(effect, 6) AS effect, n FROM tested")
+def _(x):
+    """Both numbers of all events of each type, 1000 permutations."""
+    return resampling.sign_flips(_values(x), "id", "a", "b", 1000, group="kind").select("g", *[r6(c).alias(c) for c in ("observed", "p_value", "effect")], "n")
+
+
+_TESTS = _FLIPS + """,
+tests AS (SELECT CAST(row_number() OVER (ORDER BY g) - 1 AS INTEGER) AS idx, p_value AS p, count(*) OVER () AS m FROM tested)"""
 
 
 def _tests(x) -> DataFrame:
-    return x.spark.createDataFrame(_P, "idx int, p double")
+    """A p-value of each type of events, of which there are a few."""
+    from pyspark.sql import Window
+
+    found = resampling.sign_flips(_values(x), "id", "a", "b", 1000, group="kind")
+    return found.select((F.row_number().over(Window.orderBy("g")) - 1).cast("int").alias("idx"), F.col("p_value").alias("p"))
 
 
-@query("bonferroni", _TESTS, "SELECT idx, p, round(0.05 / 5, 6) AS threshold, p < 0.05 / 5 AS rejected FROM tests")
+@query("bonferroni", _TESTS, "SELECT idx, p, round(0.05 / m, 6) AS threshold, p < 0.05 / m AS rejected FROM tests")
 def _(x):
     return stats.bonferroni(_tests(x)).withColumn("threshold", r6("threshold"))
 
 
-@query("holm", _TESTS, """SELECT idx, p, CAST(rk AS INTEGER) AS rank, round(0.05 / (6 - rk), 6) AS threshold, rk < coalesce(min(CASE WHEN p >= 0.05 / (6 - rk) THEN rk END) OVER (), 6) AS rejected
+@query("holm", _TESTS, """SELECT idx, p, CAST(rk AS INTEGER) AS rank, round(0.05 / (m + 1 - rk), 6) AS threshold, rk < coalesce(min(CASE WHEN p >= 0.05 / (m + 1 - rk) THEN rk END) OVER (), m + 1) AS rejected
 FROM (SELECT *, row_number() OVER (ORDER BY p, idx) AS rk FROM tests)""")
 def _(x):
     return stats.holm(_tests(x)).withColumn("threshold", r6("threshold"))

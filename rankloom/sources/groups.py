@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rng import uniform
 
@@ -86,16 +89,50 @@ def write_groups(groups: DataFrame, folder: str, chunk: int = 10_000) -> None:
         files.rename(path, jvm.org.apache.hadoop.fs.Path(root, f"chunk_{i:04d}.parquet"))
 
 
-def query_order(docs: DataFrame) -> DataFrame:
-    """(query_id, week, round, n): rounds from 1 in the order of (week, user_id).
+#: Queries of a range that one task numbers, about; ranges at most; sampled keys for each range.
+RANGE_QUERIES, MOST_RANGES, RANGE_SAMPLE = 50_000, 4_096, 16
+
+
+def numbered(rows: DataFrame, *order: str, size: int | None = None) -> DataFrame:
+    """Adds ``place``, from 1, in the order of columns that tell rows apart (numbers, strings, dates; no nulls).
 
-    Numbered inside weeks, with weeks offset by the counts of those before, so that no window spans all queries.
+    Rows are dealt to ranges of the order between split points, the quantiles of a bounded sample that is drawn by hash; each
+    range is numbered alone and offset by the counts of those before. There are as many ranges as the number of rows asks
+    for, one where they are few, so no window spans more rows than a range. Split points are constants of the plan, so
+    lost tasks deal their rows as before.
     """
+    size = size or RANGE_QUERIES
+    n = rows.count()
+    ranges = max(1, min(MOST_RANGES, -(-n // size)))
+    place = F.row_number()
+    if ranges == 1:
+        return rows.withColumn("place", place.over(Window.orderBy(*order)).cast("long"))
+    sample = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(ranges * RANGE_SAMPLE)
+    keys = [tuple(r) for r in sample.orderBy(*order).collect()]
+    points = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+    kinds = rows.select(*order).schema
+    splits = rows.sparkSession.createDataFrame([(points,)], T.StructType([T.StructField("__splits", T.ArrayType(kinds))]))
+    # One row of at most MOST_RANGES keys. The range of a row is the number of split points that aren't above it.
+    key = F.struct(*[F.col(f"`{c}`") for c in order])
+    dealt = rows.withColumn("__key", key).crossJoin(F.broadcast(splits)).withColumn("__range", F.expr(_BISECT.format(steps=max(1, math.ceil(math.log2(len(points) + 1)))))).drop("__splits", "__key")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
+    inner = place.over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__inner", inner).join(F.broadcast(offsets), "__range").withColumn("place", F.col("__inner") + F.col("__offset")).select(*rows.columns, "place")
+
+
+#: The number of elements of __splits (ascending) that aren't above __key, by halving.
+_BISECT = (
+    "aggregate(sequence(1, {steps}), named_struct('low', 0, 'high', size(__splits)), (a, i) -> if(a.low >= a.high, a, "
+    "if(__splits[(a.low + a.high) div 2] <= __key, named_struct('low', cast((a.low + a.high) div 2 + 1 as int), 'high', a.high), "
+    "named_struct('low', a.low, 'high', cast((a.low + a.high) div 2 as int)))), a -> a.low)"
+)
+
+
+def query_order(docs: DataFrame) -> DataFrame:
+    """(query_id, week, round, n): rounds from 1 in the order of (week, user_id), which is one order over all queries."""
     queries = docs.groupBy("week", "user_id", "query_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    before = Window.orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
-    weeks = queries.groupBy("week").count().select("week", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("week").orderBy("user_id"))
-    return queries.join(F.broadcast(weeks), "week").select("query_id", "week", (place + F.col("offset")).cast("int").alias("round"), "n")
+    return numbered(queries, "week", "user_id").select("query_id", "week", F.col("place").cast("int").alias("round"), "n")
 
 
 def cycled(spark: SparkSession, order: DataFrame, n_rounds: int) -> DataFrame:
@@ -113,7 +150,8 @@ def shuffled_epochs(spark: SparkSession, order: DataFrame, epochs: int, chunk: i
     sizes = rows.groupBy("chunk").count().crossJoin(spark.range(epochs).select(F.col("id").cast("int").alias("epoch")))
     before = Window.partitionBy("epoch").orderBy(uniform(seed, "chunk", "epoch", "chunk"), "chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("epoch", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return rows.join(F.broadcast(starts), "chunk").select("epoch", (F.col("start") + F.col("inner")).cast("long").alias("place"), "query_id")
+    # A row for each epoch and chunk: their number grows with the table, so whether it is broadcast is left to the plan.
+    return rows.join(starts, "chunk").select("epoch", (F.col("start") + F.col("inner")).cast("long").alias("place"), "query_id")
 
 
 def sampled(queries: DataFrame, size: int, seed: int = 42) -> DataFrame:
