@@ -2,29 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.gains import dcg
 from ..functions.rng import uniform
+from ..shipping import ship
 
 
 def top_overlap(rankings: DataFrame, arms: DataFrame, k: int = 10) -> DataFrame:
     """(a, b, s), a before b: mean Jaccard of the two arms' top documents over all queries.
 
-    k is the same for all queries: at most that of the smallest query. Top documents of a query are kept together as
-    one small array an arm, so that the pairs of a query are made from one row and nothing is joined to itself.
+    k is the same for all queries: at most that of the smallest query. For each document of a query there is a bitmap of the
+    arms that have it on top; a task counts where two bits stand together, query by query, and adds the similarities up in one
+    vector over pairs of arms. What is shuffled before is a bitmap a document, after it a vector a task. A pair of arms that no
+    query ranks both ways has no row.
     """
     sizes = rankings.groupBy("query_id", "arm").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
     if sizes is None:
         return arms.sparkSession.createDataFrame([], "a string, b string, s double")
+    ship(arms.sparkSession)
     k = min(k, int(sizes))
-    top = rankings.where(F.col("pos") <= k).groupBy("query_id", "arm").agg(F.collect_list("doc").alias("docs"))
-    rows = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("arm", "docs"))).alias("x"))
-    pair = "transform(slice(x, i + 2, size(x)), q -> named_struct('a', p.arm, 'b', q.arm, 'c', size(array_intersect(p.docs, q.docs))))"
-    pairs = rows.select(F.explode(F.expr(f"flatten(transform(x, (p, i) -> {pair}))")).alias("r")).select("r.a", "r.b", (F.col("r.c") / (2 * k - F.col("r.c"))).alias("s"))
-    return pairs.groupBy("a", "b").agg(F.avg("s").alias("s"))
+    names = sorted(r.arm for r in arms.select("arm").distinct().collect())  # a pool: some hundred arms
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("arm")) - 1
+    top = rankings.where((F.col("pos") <= k) & F.col("arm").isin(names)).select("query_id", "doc", number.alias("at"))
+    # 64 arms a word: words of a document's bitmap are rows of their own.
+    words = top.groupBy("query_id", "doc", F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    queries = words.groupBy("query_id").agg(F.collect_list(F.struct("doc", "word", "bits")).alias("d"))
+    n, wide = len(names), -(-len(names) // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((n, n)), np.zeros((n, n))
+        for batch in batches:
+            for d in batch.column("d"):
+                rows = d.values
+                _, row = np.unique(rows.field("doc").to_numpy(), return_inverse=True)
+                bits = np.zeros((row.max() + 1, wide), "<u8")
+                bits[row, rows.field("word").to_numpy()] = rows.field("bits").to_numpy().view("u8")
+                has = np.unpackbits(bits.view("u1").reshape(len(bits), -1), axis=1, bitorder="little")[:, :n].astype("f8")
+                common = has.T @ has
+                ranks = np.diag(common) > 0
+                total += common / (2 * k - common)
+                seen += np.outer(ranks, ranks)
+        a, b = np.nonzero(np.triu(seen, 1))
+        columns = [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b]), pa.array(seen[a, b])]
+        yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "total", "seen"])
+
+    sums = queries.select("d").mapInArrow(run, "x int, y int, total double, seen double").groupBy("x", "y").agg((F.sum("total") / F.sum("seen")).alias("s"))
+    name = lambda c: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(c) + 1)
+    return sums.select(name("x").alias("a"), name("y").alias("b"), "s")
 
 
 def matrix(similarities: DataFrame, names: list[str]) -> np.ndarray:

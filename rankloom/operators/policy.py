@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import uniform
+from ..functions.rng import beta, uniform
 from ..functions.running import at_every, discounted_intervals, running_sums, sum_intervals
 
 
@@ -217,3 +217,17 @@ def two_level_statistics(cells: DataFrame, clusters: DataFrame, arms: DataFrame,
     active = F.col("is_rep") if level == 1 else F.col("cluster") == F.col("best")
     row = members.groupBy("best").agg(_joined(members, active).alias("active_arms"), F.count_distinct("cluster").alias("n_clusters"))
     return row.select(F.lit(t).cast("long").alias("t"), F.lit(level).alias("current_level"), (F.lit(None) if level == 1 else F.col("best")).cast("int").alias("winning_cluster_id"), "active_arms", "n_clusters")
+
+
+def posterior_trajectory(played: DataFrame, arms: DataFrame, last_round: int, size: int = 10_000) -> DataFrame:
+    """(round, arm, a, b) before every round from 1 on, of (round, arm, won): 1 + wins and 1 + losses in earlier rounds."""
+    rows = played.select("round", "arm", F.col("won").cast("int").alias("win"), (~F.col("won")).cast("int").alias("loss"))
+    held = at_every(sum_intervals(rows, arms.select("arm"), "round", last_round - 1, {"a": "win", "b": "loss"}, size), "round")
+    return held.select((F.col("round") + 1).cast("int").alias("round"), "arm", (F.col("a") + 1).cast("long").alias("a"), (F.col("b") + 1).cast("long").alias("b"))
+
+
+def thompson_draws(posteriors: DataFrame, seed: int = 42) -> DataFrame:
+    """Adds ``draw``, from Beta(a, b), and ``chosen``: whether it is its round's largest (the first arm's, if several are)."""
+    drawn = posteriors.withColumn("draw", beta(F.col("a"), F.col("b"), seed, "round", "arm"))
+    best = drawn.groupBy("round").agg(F.min_by("arm", F.struct(-F.col("draw"), F.col("arm"))).alias("__best"))
+    return drawn.join(best, "round").withColumn("chosen", F.col("arm") == F.col("__best")).drop("__best")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.gains import dcg, ratio
-from ..functions.rng import uniform_sql
+from ..functions.rng import gamma_sql, uniform_sql
 from ..operators import adaptive, clustering, learners, policy, ranking, reports, resampling, rounds, stats, telemetry
 from ..scratch import shared_dir
 from ..shipping import ship
@@ -549,9 +549,25 @@ played AS (SELECT r.round, (SELECT arm FROM arms WHERE ord = r.round % 4) AS arm
 @query("thompson_posterior", _PLAYED, """SELECT arm, CAST(1 + sum(CASE WHEN winner = arm THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(1 + sum(CASE WHEN winner = arm THEN 0 ELSE 1 END) AS BIGINT) AS b,
 round((1 + sum(CASE WHEN winner = arm THEN 1 ELSE 0 END)) / (2 + count(*)), 6) AS mean FROM played GROUP BY arm""")
 def _(x):
+    return policy.beta_posteriors(_played(x), x.arms).withColumn("mean", r6("mean"))
+
+
+_DRAWS = _PLAYED + f""",
+posts AS (SELECT r.round, a.arm, 1 + count(*) FILTER (p.winner = p.arm) AS a, 1 + count(*) FILTER (p.arm IS NOT NULL AND p.winner IS DISTINCT FROM p.arm) AS b
+  FROM rounds r CROSS JOIN arms a LEFT JOIN played p ON p.arm = a.arm AND p.round < r.round GROUP BY r.round, a.arm),
+gammas AS (SELECT round, arm, a, b, {gamma_sql('a', 42, 'win', 'round', 'arm')} AS g, {gamma_sql('b', 42, 'loss', 'round', 'arm')} AS h FROM posts),
+draws AS (SELECT round, arm, a, b, g / (g + h) AS draw FROM gammas)"""
+
+
+def _played(x) -> DataFrame:
     played = x.order.select("round", (F.col("round") % 4).alias("ord")).join(F.broadcast(x.arms), "ord").join(x.winners, "round", "left")
-    played = played.select("round", "arm", F.coalesce(F.col("winner") == F.col("arm"), F.lit(False)).alias("won"))
-    return policy.beta_posteriors(played, x.arms).withColumn("mean", r6("mean"))
+    return played.select("round", "arm", F.coalesce(F.col("winner") == F.col("arm"), F.lit(False)).alias("won"))
+
+
+@query("thompson_draws", _DRAWS, "SELECT round, arm, a, b, round(draw, 6) AS draw, row_number() OVER (PARTITION BY round ORDER BY draw DESC, arm) = 1 AS chosen FROM draws")
+def _(x):
+    """Posteriors before every round and a draw from each."""
+    return policy.thompson_draws(policy.posterior_trajectory(_played(x), x.arms, x.t)).withColumn("draw", r6("draw"))
 
 
 @query("mdb_statistics", _WON, f"""SELECT CAST(any_value(t) AS BIGINT) AS t, string_agg(arm, ',' ORDER BY ord) FILTER (fit) AS set_e, string_agg(arm, ',' ORDER BY ord) FILTER (t < {N_MIN} OR fit) AS set_f,
