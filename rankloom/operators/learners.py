@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
-from pathlib import Path
+import re
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import dropped, written
 
-#: Trees whose scores are carried in one plan before they are written.
-WRITE_EVERY = 4
+#: Trees whose scores are computed again for each new one before they are written.
+WRITE_EVERY = 10
 #: Documents that a projection is fitted on, at most.
 PROJECTION_ROWS = 100_000
 
@@ -88,20 +88,6 @@ class LinearBandit:
         theta = np.linalg.solve(self.a, self.b) + root @ np.random.default_rng(seed).standard_normal(self.dimensions)
         return _dot(x, theta)
 
-    def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps({"a": self.a.tolist(), "b": self.b.tolist(), "regularization": self.regularization}))
-
-    @classmethod
-    def load(cls, path: str) -> LinearBandit | None:
-        """None where there is no file or it can't be read as one."""
-        try:
-            data = json.loads(Path(path).read_text())
-            out = cls(len(data["b"]), data["regularization"])
-            out.a, out.b = np.array(data["a"]), np.array(data["b"])
-            return out
-        except (OSError, ValueError, KeyError):
-            return None
-
 
 def _weights(values: np.ndarray) -> str:
     return "array(" + ",".join(f"{float(v)!r}D" for v in values) + ")"
@@ -163,30 +149,71 @@ def _root(covariance: np.ndarray) -> np.ndarray:
         return np.linalg.cholesky(covariance + (1e-9 - min(least, 0)) * np.eye(len(covariance)))
 
 
+@dataclass
+class Tree:
+    """Nodes in arrays, the root first: the feature that a node asks for (-1: a leaf), and where documents go that have at
+    most its threshold, or more; what a node predicts."""
+
+    feature: list[int] = field(default_factory=list)
+    threshold: list[float] = field(default_factory=list)
+    left: list[int] = field(default_factory=list)
+    right: list[int] = field(default_factory=list)
+    value: list[float] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, model: DecisionTreeRegressionModel, columns: list[int] | None = None) -> Tree:
+        """From a fitted model; ``columns``: the features that it was given, or None for all."""
+        out, lines = cls(), iter(model.toDebugString.splitlines()[1:])
+
+        def node() -> int:
+            at = len(out.feature)
+            for own, empty in ((out.feature, -1), (out.threshold, 0.0), (out.left, at), (out.right, at), (out.value, 0.0)):
+                own.append(empty)
+            line = next(lines).strip()
+            if line.startswith("Predict: "):
+                out.value[at] = float(line.removeprefix("Predict: "))
+                return at
+            feature, threshold = re.fullmatch(r"If \(feature (\d+) <= (.+)\)", line).groups()
+            out.feature[at] = int(feature) if columns is None else columns[int(feature)]
+            out.threshold[at] = float(threshold)
+            out.left[at] = node()
+            next(lines)  # Else
+            out.right[at] = node()
+            return at
+
+        node()
+        return out
+
+    def depth(self, at: int = 0) -> int:
+        return 0 if self.feature[at] < 0 else 1 + max(self.depth(self.left[at]), self.depth(self.right[at]))
+
+
+_FOREST = "array<struct<feature:array<int>,threshold:array<double>,left:array<int>,right:array<int>,value:array<double>>>"
+
+
 @dataclass
 class BoostedRanker:
     """Trees fitted to pairwise gradients, summed with a rate; a tree may see some of the features only."""
 
-    trees: list = field(default_factory=list)
+    trees: list[Tree] = field(default_factory=list)
     rate: float = 0.1
     columns: list = field(default_factory=list)  # of each tree, the features it sees, or None for all
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        """Adds score; without trees it is 0 for all, which ranks documents as they are stored."""
-        rows = docs.withColumn("score", F.lit(0.0))
-        for k, tree in enumerate(self.trees):
-            seen = self.columns[k] if k < len(self.columns) else None
-            rows = tree.transform(rows.withColumn("__v", _seen(seen))).withColumn("score", F.col("score") + self.rate * F.col("__p")).drop("__p", "__v")
-        return rows
-
-    def save(self, folder: str) -> None:
-        """The trees below ``folder``, wherever that is, and a table of what they see."""
-        for k, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{folder}/tree-{k:04d}")
-
-    @classmethod
-    def load(cls, folder: str, n: int, rate: float, columns: list) -> BoostedRanker:
-        return cls([DecisionTreeRegressionModel.load(f"{folder}/tree-{k:04d}") for k in range(n)], rate, columns)
+        """Adds score; without trees it is 0 for all, which ranks documents as they are stored.
+
+        The trees are one row of data beside the documents, and one fold walks them: the plan is the same for any number.
+        """
+        if not self.trees:
+            return docs.withColumn("score", F.lit(0.0))
+        rows = [([(t.feature, t.threshold, t.left, t.right, t.value) for t in self.trees],)]
+        forest = docs.sparkSession.createDataFrame(rows, f"__forest {_FOREST}").coalesce(1)
+        steps = max(t.depth() for t in self.trees)
+        walk = "if(t.feature[n] < 0, n, if(x[t.feature[n]] <= t.threshold[n], t.left[n], t.right[n]))"
+        leaf = f"aggregate(sequence(1, {steps}), 0, (n, i) -> {walk})" if steps else "0"
+        total = f"transform(array(cast(features as array<double>)), x -> aggregate(__forest, 0D, (s, t) -> s + t.value[{leaf}]))[0]"
+        kept = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
+        return docs.crossJoin(F.broadcast(forest)).select(*kept, (F.lit(self.rate) * F.expr(total)).alias("score"))
 
 
 def _seen(columns: list[int] | None, features: str = "features") -> Column:
@@ -202,8 +229,8 @@ def boosted(docs: DataFrame, n_trees: int = 100, depth: int = 6, rate: float = 0
     each tree is fitted on, drawn anew for every tree.
     """
     own = docs.where(F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(10_000)) < int(share * 10_000)).select("query_id", "doc", "rel", "features")
-    model, table = BoostedRanker(rate=rate), written(own.withColumn("score", F.lit(0.0)), "scores")
-    scored, rng = table, np.random.default_rng(seed)
+    model, table = BoostedRanker(rate=rate), written(own.withColumn("__old", F.lit(0.0)), "scores")
+    scored, rng, done = table.withColumnRenamed("__old", "score"), np.random.default_rng(seed), 0
     width = own.select(F.size("features").alias("d")).first() if columns < 1 else None
     for k in range(n_trees):
         grouped = scored.groupBy("query_id").agg(F.collect_list(F.struct("doc", "rel", "features", "score")).alias("d"))
@@ -213,17 +240,16 @@ def boosted(docs: DataFrame, n_trees: int = 100, depth: int = 6, rate: float = 0
             grads = grads.where(F.pmod(F.xxhash64("query_id", F.col("r.doc"), F.lit(seed + 31 * k)), F.lit(10_000)) < int(rows * 10_000))
         seen = None if width is None else sorted(rng.choice(width["d"], max(1, int(columns * width["d"])), replace=False).tolist())
         train = grads.select(F.col("r.features").alias("features"), F.col("r.g").alias("label")).select(_seen(seen).alias("__v"), "label")
-        model.trees.append(DecisionTreeRegressor(featuresCol="__v", labelCol="label", predictionCol="__p", maxDepth=depth, seed=seed + k).fit(train))
+        found = DecisionTreeRegressor(featuresCol="__v", labelCol="label", predictionCol="__p", maxDepth=depth, seed=seed + k).fit(train)
+        model.trees.append(Tree.of(found, seen))
         model.columns.append(seen)
-        step = BoostedRanker(model.trees[-1:], rate, [seen]).scored(scored.withColumnRenamed("score", "__old"))
-        step = step.withColumn("score", F.col("__old") + F.col("score")).drop("__old")
-        if (k + 1) % WRITE_EVERY and k + 1 < n_trees:
-            scored = step
-            continue
-        # Lineage is cut every few trees: plans of all trees so far would grow with every tree.
-        before, table = table, written(step, "scores") if k + 1 < n_trees else None
-        dropped(before)
-        scored = table
+        # The trees since scores were written last are one expression over what was written.
+        step = BoostedRanker(model.trees[done:], rate).scored(table).withColumn("score", F.col("__old") + F.col("score")).drop("__old")
+        if (k + 1) % WRITE_EVERY == 0 and k + 1 < n_trees:
+            before, table, done = table, written(step.withColumnRenamed("score", "__old"), "scores"), k + 1
+            dropped(before)
+            step = table.withColumnRenamed("__old", "score")
+        scored = step
     dropped(table)
     return model
 
@@ -237,28 +263,27 @@ class Arms:
     boosted: dict[str, BoostedRanker] = field(default_factory=dict)
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        """As JSON and Spark's own tree files below ``folder``, which may be anywhere Spark writes."""
-        for name, model in self.boosted.items():
-            model.save(f"{folder}/{name}")
+        """As lines of JSON below ``folder``, which may be anywhere Spark writes: one for each ranker, and one for the rest."""
         told = {
             "projection": None if self.projection is None else {"mean": self.projection.mean.tolist(), "components": self.projection.components.tolist()},
             "bandit": None if self.bandit is None else {"a": self.bandit.a.tolist(), "b": self.bandit.b.tolist(), "regularization": self.bandit.regularization},
-            "boosted": {n: {"trees": len(m.trees), "rate": m.rate, "columns": m.columns} for n, m in self.boosted.items()},
         }
-        spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/arms")
+        lines = [told] + [{"name": n, "trees": [asdict(t) for t in m.trees], "rate": m.rate, "columns": m.columns} for n, m in self.boosted.items()]
+        spark.createDataFrame([(json.dumps(x),) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/arms")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Arms | None:
         """None where there are no arms or they can't be read."""
         try:
-            told = json.loads(spark.read.text(f"{folder}/arms").first()["value"])
+            lines = [json.loads(r["value"]) for r in spark.read.text(f"{folder}/arms").collect()]
+            (told,) = (x for x in lines if "name" not in x)
             out = cls()
             if told["projection"]:
                 out.projection = Projection(np.array(told["projection"]["mean"]), np.array(told["projection"]["components"]))
             if told["bandit"]:
                 out.bandit = LinearBandit(len(told["bandit"]["b"]), told["bandit"]["regularization"])
                 out.bandit.a, out.bandit.b = np.array(told["bandit"]["a"]), np.array(told["bandit"]["b"])
-            out.boosted = {n: BoostedRanker.load(f"{folder}/{n}", m["trees"], m["rate"], m["columns"]) for n, m in told["boosted"].items()}
+            out.boosted = {x["name"]: BoostedRanker([Tree(**t) for t in x["trees"]], x["rate"], x["columns"]) for x in lines if "name" in x}
             return out
         except (AnalysisException, TypeError, ValueError, KeyError):
             return None

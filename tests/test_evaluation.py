@@ -175,7 +175,7 @@ def test_boosted_rank_trains_the_whole_model(spark, monkeypatch):
     trained = []
     monkeypatch.setattr(learners.BoostedRanker, "scored", lambda self, docs: trained.append(self) or docs.withColumn("score", F.lit(0.0)))
     registry.QUERIES["boosted_rank"](spark, SMOKE)
-    assert len(trained[-1].trees) == 100 and {t.getOrDefault("maxDepth") for t in trained[-1].trees} == {6}
+    assert len(trained[-1].trees) == 100 and max(t.depth() for t in trained[-1].trees) == 6
 
 
 def test_density_clusters():
@@ -259,8 +259,6 @@ def test_learners(spark, tmp_path):
     inverse = np.linalg.inv(one.a)
     got = [r.s for r in rows.withColumnRenamed("features", "x").withColumn("s", one.optimistic()).orderBy("query_id", "doc").collect()]
     assert np.allclose(got, [v @ inverse @ one.b + np.sqrt(v @ inverse @ v) for v in x])
-    one.save(str(tmp_path / "arm.json"))
-    assert np.allclose(learners.LinearBandit.load(str(tmp_path / "arm.json")).a, one.a) and learners.LinearBandit.load(str(tmp_path / "none")) is None
     shape = learners.projection(rows, 2)
     p = np.array([r.p for r in rows.withColumn("p", shape.column()).collect()])
     assert p.shape == (60, 2) and np.allclose(p.mean(axis=0), 0, atol=1e-9)
