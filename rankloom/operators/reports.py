@@ -171,18 +171,26 @@ def scalability(summary: DataFrame) -> DataFrame:
 
 def profile_splits(spark: SparkSession, folder: str, path: str | None = None, limit: int | None = None) -> dict:
     """The profile of every set and split below ``folder`` that has chunk files, by set and split; written as JSON to
-    ``path`` where one is given. Splits whose folder has no chunks say so."""
+    ``path`` where one is given. Splits whose folder has no chunks say so. All chunks are read and grouped at once."""
     jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     root = jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(conf)
     out: dict = {}
-    for own in sorted((s.getPath() for s in files.listStatus(root) if s.isDirectory()), key=lambda p: p.getName()):
+    chunks: list[str] = []
+    for own in sorted((s.getPath() for s in files.listStatus(root) if s.isDirectory() and not s.getPath().getName().startswith("_")), key=lambda p: p.getName()):
         out[own.getName()] = {}
         for split in ("train", "valid", "test"):
             at = jvm.org.apache.hadoop.fs.Path(own, split)
             if files.exists(at):
-                found = groups.read_groups(spark, at.toString(), limit) if groups.chunk_files(spark, at.toString(), limit) else None
-                out[own.getName()][split] = {"error": "no chunks"} if found is None else profile(groups.flat(found)).first().asDict()
+                found = groups.chunk_files(spark, at.toString(), limit)
+                out[own.getName()][split] = {"error": "no chunks"}
+                chunks += found
+    if chunks:
+        place = F.regexp_extract(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), "([^/]+)/([^/]+)/[^/]+$", 1), F.regexp_extract(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), "([^/]+)/([^/]+)/[^/]+$", 2)
+        rows = spark.read.parquet(*chunks).withColumn("__set", place[0]).withColumn("__split", place[1])
+        for r in profile(groups.flat(groups.checked(rows, "__set", "__split"), "__set", "__split"), "__set", "__split").collect():
+            told = r.asDict()
+            out[told.pop("__set")][told.pop("__split")] = told
     if path is not None:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         Path(path).write_text(json.dumps(out, indent=2, default=str))
@@ -218,19 +226,21 @@ def main(args: list[str] | None = None) -> None:
             Path(given.output).write_text(json.dumps(found, indent=2, default=str))
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """One row: counts of queries and documents, documents a query, relevance grades 0 to 4, and the features' span.
+def profile(docs: DataFrame, *by: str) -> DataFrame:
+    """One row (for each group of the ``by`` columns): counts of queries and documents, documents a query, relevance grades
+    0 to 4, and the features' span.
 
     Features are summed as decimals of nine digits after the point, so that the mean doesn't depend on their order; those
     that aren't finite count as 0 in the sum.
     """
-    sizes = docs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    a = sizes.agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("documents"), F.min("n").alias("min_docs"), F.max("n").alias("max_docs"), F.avg("n").alias("mean_docs"), F.median("n").alias("median_docs"))
+    sizes = docs.groupBy(*by, "query_id").agg(F.count(F.lit(1)).alias("n"))
+    a = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("documents"), F.min("n").alias("min_docs"), F.max("n").alias("max_docs"), F.avg("n").alias("mean_docs"), F.median("n").alias("median_docs"))
     grades = [F.sum((F.col("rel") == g).cast("long")).alias(f"grade_{g}") for g in range(5)]
     least = F.min(F.array_min("features")).alias("feature_min"), F.max(F.array_max("features")).alias("feature_max")
     exact = F.expr("aggregate(features, cast(0 as decimal(28, 9)), (s, x) -> cast(s + coalesce(try_cast(x as decimal(24, 9)), 0) as decimal(28, 9)))")
     total = F.sum(exact).cast("double") / F.sum(F.size("features"))
-    return a.crossJoin(docs.agg(*grades, *least, total.alias("feature_mean")))
+    b = docs.groupBy(*by).agg(*grades, *least, total.alias("feature_mean"))
+    return a.join(b, list(by)) if by else a.crossJoin(b)
 
 
 if __name__ == "__main__":

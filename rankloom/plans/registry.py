@@ -6,6 +6,7 @@ a run in which all four arms take part in every round. Ratios are rounded to six
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -302,7 +303,7 @@ def _(x):
 @query("score_cache_saved", _WIDE, "SELECT arm, count(DISTINCT query_id) AS n_queries, count(*) AS n_entries, count(*) * 2 AS bytes FROM wranked GROUP BY arm")
 def _(x):
     """The cache is saved and its statistics are those of what is read again."""
-    path = f"{shared_dir(x.spark)}/{x.spark.sparkContext.applicationId}/score-cache"
+    path = f"{shared_dir(x.spark)}/{x.spark.sparkContext.applicationId}/score-cache-{uuid.uuid4().hex}"
     return ranking.precomputed(x.wide, {f"d{i:02d}": ranking.by_feature(i) for i in range(DIMENSIONS)}, path)[1]
 
 
@@ -852,7 +853,7 @@ def results_frame(spark: SparkSession) -> DataFrame:
         }
         for f, s, p, a, seed, r, c, apq, rt, final, sel, win in _results_list()
     }
-    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/results"
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/results-{uuid.uuid4().hex}"
     reports.store_results(spark, documents, folder)
     return reports.read_results(spark, folder)
 
@@ -955,11 +956,10 @@ sizes AS (SELECT s, split, query_id, count(*) AS n FROM placed GROUP BY s, split
 (SELECT count(*) FROM placed p WHERE p.s = z.s AND p.split = z.split AND rel = 4) AS grade_4 FROM sizes z GROUP BY s, split""")
 def _(x):
     """Sets and splits are written as chunks and profiled where they lie."""
-    folder = f"{shared_dir(x.spark)}/{x.spark.sparkContext.applicationId}/sets-{abs(hash(x.dir))}"
-    placed = x.docs.join(x.order.select("query_id", "round"), "query_id")
-    for own, part in ((s, p) for s in (1, 2) for p in ("train", "test")):
-        rows = placed.where((F.col("round") % 2 + 1 == own) & ((F.col("round") % 5 == 0) == F.lit(part == "test")))
-        groups.write_groups(groups.nested(rows), f"{folder}/set{own}/{part}", 200)
+    folder = f"{shared_dir(x.spark)}/{x.spark.sparkContext.applicationId}/sets-{uuid.uuid4().hex}"
+    placed = groups.nested(x.docs).join(x.order.select("query_id", "round"), "query_id")
+    split = F.when(F.col("round") % 5 == 0, F.lit("test")).otherwise(F.lit("train"))
+    groups.write_splits(placed.withColumn("set", F.concat(F.lit("set"), (F.col("round") % 2 + 1).cast("string"))).withColumn("split", split), folder, 200)
     names = ("queries", "documents", "min_docs", "max_docs", "mean_docs", "median_docs", "grade_4")
     found = reports.profile_splits(x.spark, folder)
     rows = [(s, p, *(v[n] for n in names)) for s, splits in found.items() for p, v in splits.items() if "error" not in v]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,17 +50,17 @@ def nested(docs: DataFrame) -> DataFrame:
     )
 
 
-def flat(groups: DataFrame) -> DataFrame:
-    """(query_id, doc, rel, features) of nested groups."""
-    both = groups.select("query_id", F.posexplode(F.arrays_zip("relevance", "features")).alias("doc", "x"))
-    return both.select("query_id", "doc", F.col("x.relevance").cast("int").alias("rel"), F.col("x.features").alias("features"))
+def flat(groups: DataFrame, *keep: str) -> DataFrame:
+    """(query_id, doc, rel, features) of nested groups, after the columns to keep."""
+    both = groups.select(*keep, "query_id", F.posexplode(F.arrays_zip("relevance", "features")).alias("doc", "x"))
+    return both.select(*keep, "query_id", "doc", F.col("x.relevance").cast("int").alias("rel"), F.col("x.features").alias("features"))
 
 
-def checked(groups: DataFrame) -> DataFrame:
+def checked(groups: DataFrame, *keep: str) -> DataFrame:
     missing = [c for c in REQUIRED if c not in groups.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    return groups.select("query_id", F.col("features").cast("array<array<float>>").alias("features"), F.col("relevance").cast("array<tinyint>").alias("relevance"))
+    return groups.select(*keep, "query_id", F.col("features").cast("array<array<float>>").alias("features"), F.col("relevance").cast("array<tinyint>").alias("relevance"))
 
 
 def chunk_files(spark: SparkSession, folder: str, limit: int | None = None) -> list[str]:
@@ -78,15 +80,41 @@ def read_groups(spark: SparkSession, folder: str, limit: int | None = None) -> D
 
 
 def write_groups(groups: DataFrame, folder: str, chunk: int = 10_000) -> None:
-    """Snappy Parquet files ``chunk_0000.parquet`` and so on, of at most ``chunk`` groups."""
+    """Snappy Parquet files ``chunk_0000.parquet`` and so on, of at most ``chunk`` groups, in place of what was there."""
+    above, _, split = folder.rstrip("/").rpartition("/")
+    top, _, own = above.rpartition("/")
+    write_splits(groups.withColumn("set", F.lit(own)).withColumn("split", F.lit(split)), top, chunk)
+
+
+def write_splits(groups: DataFrame, folder: str, chunk: int = 10_000) -> dict[str, int]:
+    """Groups of all sets and splits (columns ``set`` and ``split``) to ``<folder>/<set>/<split>/chunk_0000.parquet`` and so
+    on, of at most ``chunk`` groups a file; returns how many each split got.
+
+    One job writes them all beside the folders, which are then exchanged: a write that is killed leaves the old chunks as
+    they were. Splits that the groups don't name stay as they are.
+    """
     spark = groups.sparkSession
-    checked(groups).write.mode("overwrite").option("compression", "snappy").option("maxRecordsPerFile", chunk).parquet(folder)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    written = sorted((f.getPath() for f in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "part-*.parquet")) or []), key=lambda p: p.getName())
-    for i, path in enumerate(written):
-        files.rename(path, jvm.org.apache.hadoop.fs.Path(root, f"chunk_{i:04d}.parquet"))
+    jvm, token = spark.sparkContext._jvm, uuid.uuid4().hex
+    at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    files = at(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    staging = f"{folder.rstrip('/')}/_staging-{token}"
+    rows = checked(groups, "set", "split")
+    rows.write.partitionBy("set", "split").option("compression", "snappy").option("maxRecordsPerFile", chunk).parquet(staging)
+    found = spark.read.schema(rows.schema).parquet(staging).groupBy("set", "split").count().collect()
+    inside = lambda path: sorted((f.getPath() for f in files.listStatus(path) or []), key=lambda p: p.getName())
+    value = lambda path: unquote(path.getName().partition("=")[2])
+    for own in (p for p in inside(at(staging)) if p.getName().startswith("set=")):
+        files.mkdirs(at(folder, value(own)))
+        for new in inside(own):
+            for i, path in enumerate(p for p in inside(new) if p.getName().endswith(".parquet")):
+                files.rename(path, jvm.org.apache.hadoop.fs.Path(new, f"chunk_{i:04d}.parquet"))
+            target, old = at(folder, value(own), value(new)), at(folder, value(own), f"_old-{token}")
+            if files.exists(target):
+                files.rename(target, old)
+            files.rename(new, target)
+            files.delete(old, True)
+    files.delete(at(staging), True)
+    return {f"{r['set']}/{r['split']}": r["count"] for r in found}
 
 
 #: Queries of a range that one task numbers, about; ranges at most; sampled keys for each range.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.running import running_sums
-from .groups import write_groups
+from .groups import write_splits
 
 
 def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -70,13 +70,8 @@ def converted(spark: SparkSession, raw_dir: str, out_dir: str, n_features: int =
     numbered = text.join(starts, ["file", "block"]).withColumn("line_no", F.col("start") + F.col("__id") - F.col("first")).drop("start", "first")
     groups = grouped(dense(parsed(numbered), n_features), "line_no", ("file",))
     name = F.split("file", r"\.")
-    groups = groups.withColumn("set", name[0]).withColumn("split", F.when(F.size(name) > 2, name[1]).otherwise(F.lit("train"))).cache()
-    counts = {f"{r['set']}/{r['split']}": r["count"] for r in groups.groupBy("set", "split").count().collect()}
-    for key in counts:
-        own_set, own_split = key.split("/")
-        write_groups(groups.where((F.col("set") == own_set) & (F.col("split") == own_split)), f"{out_dir}/{key}", chunk)
-    groups.unpersist()
-    return counts
+    split = F.when(F.size(name) > 2, name[1]).otherwise(F.lit("train"))
+    return write_splits(groups.withColumn("set", name[0]).withColumn("split", split), out_dir, chunk)
 
 
 def main(args: list[str] | None = None) -> None:

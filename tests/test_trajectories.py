@@ -11,7 +11,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from rankloom.functions import rng
-from rankloom.operators import clustering, learners, policy, ranking, resampling, rounds
+from rankloom.operators import clustering, learners, policy, ranking, reports, resampling, rounds
 from rankloom.sources import groups
 
 ARMS = ["a", "b", "c"]
@@ -185,3 +185,21 @@ def test_overlaps_of_more_arms_than_a_word_has_bits(spark):
         own = [len(tops[q, a] & tops[q, b]) / len(tops[q, a] | tops[q, b]) for q in ("x", "y") if (q, a) in tops and (q, b) in tops]
         assert got[a, b] == pytest.approx(sum(own) / len(own))
     assert len(got) == 70 * 69 // 2
+
+
+def test_splits_are_written_at_once_and_exchanged(spark, tmp_path, monkeypatch):
+    rows = [(f"q{i}", [[float(i)]], [i % 5], "set 1" if i % 2 else "set+2", ("train", "test")[i % 3 == 0]) for i in range(30)]
+    table = spark.createDataFrame(rows, "query_id string, features array<array<float>>, relevance array<int>, set string, split string")
+    folder = str(tmp_path / "data")
+    told = groups.write_splits(table, folder, 4)
+    assert told == dict(Counter(f"{r[3]}/{r[4]}" for r in rows))
+    assert {r.query_id for r in groups.read_groups(spark, f"{folder}/set 1/test").collect()} == {r[0] for r in rows if r[3:] == ("set 1", "test")}
+    found = reports.profile_splits(spark, folder)
+    assert {f"{s}/{p}": v["queries"] for s, own in found.items() for p, v in own.items()} == told
+    with pytest.raises(Exception, match="killed"):  # a write that fails leaves what was there
+        groups.write_splits(table.withColumn("query_id", F.when(F.col("query_id") == "q7", F.raise_error(F.lit("killed"))).otherwise(F.lit("new"))), folder, 4)
+    assert reports.profile_splits(spark, folder) == found
+    groups.write_splits(table.where("set = 'set 1' and split = 'test'").limit(1), folder)
+    again = reports.profile_splits(spark, folder)
+    assert again["set 1"]["test"]["queries"] == 1 and again["set 1"]["train"] == found["set 1"]["train"] and again["set+2"] == found["set+2"]
+    assert sorted(p.name for p in (tmp_path / "data" / "set 1").iterdir()) == ["test", "train"]
