@@ -18,6 +18,7 @@ from ..operators import adaptive, clustering, learners, policy, ranking, reports
 from ..scratch import shared_dir
 from ..shipping import ship
 from ..sources import groups, letor
+from ..streaming import online
 
 ARMS = ("value", "k", "recent", "oracle")
 N_MIN, GAMMA = 500, 0.995
@@ -663,6 +664,12 @@ def _(x):
     return telemetry.lagged(x.gains, 100).select("round", r6("ndcg").alias("ndcg"))
 
 
+@query("stream_progress", _WON, """SELECT min(round) AS first_round, max(round) AS last_round, count(*) AS outcomes, sum(credit) AS credit FROM outcomes GROUP BY (round - 1) // 100""")
+def _(x):
+    """What a listener is told while the log's outcomes go through the statistics as a stream."""
+    return online.progress(x.outcomes).drop("batch")
+
+
 @query("inference_cost", _DOCS, "SELECT arm, CAST(sum(CASE WHEN arm = 'oracle' THEN 0 ELSE 1 END) AS BIGINT) AS inferences FROM rounds, arms GROUP BY arm")
 def _(x):
     return telemetry.inference_cost(x.slates, x.lists.where("arm = 'oracle'"))

@@ -6,10 +6,15 @@ executors and restarts. Arms are chosen anew each micro-batch, not each round: f
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import policy
+from ..scratch import shared_dir
 
 OUTCOME_DDL = "run_id string, round int, winner string, loser string, credit double"
 
@@ -50,6 +55,54 @@ def replay(outcomes: DataFrame, name: str, checkpoint: str) -> DataFrame:
     return rows.groupBy("run_id", "i", "j").agg(*[F.max_by(c, "batch").alias(c) for c in ("w", "n", "t")])
 
 
+class Progress(StreamingQueryListener):
+    """Collects what one running query tells of each of its batches: the observed metrics of a name, with batch and rows."""
+
+    def __init__(self, metrics: str):
+        self.metrics, self.rows, self.run, self.ended = metrics, [], None, threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 - the names are the engine's
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        told = event.progress.observedMetrics.get(self.metrics)
+        if told is not None and event.progress.numInputRows > 0:
+            self.rows.append((str(event.progress.runId), event.progress.batchId, event.progress.numInputRows, told.asDict()))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if str(event.runId) == self.run:
+            self.ended.set()
+
+
+def progress(outcomes: DataFrame, every: int = 100, wait: float = 60.0) -> DataFrame:
+    """(batch, first_round, last_round, outcomes, credit): what a listener saw while outcomes (round, winner, loser, credit)
+    went through the stateful statistics as a stream, a micro-batch for every ``every`` rounds that have any.
+
+    Outcomes are written as one file for such rounds; files are taken one at a time, in no certain order. The metrics are
+    counted by the tasks of the batch itself, and a row for each batch comes to the driver.
+    """
+    spark = outcomes.sparkSession
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    rows = outcomes.select(F.lit("run").alias("run_id"), F.col("round").cast("int").alias("round"), "winner", "loser", "credit").withColumn("part", F.floor((F.col("round") - 1) / every))
+    rows.repartition("part").write.partitionBy("part").parquet(f"{folder}/outcomes")
+    source = spark.readStream.schema(OUTCOME_DDL + ", part long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/outcomes")
+    seen = source.observe("progress", F.min("round").alias("first_round"), F.max("round").alias("last_round"), F.count(F.lit(1)).alias("outcomes"), F.sum("credit").alias("credit"))
+    listener = Progress("progress")
+    spark.streams.addListener(listener)
+    try:
+        query = pair_statistics(seen).writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        listener.run = str(query.runId)
+        query.awaitTermination()
+        listener.ended.wait(wait)  # events come after the fact, in order, the end last
+    finally:
+        spark.streams.removeListener(listener)
+    told = [(batch, m["first_round"], m["last_round"], m["outcomes"], m["credit"]) for run, batch, _, m in listener.rows if run == listener.run]
+    return spark.createDataFrame(told, "batch long, first_round int, last_round int, outcomes long, credit double")
+
+
 def selected_arms(stats: DataFrame, arms: DataFrame, run_id: str, n_min: int = 500, alpha: float = 0.51, beta: float = 1.0) -> DataFrame:
     """(ord, arm) that a run plays next, from its statistics so far."""
     own = stats.where(F.col("run_id") == run_id)
