@@ -40,7 +40,7 @@ TOP = 10
 UNIT = 1_000_000_000
 #: Words that a task holds before it hands their counts on (long ones count once every 128 bytes); pairs of groups in a
 #: task's vector.
-HELD, PAIRS = 250_000, 200_000
+HELD, PAIRS = 500_000, 200_000
 #: Pairs of one step over postings.
 STEP = 1 << 20
 
@@ -54,7 +54,11 @@ def words(text: bytes) -> list[bytes]:
 
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with the term); a row with an empty term for every group."""
+    """lang, source, term, n (occurrences), docs (documents with the term); a row with an empty term for every group.
+
+    Tasks sum up before rows are shuffled, and all rows of a language's term go to one partition (at most a row for each
+    task and source), so that what is asked of the term as a whole needs no other exchange.
+    """
     prepared(docs.sparkSession)
     named = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
 
@@ -85,7 +89,7 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
         yield from flush()
 
     rows = named.mapInArrow(lean(run), "lang string, source string, term string, n long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(count: str, total: str, terms: str) -> Column:
@@ -100,24 +104,25 @@ def _f(p: str, q: str) -> str:
 def audited(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """Parts ``pair`` and ``term`` of all groups: lang, source, part, item, value, rank."""
     with scope() as keep:
-        counts = written(counted(docs, text, lang, source), "counts")
-        kept = counts.where("term != ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("d")).where(F.col("d") >= min_docs).drop("d")
-        found = keep(written(counts.where("term != ''").select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "postings"))
-        groups = keep(written(_groups(counts, found, kept), "groups"))
+        whole = Window.partitionBy("lang", "term")
+        counts = counted(docs, text, lang, source).withColumn("lang_n", F.sum("n").over(whole)).withColumn("d", F.sum("docs").over(whole))
+        kept = keep(written(counts.where((F.col("term") == "") | (F.col("d") >= min_docs)).drop("d", "docs"), "postings"))
+        found = kept.where("term != ''")
+        groups = keep(written(_groups(kept), "groups"))
         postings = found.join(groups, ["lang", "source"]).withColumn("p", _share("n", "total", "terms")).withColumn("q", _share("lang_n", "lang_total", "terms"))
         buckets = keep(written(postings.groupBy("lang", "source", "n", "p", "p0").agg(F.count(F.lit(1)).alias("k"), F.min("q").alias("q")), "buckets"))
         both = keep(written(_both(postings.select("lang", "term", "source", "p", "p0")), "both"))
     return _pairs(groups, buckets, both).unionByName(_terms(postings, buckets, top))
 
 
-def _groups(counts: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
+def _groups(kept: DataFrame) -> DataFrame:
     """Every group with its occurrences of kept terms (total), those of the language, its number of kept terms, and p0."""
-    own = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    # The number of kept terms and their occurrences are those of the kept terms themselves, one row a language.
-    whole = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
-    every = counts.where("term = ''").select("lang", "source")
+    groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    # Every group has a row without a term, so none is missing here. A term counts once in its language.
+    terms = kept.where("term != ''").groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n"))
+    whole = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    named = every.join(own, ["lang", "source"], "left").join(whole, "lang", "left").select("lang", "source", zero("total"), zero("terms"), zero("lang_total"))
+    named = groups.join(whole, "lang", "left").select("lang", "source", "total", zero("terms"), zero("lang_total"))
     return named.withColumn("p0", F.when(F.col("terms") > 0, F.expr(f"1L + (cast(2 as decimal(20,0)) * cast({UNIT} as decimal(10,0))) div cast(greatest(total + 2 * terms, 1L) as decimal(20,0))")))
 
 
