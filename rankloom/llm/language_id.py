@@ -171,12 +171,18 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     """The network of a table's documents that aren't held out; None where there is nothing to learn from."""
     named = docs.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     usable = named.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & _has_letter("text"))
-    frequent = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("id").alias("ids"))
+    frequent = {r.lang: r.ids for r in counted.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not frequent:
         return None
-    # Ids first: at most LANGUAGES * sample of them are broadcast, and of their texts only some windows are gathered.
+    # Ids first: at most LANGUAGES * sample of them are broadcast, and of their texts only some windows are gathered. Of each
+    # language some four times the sample pass by their hash, so that few rows are ordered, however many there are.
+    share = F.lit(0)
+    for name, n in frequent.items():
+        share = F.when(F.col("lang") == name, F.lit(min(1 << 30, (1 << 30) * 4 * sample // max(n, 1)))).otherwise(share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = usable.where(F.col("lang").isin(frequent)).select("id", "lang").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).drop("at")
+    some = usable.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < share).select("id", "lang").distinct()
+    ids = some.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).drop("at")
     found = usable.join(F.broadcast(ids), ["id", "lang"])
     last = f"greatest(length(text) - {WINDOW // 2}, 0)"
     some = f"transform(sequence(0, {SAMPLE_WINDOWS - 1}), i -> substring(text, cast({last} * i div {max(SAMPLE_WINDOWS - 1, 1)} as int) + 1, {WINDOW // 2}))"
