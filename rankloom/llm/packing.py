@@ -92,14 +92,15 @@ class WordTokenizer:
 
     None of the tokenizer's steps (composition, lower case, splitting, merges with word ends) looks over white space,
     so the ids of a text are those of its words. Plain words (letters of Latin-1 texts) go through ``Merges``,
-    which gives the tokenizer's ids; all others through the tokenizer. Special tokens' strings are ordinary text.
+    which gives the tokenizer's ids; all others through the tokenizer. The strings of special tokens are these tokens, as
+    the tokenizer has it by itself; a text with one goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = Merges.of(path)
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -148,10 +149,13 @@ class WordTokenizer:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. A Latin-1 text is put in lower case, which changes no id."""
-        if any(c in text for c in _ODD_SPACE):
+        if any(c in text for c in _ODD_SPACE) or any(c in text for c in self.special):
             return self._slowly([text])[0]
         plain = self.merges is not None and (text.isascii() or _is_latin1(text))
-        words = (text.lower() if plain else text).split()
+        lower = text.lower() if plain else text
+        if any(c in lower for c in self.special):  # only in lower case, which the tokenizer doesn't take for the token
+            return self._slowly([text])[0]
+        words = lower.split()
         every = set(words)
         new = every.difference(self.known)
         brief: list[str] = []

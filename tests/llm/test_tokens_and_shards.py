@@ -73,9 +73,8 @@ def test_word_tokenizer_is_the_library_s():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     own, rng = packing.WordTokenizer(WORDS), random.Random(3)
-    texts = ["", "It's DON'T the<|endoftext|>x", "Σίσυφος ΣΑΣ", "İstanbul straße ª µ", "é x́", "\x1c a\x1db", "one,two.", "word!?.;", "x" * 200]
+    texts = ["", "It's DON'T the<|endoftext|>x", "Σίσυφος ΣΑΣ", "İstanbul straße ª µ", "é x́", "\x1c a\x1db", "one,two.", "word!?.;", "x" * 200, "a <|endoftext|> b", "<|startoftext|>", "A<|ENDOFTEXT|>b"]
     texts += ["".join(rng.choice("abÉß'.,! \n\x85 Σ1中é<|>") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     for text in texts:
         assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
@@ -289,7 +288,6 @@ def test_op9_places_the_library_s_ids(spark):
     from tokenizers import Tokenizer
 
     library, texts = Tokenizer.from_file(WORDS), _texts(spark)
-    library.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in packing.op9_packing(spark, FOLDER).collect():
         by_doc[r.doc_id].append(r)
