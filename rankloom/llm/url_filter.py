@@ -1,7 +1,7 @@
 """URL filter: explicit rules first, then logistic regression on hashed character n-grams, in DataFrame functions only.
 
 The model is fitted on a small labelled URL table (of a larger one, on MAX_LABELLED rows, so that it can be gathered) with
-plain full-batch gradient steps; judging a URL is one column expression: n-grams of host and of path are hashed into
+full-batch gradient steps; the default one is made by rule from word lists and knows nothing of the tables that are judged. Judging a URL is one column expression: n-grams of host and of path are hashed into
 BUCKETS, their learned weights are summed, and the sign of the sum decides. Nothing is shuffled or joined.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule fits it, and its verdict comes
@@ -16,6 +16,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,50 +35,46 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: What the default labelled table is made of: words of hosts to block and to allow, and what both are put together with.
+#: What the default labelled table is made of: words of hosts to block, and ordinary words of four languages.
 BAD_WORDS = (
-    "casino", "poker", "slots", "jackpot", "betting", "bets", "pills", "pharmacy", "viagra", "xxx", "porn", "adult", "cams", "escort",
-    "torrent", "warez", "crack", "keygen", "spam", "ads", "adserver", "track", "tracker", "banner", "popup", "phishing", "malware",
-    "scam", "lottery", "prizes", "payday-loans", "replica", "clickbait", "link-farm",
+    "casino", "poker", "slots", "jackpot", "roulette", "betting", "bets", "gambling", "pills", "pharmacy", "viagra", "cialis", "xxx", "porn", "adult", "sexcam", "escorts", "nude",
+    "torrent", "warez", "crack", "keygen", "serial", "spam", "adserver", "adclick", "ads", "tracker", "banner", "popup", "phishing", "malware", "scam", "lottery", "prizes", "winner",
+    "payday", "loans", "replica", "clickbait", "linkfarm", "forex", "bitcoin-doubler", "miracle-diet", "weightloss",
 )
 GOOD_WORDS = (
-    "news", "library", "museum", "school", "garden", "recipes", "travel", "history", "science", "weather", "music", "theatre", "cycling",
-    "village", "council", "hospital", "university", "journal", "archive", "market", "forum", "docs", "wiki", "photos", "nature",
-    "astronomy", "knitting", "chess", "bakery", "freedom", "farming", "adults-choir", "betterhomes", "trackandfield",
+    "news", "library", "museum", "school", "garden", "recipe", "travel", "history", "science", "weather", "music", "theatre", "cycling", "village", "council", "hospital", "university",
+    "journal", "archive", "market", "forum", "docs", "wiki", "photo", "nature", "astronomy", "knitting", "chess", "bakery", "freedom", "farming", "choir", "house", "better", "field",
+    "mountain", "river", "people", "water", "paper", "animal", "world", "children", "country", "letter", "mother", "answer", "story", "family", "night", "number", "street", "picture",
+    "important", "together", "understand", "government", "information", "education", "community", "development", "international", "engineering", "language", "business", "service",
+    "zeitung", "schule", "garten", "wetter", "stadt", "kirche", "bahn", "buch", "arbeit", "gesundheit", "wissenschaft", "nachrichten", "verein", "freunde", "strasse", "tagblatt",
+    "journaux", "ecole", "jardin", "cuisine", "voyage", "mairie", "monde", "livre", "sante", "region", "associations", "enfants", "recherche", "musique", "femme", "temps",
+    "noticias", "escuela", "ciudad", "cocina", "viajes", "gobierno", "salud", "libro", "trabajo", "mundo", "pueblo", "deporte", "universidad", "historia", "pais", "tiempo",
 )
-_JOINS = ("{w}", "{w}-online", "best-{w}", "free-{w}", "{w}24", "my{w}", "{w}-world", "the{w}", "{w}-x", "{w}hub")
-#: Frequent groups of letters, for invented names.
-_SYLLABLES = (
-    "th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng",
-    "se", "ha", "as", "ou", "io", "le", "ing", "tion", "sh", "ble", "ly", "wh", "ver", "ch", "be", "ent",
-)
-_FRONTS, _ENDS = ("", "www.", "m.", "blog."), ("com", "org", "net")
-_PATHS = ("/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}", "/", "/index.html", "/a/{n}", "/2021/05/{n}", "/p?id={n}")
-_GOOD_PATHS, _BAD_PATHS = ("/article/{w}/{n}", "/guide/{w}"), ("/{w}/win?n={n}", "/buy/{w}/{n}")
+_SHAPES = ("{a}{b}", "{a}-{b}", "{b}-{a}", "{a}", "www.{a}{b}", "{b}{a}", "{b}.{a}", "the{a}", "{a}online", "my-{a}")
+_ENDS = ("com", "org", "net", "co.uk", "de", "fr", "es", "edu", "info", "xyz", "top", "eu")
+_PATHS = ("/", "", "/index.html", "/{c}", "/{c}/{n}", "/{c}.html", "/2019/11/{c}", "/?q={c}", "/{c}/{d}", "/view?id={n}", "/{d}/{n}/{c}")
+#: The share of URLs to block that fitting assumes, whatever the table's: unknown names are allowed.
+SHARE = 0.1
 
 
-def labelled_urls(part: int = 0) -> list[tuple[str, int]]:
+def labelled_urls(part: int | None = None) -> list[tuple[str, int]]:
     """The default labelled table, made by rule: (url, 1 to block or 0 to allow).
 
-    part: 0 for the table that the model is fitted on; 1 for one of other hosts to hold it against.
+    Hosts are one or two words of a class, in the same shapes and under the same ends for both, and so are paths, which are
+    made of ordinary words alone. part: 0 or 1 for the URLs of every other word of both lists, which have no word in common.
     """
+    good = [w for i, w in enumerate(GOOD_WORDS) if part is None or i % 2 == part]
+    bad = [w for i, w in enumerate(BAD_WORDS) if part is None or i % 2 == part]
     out, number = [], 0
-
-    def add(word: str, join: str, label: int, own: tuple[str, ...]) -> None:
-        nonlocal number
-        number += 1
-        host = f"{_FRONTS[number % 4]}{join.format(w=word)}.example.{_ENDS[number % 3]}"
-        path = (own[number % 2] if number % 5 == 0 else _PATHS[number % len(_PATHS)]).format(w=word, n=number * 7919 % 49_999)
-        out.append((f"http{'s' * (number % 2)}://{host}{path}", label))
-
-    for words, label, own in ((BAD_WORDS, 1, _BAD_PATHS), (GOOD_WORDS, 0, _GOOD_PATHS)):
+    for words, label, times in ((bad, 1, 16), (good, 0, 16)):
         for i, word in enumerate(words):
-            # Of ten ways to put a host together, every part has its own five.
-            for k in range((i + part) % 2, 10, 2):
-                add(word, _JOINS[k], label, own)
-    n = len(_SYLLABLES)
-    for i in range(part, 1200, 2):  # invented names
-        add("".join(_SYLLABLES[(i + (11 * k + i // n) * k) % n] for k in range(2 + i % 3)), "{w}", 0, _GOOD_PATHS)
+            for k in range(times):
+                number += 1
+                # A host to block may have an ordinary second word.
+                other = (good if label and k % 2 else words)[(i * 7 + k * 5 + 1) % len(good if label and k % 2 else words)]
+                host = f"{_SHAPES[(i + k) % len(_SHAPES)].format(a=word, b=other)}.{_ENDS[number * 5 % len(_ENDS)]}"
+                path = _PATHS[number * 3 % len(_PATHS)].format(c=good[number * 11 % len(good)], d=good[number * 13 % len(good)], n=number * 7919 % 49_999)
+                out.append((f"http{'s' * (number % 2)}://{host}{path}", label))
     return out
 
 
@@ -102,30 +99,28 @@ def _grams(host: str, path: str) -> list[int]:
     return out
 
 
-def fit(labelled: list[tuple[str, int]], steps: int = 600, rate: float = 20.0, decay: float = 5e-5) -> list[float]:
+def fit(labelled: list[tuple[str, int]], steps: int = 1500, rate: float = 20.0, decay: float = 2e-5, share: float = SHARE) -> list[float]:
     """Weights by bucket, the intercept last. An empty table gives zeros: everything is allowed.
 
-    URLs are counted as shares of their n-grams, so that long paths weigh no more than short ones; both classes weigh the
-    same, whatever their numbers.
+    URLs are counted as shares of their n-grams, so that long paths weigh no more than short ones; the classes weigh as
+    ``share``, whatever their numbers.
     """
-    rows, size = [], {y: max(1, sum(label == y for _, label in labelled)) for y in (0, 1)}
-    for url, label in labelled:
-        grams = _grams(*split_url(url))
-        share: dict[int, float] = {}
-        for g in grams:
-            share[g] = share.get(g, 0.0) + 1.0 / len(grams)
-        rows.append((share, float(label)))
-    weights = [0.0] * (BUCKETS + 1)
-    for _ in range(steps if rows else 0):
-        step = [decay * w for w in weights]
-        for share, label in rows:
-            z = weights[-1] + sum(weights[g] * s for g, s in share.items())
-            error = (1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))) - label) / (2 * size[int(label)])
-            for g, s in share.items():
-                step[g] += error * s * 50.0
-            step[-1] += error
-        weights = [w - rate * d for w, d in zip(weights, step, strict=True)]
-    return [round(w, 6) for w in weights]
+    if not labelled:
+        return [0.0] * (BUCKETS + 1)
+    grams = [_grams(*split_url(url)) for url, _ in labelled]
+    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    bucket = np.concatenate([np.array(g) for g in grams])
+    part = 1.0 / np.bincount(row)[row]
+    label = np.array([y for _, y in labelled], "f8")
+    n = np.array([max(1, (label == 0).sum()), max(1, (label == 1).sum())])
+    weight = np.where(label == 1, share / n[1], (1 - share) / n[0])
+    weights, intercept = np.zeros(BUCKETS), math.log(share / (1 - share))
+    for _ in range(steps):
+        z = intercept + np.bincount(row, weights[bucket] * part, len(grams))
+        error = (1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0))) - label) * weight
+        step = decay * weights + 50.0 * np.bincount(bucket, error[row] * part, BUCKETS)
+        weights, intercept = weights - rate * step, intercept - rate * (decay * intercept + error.sum())
+    return [round(float(w), 6) for w in weights] + [round(float(intercept), 6)]
 
 
 def trained(labelled: DataFrame) -> list[float]:
