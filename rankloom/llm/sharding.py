@@ -9,8 +9,9 @@ moves. Records are placed by what the stored version says.
 
 Law ``bytes``: shards hold nearly equal sums of record sizes. Defined results: a null text counts as empty (size 16,
 crc 0); records are hashed by key and text, so that a key of many records spreads over slots; repeated rows are numbered
-like any others (rows equal in both share a virtual slot); an empty table gives an empty result; columns named like a
-result are replaced.
+like any others; rows equal in both share a virtual slot, but not the task that numbers them: each is numbered with those
+of its lane, the task that first read it; an empty table gives an empty result; columns named like a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -121,8 +123,18 @@ class SlotMap:
         return [(self.version, self.n_shards, slot, shard) for slot, shard in enumerate(self.shard_of)]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Appends this version to the map's table."""
-        spark.createDataFrame(self.rows(), MAP_DDL).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Adds this version to the map's table. A version is written once: if it is there, or another writer was faster, this
+        is an error. It is written beside the table and moved there as a whole, so readers never see half a version."""
+        jvm = spark.sparkContext._jvm
+        at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        own, staging = at(f"version={self.version}"), at(f"_staging-{uuid.uuid4().hex}")
+        files = own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if files.exists(own):
+            raise FileExistsError(f"version {self.version} of {path}")
+        spark.createDataFrame(self.rows(), MAP_DDL).drop("version").coalesce(1).write.parquet(staging.toString())
+        # A folder that appeared meanwhile would take this one in, under a name that readers pass over.
+        if not files.rename(staging, own) or SlotMap.load(spark, path, self.version) != self:
+            raise FileExistsError(f"version {self.version} of {path}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -138,16 +150,18 @@ class SlotMap:
         """The latest version, or None where there is no map yet."""
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
-        return cls.load(spark, path) if there else None
+        latest = spark.read.schema(MAP_DDL).parquet(path).agg(F.max("version")).first()[0] if there else None
+        return None if latest is None else cls.load(spark, path, latest)
 
 
 def hashed(records: DataFrame, key: str, text: str, n_slots: int = N_SLOTS) -> DataFrame:
-    """Adds ``size``, ``text_crc32`` and ``virtual_slot``."""
+    """Adds ``size``, ``text_crc32``, ``virtual_slot`` and ``__lane``, which is to be written before records are numbered."""
     whole = F.coalesce(F.col(text), F.lit(""))
     return (
         records.withColumn("size", (F.octet_length(whole) + RECORD_OVERHEAD).cast("long"))
         .withColumn("text_crc32", F.crc32(whole.cast("binary")))
         .withColumn("virtual_slot", F.pmod(F.xxhash64(F.col(key), whole), F.lit(n_slots)).cast("int"))
+        .withColumn("__lane", F.spark_partition_id())
     )
 
 
@@ -182,30 +196,33 @@ def sharded(slotted: DataFrame, slot_map: SlotMap, order: list[str], part_rows:
     """Adds ``shard`` and ``slot``, the place of a record in its shard (gapless from 0).
 
     Records are numbered inside parts of their virtual slot, of some ``part_rows`` records each; the parts of a slot and
-    the slots of a shard follow each other, so no task sees a whole shard. The places of parts are broadcast: one row for
-    each virtual slot and part. Columns of these names are replaced.
+    the slots of a shard follow each other, so no task sees a whole shard, and only the map comes from the driver. Records
+    are dealt to parts by their ``order`` columns and their ``__lane``, where there is one. Columns of these names are replaced.
     """
     spark = slotted.sparkSession
-    slotted = slotted.drop("shard", "slot", "base", "__part")
+    slotted = slotted.drop("shard", "slot", "base", "__part", "__n")
     parts = max(1, -(-slotted.count() // (len(slot_map.shard_of) * part_rows)))
-    slotted = slotted.withColumn("__part", F.pmod(F.xxhash64(*order, F.lit(parts)), F.lit(parts)).cast("int"))
-    counts = {(r.virtual_slot, r.p): r.n for r in slotted.groupBy("virtual_slot", F.col("__part").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    filled, rows = [0] * slot_map.n_shards, []
-    for slot, part in sorted(counts):
-        shard = slot_map.shard_of[slot]
-        rows.append((slot, part, shard, filled[shard]))
-        filled[shard] += counts[slot, part]
-    places = spark.createDataFrame(rows, "virtual_slot int, __part int, shard int, base long")
+    lane = ["__lane"] if "__lane" in slotted.columns else []
+    slotted = slotted.withColumn("__part", F.pmod(F.xxhash64(*order, *lane, F.lit(parts)), F.lit(parts)).cast("int"))
+    counts = slotted.groupBy("virtual_slot", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    slots = spark.createDataFrame([(slot, shard) for _, _, slot, shard in slot_map.rows()], "virtual_slot int, shard int")
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.join(F.broadcast(slots), "virtual_slot").select("virtual_slot", "__part", "shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("virtual_slot", "__part").orderBy(*order)
     numbered = slotted.withColumn("__n", F.row_number().over(own) - 1)
-    return numbered.join(F.broadcast(places), ["virtual_slot", "__part"]).withColumn("slot", F.col("base") + F.col("__n")).drop("base", "__n", "__part")
+    return numbered.join(places, ["virtual_slot", "__part"]).withColumn("slot", F.col("base") + F.col("__n")).drop("base", "__n", "__part", "__lane")
 
 
-def op6_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 40) -> DataFrame:
+def map_folder(spark: SparkSession, sf_dir: str, n_shards: int) -> str:
+    """Where the map of a folder of tables lies unless another place is named: in the shared folder, for all applications."""
+    return f"{scratch.shared_dir(spark)}/slot-maps/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}-{n_shards}"
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 40, folder: str | None = None) -> DataFrame:
+    """folder: of the map, by default ``map_folder``; a later run, of any application, finds it there and edits it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     slotted = written(hashed(docs, "doc_id", "text").drop("text"), "slotted")
-    folder = f"{scratch.shared_dir(spark)}/{spark.sparkContext.applicationId}/slot-maps/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}-{n_shards}"
-    slot_map = current_map(spark, folder, n_shards, slot_bytes_of(slotted))
+    slot_map = current_map(spark, folder or map_folder(spark, sf_dir, n_shards), n_shards, slot_bytes_of(slotted))
     return sharded(slotted, slot_map, ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version")
     )

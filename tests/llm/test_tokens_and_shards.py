@@ -12,6 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from rankloom.llm import ann, bpe, packing, sharding
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -162,6 +164,30 @@ def test_slot_map_edits_move_little(spark, tmp_path):
     grown.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == grown
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
+    with pytest.raises(FileExistsError):  # a version is written once
+        grown.save(spark, str(tmp_path / "map"))
+    assert sharding.SlotMap.stored(spark, str(tmp_path / "none")) is None
+
+
+def test_equal_rows_are_numbered_in_several_parts(spark, tmp_path):
+    docs = spark.createDataFrame([(5, "the same row")] * 900 + [(i, f"{i}") for i in range(300)], "doc_id long, text string").repartition(6)
+    sharding.hashed(docs, "doc_id", "text", 16).drop("text").write.parquet(str(tmp_path / "slotted"))
+    slotted = spark.read.parquet(str(tmp_path / "slotted"))
+    slot_map = sharding.SlotMap.balanced(16, 3, sharding.slot_bytes_of(slotted))
+    heavy = slotted.withColumn("__part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "__lane", F.lit(8)), F.lit(8))).where("doc_id = 5 and size = 28").groupBy("__part").count()
+    assert heavy.count() > 1 and heavy.agg(F.max("count")).first()[0] < 900
+    slots = defaultdict(list)
+    for r in sharding.sharded(slotted, slot_map, ["doc_id", "text_crc32", "size"], 10).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 1200 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_op6_finds_the_map_of_an_earlier_run(spark, tmp_path):
+    folder = str(tmp_path / "maps")
+    first = sharding.op6_sharding(spark, "/root/testdata/sf0.001", 7, folder)
+    assert {r.map_version for r in first.collect()} == {1} and sharding.SlotMap.stored(spark, folder).n_shards == 7
+    assert {r.shard for r in sharding.op6_sharding(spark, "/root/testdata/sf0.001", 8, folder).collect()} == set(range(8))
+    assert sharding.SlotMap.load(spark, folder, 1).n_shards == 7
 
 
 def test_stored_map_is_edited_when_bytes_change(spark, tmp_path):
@@ -327,7 +353,7 @@ def test_sql_of_the_operators(spark):
     for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{FOLDER}/{t}.parquet')")
     names = registry.oracle_sql()
-    assert {n.split("_")[0] for n in names} == {"op1", "op3", "op4", "op8", "op10"}
+    assert {n.split("_")[0] for n in names} == {"op1", "op3", "op4", "op8", "op10", "op12"}
     for name, sql in names.items():
         answer = con.execute(sql)
         columns = [c[0] for c in answer.description]
