@@ -13,6 +13,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.running import running_sums
 from .operators import adaptive, clustering, learners, ranking, reports, rounds, telemetry
 from .scratch import scope, written
 from .shipping import ship
@@ -200,6 +201,7 @@ def runs(spark: SparkSession, docs: DataFrame, configs: list[Config], train: Dat
     live = {} if cached else live_arms(arms, names, config)
     with scope():
         lists = written(ranking.listed(ranked), "rankings") if cached else ranking.listed(ranked)
+        gains = written(telemetry.mean_gains(ranked), "gains")  # a row an arm
         plans = []
         for k, c in enumerate(configs):
             kind, settings = run_settings(spark, ranked, names, c)
@@ -211,10 +213,10 @@ def runs(spark: SparkSession, docs: DataFrame, configs: list[Config], train: Dat
         log = logs[0]
         for other in logs[1:]:
             log = log.unionByName(other)
-        return [result_document(log.where(F.col("run_id") == p["run_id"]), c, names, p, cached, lists, time.time() - began) for p, c in zip(plans, configs, strict=True)]
+        return [result_document(log.where(F.col("run_id") == p["run_id"]), c, names, p, cached, lists, gains, time.time() - began) for p, c in zip(plans, configs, strict=True)]
 
 
-def result_document(log: DataFrame, config: Config, names: list[str], plan: dict, cached: bool, lists: DataFrame, seconds: float) -> dict:
+def result_document(log: DataFrame, config: Config, names: list[str], plan: dict, cached: bool, lists: DataFrame, arm_gains: DataFrame, seconds: float) -> dict:
     """Everything a run's log tells, with the names of the document's format; it holds a number for each round."""
     rows = log.orderBy("round").select("round", "arms", "winner", "n_clicks", "regret", "level", "live", "stats").collect()
     n, clicks = len(rows), sum(r.n_clicks > 0 for r in rows)
@@ -233,7 +235,7 @@ def result_document(log: DataFrame, config: Config, names: list[str], plan: dict
         "policy_stats": json.loads(rows[-1].stats) if rows else {},
         "inference_stats": {"total_queries": n, "total_inferences": made, "avg_arms_per_query": rate(made, n), "arm_costs": {} if cached else dict(picked)},
         "history": {"cumulative_ndcg_regret": curve},
-        "success_metrics": success_metrics(rows, won),
+        "success_metrics": success_metrics(log, arm_gains),
         "logical_cost": {"total_evaluations": looked, "avg_arms_per_query": rate(looked, n), "total_queries": n},
         "runtime": seconds,
     }
@@ -248,17 +250,21 @@ def result_document(log: DataFrame, config: Config, names: list[str], plan: dict
     return out
 
 
-def success_metrics(rows: list, won: Counter) -> dict:
-    """The arm that won most, and the first round from which on it led."""
-    if not won:
-        return {"final_arm": None, "leading_since": None}
-    best = min(won, key=lambda a: (-won[a], a))
-    counts, since = Counter(), None
-    for r in rows:
-        counts[r.winner] += r.winner is not None
-        leads = all(counts[best] > k for a, k in counts.items() if a not in (best, None))
-        since = (r.round if since is None else since) if leads else None
-    return {"final_arm": best, "leading_since": since}
+#: Largest relative gap to the best arm's gain at which a round's winner counts as a success (fixed value).
+SUCCESS_GAP = 0.01
+
+
+def success_metrics(log: DataFrame, arm_gains: DataFrame) -> dict:
+    """Of the rounds with a winner: their number, how many were won by an arm next to the best, from which round on the share
+    reached 95 %, and the gap of the last one; the number alone where there are none."""
+    won = log.where("winner is not null").select(F.col("round").cast("long").alias("round"), F.col("winner").alias("arm"), F.lit(True).alias("is_final"))
+    seq = running_sums(won.withColumn("__one", F.lit(1)), "round", {"seq": "__one"})
+    judged = telemetry.success(seq, arm_gains, SUCCESS_GAP)
+    found = telemetry.success_summary(judged).first()
+    if not found.n_evaluations:
+        return {"n_evaluations": 0}
+    since = telemetry.sample_complexity(judged).first()["sample_complexity"]
+    return {"n_evaluations": found.n_evaluations, "success_rate": found.success_rate, "sample_complexity_95": since, "final_success": found.final_success, "final_gap_pct": found.final_gap}
 
 
 def config_of(args: list[str]) -> tuple[Config, argparse.Namespace]:

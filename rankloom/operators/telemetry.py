@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.gains import array_dcg, ratio
+from ..functions.gains import array_dcg, dcg, ratio
 from ..functions.running import running_sums
 
 
@@ -95,6 +95,15 @@ def success(evaluations: DataFrame, arm_gains: DataFrame, threshold: float) -> D
     return rows.select(*evaluations.columns, gap.alias("gap"), valid.alias("valid")).withColumn("success", F.col("gap") <= threshold)
 
 
+def mean_gains(rankings: DataFrame, k: int = 10) -> DataFrame:
+    """(arm, gain): mean NDCG at k of whole rankings (query_id, arm, doc, rel, pos) over all queries."""
+    best = rankings.groupBy("query_id", "doc").agg(F.max("rel").alias("rel"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc"))
+    ideal = best.withColumn("__p", place).groupBy("query_id").agg(dcg("rel", "__p", k).alias("ideal"))
+    own = rankings.groupBy("query_id", "arm").agg(dcg("rel", "pos", k).alias("g"))
+    return own.join(ideal, "query_id").groupBy("arm").agg(F.avg(ratio(F.col("g"), F.col("ideal"))).alias("gain"))
+
+
 def sample_complexity(judged: DataFrame, rate: float = 0.95) -> DataFrame:
     """One row: the round of the first evaluation at which the running success rate reaches ``rate``, or null."""
     with_sums = running_sums(judged.withColumn("__s", F.col("success").cast("long")).withColumn("__one", F.lit(1)), "seq", {"wins": "__s", "seen": "__one"})

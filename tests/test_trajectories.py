@@ -10,8 +10,9 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from rankloom import experiment
 from rankloom.functions import rng
-from rankloom.operators import clustering, learners, policy, ranking, reports, resampling, rounds
+from rankloom.operators import clustering, learners, policy, ranking, reports, resampling, rounds, telemetry
 from rankloom.sources import groups
 
 ARMS = ["a", "b", "c"]
@@ -203,3 +204,14 @@ def test_splits_are_written_at_once_and_exchanged(spark, tmp_path, monkeypatch):
     again = reports.profile_splits(spark, folder)
     assert again["set 1"]["test"]["queries"] == 1 and again["set 1"]["train"] == found["set 1"]["train"] and again["set+2"] == found["set+2"]
     assert sorted(p.name for p in (tmp_path / "data" / "set 1").iterdir()) == ["test", "train"]
+
+
+def test_success_of_a_run_is_told_in_its_document(spark):
+    docs = spark.createDataFrame([(f"q{i // 4}", i % 4, (i * 7) % 3, [float(i * 5 % 7)]) for i in range(40)], "query_id string, doc int, rel int, features array<double>")
+    gains = telemetry.mean_gains(ranking.ranked(docs, {"best": ranking.by_relevance(), "one": ranking.by_feature(0)}))
+    by_arm = {r.arm: r.gain for r in gains.collect()}
+    assert by_arm["best"] == 1.0 > by_arm["one"] > 0
+    log = spark.createDataFrame([(t, ("one", "best", None, "best", "best")[t]) for t in range(5)], "round int, winner string")
+    told = experiment.success_metrics(log, gains)
+    assert told == {"n_evaluations": 4, "success_rate": 0.75, "sample_complexity_95": None, "final_success": True, "final_gap_pct": 0.0}
+    assert experiment.success_metrics(log.where("winner is null"), gains) == {"n_evaluations": 0}
