@@ -19,8 +19,9 @@ Queries travel to blocks by joins, in chunks of at most CHUNK; nothing of their
 are one node of the index, known by its k + 1 smallest ids, so that a vector that very many rows hold costs no more than
 any other. Pivots are fitted on at most SAMPLE vectors; all vectors are indexed.
 
-Cost: a block that a query visits counts collisions of all its vectors, so a query costs as much as the blocks that its
-windows meet hold. For clustered vectors these are few; for vectors without any structure (random directions) they are all.
+Cost: in a block that a query visits, a vector is counted once for each line whose last window holds it, as the windows grow.
+For clustered vectors these are few blocks and small windows; for vectors without any structure (random directions) a query
+visits all blocks, and counting there costs about as much as all distances.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 length isn't the query's; a query isn't compared with rows of its own id; ties go to the smaller id; with fewer than k
@@ -92,23 +93,14 @@ class Block:
         self.vectors, (n, dimension) = vectors, vectors.shape
         self.threshold, projected = threshold(dimension), vectors @ lines(dimension)
         self.spread = float(np.sqrt(np.mean(np.var(projected, axis=0)))) or 1.0
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
+        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
-        self.place = np.empty((LINES, n), np.uint16)
-        np.put_along_axis(self.place, self.order, np.broadcast_to(np.arange(n, dtype=np.uint16), (LINES, n)), axis=1)
-
-    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """How many of the lines' windows [low, high) of the sorted arrays hold each vector."""
-        n, held = len(self.vectors), int((high - low).sum())
-        if held * 8 < n * LINES:  # narrow windows: only what they hold is touched
-            some = [self.order[j, a:b] for j, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if b > a]
-            return np.bincount(np.concatenate(some), minlength=n) if some else np.zeros(n, np.int64)
-        counts, place, inside = np.zeros(n, np.uint8), np.empty(n, np.uint16), np.empty(n, bool)
-        for j, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
-            np.subtract(self.place[j], np.uint16(a), out=place)  # wraps around below the window
-            np.less(place, np.uint16(b - a), out=inside)
-            np.add(counts, inside, out=counts)
-        return counts
+
+    def entered(self, low: np.ndarray, high: np.ndarray, before_low: np.ndarray, before_high: np.ndarray) -> np.ndarray:
+        """How many of the lines' windows [low, high) of the sorted arrays each vector enters, as these grow from those before."""
+        rings = [self.order[j, a:b] for j, (a, b) in enumerate(zip(low.tolist(), before_low.tolist(), strict=True)) if b > a]
+        rings += [self.order[j, a:b] for j, (a, b) in enumerate(zip(before_high.tolist(), high.tolist(), strict=True)) if b > a]
+        return np.bincount(np.concatenate(rings), minlength=len(self.vectors)) if rings else np.zeros(len(self.vectors), np.int64)
 
     def search(self, queries: np.ndarray, skipped: list[np.ndarray], bounds: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """For each query the places and distances of the k nearest found, nearest first, and how many were verified.
@@ -123,14 +115,19 @@ class Block:
             checked[i, own] = True
         width = np.where(np.isfinite(bounds), START * REACH * bounds, FIRST_WIDTH * self.spread)
         goal, open_ = REACH * bounds, np.arange(number)
-        low, high = np.empty((number, LINES), np.int64), np.empty((number, LINES), np.int64)
+        # Windows only grow, so a vector's collisions are counted once a line, as it enters.
+        counts = np.zeros((number, n), np.uint8)
+        low = np.stack([np.searchsorted(self.sorted[j], at[:, j]) for j in range(LINES)], axis=1)
+        high = low.copy()
         while len(open_):
+            before_low, before_high = low.copy(), high.copy()
             for j in range(LINES):
                 low[open_, j] = np.searchsorted(self.sorted[j], at[open_, j] - width[open_], "left")
                 high[open_, j] = np.searchsorted(self.sorted[j], at[open_, j] + width[open_], "right")
             ended = np.zeros(len(open_), bool)
             for o, i in enumerate(open_.tolist()):
-                new = np.flatnonzero((self.collisions(low[i], high[i]) >= self.threshold) & ~checked[i])
+                counts[i] += self.entered(low[i], high[i], before_low[i], before_high[i]).astype(np.uint8)
+                new = np.flatnonzero((counts[i] >= self.threshold) & ~checked[i])
                 if len(new):
                     checked[i, new] = True
                     verified[i] += len(new)
