@@ -89,6 +89,17 @@ def arm_subset(pool: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return pool.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= k).select("draw", "arm")
 
 
+def arm_subsets(pool: DataFrame, queries: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(query_id, draw, arm): for every query k arms without replacement, drawn alone; all arms, if there are fewer.
+
+    A pool is small: its draws are sorted in one array beside the query.
+    """
+    arms = pool.agg(F.sort_array(F.collect_list("arm")).alias("__arms"))
+    draw = F.transform("__arms", lambda a: F.struct(uniform(seed, "subset", "query_id", a).alias("u"), a.alias("arm")))
+    chosen = queries.crossJoin(F.broadcast(arms)).select("query_id", F.posexplode(F.slice(F.array_sort(draw), 1, k)).alias("at", "x"))
+    return chosen.select("query_id", (F.col("at") + 1).cast("int").alias("draw"), "x.arm")
+
+
 def ranked_pairs(docs: DataFrame, arms: dict[str, Column], pairs: DataFrame) -> DataFrame:
     """As ``ranked``, for the wanted (query_id, arm) pairs only: other queries' documents and other arms' scores aren't used."""
     score = F.lit(None).cast("double")

@@ -96,7 +96,9 @@ class Log:
 
     @cached_property
     def wide_arms(self) -> DataFrame:
-        return self.spark.createDataFrame([(i, f"d{i:02d}") for i in range(DIMENSIONS)], "ord int, arm string")
+        """An arm for each dimension that the vectors have."""
+        width = self.wide.agg(F.max(F.size("features")).alias("d"))
+        return width.select(F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("ord")).select("ord", F.format_string("d%02d", "ord").alias("arm"))
 
 
 # The same inputs in the oracle's dialect, as parts of one WITH clause.
@@ -261,22 +263,30 @@ def _grid_sql(size: str) -> str:
 FROM {v('depth', depths)}, {v('trees', trees)}, {v('rate', rates)}, {v('share', shares)}, {v('columns', columns)}"""
 
 
-@query("arm_grid", None, _grid_sql("full"))
+def _in_turn(x, arms: DataFrame, n: int) -> DataFrame:
+    """(round, arm): the arms of a pool of n take turns over all rounds."""
+    return x.order.select("round", (F.col("round") % n).alias("ord")).join(F.broadcast(arms), "ord").select("round", "arm")
+
+
+@query("arm_grid", _DOCS + f",\ngrid AS ({_grid_sql('full')})", "SELECT round, arm FROM rounds JOIN grid ON round % 120 = ord")
 def _(x):
-    return ranking.boosted_grid(x.spark, "full").select("ord", "arm")
+    """The grid's 120 settings in turn over all rounds."""
+    return _in_turn(x, ranking.boosted_grid(x.spark, "full").select("ord", "arm"), 120)
 
 
 _POOL = f"pool AS (SELECT * FROM (VALUES {', '.join(str((i, a)) for i, a in enumerate(ranking.BASE_ARMS))}) b(ord, arm) UNION ALL SELECT ord + 4, arm FROM ({_grid_sql('medium')}) g)"
 
 
-@query("arm_pool", _POOL, "SELECT CAST(ord AS INTEGER) AS ord, arm FROM pool")
+@query("arm_pool", _DOCS + ",\n" + _POOL, "SELECT round, arm FROM rounds JOIN pool ON round % 22 = ord")
 def _(x):
-    return ranking.arm_pool(x.spark, "medium")
+    """The 22 arms of the medium pool in turn over all rounds."""
+    return _in_turn(x, ranking.arm_pool(x.spark, "medium"), 22)
 
 
-@query("arm_subset", _POOL, f"SELECT CAST(row_number() OVER (ORDER BY {uniform_sql(42, 'subset', 'arm')}, arm) AS INTEGER) AS draw, arm FROM pool QUALIFY draw <= 8")
+@query("arm_subset", _DOCS + ",\n" + _POOL, f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {uniform_sql(42, 'subset', 'query_id', 'arm')}, arm) AS INTEGER) AS draw, arm FROM rounds, pool QUALIFY draw <= 4")
 def _(x):
-    return ranking.arm_subset(ranking.arm_pool(x.spark, "medium"), 8)
+    """Four arms of the medium pool for every query, each query's own draw."""
+    return ranking.arm_subsets(ranking.arm_pool(x.spark, "medium"), x.order.select("query_id"), 4)
 
 
 @query("score_cache_build", _WIDE, "SELECT arm, query_id, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY pos) AS ranking FROM wranked GROUP BY arm, query_id")
@@ -604,7 +614,7 @@ def _(x):
 
 
 @query("random_clusters", None, f"""SELECT CAST(p % 4 AS INTEGER) AS cluster, arm, CAST(p // 4 AS INTEGER) AS member, p < 4 AS is_rep FROM (
-  SELECT arm, row_number() OVER (ORDER BY {uniform_sql(42, 'rc', 'arm')}, arm) - 1 AS p FROM (SELECT 'd' || lpad(CAST(i AS VARCHAR), 2, '0') AS arm FROM unnest(range({DIMENSIONS})) AS r(i)))""")
+  SELECT arm, row_number() OVER (ORDER BY {uniform_sql(42, 'rc', 'arm')}, arm) - 1 AS p FROM (SELECT 'd' || lpad(CAST(i AS VARCHAR), 2, '0') AS arm FROM unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS r(i)))""")
 def _(x):
     return clustering.shuffled_clusters(x.wide_arms, 4)
 
@@ -621,13 +631,13 @@ def _(x):
     return clustering.representatives(clustering.shuffled_clusters(x.wide_arms, 4), scores).withColumn("score", r6("score"))
 
 
-_LABELS = [(0, "a", 0), (1, "b", -1), (2, "c", 1), (3, "d", 0), (4, "e", -1), (5, "f", 1)]
-
-
-@query("noise_singletons", None, f"""SELECT arm, CAST(CASE WHEN label < 0 THEN (SELECT max(label) FROM l) + row_number() OVER (PARTITION BY label < 0 ORDER BY ord) ELSE label END AS INTEGER) AS label
-FROM l""".replace("SELECT arm", f"WITH l(ord, arm, label) AS (VALUES {', '.join(map(str, _LABELS))}) SELECT arm", 1))
+@query("noise_singletons", """l AS (SELECT CAST(i AS INTEGER) AS ord, 'd' || lpad(CAST(i AS VARCHAR), 2, '0') AS arm, CAST(CASE WHEN avg(CAST(embedding[i + 1] AS DOUBLE)) < 0 THEN -1 ELSE i % 5 END AS INTEGER) AS label
+  FROM embeddings, unnest(range(len(embedding))) AS r(i) GROUP BY i)""", "SELECT arm, CAST(CASE WHEN label < 0 THEN (SELECT max(label) FROM l) + row_number() OVER (PARTITION BY label < 0 ORDER BY ord) ELSE label END AS INTEGER) AS label FROM l")
 def _(x):
-    return clustering.noise_as_singletons(x.spark.createDataFrame(_LABELS, "ord int, arm string, label int"))
+    """Dimensions with a mean below 0 stand for noise, the others are in five clusters."""
+    means = x.wide.select(F.posexplode("features").alias("ord", "v")).groupBy("ord").agg(F.avg("v").alias("m"))
+    labels = means.select("ord", F.format_string("d%02d", "ord").alias("arm"), F.when(F.col("m") < 0, -1).otherwise(F.col("ord") % 5).cast("int").alias("label"))
+    return clustering.noise_as_singletons(labels)
 
 
 @query("hdbscan_clusters")
@@ -829,49 +839,60 @@ def _(x):
 
 # Reports
 
-_POOLS = {"base": list(reports.BASE_POOL), "learn": list(reports.LEARNING_POOL), "full": ["random", "xgb_d3"]}
-
-
-def _results_list() -> list[tuple]:
-    """(filename, scenario, policy, arms, seed, regret, clicks, arms a query, runtime, final set, selection, wins)."""
-    out = []
-    names = {("standard", "mdb"): "phase1_1.1_HMDB_KT", ("standard", "uniform"): "phase2_2.1_K20_Flat_K20", ("standard", "thompson"): "phase2_2.2_K20_HMDB_K20"}
-    for a, scenario in enumerate(("standard", "cascade", "noisy")):
-        for b, name in enumerate(("uniform", "mdb", "thompson")):
-            for seed in range(3):
-                pool = list(_POOLS)[(a + b) % 3]
-                arms = _POOLS[pool]
-                stem = names.get((scenario, name), f"phase3_3.{a}_{name}_{scenario}")
-                out.append((
-                    f"{stem}_seed-{seed}.json", scenario, name, arms, seed, 100.0 * (a + 1) - 20.0 * b + 3 * seed, 50 + seed + a, 1.0 + (a + b) / 4, 10.0 + b, arms[: 1 + (seed + b) % 2],
-                    {x: (i + 1 + seed) / 10 for i, x in enumerate(arms)}, {x: (i + 1) / 10 for i, x in enumerate(arms[1:])},
-                ))
-    return out
-
-
-def results_frame(spark: SparkSession) -> DataFrame:
-    """The result documents, written as files and read again."""
-    documents = {
-        f: {
-            "config": {"scenario": s, "policy": p, "arms": a, "arm_pool_size": "small", "n_rounds": 100, "seed": seed, "hierarchical": False},
-            "metrics": {"iterations": 100, "total_ndcg_regret": r, "avg_ndcg_regret": r / 100, "total_clicks": c, "click_rate": c / 100},
-            "selection_rates": sel, "win_rates": win, "policy_stats": {"set_E": final, "set_F": final, "t": 100}, "runtime": rt,
-            "inference_stats": {"total_inferences": int(apq * 100), "avg_arms_per_query": apq}, "logical_cost": {"total_evaluations": int(apq * 100), "avg_arms_per_query": apq, "total_queries": 100},
-        }
-        for f, s, p, a, seed, r, c, apq, rt, final, sel, win in _results_list()
-    }
-    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/results-{uuid.uuid4().hex}"
-    reports.store_results(spark, documents, folder)
-    return reports.read_results(spark, folder)
+_POOLS = {"base": list(reports.BASE_POOL), "learn": list(reports.LEARNING_POOL), "full": ["linear_ts", "linucb"]}
+
+
+_SCENARIOS, _POLICIES = ("standard", "cascade", "noisy"), ("uniform", "mdb", "thompson")
+_STEMS = {("standard", "mdb"): "phase1_1.1_HMDB_KT", ("standard", "uniform"): "phase2_2.1_K20_Flat_K20", ("standard", "thompson"): "phase2_2.2_K20_HMDB_K20"}
+
+
+def _stem(a: int, b: int) -> str:
+    scenario, name = _SCENARIOS[a], _POLICIES[b]
+    return _STEMS.get((scenario, name), f"phase3_3.{a}_{name}_{scenario}")
+
+
+def results_frame(x: Log) -> DataFrame:
+    """Result documents of 27 runs (scenario, policy, seed), written as files and read again.
+
+    Users are dealt to runs, and a run's numbers are sums over all events of its users; a run without any has no document.
+    """
+    part = F.pmod(F.col("event_id"), F.lit(4))
+    share = lambda i, kind=F.lit(True): (F.sum(F.when((part == i) & kind, 1).otherwise(0)) / F.count(F.lit(1)))
+    click = F.col("event_type") == "click"
+    events = x.spark.read.parquet(f"{x.dir}/events.parquet")
+    runs = events.groupBy(F.pmod(F.col("user_id"), F.lit(27)).cast("int").alias("g")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("regret"), F.sum(click.cast("long")).alias("clicks"), F.avg("value").alias("runtime"),
+        *[share(i).alias(f"s{i}") for i in range(4)], *[share(i, click).alias(f"w{i}") for i in range(4)],
+    )
+    documents = {}
+    for r in runs.collect():
+        a, b, seed = r.g // 9, r.g // 3 % 3, r.g % 3
+        arms = _POOLS[list(_POOLS)[(a + b) % 3]]
+        final = arms[: 1 + r.n % 2]
+        documents[f"{_stem(a, b)}_seed-{seed}.json"] = {
+            "config": {"scenario": _SCENARIOS[a], "policy": _POLICIES[b], "arms": arms, "arm_pool_size": "small", "n_rounds": 100, "seed": seed, "hierarchical": False},
+            "metrics": {"iterations": 100, "total_ndcg_regret": r.regret, "avg_ndcg_regret": r.regret / 100, "total_clicks": r.clicks, "click_rate": r.clicks / 100},
+            "selection_rates": {arm: r[f"s{i}"] for i, arm in enumerate(arms)}, "win_rates": {arm: r[f"w{i}"] for i, arm in enumerate(arms) if i}, "policy_stats": {"set_E": final, "set_F": final, "t": 100}, "runtime": r.runtime,
+            "inference_stats": {"total_inferences": r.n, "avg_arms_per_query": r.n / 100}, "logical_cost": {"total_evaluations": r.n, "avg_arms_per_query": r.n / 100, "total_queries": 100},
+        }
+    folder = f"{shared_dir(x.spark)}/{x.spark.sparkContext.applicationId}/results-{uuid.uuid4().hex}"
+    reports.store_results(x.spark, documents, folder)
+    return reports.read_results(x.spark, folder)
 
 
 def _results_sql() -> str:
     text = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-    num = lambda m: "MAP {" + ", ".join(f"'{k}': {v!r}::DOUBLE" for k, v in m.items()) + "}"
-    rows = ", ".join(f"('{f}', '{s}', '{p}', {text(a)}, {seed}, {r!r}::DOUBLE, {c}, {apq!r}::DOUBLE, {rt!r}::DOUBLE, {text(e)}, {num(sel)}, {num(win)})" for f, s, p, a, seed, r, c, apq, rt, e, sel, win in _results_list())
+    pick = lambda values, at: f"[{', '.join(values)}][{at} + 1]"
+    stems = pick([f"'{_stem(a, b)}'" for a in range(3) for b in range(3)], "g // 3")
+    arms = pick([text(v) for v in _POOLS.values()], "(g // 9 + g // 3 % 3) % 3")
+    shares = lambda name, kind: ", ".join(f"sum(CASE WHEN event_id % 4 = {i} AND {kind} THEN 1 ELSE 0 END) / count(*)::DOUBLE AS {name}{i}" for i in range(4))
     literal = lambda xs: text(sorted(xs))
-    return f"""res0(filename, scenario, policy, arms, seed, regret, clicks, apq, runtime, final, sel, win) AS (VALUES {rows}),
-res AS (SELECT *, CASE WHEN list_sort(arms) = {literal(reports.BASE_POOL)} THEN 'base_pool' WHEN list_sort(arms) = {literal(reports.LEARNING_POOL)} THEN 'learning_only' ELSE 'full_pool' END AS pool FROM res0)"""
+    return f"""runs AS (SELECT CAST(user_id % 27 AS INTEGER) AS g, count(*) AS n, sum(value) AS regret, count(*) FILTER (event_type = 'click') AS clicks, avg(value) AS runtime,
+  {shares('s', 'true')}, {shares('w', "event_type = 'click'")} FROM events GROUP BY user_id % 27),
+res0 AS (SELECT {stems} || '_seed-' || (g % 3) || '.json' AS filename, {pick([repr(v) for v in _SCENARIOS], 'g // 9')} AS scenario, {pick([repr(v) for v in _POLICIES], 'g // 3 % 3')} AS policy, {arms} AS arms, g % 3 AS seed,
+  regret, clicks, n AS evals, n / 100 AS apq, runtime, n % 2 AS odd, [s0, s1, s2, s3] AS s, [w0, w1, w2, w3] AS w FROM runs),
+res AS (SELECT *, arms[1:1 + odd] AS final, map_from_entries(list_zip(arms, s[1:len(arms)])) AS sel, map_from_entries(list_zip(arms[2:], w[2:len(arms)])) AS win,
+  CASE WHEN list_sort(arms) = {literal(reports.BASE_POOL)} THEN 'base_pool' WHEN list_sort(arms) = {literal(reports.LEARNING_POOL)} THEN 'learning_only' ELSE 'full_pool' END AS pool FROM res0)"""
 
 
 _RES = _results_sql()
@@ -881,69 +902,69 @@ _RES = _results_sql()
 round(avg(apq), 6) AS arms_per_query, round(avg(runtime), 6) AS runtime FROM res GROUP BY scenario, pool, policy""")
 def _(x):
     names = ("total_regret", "avg_regret", "click_rate", "arms_per_query", "runtime")
-    return reports.policy_comparison(results_frame(x.spark)).select("scenario", "pool", "policy", "runs", *[r6(c).alias(c) for c in names])
+    return reports.policy_comparison(results_frame(x)).select("scenario", "pool", "policy", "runs", *[r6(c).alias(c) for c in names])
 
 
 @query("convergence", _RES, "SELECT filename, scenario, CAST(seed AS BIGINT) AS seed, array_to_string(final, ',') AS set_e, array_to_string(final, ',') AS set_f FROM res WHERE policy = 'mdb'")
 def _(x):
-    return reports.convergence(results_frame(x.spark))
+    return reports.convergence(results_frame(x))
 
 
 @query("arm_performance", _RES, """SELECT scenario, arm, round(avg(s), 6) AS selection_rate, round(avg(w), 6) AS win_rate FROM (
   SELECT scenario, arm, sel[arm] AS s, coalesce(win[arm], 0) AS w FROM res, unnest(map_keys(sel)) AS k(arm)) GROUP BY scenario, arm""")
 def _(x):
-    return reports.arm_performance(results_frame(x.spark)).select("scenario", "arm", r6("selection_rate").alias("selection_rate"), r6("win_rate").alias("win_rate"))
+    return reports.arm_performance(results_frame(x)).select("scenario", "arm", r6("selection_rate").alias("selection_rate"), r6("win_rate").alias("win_rate"))
 
 
 @query("reproducibility", _RES, "SELECT scenario, policy, count(*) AS runs, round(avg(regret), 6) AS mean_regret, round(stddev_samp(regret), 6) AS sd_regret FROM res GROUP BY scenario, policy")
 def _(x):
-    return reports.reproducibility(results_frame(x.spark)).select("scenario", "policy", "runs", r6("mean_regret").alias("mean_regret"), r6("sd_regret").alias("sd_regret"))
+    return reports.reproducibility(results_frame(x)).select("scenario", "policy", "runs", r6("mean_regret").alias("mean_regret"), r6("sd_regret").alias("sd_regret"))
 
 
 @query("key_findings", _RES, """SELECT f.scenario, f.policy, round((b.regret - f.regret) * 100 / b.regret, 6) AS reduction FROM (SELECT scenario, policy, arg_min(regret, filename) AS regret FROM res GROUP BY scenario, policy) f
 JOIN (SELECT scenario, arg_min(regret, filename) AS regret FROM res WHERE policy = 'uniform' GROUP BY scenario) b ON b.scenario = f.scenario WHERE f.policy <> 'uniform'""")
 def _(x):
-    return reports.key_findings(results_frame(x.spark)).withColumn("reduction", r6("reduction"))
+    return reports.key_findings(results_frame(x)).withColumn("reduction", r6("reduction"))
 
 
-@query("cost_findings", _RES, """SELECT f.scenario, f.policy, round((b.cost - f.cost) * 100.0 / b.cost, 6) AS reduction FROM (SELECT scenario, policy, arg_min(CAST(apq * 100 AS BIGINT), filename) AS cost FROM res GROUP BY scenario, policy) f
-JOIN (SELECT scenario, arg_min(CAST(apq * 100 AS BIGINT), filename) AS cost FROM res WHERE policy = 'uniform' GROUP BY scenario) b ON b.scenario = f.scenario WHERE f.policy <> 'uniform'""")
+@query("cost_findings", _RES, """SELECT f.scenario, f.policy, round((b.cost - f.cost) * 100.0 / b.cost, 6) AS reduction FROM (SELECT scenario, policy, arg_min(evals, filename) AS cost FROM res GROUP BY scenario, policy) f
+JOIN (SELECT scenario, arg_min(evals, filename) AS cost FROM res WHERE policy = 'uniform' GROUP BY scenario) b ON b.scenario = f.scenario WHERE f.policy <> 'uniform'""")
 def _(x):
-    return reports.cost_findings(results_frame(x.spark)).withColumn("reduction", r6("reduction"))
+    return reports.cost_findings(results_frame(x)).withColumn("reduction", r6("reduction"))
 
 
 @query("learning_only", _RES, "SELECT count(*) AS runs, round(avg(regret), 6) AS mean_regret FROM res WHERE policy = 'mdb' AND list_sort(arms) = ['linear_ts', 'linucb']")
 def _(x):
-    return reports.learning_only(results_frame(x.spark)).withColumn("mean_regret", r6("mean_regret"))
+    return reports.learning_only(results_frame(x)).withColumn("mean_regret", r6("mean_regret"))
 
 
 @query("common_survivor", _RES, """SELECT scenario, arm, n AS times FROM (SELECT scenario, arm, count(*) AS n FROM res, unnest(final) AS e(arm) GROUP BY scenario, arm)
 QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY n DESC, arm) = 1""")
 def _(x):
-    return reports.common_survivor(results_frame(x.spark))
+    return reports.common_survivor(results_frame(x))
 
 
 _NAMED = _RES + """,
 parts AS (SELECT *, string_split(regexp_replace(filename, '\\.json$', ''), '_') AS p FROM res),
 named AS (SELECT *, array_to_string(p[3:len(p) - 1], '_') AS joined, CASE WHEN starts_with(p[3], 'K') THEN p[3] ELSE p[len(p) - 1] END AS kv FROM parts),
 names AS (SELECT *, CASE WHEN p[1] = 'phase2' AND contains(joined, 'Flat') THEN 'Flat_' || kv WHEN p[1] = 'phase2' AND contains(joined, 'HMDB') THEN 'HMDB_' || kv ELSE joined END AS name FROM named),
-phases AS (SELECT name, count(*) AS runs, avg(regret) AS regret, stddev_pop(regret) AS sd, avg(CAST(apq * 100 AS BIGINT)) AS inferences, avg(runtime) AS runtime FROM names GROUP BY name)"""
+phases AS (SELECT name, count(*) AS runs, avg(regret) AS regret, stddev_pop(regret) AS sd, avg(evals) AS inferences, avg(runtime) AS runtime FROM names GROUP BY name)"""
 
 
 @query("result_names", _NAMED, "SELECT filename, p[1] AS phase, p[2] AS config_id, name FROM names")
 def _(x):
-    return reports.named_by_file(results_frame(x.spark)).select("filename", "phase", "config_id", "name")
+    return reports.named_by_file(results_frame(x)).select("filename", "phase", "config_id", "name")
 
 
 @query("phase_summary", _NAMED, "SELECT name, runs, round(regret, 6) AS regret, round(sd, 6) AS regret_sd, round(inferences, 6) AS inferences, round(runtime, 6) AS runtime FROM phases")
 def _(x):
-    return reports.phase_summary(results_frame(x.spark)).select("name", "runs", *[r6(c).alias(c) for c in ("regret", "regret_sd", "inferences", "runtime")])
+    return reports.phase_summary(results_frame(x)).select("name", "runs", *[r6(c).alias(c) for c in ("regret", "regret_sd", "inferences", "runtime")])
 
 
 @query("scalability", _NAMED, """SELECT substr(f.name, 6) AS k, round((f.inferences - h.inferences) * 100 / f.inferences, 6) AS cost_reduction, round((f.regret - h.regret) * 100 / f.regret, 6) AS regret_reduction
 FROM phases f JOIN phases h ON 'HMDB_' || substr(f.name, 6) = h.name WHERE starts_with(f.name, 'Flat_K')""")
 def _(x):
-    return reports.scalability(reports.phase_summary(results_frame(x.spark))).select("k", r6("cost_reduction").alias("cost_reduction"), r6("regret_reduction").alias("regret_reduction"))
+    return reports.scalability(reports.phase_summary(results_frame(x))).select("k", r6("cost_reduction").alias("cost_reduction"), r6("regret_reduction").alias("regret_reduction"))
 
 
 @query("eda_profile", _DOCS, """SELECT count(*) AS queries, CAST(sum(n) AS BIGINT) AS documents, min(n) AS min_docs, max(n) AS max_docs, round(avg(n), 6) AS mean_docs, round(median(n), 6) AS median_docs,
