@@ -1,11 +1,12 @@
 """Stateless random numbers: a uniform draw is a hash of a seed, a stream's name and keys.
 
 A draw depends on nothing else, so plans may be split, replayed and checked by another engine. Streams in use: res,
-chunk, rand, subset, draft, pbm, noise, noisepos, fn, rucb, rc, boot, bootb, perm, and win and loss with their parts.
+chunk, rand, subset, draft, pbm, noise, noisepos, fn, rucb, rc, boot, bootb, perm, and ts, win and loss with their parts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -24,6 +25,18 @@ def uniform_sql(seed: int, stream: str, *keys: str) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{stream}', {text})), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
 
 
+def normals(seed: int, stream: str, n: int) -> list[float]:
+    """n standard normal draws of a stream, numbered from 0, as plain numbers; they are those that ``normal_sql`` gives."""
+    u = lambda i, part: int(hashlib.md5(f"{seed}|{stream}|{i}|{part}".encode()).hexdigest()[:8], 16) / 2**32
+    return [math.sqrt(-2 * math.log(1 - u(i, "r"))) * math.cos(2 * math.pi * u(i, "a")) for i in range(n)]
+
+
+def normal_sql(seed: int, stream: str, i: int) -> str:
+    """The i-th of ``normals`` in the oracle's dialect."""
+    r, a = (uniform_sql(seed, stream, str(i), f"'{part}'") for part in ("r", "a"))
+    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {r})) * cos({2 * math.pi!r}::DOUBLE * {a}))"
+
+
 #: Tries of a rejection draw: each succeeds with a chance of over 0.95, so that all fail about once in 10^20.
 TRIES = 16
 

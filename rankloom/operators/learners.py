@@ -14,6 +14,7 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rng import normals
 from ..scratch import dropped, written
 
 #: Trees whose scores are computed again for each new one before they are written.
@@ -83,9 +84,9 @@ class LinearBandit:
         return _dot(x, inverse @ self.b) + F.lit(alpha) * F.sqrt(F.greatest(F.lit(0.0), _quadratic(x, inverse)))
 
     def drawn(self, seed: int, x: str = "x", noise: float = 1.0) -> Column:
-        """Reward under weights drawn from their posterior."""
+        """Reward under weights drawn from their posterior, by hashed normal draws."""
         root = _root(noise * np.linalg.inv(self.a))
-        theta = np.linalg.solve(self.a, self.b) + root @ np.random.default_rng(seed).standard_normal(self.dimensions)
+        theta = np.linalg.solve(self.a, self.b) + root @ np.array(normals(seed, "ts", self.dimensions))
         return _dot(x, theta)
 
 

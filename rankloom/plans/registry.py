@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.gains import dcg, ratio
-from ..functions.rng import gamma_sql, uniform_sql
+from ..functions.rng import gamma_sql, normal_sql, uniform_sql
 from ..operators import adaptive, clustering, learners, policy, ranking, reports, resampling, rounds, stats, telemetry
 from ..scratch import shared_dir
 from ..shipping import ship
@@ -1050,6 +1050,39 @@ def _(x):
     return ranking.ranked(rows.withColumn("s", bandit.drawn(42)), {"linear_ts": F.col("s")})
 
 
+_BANDIT = _DOCS + f""",
+two AS (SELECT query_id, doc, value / 100 AS x0, k / 100 AS x1, CASE WHEN rel >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM docs),
+fitted AS (SELECT 1 + sum(x0 * x0) AS a, sum(x0 * x1) AS b, 1 + sum(x1 * x1) AS d, sum(x0 * r) AS p, sum(x1 * r) AS q FROM two),
+inverse AS (SELECT d / (a * d - b * b) AS i00, -b / (a * d - b * b) AS i01, a / (a * d - b * b) AS i11, p, q FROM fitted),
+means AS (SELECT *, i00 * p + i01 * q AS m0, i01 * p + i11 * q AS m1, sqrt(i00) AS l00, i01 / sqrt(i00) AS l10, sqrt(i11 - i01 * i01 / i00) AS l11 FROM inverse),
+drawn AS (SELECT *, m0 + l00 * {normal_sql(42, 'ts', 0)} AS t0, m1 + l10 * {normal_sql(42, 'ts', 0)} + l11 * {normal_sql(42, 'ts', 1)} AS t1 FROM means),
+scores AS (SELECT query_id, doc, x0 * m0 + x1 * m1 + sqrt(greatest(0, x0 * x0 * i00 + 2 * x0 * x1 * i01 + x1 * x1 * i11)) AS ucb, x0 * t0 + x1 * t1 AS ts FROM two, drawn)"""
+_BANDIT_BODY = "SELECT query_id, doc, round({0}, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, doc) AS INTEGER) AS pos FROM scores"
+
+
+def _two_features(x):
+    """All documents by two features, which need no projection, and the bandit that saw them all."""
+    rows = x.docs.withColumn("x", F.expr("transform(slice(features, 1, 2), v -> v / 100D)")).withColumn("reward", (F.col("rel") >= 3).cast("double"))
+    return rows, learners.LinearBandit(2).fit(rows)
+
+
+def _bandit_ranks(rows: DataFrame, score) -> DataFrame:
+    scored = rows.withColumn("s", score)
+    return ranking.ranked(scored, {"arm": F.col("s")}).join(scored.select("query_id", "doc", "s"), ["query_id", "doc"]).select("query_id", "doc", r6("s").alias("score"), "pos")
+
+
+@query("linucb_events", _BANDIT, _BANDIT_BODY.format("ucb"))
+def _(x):
+    rows, bandit = _two_features(x)
+    return _bandit_ranks(rows, bandit.optimistic())
+
+
+@query("linear_ts_events", _BANDIT, _BANDIT_BODY.format("ts"))
+def _(x):
+    rows, bandit = _two_features(x)
+    return _bandit_ranks(rows, bandit.drawn(42))
+
+
 @query("boosted_rank")
 def _(x):
     model = learners.boosted(x.docs)
