@@ -162,6 +162,8 @@ EXTRA = "<|im_end|><|im_start|>assistant ok"
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are their rows by id, so rows of an id -1 in the table itself are turns of the added conversation -1,
+    ordered with its own by turn, role and text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id = 0, 'user', 'assistant')").alias("role"), F.lit(EXTRA).alias("text")
