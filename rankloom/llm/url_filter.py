@@ -1,7 +1,7 @@
 """URL filter: explicit rules first, then logistic regression on hashed character n-grams, in DataFrame functions only.
 
 The model is fitted on a small labelled URL table (of a larger one, on MAX_LABELLED rows, so that it can be gathered) with
-full-batch gradient steps; the default one is made by rule from word lists and knows nothing of the tables that are judged. Judging a URL is one column expression: n-grams of host and of path are hashed into
+full-batch gradient steps; the default one is made by rule from word lists, and takes nothing from the tables that are judged. Judging a URL is one column expression: n-grams of host and of path are hashed into
 BUCKETS, their learned weights are summed, and the sign of the sum decides. Nothing is shuffled or joined.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule fits it, and its verdict comes
