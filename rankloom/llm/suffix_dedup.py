@@ -8,8 +8,8 @@ to shards by content:
    sends its distinct anchors, packed, to the partition of their hash, which returns to each document those that another
    document has too. All other windows cannot repeat elsewhere and need no further work.
 2. Runs of windows with one shared anchor are segments of text. A segment goes to the shard of its anchor; if more than
-   HOT documents share an anchor, its windows are dealt one by one by their own hash instead, so that what surrounds a
-   common passage doesn't gather with it.
+   HOT documents share an anchor, its windows are dealt by second anchors of FINE bytes instead, so that no more than
+   LENGTH - FINE bytes on each side of a common passage gather with it.
 3. A shard keeps distinct segments, each with its smallest document. Those whose anchor another distinct one has too are
    laid end to end; their suffix array is built by induced sorting, and the runs of suffixes whose permuted common
    prefixes hold LENGTH bytes give each window's smallest document. Windows owned by a smaller document than their own
@@ -22,6 +22,9 @@ window), and only the first sends segments; of a task's copies, only the first s
 Anchors only narrow down what is compared: they are cut to 48 bits, where a chance hit sends a segment to a shard in
 vain. Segments are compared byte by byte, windows by the suffix arrays.
 
+A task gathers what it sends by partition, not by slice of text or by shard, and a partition holds several shards: there
+are as many packed rows as tasks (more, if they read more than SEND_BYTES) times partitions.
+
 Bound: the entries of one anchor (14 bytes for each document that isn't a copy) meet in one task, and so do those of one
 window of 50 bytes (some 70 bytes each). A passage that ten million different documents share takes such a task about a
 gigabyte; beyond that, entries of one anchor would have to be split too.
@@ -47,10 +50,14 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 20
-#: Documents that share an anchor beyond which its windows are dealt one by one.
-HOT = 20_000
+#: Documents that share an anchor beyond which its windows are dealt by second anchors, and the bytes of those.
+HOT, FINE = 20_000, 44
+#: Bytes of text that are hashed at once: few enough for what is computed from them to stay in a core's cache.
+HASH_BYTES = 1 << 16
 #: Anchors that a partition of the first exchange, and bytes that a shard of the second, should hold.
 PART_ANCHORS, SHARD_BYTES = 1_200_000, 2_000_000
+#: Shards that a partition of the second exchange holds, and how many parts of anchors there are to a bucket of documents.
+PART_SHARDS, PART_BUCKETS = 8, 4
 #: One anchor in so many bytes, roughly, and bytes of a segment; only to size partitions.
 ANCHOR_EVERY, SEGMENT_BYTES = 16, 64
 
@@ -141,27 +148,48 @@ def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch if all(keep) else batch.filter(pa.array(keep))
 
 
+#: Anchors that a task gathers before it sends them on.
+SEND_ANCHORS = 1_500_000
+
+
+def _order(values: np.ndarray, below: int) -> np.ndarray:
+    """The stable order of whole numbers from 0, all smaller than ``below``; fast where two bytes hold them."""
+    return np.argsort(values.astype(np.uint16 if below <= 1 << 16 else np.int64), kind="stable")
+
+
 def _anchors(n_parts: int):
     """Distinct anchors of each document, packed by part."""
 
+    def sent(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        doc, anchor, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        part = (anchor % np.uint64(n_parts)).astype(np.int64)
+        order = _order(part, n_parts)
+        doc, anchor, part = doc[order], anchor[order], part[order]
+        at, out = _starts(part), []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            own = _starts(doc[a:b])
+            out.append((int(part[a]), _packed48(anchor[a:b]), np.diff(own).astype("<i4").tobytes(), keys[doc[a:b][own[:-1]]].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["part", "anchors", "counts", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, docs, size = [], 0, 0
         for batch in _first_copies(batches):
-            for low, high in slices(batch.column("text")):
+            for low, high in slices(batch.column("text"), HASH_BYTES):
                 _, keys, data, starts = _rows(batch, low, high)
                 row, _, _, anchor = anchored(data, starts)
                 if not len(row):
                     continue
-                part = (anchor % np.uint64(n_parts)).astype(np.int64)
-                order = np.lexsort((anchor, row, part))
-                row, anchor, part = row[order], anchor[order], part[order]
-                once = _starts(part, row, anchor)[:-1]
-                row, anchor, part = row[once], anchor[once], part[once]
-                at, out = _starts(part), []
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    own = _starts(row[a:b])
-                    some = row[a:b][own[:-1]]
-                    out.append((int(part[a]), _packed48(anchor[a:b]), np.diff(own).astype("<i4").tobytes(), keys[some].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["part", "anchors", "counts", "rows"])
+                order = np.lexsort((anchor, row))
+                row, anchor = row[order], anchor[order]
+                once = _starts(row, anchor)[:-1]
+                held.append((row[once] + docs, anchor[once], keys))
+                docs, size = docs + len(keys), size + len(once)
+                if size >= SEND_ANCHORS:
+                    yield sent(held)
+                    docs = size = 0
+        if held:
+            yield sent(held)
 
     return run
 
@@ -246,25 +274,49 @@ def _marked(column: pa.Array, row: np.ndarray, anchor: np.ndarray) -> tuple[np.n
 
 
 #: Bytes of segments that a task gathers before it sends them on; longer parts compress better.
-SEND_BYTES = 10 << 20
+SEND_BYTES = 24 << 20
+
+
+def _finer(sums: np.ndarray, row: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments cut where the second anchor of their windows changes, the smallest hash of their FINE-byte strings."""
+    width = past - first
+    segment = np.repeat(np.arange(len(row)), width)
+    each = np.arange(len(segment)) + (first - np.cumsum(width) + width)[segment]
+    least = _hashes(sums, each, FINE)
+    for k in range(1, LENGTH - FINE + 1):
+        least = np.minimum(least, _hashes(sums, each + k, FINE))
+    at = _starts(segment, least)
+    head = at[:-1]
+    return row[segment[head]], each[head], each[head] + np.diff(at), least[head]
 
 
-def _segments(n_shards: int):
-    """Segments of windows with shared anchors, packed by shard."""
+def _segments(n_shards: int, n_parts: int):
+    """Segments of windows with shared anchors, packed by part; the shards of a part lie one after another."""
 
-    def sent(held: dict[int, list[tuple]]) -> pa.RecordBatch:
-        pack, out = zstandard.ZstdCompressor(level=3).compress, []
-        for shard in sorted(held):
-            ids, keys, counts, starts, sizes, cut = zip(*held[shard], strict=True)
-            join = lambda parts: np.concatenate(parts).tobytes()
-            out.append((shard, join(ids), join(keys), join(counts), pack(join(starts)), pack(join(sizes)), pack(b"".join(cut))))
+    def sent(held: list[tuple]) -> pa.RecordBatch:
+        row, first, past, start, shard, ids, keys, texts = zip(*held, strict=True)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["shard", "ids", "rows", "counts", "starts", "sizes", "bytes"])
+        row, first, past, start, shard, ids, keys = (np.concatenate(x) for x in (row, first, past, start, shard, ids, keys))
+        whole, pack, out = b"".join(texts), zstandard.ZstdCompressor(level=3).compress, []
+        part = shard % n_parts
+        order = _order(part * -(-n_shards // n_parts) + shard // n_parts, n_shards + n_parts)
+        row, first, past, start, shard, part = (x[order] for x in (row, first, past, start, shard, part))
+        at = _starts(part)
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            docs = _starts(shard[a:b], row[a:b])
+            some, of = row[a:b][docs[:-1]], shard[a:b][docs[:-1]]
+            shards = _starts(of)
+            cut = b"".join([whole[i:j] for i, j in zip(first[a:b].tolist(), (past[a:b] + (LENGTH - 1)).tolist(), strict=True)])
+            out.append((
+                int(part[a]), of[shards[:-1]].astype("<i4").tobytes(), np.diff(shards).astype("<i4").tobytes(), ids[some].tobytes(), keys[some].tobytes(), np.diff(docs).astype("<i4").tobytes(),
+                pack(start[a:b].astype("<i8").tobytes()), pack((past - first + LENGTH - 1)[a:b].astype("<i4").tobytes()), pack(cut),
+            ))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=[f.split(" ")[0] for f in _SEGMENTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        held, docs, place, size = [], 0, 0, 0
         for batch in expanded(batches):
-            for low, high in slices(batch.column("text")):
+            for low, high in slices(batch.column("text"), HASH_BYTES):
                 own = batch.slice(low, high - low)
                 ids, keys, data, starts = _rows(own, 0, own.num_rows)
                 row, first, past, anchor = anchored(data, starts)
@@ -272,35 +324,29 @@ def _segments(n_shards: int):
                     continue
                 keep, hot = _marked(own.column("values"), row, anchor)
                 row, first, past, anchor, hot = row[keep], first[keep], past[keep], anchor[keep], hot[keep]
-                shard = anchor % np.uint64(n_shards)
                 if hot.any():
-                    sums, width = _sums(data), (past - first)[hot]
-                    each = np.repeat(first[hot], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-                    row, first, past = np.concatenate([row[~hot], np.repeat(row[hot], width)]), np.concatenate([first[~hot], each]), np.concatenate([past[~hot], each + 1])
-                    shard = np.concatenate([shard[~hot], _hashes(sums, each, LENGTH) % np.uint64(n_shards)])
+                    fine = _finer(_sums(data), row[hot], first[hot], past[hot])
+                    row, first, past, anchor = (np.concatenate([x[~hot], y]) for x, y in zip((row, first, past, anchor), fine, strict=True))
+                    order = np.lexsort((first, row))
+                    row, first, past, anchor = row[order], first[order], past[order], anchor[order]
                 if not len(row):
                     continue
-                shard = shard.astype(np.int64)
-                order = np.lexsort((first, row, shard))
-                row, first, past, shard = row[order], first[order], past[order], shard[order]
-                at, whole = _starts(shard), data.tobytes()
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    docs = _starts(row[a:b])
-                    some = row[a:b][docs[:-1]]
-                    cut = b"".join([whole[i : j + LENGTH - 1] for i, j in zip(first[a:b].tolist(), past[a:b].tolist(), strict=True)])
-                    held.setdefault(int(shard[a]), []).append((
-                        ids[some], keys[some], np.diff(docs).astype("<i4"), (first - starts[row])[a:b].astype("<i8"), (past - first + LENGTH - 1)[a:b].astype("<i4"), cut,
-                    ))
-                    size += len(cut)
-                if size >= SEND_BYTES:
+                shard = (anchor % np.uint64(n_shards)).astype(np.int64)
+                held.append((row + docs, first + place, past + place, first - starts[row], shard, ids, keys, data.tobytes()))
+                docs, place, size = docs + len(ids), place + len(data), size + int((past - first + LENGTH - 1).sum())
+                if max(place, size) >= SEND_BYTES:
                     yield sent(held)
-                    size = 0
+                    docs = place = size = 0
         if held:
             yield sent(held)
 
     return run
 
 
+#: Rows that ``_segments`` sends: of each shard how many documents, of each of these how many segments, and the segments.
+_SEGMENTS = "part long, shards binary, documents binary, ids binary, rows binary, counts binary, starts binary, sizes binary, bytes binary"
+
+
 def owned(ids: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of segments laid end to end: for each window, its segment and whether a smaller document holds it too."""
     begins = np.cumsum(sizes, dtype=np.int64) - sizes
@@ -355,18 +401,32 @@ def _removals(n_buckets: int):
     """Ranges of bytes that go, to their documents: the start in the upper, the size in the lower half of a value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list]] = {}
+        held: list[list] = [[], [], [], [], []]
+        cut: list[bytes] = []
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
-                own = held.setdefault(batch.column("shard")[i].as_py(), [[], [], [], [], []])
-                counts = np.frombuffer(batch.column("counts")[i].as_py(), "<i4")
-                for k, name in enumerate(("ids", "rows")):
-                    own[k].append(np.repeat(np.frombuffer(batch.column(name)[i].as_py(), "<i8"), counts))
-                for k, (name, kind) in enumerate((("starts", "<i8"), ("sizes", "<i4"), ("bytes", "u1")), 2):
-                    own[k].append(np.frombuffer(unpack(batch.column(name)[i].as_py()), kind))
-        for shard in sorted(held):
-            ids, keys, starts, sizes, data = (np.concatenate(x) for x in held.pop(shard))
+                read = lambda name, kind, i=i, batch=batch: np.frombuffer(batch.column(name)[i].as_py(), kind)
+                counts = read("counts", "<i4")
+                shard = np.repeat(read("shards", "<i4"), read("documents", "<i4"))
+                for own, values in zip(held, (shard, read("ids", "<i8"), read("rows", "<i8")), strict=False):
+                    own.append(np.repeat(values, counts))
+                for own, (name, kind) in zip(held[3:], (("starts", "<i8"), ("sizes", "<i4")), strict=True):
+                    own.append(np.frombuffer(unpack(batch.column(name)[i].as_py()), kind))
+                cut.append(unpack(batch.column("bytes")[i].as_py()))
+        if not cut:
+            return
+        shards, *columns = (np.concatenate(x) for x in held)
+        held.clear()
+        whole = b"".join(cut)
+        cut.clear()
+        begins = np.cumsum(columns[3], dtype=np.int64) - columns[3]
+        order = np.argsort(shards, kind="stable")
+        at, found = _starts(shards[order]), []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            some = order[a:b]
+            ids, keys, starts, sizes = (x[some] for x in columns)
+            data = np.frombuffer(b"".join([whole[i : i + n] for i, n in zip(begins[some].tolist(), sizes.tolist(), strict=True)]), np.uint8)
             of, gone = owned(ids, sizes, data)
             n = (sizes - LENGTH + 1).astype(np.int64)
             inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
@@ -378,7 +438,9 @@ def _removals(n_buckets: int):
             head = np.flatnonzero(new)
             tail = np.append(head[1:], len(of)) - 1
             own, low, size = of[head], starts[of[head]] + inner[head], inner[tail] - inner[head] + LENGTH
-            yield _to_documents(ids[own], keys[own], (low.astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64), n_buckets)
+            found.append((ids[own], keys[own], (low.astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)))
+        if found:
+            yield _to_documents(*(np.concatenate(x) for x in zip(*found, strict=True)), n_buckets)
 
     return run
 
@@ -426,17 +488,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         copies = keep(written(digests.join(first, "digest").where("id > first").select("id", "row", F.lit(True).alias("copy")).distinct(), "copies"))
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n_parts = max(-(-size // (ANCHOR_EVERY * PART_ANCHORS)), min(12, size // 1_000_000 + 1))
+        n_buckets = max(-(-n_parts // PART_BUCKETS), min(12, n_parts))
         packed = texts.mapInArrow(lean(_anchors(n_parts)), "part long, anchors binary, counts binary, rows binary")
-        dealt = packed.repartitionById(n_parts, F.col("part").cast("int")).mapInArrow(lean(_shared(n_parts)), _DEALT)
-        shared = written(dealt.repartitionById(n_parts, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "shared")
+        dealt = packed.repartitionById(n_parts, F.col("part").cast("int")).mapInArrow(lean(_shared(n_buckets)), _DEALT)
+        shared = written(dealt.repartitionById(n_buckets, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "shared")
         release(docs.sparkSession)
         n_shared = shared.agg(F.sum(F.octet_length("values") / 8)).first()[0] or 0
         n_shards = max(int(n_shared * SEGMENT_BYTES // SHARD_BYTES) + 1, min(12, size // 1_000_000 + 1))
         # Hints: a join by broadcast would put two functions of Python into one task.
         wanted = squeezed(texts).join(shared.select("row", "values").hint("merge"), "row").join(copies.select("id", "row"), ["id", "row"], "left_anti")
-        segments = wanted.mapInArrow(lean(_segments(n_shards)), "shard long, ids binary, rows binary, counts binary, starts binary, sizes binary, bytes binary")
-        dealt = segments.repartitionById(n_shards, F.col("shard").cast("int")).mapInArrow(lean(_removals(n_parts)), _DEALT)
-        ranges = keep(written(dealt.repartitionById(n_parts, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "ranges"))
+        own_parts = max(-(-n_shards // PART_SHARDS), min(12, n_shards))
+        segments = wanted.mapInArrow(lean(_segments(n_shards, own_parts)), _SEGMENTS)
+        dealt = segments.repartitionById(own_parts, F.col("part").cast("int")).mapInArrow(lean(_removals(n_buckets)), _DEALT)
+        ranges = keep(written(dealt.repartitionById(n_buckets, F.col("bucket").cast("int")).mapInArrow(lean(_by_document), "id long, row long, values binary"), "ranges"))
     release(docs.sparkSession)
     gone = ranges.join(copies, ["id", "row"], "full")
     joined = squeezed(rows).join(gone.hint("merge"), ["id", "row"], "left").select("text", "carried", "values", "copy")

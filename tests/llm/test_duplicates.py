@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 import corpus_pipeline
 from rankloom.llm import minhash, quality_classifier, quality_rules, shingles, suffix_array, suffix_dedup
@@ -303,6 +304,29 @@ def test_only_first_copies_send_anchors():
     assert got == [(5, "x"), (3, "x"), (1, "y"), (1, "x")]
 
 
+def test_op10_sends_rows_by_partition_and_hot_passages_by_second_anchors():
+    """Packed rows don't multiply with shards or slices, and marks of hot anchors change no result."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+    common = " ".join(rng.choices(words, k=40))
+    texts = [" ".join(rng.choices(words, k=700)) + common + " ".join(rng.choices(words, k=700)) for _ in range(40)]
+    rows = [{"id": i, "row": i, "text": t} for i, t in enumerate(texts)]
+    sent = [b for b in suffix_dedup._anchors(7)(iter([pa.RecordBatch.from_pylist(rows)]))]
+    assert sum(b.num_rows for b in sent) <= 7
+    found = []
+    for mark in (0, 1 << 63):
+        known = [np.unique(suffix_dedup.anchored(d := np.frombuffer(t.encode(), np.uint8), np.array([0, len(d)]))[3]) | np.uint64(mark) for t in texts]
+        batch = pa.RecordBatch.from_pylist([r | {"text": zstandard.compress(r["text"].encode()), "values": k.tobytes()} for r, k in zip(rows, known, strict=True)])
+        packed = list(suffix_dedup._segments(3000, 5)(iter([batch])))
+        assert sum(b.num_rows for b in packed) <= 5
+        sizes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), "<i4") for b in packed for x in b.column("sizes")]
+        assert not mark or sum(map(len, sizes)) < sum(len(t) - 49 for t in texts) / 3
+        cuts = list(suffix_dedup._by_document(suffix_dedup._removals(1)(iter(packed))))
+        spans = {r["id"]: np.frombuffer(r["values"], "<u8") for b in cuts for r in b.to_pylist()}
+        found.append({i: {p for v in values.tolist() for p in range(v >> 32, (v >> 32) + (v & 0xFFFFFFFF))} for i, values in spans.items()})
+    assert found[0] == found[1] and set(found[0]) == set(range(1, 40)) and all(len(v) >= len(common) for v in found[0].values())
+
+
 def test_passages_of_nothing(spark):
     assert suffix_dedup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
