@@ -1,5 +1,6 @@
 """Ranker evaluation: oracles on the smoke tables, traps on small inputs, and invariants."""
 
+import itertools
 import json
 from types import SimpleNamespace
 
@@ -165,6 +166,24 @@ def test_runs_take_the_first_queries_of_many(spark):
     assert got == sorted(adaptive.adaptive_runs(lists.where(few), docs.where(few), runs, ["a", "b"], 7).collect())
 
 
+def test_runs_hold_a_batch_of_rounds(spark):
+    """A run reads its rounds one by one, and queries that are replayed come as rows of their later rounds."""
+    query = ("q", np.array([0, 3, 1]), {"a": [0, 1, 2], "b": [2, 1, 0]})
+    endless = ((t, query) for t in itertools.count(1))
+    rng = np.random.default_rng(1)
+    some = list(itertools.islice(adaptive.played(endless, ["a", "b"], adaptive.Policy(2, rng), rng, "standard"), 50))
+    assert [r[1] for r in some] == list(range(1, 51)) and next(endless)[0] == 52
+    docs = spark.createDataFrame([(q, d, (3 * d) % 4) for q in "xyz" for d in range(3)], "query_id string, doc int, rel int")
+    lists = spark.createDataFrame([(q, a, r) for q in "xyz" for a, r in (("a", [0, 1, 2]), ("b", [2, 1, 0]))], "query_id string, arm string, ranking array<int>")
+    found = adaptive.adaptive_runs(lists, docs, [{"run_id": "u", "policy": "uniform", "seed": 3}], ["a", "b"], 7)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(found.collect(), key=lambda r: r.round)
+    assert [r.query_id for r in got] == list("xyzxyzx") and [r.stats is not None for r in got] == [False] * 6 + [True]
+    rng = np.random.default_rng(3)
+    queries = [(q, np.array([0, 3, 2]), {"a": [0, 1, 2], "b": [2, 1, 0]}) for q in "xyz"]
+    assert [tuple(r) for r in got] == adaptive.simulate(queries, ["a", "b"], adaptive.Policy(2, rng), rng, 7, "standard", run_id="u")
+
+
 def test_sample_efficiency_counts_every_round(spark, monkeypatch):
     late = SimpleNamespace(winners=spark.range(500, 1000).select(F.col("id").alias("round"), F.lit("oracle").alias("winner")), t=1000)
     monkeypatch.setattr(registry, "Log", lambda *_: late)
