@@ -77,29 +77,41 @@ class Progress(StreamingQueryListener):
             self.ended.set()
 
 
+#: Intervals of rounds that one micro-batch holds, and partitions of the state of a stream, which is a few pairs of arms.
+SLOTS, STATE_PARTITIONS = 64, 4
+
+
 def progress(outcomes: DataFrame, every: int = 100, wait: float = 60.0) -> DataFrame:
     """(batch, first_round, last_round, outcomes, credit): what a listener saw while outcomes (round, winner, loser, credit)
-    went through the stateful statistics as a stream, a micro-batch for every ``every`` rounds that have any.
+    went through the stateful statistics as a stream, a row for every ``every`` rounds that have any.
 
-    Outcomes are written as one file for such rounds; files are taken one at a time, in no certain order. The metrics are
-    counted by the tasks of the batch itself, and a row for each batch comes to the driver.
+    Outcomes are written as one file for SLOTS such intervals; files are taken one at a time, in no certain order. The metrics
+    are counted by the tasks of the batch itself, each interval's in a slot of its own, and come to the driver as one row a
+    batch: an interval doesn't pay for a micro-batch.
     """
     spark = outcomes.sparkSession
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-    rows = outcomes.select(F.lit("run").alias("run_id"), F.col("round").cast("int").alias("round"), "winner", "loser", "credit").withColumn("part", F.floor((F.col("round") - 1) / every))
+    interval = F.floor((F.col("round") - 1) / every)
+    rows = outcomes.select(F.lit("run").alias("run_id"), F.col("round").cast("int").alias("round"), "winner", "loser", "credit").withColumn("slot", F.pmod(interval, F.lit(SLOTS)).cast("int")).withColumn("part", F.floor(interval / SLOTS))
     rows.repartition("part").write.partitionBy("part").parquet(f"{folder}/outcomes")
-    source = spark.readStream.schema(OUTCOME_DDL + ", part long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/outcomes")
-    seen = source.observe("progress", F.min("round").alias("first_round"), F.max("round").alias("last_round"), F.count(F.lit(1)).alias("outcomes"), F.sum("credit").alias("credit"))
+    source = spark.readStream.schema(OUTCOME_DDL + ", slot int, part long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/outcomes")
+    own = lambda k, c: F.when(F.col("slot") == k, F.col(c))
+    metrics = [m for k in range(SLOTS) for m in (F.min(own(k, "round")).alias(f"first_{k}"), F.max(own(k, "round")).alias(f"last_{k}"), F.count(own(k, "round")).alias(f"outcomes_{k}"), F.sum(own(k, "credit")).alias(f"credit_{k}"))]
+    seen = source.observe("progress", *metrics)
     listener = Progress("progress")
     spark.streams.addListener(listener)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
     try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), STATE_PARTITIONS)))
         query = pair_statistics(seen).writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         listener.run = str(query.runId)
         query.awaitTermination()
         listener.ended.wait(wait)  # events come after the fact, in order, the end last
     finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.streams.removeListener(listener)
-    told = [(batch, m["first_round"], m["last_round"], m["outcomes"], m["credit"]) for run, batch, _, m in listener.rows if run == listener.run]
+    batches = [(batch, m) for run, batch, _, m in listener.rows if run == listener.run]
+    told = [(batch, m[f"first_{k}"], m[f"last_{k}"], m[f"outcomes_{k}"], m[f"credit_{k}"]) for batch, m in batches for k in range(SLOTS) if m[f"outcomes_{k}"]]
     return spark.createDataFrame(told, "batch long, first_round int, last_round int, outcomes long, credit double")
 
 

@@ -184,6 +184,18 @@ def test_runs_hold_a_batch_of_rounds(spark):
     assert [tuple(r) for r in got] == adaptive.simulate(queries, ["a", "b"], adaptive.Policy(2, rng), rng, 7, "standard", run_id="u")
 
 
+def test_progress_has_many_intervals_a_batch(spark):
+    from rankloom.streaming import online
+
+    rows = [(r, "a", x, 1.0) for r in range(1, 301) if r % 10 for x in ("b", "c")]
+    got = online.progress(spark.createDataFrame(rows, "round int, winner string, loser string, credit double"), every=2).collect()
+    told = {}
+    for r, *_ in rows:
+        told.setdefault((r - 1) // 2, []).append(r)
+    assert sorted(tuple(r)[1:] for r in got) == sorted((min(v), max(v), len(v), float(len(v))) for v in told.values())
+    assert len({r.batch for r in got}) == 3
+
+
 def test_sample_efficiency_counts_every_round(spark, monkeypatch):
     late = SimpleNamespace(winners=spark.range(500, 1000).select(F.col("id").alias("round"), F.lit("oracle").alias("winner")), t=1000)
     monkeypatch.setattr(registry, "Log", lambda *_: late)
