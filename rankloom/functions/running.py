@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def running_sums(rows: DataFrame, order: str, sums: dict[str, str], partition: tuple[str, ...] = (), size: int = 10_000) -> DataFrame:
-    """Adds running sums of columns up to and with each row, in the order of a whole number, unique in its partition.
+    """Adds running sums of columns up to and with each row and those that share its number, in the order of a whole number.
 
     Rows are summed inside blocks of ``size`` numbers, and blocks are offset by the totals of those before, of which
     there is one row each.
@@ -18,7 +18,7 @@ def running_sums(rows: DataFrame, order: str, sums: dict[str, str], partition: t
     totals = blocked.groupBy(*partition, "__block").agg(*[F.sum(v).alias(f"__t_{k}") for k, v in sums.items()])
     earlier = Window.partitionBy(*partition).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*partition, "__block", *[F.coalesce(F.sum(f"__t_{k}").over(earlier), F.lit(0)).alias(f"__o_{k}") for k in sums])
-    inner = Window.partitionBy(*partition, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*partition, "__block").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     joined = blocked.join(offsets, [*partition, "__block"])
     return joined.select(*rows.columns, *[(F.sum(v).over(inner) + F.col(f"__o_{k}")).alias(k) for k, v in sums.items()])
 

@@ -471,6 +471,14 @@ def test_islands_cross_blocks(spark):
     assert got == expected
 
 
+def test_islands_of_lines_that_share_a_number(spark):
+    """As in the SQL, a running sum is one for all lines of a number; which of them comes first is settled by qid."""
+    rows = [(0, "a"), (1, "b"), (1, "a"), (2, "b"), (3, "c"), (3, "b"), (4, "b")]
+    for some in (rows, rows[::-1]):
+        got = sorted((r.line_no, r.qid, r.island) for r in letor.islands(spark.createDataFrame(some, "line_no long, qid string"), size=2).collect())
+        assert got == [(0, "a", 1), (1, "a", 2), (1, "b", 2), (2, "b", 2), (3, "b", 3), (3, "c", 3), (4, "b", 4)]
+
+
 def test_counters_fill_while_rounds_are_used(spark):
     rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, [])], "round int, participants array<string>")
     seen, counters = telemetry.observed(rows)
