@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import normals
 from ..scratch import dropped, written
 
-#: Trees whose scores are computed again for each new one before they are written.
+#: Trees after which scores are written; in between they are kept by the executors.
 WRITE_EVERY = 10
 #: Documents that a projection is fitted on, at most.
 PROJECTION_ROWS = 100_000
@@ -192,6 +192,13 @@ class Tree:
 _FOREST = "array<struct<feature:array<int>,threshold:array<double>,left:array<int>,right:array<int>,value:array<double>>>"
 
 
+def _walked(x: str, steps: int) -> str:
+    """The sum of what the trees of ``__forest`` predict for the features ``x``, an expression."""
+    walk = f"if(t.feature[n] < 0, n, if({x}[t.feature[n]] <= t.threshold[n], t.left[n], t.right[n]))"
+    leaf = f"aggregate(sequence(1, {steps}), 0, (n, i) -> {walk})" if steps else "0"
+    return f"aggregate(__forest, 0D, (s, t) -> s + t.value[{leaf}])"
+
+
 @dataclass
 class BoostedRanker:
     """Trees fitted to pairwise gradients, summed with a rate; a tree may see some of the features only."""
@@ -207,16 +214,24 @@ class BoostedRanker:
         """
         if not self.trees:
             return docs.withColumn("score", F.lit(0.0))
-        rows = [([(t.feature, t.threshold, t.left, t.right, t.value) for t in self.trees],)]
-        forest = docs.sparkSession.createDataFrame(rows, f"__forest {_FOREST}").coalesce(1)
-        steps = max(t.depth() for t in self.trees)
-        walk = "if(t.feature[n] < 0, n, if(x[t.feature[n]] <= t.threshold[n], t.left[n], t.right[n]))"
-        leaf = f"aggregate(sequence(1, {steps}), 0, (n, i) -> {walk})" if steps else "0"
-        total = f"transform(array(cast(features as array<double>)), x -> aggregate(__forest, 0D, (s, t) -> s + t.value[{leaf}]))[0]"
+        forest, steps = self._forest(docs.sparkSession)
+        total = f"transform(array(cast(features as array<double>)), x -> {_walked('x', steps)})[0]"
         kept = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
         return docs.crossJoin(F.broadcast(forest)).select(*kept, (F.lit(self.rate) * F.expr(total)).alias("score"))
 
 
+    def _forest(self, spark: SparkSession) -> tuple[DataFrame, int]:
+        rows = [([(t.feature, t.threshold, t.left, t.right, t.value) for t in self.trees],)]
+        return spark.createDataFrame(rows, f"__forest {_FOREST}").coalesce(1), max(t.depth() for t in self.trees)
+
+    def raised(self, groups: DataFrame) -> DataFrame:
+        """Adds what the trees say to the score of each document in ``d``, the arrays of (doc, rel, features, score)."""
+        forest, steps = self._forest(groups.sparkSession)
+        score = f"p.score + {self.rate!r}D * {_walked('p.features', steps)}"
+        raised = f"transform(d, p -> named_struct('doc', p.doc, 'rel', p.rel, 'features', p.features, 'score', {score}))"
+        return groups.crossJoin(F.broadcast(forest)).select("query_id", F.expr(raised).alias("d"))
+
+
 def _seen(columns: list[int] | None, features: str = "features") -> Column:
     values = F.col(features).cast("array<double>")
     return array_to_vector(values if columns is None else F.array(*[values[c] for c in columns]))
@@ -225,36 +240,52 @@ def _seen(columns: list[int] | None, features: str = "features") -> Column:
 def boosted(docs: DataFrame, n_trees: int = 100, depth: int = 6, rate: float = 0.1, share: float = 1.0, seed: int = 42, rows: float = 1.0, columns: float = 1.0) -> BoostedRanker:
     """Pairwise logistic boosting: for every pair of a query with unequal relevance, the better document is pushed up.
 
-    Pairs are made inside one array of a query's documents, so a round moves each query once; a query's gradients are as
-    many as its documents. share: of queries that train, by hash. rows, columns: shares of documents and of features that
-    each tree is fitted on, drawn anew for every tree.
+    Queries are gathered to arrays of documents once, pairs are made inside one array, and each tree raises the scores where
+    they lie: no tree moves rows. What a tree is fitted on is kept while it is, as its fit reads it several times. share: of
+    queries that train, by hash. rows, columns: shares of documents and of features that each tree is fitted on, drawn anew
+    for every tree.
     """
-    own = docs.where(F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(10_000)) < int(share * 10_000)).select("query_id", "doc", "rel", "features")
-    model, table = BoostedRanker(rate=rate), written(own.withColumn("__old", F.lit(0.0)), "scores")
-    scored, rng, done = table.withColumnRenamed("__old", "score"), np.random.default_rng(seed), 0
+    own = docs.where(F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(10_000)) < int(share * 10_000))
+    fields = F.struct("doc", "rel", F.col("features").cast("array<double>").alias("features"), F.lit(0.0).alias("score"))
+    groups = own.groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("d"))
+    # As many files as there are cores: each is read by a task of its own, however small it is.
+    table = written(groups.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, 1), "query_id"), "scores")
+    model, scored, rng = BoostedRanker(rate=rate), table, np.random.default_rng(seed)
     width = own.select(F.size("features").alias("d")).first() if columns < 1 else None
+    push = "aggregate(transform(d, q -> case when p.rel > q.rel then 1D / (1D + exp(p.score - q.score)) when p.rel < q.rel then -1D / (1D + exp(q.score - p.score)) else 0D end), 0D, (a, v) -> a + v)"
     for k in range(n_trees):
-        grouped = scored.groupBy("query_id").agg(F.collect_list(F.struct("doc", "rel", "features", "score")).alias("d"))
-        push = "aggregate(transform(d, q -> case when p.rel > q.rel then 1D / (1D + exp(p.score - q.score)) when p.rel < q.rel then -1D / (1D + exp(q.score - p.score)) else 0D end), 0D, (a, v) -> a + v)"
-        grads = grouped.select("query_id", F.explode(F.expr(f"transform(d, p -> named_struct('doc', p.doc, 'features', p.features, 'g', {push}))")).alias("r"))
+        grads = scored.select("query_id", F.explode(F.expr(f"transform(d, p -> named_struct('doc', p.doc, 'features', p.features, 'g', {push}))")).alias("r"))
         if rows < 1:
             grads = grads.where(F.pmod(F.xxhash64("query_id", F.col("r.doc"), F.lit(seed + 31 * k)), F.lit(10_000)) < int(rows * 10_000))
         seen = None if width is None else sorted(rng.choice(width["d"], max(1, int(columns * width["d"])), replace=False).tolist())
-        train = grads.select(F.col("r.features").alias("features"), F.col("r.g").alias("label")).select(_seen(seen).alias("__v"), "label")
+        train = grads.select(F.col("r.features").alias("features"), F.col("r.g").alias("label")).select(_seen(seen).alias("__v"), "label").persist()
         found = DecisionTreeRegressor(featuresCol="__v", labelCol="label", predictionCol="__p", maxDepth=depth, seed=seed + k).fit(train)
+        train.unpersist()
         model.trees.append(Tree.of(found, seen))
         model.columns.append(seen)
-        # The trees since scores were written last are one expression over what was written.
-        step = BoostedRanker(model.trees[done:], rate).scored(table).withColumn("score", F.col("__old") + F.col("score")).drop("__old")
-        if (k + 1) % WRITE_EVERY == 0 and k + 1 < n_trees:
-            before, table, done = table, written(step.withColumnRenamed("score", "__old"), "scores"), k + 1
-            dropped(before)
-            step = table.withColumnRenamed("__old", "score")
-        scored = step
+        if k + 1 == n_trees:
+            break
+        before, scored = scored, BoostedRanker(model.trees[-1:], rate).raised(scored)
+        if (k + 1) % WRITE_EVERY == 0:
+            old, table = table, written(scored, "scores")
+            before.unpersist()
+            dropped(old)
+            scored = table
+        else:
+            scored = scored.persist()
+            scored.foreachPartition(_nothing)
+            if before is not table:
+                before.unpersist()
+    if scored is not table:
+        scored.unpersist()
     dropped(table)
     return model
 
 
+def _nothing(rows) -> None:
+    """Has a table that is kept made, without moving a row."""
+
+
 @dataclass
 class Arms:
     """What training leaves: the projection of features and the bandits' first state, and boosted rankers by name."""

@@ -209,6 +209,19 @@ def test_boosted_rank_trains_the_whole_model(spark, monkeypatch):
     assert len(trained[-1].trees) == 100 and max(t.depth() for t in trained[-1].trees) == 6
 
 
+def test_trees_raise_scores_where_documents_lie(spark):
+    """In arrays of a query's documents as row by row, and without an exchange of rows."""
+    docs = spark.createDataFrame([(str(i % 7), i // 7, i % 5, [float(i % 11), float(i % 3)]) for i in range(140)], "query_id string, doc int, rel int, features array<double>")
+    model = learners.boosted(docs, 3, depth=2)
+    assert len(model.trees) == 3
+    one = F.struct("doc", "rel", "features", F.lit(0.0).alias("score"))
+    groups = docs.groupBy("query_id").agg(F.collect_list(one).alias("d"))
+    raised = model.raised(groups).selectExpr("query_id", "inline(d)").select("query_id", "doc", "score")
+    got, expected = ({(r.query_id, r.doc): r.score for r in x.collect()} for x in (raised, model.scored(docs)))
+    assert len(got) == 140 and len(set(got.values())) > 2 and got == pytest.approx(expected, abs=1e-12)
+    assert str(model.raised(groups)._jdf.queryExecution().optimizedPlan()).count("Aggregate") == 1 and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_density_clusters():
     near = np.full((9, 9), 0.9)
     for block in (range(0, 4), range(4, 8)):
