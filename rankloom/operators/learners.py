@@ -5,20 +5,24 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+from itertools import combinations_with_replacement
 
 import numpy as np
+from pyspark import RDD, StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import normals
 from ..scratch import dropped, written
+from . import trees
 
-#: Trees after which scores are written; in between they are kept by the executors.
-WRITE_EVERY = 10
+#: Trees after which scores are made anew from all trees; in between they are those kept by the executors and one tree more.
+KEPT_TREES = 10
 #: Documents that a projection is fitted on, at most.
 PROJECTION_ROWS = 100_000
 
@@ -185,6 +189,12 @@ class Tree:
         node()
         return out
 
+    @classmethod
+    def over(cls, grown: trees.Grown, thresholds: list[np.ndarray]) -> Tree:
+        """From a tree over bins."""
+        cut = [float(thresholds[f][b]) if f >= 0 else 0.0 for f, b in zip(grown.feature.tolist(), grown.bin.tolist(), strict=True)]
+        return cls(grown.feature.tolist(), cut, grown.left.tolist(), grown.right.tolist(), grown.value.tolist())
+
     def depth(self, at: int = 0) -> int:
         return 0 if self.feature[at] < 0 else 1 + max(self.depth(self.left[at]), self.depth(self.right[at]))
 
@@ -232,58 +242,82 @@ class BoostedRanker:
         return groups.crossJoin(F.broadcast(forest)).select("query_id", F.expr(raised).alias("d"))
 
 
-def _seen(columns: list[int] | None, features: str = "features") -> Column:
-    values = F.col(features).cast("array<double>")
-    return array_to_vector(values if columns is None else F.array(*[values[c] for c in columns]))
-
-
 def boosted(docs: DataFrame, n_trees: int = 100, depth: int = 6, rate: float = 0.1, share: float = 1.0, seed: int = 42, rows: float = 1.0, columns: float = 1.0) -> BoostedRanker:
     """Pairwise logistic boosting: for every pair of a query with unequal relevance, the better document is pushed up.
 
-    Queries are gathered to arrays of documents once, pairs are made inside one array, and each tree raises the scores where
-    they lie: no tree moves rows. What a tree is fitted on is kept while it is, as its fit reads it several times. share: of
-    queries that train, by hash. rows, columns: shares of documents and of features that each tree is fitted on, drawn anew
-    for every tree.
+    Queries are gathered to blocks of documents and features to bins once. Trees are grown by levels: tasks keep the scores and
+    gradients of their blocks, and sums of gradients by node and bin are all that they send. share: of queries that
+    train, by hash. rows, columns: shares of documents and of features that each tree is fitted on, drawn anew for every tree.
     """
     own = docs.where(F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(10_000)) < int(share * 10_000))
-    fields = F.struct("doc", "rel", F.col("features").cast("array<double>").alias("features"), F.lit(0.0).alias("score"))
-    groups = own.groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("d"))
+    own = own.select("query_id", F.col("rel").cast("double").alias("rel"), F.col("features").cast("array<double>").alias("features"), F.xxhash64("query_id", "doc", F.lit(seed)).alias("key"))
     # As many files as there are cores: each is read by a task of its own, however small it is.
-    table = written(groups.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, 1), "query_id"), "scores")
-    model, scored, rng = BoostedRanker(rate=rate), table, np.random.default_rng(seed)
-    width = own.select(F.size("features").alias("d")).first() if columns < 1 else None
-    push = "aggregate(transform(d, q -> case when p.rel > q.rel then 1D / (1D + exp(p.score - q.score)) when p.rel < q.rel then -1D / (1D + exp(q.score - p.score)) else 0D end), 0D, (a, v) -> a + v)"
-    for k in range(n_trees):
-        grads = scored.select("query_id", F.explode(F.expr(f"transform(d, p -> named_struct('doc', p.doc, 'features', p.features, 'g', {push}))")).alias("r"))
-        if rows < 1:
-            grads = grads.where(F.pmod(F.xxhash64("query_id", F.col("r.doc"), F.lit(seed + 31 * k)), F.lit(10_000)) < int(rows * 10_000))
-        seen = None if width is None else sorted(rng.choice(width["d"], max(1, int(columns * width["d"])), replace=False).tolist())
-        train = grads.select(F.col("r.features").alias("features"), F.col("r.g").alias("label")).select(_seen(seen).alias("__v"), "label").persist()
-        found = DecisionTreeRegressor(featuresCol="__v", labelCol="label", predictionCol="__p", maxDepth=depth, seed=seed + k).fit(train)
-        train.unpersist()
-        model.trees.append(Tree.of(found, seen))
-        model.columns.append(seen)
-        if k + 1 == n_trees:
-            break
-        before, scored = scored, BoostedRanker(model.trees[-1:], rate).raised(scored)
-        if (k + 1) % WRITE_EVERY == 0:
-            old, table = table, written(scored, "scores")
-            before.unpersist()
-            dropped(old)
-            scored = table
-        else:
-            scored = scored.persist()
-            scored.foreachPartition(_nothing)
-            if before is not table:
+    dealt = own.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, 1), "query_id").sortWithinPartitions("query_id")
+    table = written(dealt.mapInArrow(trees.blocks, trees.BLOCK), "documents")
+    model, rng, state = BoostedRanker(rate=rate), np.random.default_rng(seed), None
+    try:
+        read = table.rdd
+        told = dict(read.flatMap(trees.values).reduceByKey(trees.merged).mapValues(trees.splits).collect())
+        thresholds = [told[f] for f in range(len(told))]
+        first, grown = read.map(trees.binned(thresholds)), []
+        for k in range(n_trees if thresholds else 0):
+            # Scores are those of the tree before and one more; at times they are made anew from all, which cuts lineage.
+            before, again = state, k % KEPT_TREES == 0
+            state = (first if again else before).map(trees.pushed(grown if again else grown[-1:], depth, rate)).persist(StorageLevel.MEMORY_AND_DISK)
+            seen = None if columns >= 1 else sorted(rng.choice(len(thresholds), max(1, int(columns * len(thresholds))), replace=False).tolist())
+            grown.append(_grown(state, depth, seen or list(range(len(thresholds))), rows, seed + 31 * k))
+            if before is not None:
                 before.unpersist()
-    if scored is not table:
-        scored.unpersist()
-    dropped(table)
+            model.trees.append(Tree.over(grown[-1], thresholds))
+            model.columns.append(seen)
+    finally:
+        if state is not None:
+            state.unpersist()
+        dropped(table)
     return model
 
 
-def _nothing(rows) -> None:
-    """Has a table that is kept made, without moving a row."""
+def _grown(state: RDD, depth: int, features: list[int], rows: float, draw: int) -> trees.Grown:
+    """A tree fitted to the gradients.
+
+    Where features are few, a job brings sums by pairs of them, which tell a level's splits and the next one's. Else it is a
+    job a level, of which the best split of each open node comes back.
+    """
+    tree, opened, level = trees.Grown(*([x] for x in (-1, 0, 0, 0, 0.0))), [0], 0
+    pairs = list(combinations_with_replacement(features, 2))
+    while opened and level < depth:
+        slots = np.full(len(tree.feature), -1)
+        slots[opened] = np.arange(len(opened))
+        two = level + 1 < depth and len(pairs) * len(opened) * trees.BINS**2 * state.getNumPartitions() <= trees.PAIRED
+        axes = pairs if two else [(f,) for f in features]
+        sums = state.mapPartitions(trees.histograms(trees.Grown(*map(np.array, tree)), level, slots, axes, rows, draw))
+        if two:
+            total = sums.reduce(np.add)
+            alone = {f: total[axes.index((f, f))].reshape(2, -1, trees.BINS, trees.BINS).sum(axis=3).reshape(2, -1) for f in features}
+            found = reduce(trees.better, (trees.best(f, alone[f]) for f in features))
+            opened = _split(tree, opened, found)
+            if opened:
+                opened = _split(tree, opened, reduce(trees.better, (trees.best(f, trees.of_children(total, axes, found, f)) for f in features)))
+        else:
+            summed = sums.flatMap(trees.by_axis(axes)).reduceByKey(np.add, min(len(axes), state.getNumPartitions()))
+            opened = _split(tree, opened, summed.map(lambda x: trees.best(x[0][0], x[1])).reduce(trees.better))
+        level += 1 + two
+    return trees.Grown(*map(np.array, tree))
+
+
+def _split(tree: trees.Grown, opened: list[int], found: np.ndarray) -> list[int]:
+    """Gives open nodes their values, and children where a split gains; returns those."""
+    out = []
+    for node, (gain, feature, last, *sides) in zip(opened, found.tolist(), strict=True):
+        tree.value[node] = (sides[0] + sides[2]) / max(1, sides[1] + sides[3])
+        if gain <= 0:
+            continue
+        tree.feature[node], tree.bin[node], tree.left[node], tree.right[node] = int(feature), int(last), len(tree.feature), len(tree.feature) + 1
+        for total, count in (sides[:2], sides[2:]):
+            out.append(len(tree.feature))
+            for own, value in zip(tree, (-1, 0, out[-1], out[-1], total / count), strict=True):
+                own.append(value)
+    return out
 
 
 @dataclass

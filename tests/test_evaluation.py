@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from rankloom import experiment
 from rankloom.functions.gains import array_dcg, ratio
 from rankloom.functions.running import running_sums
-from rankloom.operators import adaptive, clustering, learners, policy, ranking, reports, rounds, stats, telemetry
+from rankloom.operators import adaptive, clustering, learners, policy, ranking, reports, rounds, stats, telemetry, trees
 from rankloom.plans import registry
 from rankloom.sources import groups, letor
 from rankloom.streaming import online
@@ -222,6 +223,79 @@ def test_trees_raise_scores_where_documents_lie(spark):
     assert str(model.raised(groups)._jdf.queryExecution().optimizedPlan()).count("Aggregate") == 1 and not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def test_trees_take_few_jobs_and_any_dealing(spark):
+    """Three jobs a tree of depth 6, and the same trees however documents are dealt to tasks."""
+    rows = spark.range(12_000).select(F.expr("cast(id % 900 as string) as query_id"), F.expr("cast(id div 900 as int) as doc"), F.expr("cast(pmod(xxhash64(id), 5) as int) as rel"))
+    docs = rows.withColumn("features", F.expr("array(pmod(xxhash64(query_id, doc), 7919) / 8 + rel, cast(doc as double), pmod(xxhash64(doc, query_id), 24) / 3D)"))
+    sc = spark.sparkContext
+    sc.setJobGroup("trees", "trees")
+    one = learners.boosted(docs, 4)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("trees")) <= 4 * 3 + 8
+    with_fewer = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        other = learners.boosted(docs.orderBy(F.xxhash64("doc", "query_id")).repartition(5), 4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", with_fewer)
+    assert other == one and [t.depth() for t in one.trees] == [6] * 4
+
+
+@pytest.mark.parametrize("paired", [1 << 22, 0])
+def test_trees_are_those_of_spark_ml(spark, monkeypatch, paired):
+    """Where splits are few, with two levels a job and with one; missing features go right."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    monkeypatch.setattr(trees, "PAIRED", paired)
+    rng = np.random.default_rng(5)
+    rows = [(f"{i % 40}", i // 40, int(rng.integers(4)), [float(rng.integers(20)), float(rng.integers(5)), float(rng.integers(9)) / 4]) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "query_id string, doc int, rel int, features array<double>")
+    pushes = [(x, sum((r > s) - (r < s) for p, _, s, _ in rows if p == q) / 2) for q, _, r, x in rows]
+    train = spark.createDataFrame(pushes, "features array<double>, label double").withColumn("v", array_to_vector("features"))
+    told = DecisionTreeRegressor(featuresCol="v", maxDepth=5).fit(train).transform(train).select("prediction").collect()
+    got = learners.boosted(docs, 1, depth=5, rate=1.0).scored(docs).select("score").collect()
+    assert [r.score for r in got] == pytest.approx([r.prediction for r in told], abs=1e-6)
+
+
+def test_gradients_of_a_block(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes, rel, scores = np.array([3, 1, 30, 3, 700]), rng.integers(0, 4, 737).astype(float), rng.normal(0, 300, 737)
+    rel[5] = np.nan
+    expected, at = [], 0
+    for n in sizes.tolist():
+        docs = range(at, at + n)
+        expected += [sum(1 / (1 + np.exp(min(700, scores[i] - scores[j]))) if rel[i] > rel[j] else -1 / (1 + np.exp(min(700, scores[j] - scores[i]))) if rel[i] < rel[j] else 0 for j in docs) for i in docs]
+        at += n
+    assert trees.pushes(sizes, rel, scores) == pytest.approx(expected, abs=1e-6)
+    monkeypatch.setattr(trees, "PAIRS", 1000)
+    assert trees.pushes(sizes, rel, scores) == pytest.approx(expected, abs=1e-6)
+
+
+def test_blocks_hold_whole_queries(monkeypatch):
+    """Across Arrow batches and the size of a block, and that of a null query too."""
+    monkeypatch.setattr(trees, "DOCUMENTS", 4)
+    queries = [None] * 3 + ["a"] * 11 + ["b"] + ["c"] * 4 + ["d"] * 2
+    table = pa.table({"query_id": queries, "rel": np.arange(21.0), "features": [[float(i), None] for i in range(21)], "key": np.arange(21)})
+    for size in (1, 2, 5, 30):
+        got = list(trees.blocks(iter(table.to_batches(size))))
+        sizes = [np.frombuffer(b["sizes"][0].as_py(), np.int32).tolist() for b in got]
+        features = [np.frombuffer(b["features"][0].as_py()).reshape(2, -1) for b in got]
+        assert sum(sizes, []) == [3, 11, 1, 4, 2] and (size == 30 or len(sizes) > 1)
+        assert np.concatenate([x[0] for x in features]).tolist() == list(range(21)) and all(np.isnan(x[1]).all() for x in features)
+
+
+def test_splits_of_many_values(monkeypatch):
+    few = trees.merged((np.array([1.0, 3.0]), np.array([2, 5])), (np.array([2.0, 3.0]), np.array([1, 1])))
+    assert few[0].tolist() == [1, 2, 3] and few[1].tolist() == [2, 1, 6] and trees.splits(few).tolist() == [1.5, 2.5]
+    even = trees.splits((np.arange(3200.0), np.ones(3200)))
+    assert even.tolist() == [100 * i - 0.5 for i in range(1, 32)]
+    monkeypatch.setattr(trees, "POINTS", 320)
+    parts = [trees._fewer(np.arange(a, 32_000.0, 4), np.ones(8000)) for a in range(4)]
+    many = trees.splits(trees.merged(trees.merged(parts[0], parts[1]), trees.merged(parts[2], parts[3])))
+    assert len(many) == 31 and max(abs(x - 1000 * i) for i, x in enumerate(many, 1)) < 320
+
+
 def test_density_clusters():
     near = np.full((9, 9), 0.9)
     for block in (range(0, 4), range(4, 8)):
