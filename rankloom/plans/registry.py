@@ -226,9 +226,10 @@ SELECT island, qid, CAST(count(*) AS BIGINT) AS n, CAST(min(line_no) AS BIGINT)
     SELECT *, CASE WHEN qid = lag(qid) OVER (ORDER BY o) THEN 0 ELSE 1 END AS new FROM (
       SELECT line_no, line_no AS o, qid FROM lines UNION ALL SELECT line_no, line_no + 100000000, qid FROM lines WHERE line_no < 50000))) GROUP BY island, qid""")
 def _(x):
-    lines = letor.parsed(_lines(x)).withColumn("o", F.col("line_no"))
-    again = lines.where("line_no < 50000").withColumn("o", F.col("line_no") + 100_000_000)
-    return letor.islands(lines.unionByName(again), "o").groupBy("island", "qid").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
+    """Beyond 100,000 rounds numbers ``o`` are shared: lines come before those of the second part, as rows of the SQL do."""
+    lines = letor.parsed(_lines(x)).select("*", F.col("line_no").alias("o"), F.lit(0).alias("part"))
+    again = lines.where("line_no < 50000").withColumn("o", F.col("line_no") + 100_000_000).withColumn("part", F.lit(1))
+    return letor.islands(lines.unionByName(again), "o", ties=("part",)).groupBy("island", "qid").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
 
 
 # Ranking

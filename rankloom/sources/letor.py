@@ -29,19 +29,19 @@ def dense(rows: DataFrame, n_features: int = 700) -> DataFrame:
     return rows.withColumn("features", F.expr(f"transform(sequence(1, {n_features}), i -> coalesce(try_element_at(sparse, i), 0D))"))
 
 
-def islands(rows: DataFrame, order: str = "line_no", partition: tuple[str, ...] = (), size: int = 100_000) -> DataFrame:
+def islands(rows: DataFrame, order: str = "line_no", partition: tuple[str, ...] = (), size: int = 100_000, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds island: lines of one query that follow each other; a query that comes back starts another island.
 
-    ``order``: a whole number; lines that share one stand in the order of their qids and are all in the island that the last of
-    them is in. ``partition``: e.g. the file; consecutive lines are those of one
+    ``order``: a whole number; lines that share one stand in the order of the columns ``ties`` and then of their qids, and are
+    all in the island that the last of them is in. ``partition``: e.g. the file; consecutive lines are those of one
     partition. Lines are cut into blocks of ``size`` numbers; a block's first line is held against the last one of the
     block before, and islands are numbered by running sums over blocks, so no window spans a file.
     """
     blocked = rows.withColumn("__block", F.floor(F.col(order) / size))
-    ends = blocked.groupBy(*partition, "__block").agg(F.max_by(F.struct("qid"), F.struct(order, "qid")).alias("__last"))
+    ends = blocked.groupBy(*partition, "__block").agg(F.max_by(F.struct("qid"), F.struct(order, *ties, "qid")).alias("__last"))
     by_block = Window.partitionBy(*partition).orderBy("__block")
     before = ends.select(*partition, "__block", F.lag("__last").over(by_block).alias("__before"))
-    by_line = Window.partitionBy(*partition, "__block").orderBy(order, "qid")
+    by_line = Window.partitionBy(*partition, "__block").orderBy(order, *ties, "qid")
     joined = blocked.join(before, [*partition, "__block"]).withColumn("__previous", F.coalesce(F.lag(F.struct("qid")).over(by_line), F.col("__before")))
     same = F.col("__previous").isNotNull() & F.col("qid").eqNullSafe(F.col("__previous.qid"))
     marked = joined.withColumn("__new", F.when(same, 0).otherwise(1)).drop("__block", "__before", "__previous")

@@ -566,6 +566,23 @@ def test_islands_of_lines_that_share_a_number(spark):
         assert got == [(0, "a", 1), (1, "a", 2), (1, "b", 2), (2, "b", 2), (3, "b", 3), (3, "c", 3), (4, "b", 4)]
 
 
+def test_islands_of_shared_numbers_stand_in_the_order_of_rows(spark, monkeypatch):
+    """Beyond 100,000 rounds, as in the SQL where its sort keeps the order of rows, which one thread's does."""
+    sizes = {1: 3, 2: 1, 3: 2, 60: 2, 100_001: 2, 100_002: 3, 100_003: 2, 100_004: 1}
+    order = spark.createDataFrame([(f"{'b' if r > 60 else 'a'}{r}", r) for r in sizes], "query_id string, round int")
+    docs = order.select("query_id", F.explode(F.expr(f"sequence(0, map_from_entries(array({','.join(f'({r}, {n})' for r, n in sizes.items())}))[round] - 1)")).alias("doc"), F.lit(1).alias("rel"), F.expr("array(1D, 2D)").alias("features"))
+    monkeypatch.setattr(registry, "Log", lambda *_: SimpleNamespace(docs=docs, order=order))
+    lines = [(r * 1000 + d, f"{'b' if r > 60 else 'a'}{r}") for r, n in sizes.items() for d in range(n)]
+    both = [(n, 0, n, q) for n, q in lines] + [(n + 100_000_000, 1, n, q) for n, q in lines if n < 50_000]
+    both.sort(key=lambda x: x[0])
+    new = [i == 0 or x[3] != both[i - 1][3] for i, x in enumerate(both)]
+    told = {}
+    for o, _, n, q in both:
+        told.setdefault((sum(w for w, x in zip(new, both, strict=True) if x[0] <= o), q), []).append(n)
+    got = registry.QUERIES["letor_group_islands"](spark, "").collect()
+    assert sorted(map(tuple, got)) == sorted((*k, len(v), min(v)) for k, v in told.items())
+
+
 def test_counters_fill_while_rounds_are_used(spark):
     rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, [])], "round int, participants array<string>")
     seen, counters = telemetry.observed(rows)
