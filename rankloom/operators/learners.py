@@ -16,9 +16,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.rng import normals
 from ..scratch import dropped, written
+from ..shipping import ship
 from . import trees
 
 #: Trees after which scores are made anew from all trees; in between they are those kept by the executors and one tree more.
@@ -220,15 +222,16 @@ class BoostedRanker:
     def scored(self, docs: DataFrame) -> DataFrame:
         """Adds score; without trees it is 0 for all, which ranks documents as they are stored.
 
-        The trees are one row of data beside the documents, and one fold walks them: the plan is the same for any number.
+        Tasks walk the trees over whole batches of documents: the plan is the same for any number.
         """
         if not self.trees:
             return docs.withColumn("score", F.lit(0.0))
-        forest, steps = self._forest(docs.sparkSession)
-        total = f"transform(array(cast(features as array<double>)), x -> {_walked('x', steps)})[0]"
+        ship(docs.sparkSession)
         kept = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
-        return docs.crossJoin(F.broadcast(forest)).select(*kept, (F.lit(self.rate) * F.expr(total)).alias("score"))
-
+        rows = docs.select(*kept, F.col("features").cast("array<double>").alias("__features"))
+        forest = [(trees.Grown(*map(np.array, (t.feature, t.threshold, t.left, t.right, t.value))), t.depth()) for t in self.trees]
+        schema = StructType([f for f in docs.schema if f.name != "score"]).add("score", "double")
+        return rows.mapInArrow(trees.scores(forest, self.rate), schema)
 
     def _forest(self, spark: SparkSession) -> tuple[DataFrame, int]:
         rows = [([(t.feature, t.threshold, t.left, t.right, t.value) for t in self.trees],)]

@@ -36,7 +36,8 @@ class Block(NamedTuple):
 
 
 class Grown(NamedTuple):
-    """A tree over bins: a node's feature (-1: a leaf), the last bin that goes left, its children and what it predicts."""
+    """A tree over bins: a node's feature (-1: a leaf), the last bin that goes left, its children and what it predicts.
+    One over features has thresholds in place of bins."""
 
     feature: np.ndarray
     bin: np.ndarray
@@ -84,14 +85,36 @@ def _starts(rows: pa.Table) -> np.ndarray:
 
 
 def _block(rows: pa.Table, sizes: np.ndarray) -> pa.RecordBatch:
-    lists = pa.concat_arrays(rows.column("features").chunks)
+    features = _matrix(pa.concat_arrays(rows.column("features").chunks))
+    told = [sizes.astype(np.int32), rows.column("rel").to_numpy(), rows.column("key").to_numpy(), np.ascontiguousarray(features.T)]
+    return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in told), pa.array([features.shape[1]], pa.int32())], ["sizes", "rel", "key", "features", "width"])
+
+
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """A row a document; missing features are NaN."""
     widths = set(lists.value_lengths().unique().to_pylist())
     if len(widths) > 1 or None in widths:
         raise ValueError("features of unequal numbers")
-    (width,) = widths
-    features = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    told = [sizes.astype(np.int32), rows.column("rel").to_numpy(), rows.column("key").to_numpy(), np.ascontiguousarray(features.T)]
-    return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in told), pa.array([width], pa.int32())], ["sizes", "rel", "key", "features", "width"])
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), *widths)
+
+
+def scores(forest: list[tuple[Grown, int]], rate: float) -> Callable:
+    """Puts what trees (each with its depth) say of the features ``__features`` in their place. Documents without any go right."""
+    width = 1 + max(int(tree.feature.max()) for tree, _ in forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("__features")
+            known, features = lists.is_valid().to_numpy(zero_copy_only=False), np.full((max(1, width), len(lists)), np.nan)
+            if known.any():
+                features[:, known] = _matrix(lists.drop_null())[:, : len(features)].T
+            total = np.zeros(len(lists))
+            for tree, depth in forest:
+                total = total + tree.value[tree.leaves(features, depth)]
+            names = [n for n in batch.schema.names if n != "__features"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rate * total)], [*names, "score"])
+
+    return run
 
 
 def values(row) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
